@@ -5,13 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import byte_bpe
+from lodestone.llm import byte_bpe, packing, token_store
 from lodestone.llm.common import table
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_store.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_store.read_documents(shards)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op5_byte_bpe": op5_byte_bpe}
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+QUERIES = {"op2_token_store": op2_token_store, "op5_byte_bpe": op5_byte_bpe, "op8_best_fit_packing": op8_best_fit_packing}
 ORACLE: dict[str, str] = {}
