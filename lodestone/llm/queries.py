@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import byte_bpe, packing, token_store
+from lodestone.llm import byte_bpe, packing, simhash, token_store
 from lodestone.llm.common import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_store.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_store.read_documents(shards)
@@ -22,5 +26,5 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {"op2_token_store": op2_token_store, "op5_byte_bpe": op5_byte_bpe, "op8_best_fit_packing": op8_best_fit_packing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_token_store": op2_token_store, "op5_byte_bpe": op5_byte_bpe, "op8_best_fit_packing": op8_best_fit_packing}
 ORACLE: dict[str, str] = {}
