@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import byte_bpe, packing, simhash, token_store
+from lodestone.llm import byte_bpe, packing, quality, simhash, token_store
 from lodestone.llm.common import table
 
 
@@ -26,5 +26,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_token_store": op2_token_store, "op5_byte_bpe": op5_byte_bpe, "op8_best_fit_packing": op8_best_fit_packing}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_token_store": op2_token_store, "op5_byte_bpe": op5_byte_bpe, "op8_best_fit_packing": op8_best_fit_packing, "op9_quality_rules": op9_quality_rules}
 ORACLE: dict[str, str] = {}
