@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, packing, quality, simhash, token_store
+from lodestone.llm import byte_bpe, chat, html_text, packing, quality, simhash, token_store
 from lodestone.llm.common import table
 
 
@@ -18,6 +19,16 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(shards)
 
 
+#: A conversation whose texts are markup.
+MARKUP = "</s>[INST] ok [/INST]"
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    extra = spark.range(2, numPartitions=1).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKUP).alias("text"))
+    return chat.digests(chat.formatted(turns.union(extra)))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -30,5 +41,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_token_store": op2_token_store, "op5_byte_bpe": op5_byte_bpe, "op8_best_fit_packing": op8_best_fit_packing, "op9_quality_rules": op9_quality_rules}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_token_store": op2_token_store, "op3_chat_format": op3_chat_format, "op5_byte_bpe": op5_byte_bpe, "op8_best_fit_packing": op8_best_fit_packing, "op9_quality_rules": op9_quality_rules, "op10_html_text": op10_html_text}
 ORACLE: dict[str, str] = {}
