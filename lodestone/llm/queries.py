@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, chat, html_text, language, packing, quality, simhash, token_store
+from lodestone.llm import byte_bpe, chat, html_text, language, packing, quality, simhash, token_store, toxicity
 from lodestone.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(turns.union(extra)))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -50,5 +55,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_token_store": op2_token_store, "op3_chat_format": op3_chat_format, "op5_byte_bpe": op5_byte_bpe, "op7_language_id": op7_language_id, "op8_best_fit_packing": op8_best_fit_packing, "op9_quality_rules": op9_quality_rules, "op10_html_text": op10_html_text}
+QUERIES = {"op1_simhash": op1_simhash, "op2_token_store": op2_token_store, "op3_chat_format": op3_chat_format, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op7_language_id": op7_language_id, "op8_best_fit_packing": op8_best_fit_packing, "op9_quality_rules": op9_quality_rules, "op10_html_text": op10_html_text}
 ORACLE: dict[str, str] = {}
