@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, chat, html_text, language, packing, quality, simhash, token_store, toxicity
+from lodestone.llm import byte_bpe, chat, html_text, language, media, packing, quality, simhash, token_store, toxicity
 from lodestone.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.train(docs))
@@ -55,5 +59,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_token_store": op2_token_store, "op3_chat_format": op3_chat_format, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op7_language_id": op7_language_id, "op8_best_fit_packing": op8_best_fit_packing, "op9_quality_rules": op9_quality_rules, "op10_html_text": op10_html_text}
+QUERIES = {"op1_simhash": op1_simhash, "op2_token_store": op2_token_store, "op3_chat_format": op3_chat_format, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op6_media": op6_media, "op7_language_id": op7_language_id, "op8_best_fit_packing": op8_best_fit_packing, "op9_quality_rules": op9_quality_rules, "op10_html_text": op10_html_text}
 ORACLE: dict[str, str] = {}
