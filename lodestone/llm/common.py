@@ -25,7 +25,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
         base = _own.setdefault("dir", "")
         if not base:
             base = _own["dir"] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    return f"{base.rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}")
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()  # also other readers must find it
+    return full if "://" in full else full.replace(":/", ":///", 1)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
