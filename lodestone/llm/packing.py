@@ -12,23 +12,29 @@ stand there; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from functools import lru_cache
 
+import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestone.llm.common import materialise, slices, texts_of
-from lodestone.llm.pieces import LeadEncoder
+from lodestone.llm.pieces import LeadEncoder, byte_letters
 
 FAN = 8
 ROOT_ITEMS = 2_000_000
 #: Items that a task of the first level holds before it packs them.
 LOCAL_ITEMS = 400_000
+#: Pieces that are encoded as one text.
+JOINED = 2000
 #: A bin with at most this share of its capacity free is closed below the root.
 SLACK = 1 / 256
 
@@ -37,11 +43,53 @@ BINS = "done boolean, node long, bin long, fill long, " + ", ".join(f"{c} array<
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class ByteLevelIds:
+    """Ids of a byte-level tokenizers file by tiktoken's encoder, some times faster; texts to 32-bit ids as bytes.
+
+    The file must number its merges in their order, as rank files do; otherwise, and for pieces that cannot be told
+    apart in a joined text, the tokenizers library encodes. The tests hold both to the same ids.
+    """
+
+    def __init__(self, path: str):
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        model = json.loads(self.tok.to_str())["model"]
+        letters = byte_letters()
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+        made = set(merged)
+        ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t in letters or t in made}
+        numbers = [model["vocab"][m] for m in merged]
+        self.fast = None
+        if numbers == sorted(numbers) and len(ranks) == 256 + len(made):
+            self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.leads = np.zeros(max(ranks.values()) + 1, bool)
+            self.leads[[i for b, i in ranks.items() if b[:1] in (b" ", b"\n")]] = True
+
+    def _slow(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if self.fast is None:
+            return self._slow(texts)
+        out: list = [None] * len(texts)
+        joined = [i for i, t in enumerate(texts) if t[:1] in (" ", "\n") and t.count(" ") + t.count("\n") == 1]
+        for at in range(0, len(joined), JOINED):
+            some = joined[at : at + JOINED]
+            ids = np.array(self.fast.encode_ordinary("".join([texts[i] for i in some])), "<u4")
+            starts = np.flatnonzero(self.leads[ids])
+            if len(starts) == len(some) and starts[0] == 0:
+                raw, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), 4 * len(ids)]
+                for i, s, e in zip(some, (starts * 4).tolist(), ends):
+                    out[i] = raw[s:e]
+        for i, x in enumerate(out):
+            if x is None:
+                out[i] = array("I", self.fast.encode_ordinary(texts[i])).tobytes()
+        return out
+
+
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> LeadEncoder:
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # their strings in a text are ordinary text
-    return LeadEncoder(lambda texts: [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)])
+    return LeadEncoder(ByteLevelIds(path))
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:

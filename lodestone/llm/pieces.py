@@ -5,8 +5,12 @@ Cuts are made only where the tokenizer's own splitting pattern always cuts, so t
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable
 
+#: Executors run as many workers as they have cores; the tokenizers library must not start threads in each.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 #: Pieces that a worker keeps; beyond that the cache starts anew, so memory stays bounded.
 CACHE_PIECES = 500_000
 
@@ -78,3 +82,10 @@ class LeadEncoder:
             for i, ids in zip(whole, self.plain([texts[i] for i in whole])):
                 out[i] = ids
         return out
+
+
+def byte_letters() -> dict[str, int]:
+    """The printable characters by which a byte-level vocabulary file writes bytes."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
