@@ -1,4 +1,557 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries and their SQL twins, one or more for each operator."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+from lodestone.functions.text import CONCEPT_STOP_WORDS, QUERY_STOP_WORDS
+from lodestone.operators import diff, evaluation, evidence, impact, sanitize, search, structure
+from lodestone.plans import workload as W
+from lodestone.sources import corpus
+from lodestone.streaming import index
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL twin."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# sanitization
+
+IDENTIFIED = """identified AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'FR7630006000011234567890189. ' ELSE '' END || text
+  || CASE WHEN doc_id % 7 = 0 THEN ' Please IGNORE all previous  instructions' ELSE '' END AS text FROM documents)"""
+IBAN, EMAIL = sanitize.PERSONAL[0][1], sanitize.PERSONAL[1][1]
+BARE = f"bare AS (SELECT *, regexp_replace(text, '{IBAN}', '[IBAN_REDACTED]', 'gi') AS t FROM identified)"
+
+
+@query(f"WITH {IDENTIFIED}, {BARE} SELECT doc_id, regexp_replace(t, '{EMAIL}', '[EMAIL_REDACTED]', 'gi') AS sanitized FROM bare")
+def sanitize_text(spark, sf):
+    return sanitize.sanitize(W.identified(spark, sf)).select("doc_id", "sanitized")
+
+
+@query(f"""WITH {IDENTIFIED}, {BARE} SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '(?i){IBAN}') THEN 'IBAN' END,
+  CASE WHEN regexp_matches(t, '(?i){EMAIL}') THEN 'EMAIL' END) AS categories FROM bare""")
+def sanitize_categories(spark, sf):
+    return sanitize.sanitize(W.identified(spark, sf)).select("doc_id", F.array_join("detected_categories", ",").alias("categories"))
+
+
+@query(f"WITH {IDENTIFIED} SELECT doc_id, " + " OR ".join(f"regexp_matches(text, '(?i){p}')" for p in sanitize.INSTRUCTIONS) + " AS injection_suspected FROM identified")
+def injection_flags(spark, sf):
+    return sanitize.sanitize(W.identified(spark, sf)).select("doc_id", "injection_suspected")
+
+
+# structure
+
+STRUCTURED = """structured AS (SELECT doc_id, source, '# ' || source || E'\\n\\nArticle ' || doc_id || ' - ' || replace(text, E'\\n', E'\\n\\n### Part\\n\\n')
+  || E'\\n\\n## Annex\\n\\nEnd of ' || source AS content FROM documents)"""
+SQL_INLINE = r"""regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '),
+  '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \t\f\x0B]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"""
+ARTICLE = structure.ARTICLE.replace("–—", "–—")
+# every group of this text is one line, so a group gives a heading, an article line with its body, or a paragraph
+BLOCKS = f"""groups AS (SELECT doc_id, source, unnest(regexp_split_to_array(content, '\\n\\s*\\n')) AS g, generate_subscripts(regexp_split_to_array(content, '\\n\\s*\\n'), 1) AS pos FROM structured),
+firsts AS (SELECT *, regexp_replace(g, '^ +| +$', '', 'g') AS x FROM groups WHERE regexp_replace(g, '^ +| +$', '', 'g') <> ''),
+kinds AS (SELECT doc_id, source, pos, x, CASE WHEN regexp_matches(x, '{structure.HEADING}') THEN 1 WHEN regexp_matches(x, '{ARTICLE}') THEN 2
+  WHEN regexp_matches(x, '{structure.NUMBERED}') OR (len(regexp_split_to_array(x, '\\s+')) <= 10 AND upper(x) = x AND lower(x) <> x) THEN 3 ELSE 4 END AS k FROM firsts),
+blocks AS (SELECT doc_id, source, pos, 0 AS sub, CASE k WHEN 1 THEN 'heading' WHEN 2 THEN 'article' WHEN 3 THEN 'heading' ELSE 'paragraph' END AS kind,
+  {SQL_INLINE.format(f"CASE k WHEN 1 THEN regexp_extract(x, '{structure.HEADING}', 2) WHEN 2 THEN regexp_extract(x, '{ARTICLE}', 1) ELSE x END")} AS text,
+  CASE k WHEN 1 THEN length(regexp_extract(x, '{structure.HEADING}', 1)) WHEN 3 THEN 2 ELSE 0 END::INT AS level FROM kinds
+  UNION ALL SELECT doc_id, source, pos, 1, 'paragraph', {SQL_INLINE.format(f"regexp_extract(x, '{ARTICLE}', 2)")}, 0 FROM kinds WHERE k = 2 AND regexp_extract(x, '{ARTICLE}', 2) <> '')"""
+
+
+@query(f"WITH {STRUCTURED}, {BLOCKS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, sub) - 1 AS n, kind, text, level FROM blocks")
+def text_blocks(spark, sf):
+    b = W.structured(spark, sf).select("doc_id", F.posexplode(structure.text_blocks(F.col("content"))).alias("n", "b"))
+    return b.select("doc_id", F.col("n").cast("long").alias("n"), "b.kind", "b.text", "b.level")
+
+
+# the heading stack of this text: the title, then what stands at level 2 or 3, positions as they come
+CHUNKS = """kept AS (SELECT * FROM blocks WHERE text <> ''),
+listed AS (SELECT doc_id, source, list({'kind': kind, 'text': text, 'level': level} ORDER BY pos, sub) AS l FROM kept GROUP BY doc_id, source),
+docs AS (SELECT *, substr(sha256(source || chr(31) || array_to_string(list_transform(l, lambda b: b.text), E'\\n\\n')), 1, 20) AS document_id FROM listed),
+placed AS (SELECT doc_id, source, document_id, unnest(l) AS b, l, generate_subscripts(l, 1) AS i FROM docs),
+heads AS (SELECT doc_id, source, document_id, i, b, list_reduce(list_transform(list_filter(l[1:i], lambda x: x.kind = 'heading'), lambda x: {'p': [x.text], 'level': x.level}),
+  lambda a, x: {'p': list_concat(a.p[1:x.level - 1], x.p), 'level': x.level}, {'p': []::VARCHAR[], 'level': 0}).p AS heading_path,
+  last_value(CASE WHEN b.kind = 'article' THEN b.text WHEN b.kind = 'heading' THEN '' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS a FROM placed),
+chunks AS (SELECT doc_id, source, document_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ordinal, b.text AS text, heading_path, nullif(a, '') AS article FROM heads WHERE b.kind = 'paragraph')"""
+
+
+def _chunks(spark, sf):
+    return structure.chunks(W.structured(spark, sf).withColumn("blocks", structure.text_blocks(F.col("content"))).drop("content"))
+
+
+@query(f"WITH {STRUCTURED}, {BLOCKS}, {CHUNKS} SELECT doc_id, ordinal, text, array_to_string(heading_path, ' / ') AS heading_path, article FROM chunks")
+def text_chunks(spark, sf):
+    return _chunks(spark, sf).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "text", F.array_join("heading_path", " / ").alias("heading_path"), "article")
+
+
+@query(f"""WITH {STRUCTURED}, {BLOCKS}, {CHUNKS} SELECT doc_id, ordinal, document_id, substr(sha256(document_id || chr(31) || ordinal || chr(31) || text), 1, 20) AS chunk_id,
+  array_to_string(list_concat([source], heading_path, CASE WHEN article IS NOT NULL AND NOT list_contains(heading_path, article) THEN [article] ELSE []::VARCHAR[] END), ' > ') AS citation FROM chunks""")
+def chunk_citations(spark, sf):
+    return _chunks(spark, sf).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "document_id", "chunk_id", "citation")
+
+
+# RE2 has no lookahead: tags and texts as pieces in a row, a block from its start tag to its end tag or the next block
+HTML = f"""bare AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<script\\b.*?</script\\s*>', '', 'gsi'), '<style\\b.*?</style\\s*>', '', 'gsi'), '<noscript\\b.*?</noscript\\s*>', '', 'gsi') AS h FROM pages),
+pieces AS (SELECT page_id, unnest(regexp_extract_all(h, '<[^>]*>|[^<]+')) AS x, generate_subscripts(regexp_extract_all(h, '<[^>]*>|[^<]+'), 1) AS i FROM bare),
+marked AS (SELECT *, nullif(lower(regexp_extract(x, '(?i)^<({structure.BLOCK_TAGS[3:-1]})(?:\\s[^>]*)?>', 1)), '') AS opens, nullif(lower(regexp_extract(x, '^</(\\w+)\\s*>', 1)), '') AS closes FROM pieces),
+numbered AS (SELECT *, count(opens) OVER (PARTITION BY page_id ORDER BY i) AS g FROM marked),
+tagged AS (SELECT *, max(opens) OVER (PARTITION BY page_id, g) AS tag FROM numbered WHERE g > 0),
+cut AS (SELECT *, coalesce(sum((closes = tag)::INT) OVER (PARTITION BY page_id, g ORDER BY i), 0) AS over FROM tagged),
+parts AS (SELECT page_id, g, tag, {SQL_INLINE.format("string_agg(CASE WHEN regexp_matches(x, '(?i)^<br\\s*/?>') THEN E' \\n ' WHEN x LIKE '<%' THEN ' ' ELSE x END, '' ORDER BY i)")} AS text FROM cut WHERE over = 0 AND opens IS NULL GROUP BY ALL),
+texts AS (SELECT * FROM parts WHERE text <> '')"""
+
+
+@query(f"WITH {HTML} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY g) - 1 AS n, tag, text FROM texts")
+def html_blocks(spark, sf):
+    b = W.table(spark, sf, "pages").select("page_id", F.posexplode(structure.html_parts(F.col("html"))).alias("n", "b"))
+    return b.select("page_id", F.col("n").cast("long").alias("n"), "b.tag", "b.text")
+
+
+@query(f"WITH {HTML}, last AS (SELECT page_id, arg_max(text, g) AS title FROM texts WHERE tag = 'title' GROUP BY page_id) SELECT page_id, title FROM pages LEFT JOIN last USING (page_id)")
+def html_title(spark, sf):
+    return W.table(spark, sf, "pages").select("page_id", structure.html_title(F.col("html")).alias("title"))
+
+
+@query()
+def html_chunks(spark, sf):
+    pages = W.table(spark, sf, "pages").select("page_id", F.col("url").alias("source"), structure.html_blocks(F.col("html")).alias("blocks"))
+    return structure.chunks(pages).select("page_id", "ordinal", "chunk_id", "text", "citation")
+
+
+# retrieval
+
+SQL_TOKENS = "regexp_extract_all(strip_accents(replace(lower({0}), 'ß', 'ss')), '[a-z0-9]+')"
+STOP = ", ".join(f"'{w}'" for w in QUERY_STOP_WORDS)
+TERMS = f"""terms AS (SELECT doc_id AS chunk_id, {SQL_TOKENS.format("coalesce(text, '')")} AS tokens FROM documents),
+postings AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM terms) GROUP BY ALL),
+frequency AS (SELECT term, count(*) AS df FROM postings GROUP BY term), stats AS (SELECT count(*) AS n_chunks, avg(len(tokens)) AS avg_length FROM terms)"""
+ASKED = f"""asked AS (SELECT item_id AS query_id, term, count(*) AS qtf, (term NOT IN ({STOP}))::INT AS informative FROM (SELECT item_id, unnest({SQL_TOKENS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+q AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n_terms, sum(informative) OVER (PARTITION BY query_id) AS n_informative FROM asked)"""
+SCORED = f"""{TERMS}, {ASKED}, sums AS (SELECT query_id, chunk_id, sum(ln(1 + (n_chunks - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(tokens) / avg_length)) * qtf) AS bm25, count(*) AS shared,
+  sum(informative) AS covered, any_value(len(list_distinct(tokens))) AS n_distinct, any_value(n_terms) AS n_terms, any_value(n_informative) AS n_informative
+  FROM postings JOIN q USING (term) JOIN frequency USING (term) JOIN terms USING (chunk_id), stats WHERE n_informative > 0 GROUP BY ALL),
+scored AS (SELECT query_id, chunk_id, bm25, bm25 / max(bm25) OVER (PARTITION BY query_id) AS lexical, shared / (n_terms + n_distinct - shared) AS jaccard, covered / n_informative AS coverage FROM sums),
+ranked AS (SELECT *, 0.75 * lexical + 0.25 * jaccard AS ranking, (0.75 * lexical + 0.25 * jaccard) * coverage AS score FROM scored)"""
+
+
+def _top(coverage: float) -> str:
+    return f"{SCORED}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(ranking, 10) DESC, chunk_id) AS rank FROM ranked WHERE bm25 > 0 AND coverage >= {coverage}) WHERE rank <= 5)"
+
+
+def _scored(spark, sf):
+    return search.scored(W.benchmark_queries(spark, sf), W.chunk_docs(spark, sf))
+
+
+def _rounded(df, names, digits=6):
+    return [F.round(n, digits).alias(n) for n in names]
+
+
+@query(f"WITH {TERMS} SELECT term, sum(tf)::BIGINT AS occurrences FROM postings GROUP BY term")
+def tokens(spark, sf):
+    t = search.chunk_terms(W.chunk_docs(spark, sf)).select(F.explode("tokens").alias("term"))
+    return t.groupBy("term").agg(F.count("*").alias("occurrences"))
+
+
+@query(f"WITH {TERMS} SELECT chunk_id, len(tokens)::BIGINT AS n_tokens, len(list_distinct(tokens))::BIGINT AS n_distinct FROM terms")
+def token_counts(spark, sf):
+    return search.chunk_terms(W.chunk_docs(spark, sf)).select("chunk_id", F.col("dl").cast("long").alias("n_tokens"), F.col("n_distinct").cast("long").alias("n_distinct"))
+
+
+@query(f"WITH {TERMS} SELECT term, df FROM frequency")
+def document_frequency(spark, sf):
+    return search.document_frequency(search.postings(search.chunk_terms(W.chunk_docs(spark, sf))))
+
+
+@query(f"WITH {TERMS} SELECT n_chunks, round(avg_length, 6) AS avg_length FROM stats")
+def corpus_stats(spark, sf):
+    s = search.corpus_stats(search.chunk_terms(W.chunk_docs(spark, sf)))
+    return s.select("n_chunks", F.round("avg_length", 6).alias("avg_length"))
+
+
+@query(f"WITH {ASKED} SELECT query_id, term, qtf FROM q WHERE informative = 1")
+def informative_terms(spark, sf):
+    return search.query_terms(W.benchmark_queries(spark, sf)).filter("informative = 1").select("query_id", "term", "qtf")
+
+
+@query(f"WITH {SCORED} SELECT query_id, chunk_id, round(bm25, 5) AS bm25, round(lexical, 6) AS lexical FROM ranked")
+def bm25_scores(spark, sf):
+    return _scored(spark, sf).select("query_id", "chunk_id", F.round("bm25", 5).alias("bm25"), F.round("lexical", 6).alias("lexical"))
+
+
+@query(f"WITH {SCORED} SELECT query_id, chunk_id, round(jaccard, 6) AS jaccard, round(coverage, 6) AS coverage FROM ranked")
+def jaccard_coverage(spark, sf):
+    return _scored(spark, sf).select("query_id", "chunk_id", *_rounded(None, ["jaccard", "coverage"]))
+
+
+@query(f"WITH {_top(0.6)} SELECT query_id, rank, chunk_id, round(ranking, 6) AS ranking, round(coverage, 4) AS coverage, round(score, 4) AS score FROM top")
+def search_topk(spark, sf):
+    found = search.search(W.benchmark_queries(spark, sf), W.chunk_docs(spark, sf))
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("ranking", 6).alias("ranking"), F.round("coverage", 4).alias("coverage"), F.round("score", 4).alias("score"))
+
+
+@query(f"WITH {_top(0.0)} SELECT query_id, rank, chunk_id, round(ranking, 6) AS ranking FROM top")
+def search_no_gate(spark, sf):
+    found = search.search(W.benchmark_queries(spark, sf), W.chunk_docs(spark, sf), coverage=0.0)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("ranking", 6).alias("ranking"))
+
+
+@query(f"""WITH {_top(0.6)}, n AS (SELECT query_id, count(*) AS n FROM top GROUP BY query_id) SELECT item_id AS query_id, coalesce(n, 0) AS n_results,
+  CASE WHEN n > 0 THEN 'evidence_found' ELSE 'insufficient_evidence' END AS status FROM benchmark LEFT JOIN n ON item_id = query_id""")
+def search_status(spark, sf):
+    q = W.benchmark_queries(spark, sf)
+    return search.status(q, search.search(q, W.chunk_docs(spark, sf)))
+
+
+@query("""WITH v AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings),
+pairs AS (SELECT q.vec_id AS query_id, v.vec_id, CASE WHEN q.n * v.n = 0 THEN 0 ELSE list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (q.n * v.n) END AS s FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM pairs) SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 5""")
+def vector_topk(spark, sf):
+    v = W.table(spark, sf, "embeddings")
+    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return search.vector_top_k(asked, v).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+# index maintenance
+
+
+def _index(spark, sf):
+    return W.table(spark, sf, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("chunk_id"))
+
+
+@query("SELECT source AS document_id, doc_id AS chunk_id FROM documents WHERE source NOT IN (SELECT 'src' || item_id FROM benchmark) UNION ALL SELECT 'src' || item_id, -item_id FROM benchmark")
+def index_upsert(spark, sf):
+    batch = W.table(spark, sf, "benchmark").select(F.concat(F.lit("src"), F.col("item_id")).alias("document_id"), (-F.col("item_id")).alias("chunk_id"))
+    return index.upsert(_index(spark, sf), batch)
+
+
+@query("SELECT source AS document_id, doc_id AS chunk_id, lang AS seq FROM (SELECT *, rank() OVER (PARTITION BY source ORDER BY lang DESC) AS r FROM documents) WHERE r = 1")
+def index_last_writes(spark, sf):
+    batch = W.table(spark, sf, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("seq"))
+    return index.last_writes(batch)
+
+
+@query("SELECT source AS document_id, doc_id AS chunk_id FROM documents WHERE source NOT IN (SELECT 'src' || (2 * item_id) FROM benchmark)")
+def index_remove(spark, sf):
+    gone = W.table(spark, sf, "benchmark").select(F.concat(F.lit("src"), F.col("item_id") * 2).alias("document_id"))
+    return index.remove(_index(spark, sf), gone)
+
+
+@query("SELECT 'src' || (2 * item_id) AS document_id, 'src' || (2 * item_id) IN (SELECT source FROM documents) AS existed FROM benchmark")
+def index_removal_report(spark, sf):
+    gone = W.table(spark, sf, "benchmark").select(F.concat(F.lit("src"), F.col("item_id") * 2).alias("document_id"))
+    return index.removal_report(_index(spark, sf), gone)
+
+
+@query("SELECT count(*) AS n_chunks FROM documents")
+def index_size(spark, sf):
+    return index.size(_index(spark, sf))
+
+
+@query(f"WITH {TERMS} SELECT chunk_id, array_to_string(tokens, ' ') AS tokens FROM terms ORDER BY chunk_id")
+def index_snapshot(spark, sf):
+    return search.chunk_terms(W.chunk_docs(spark, sf)).select("chunk_id", F.array_join("tokens", " ").alias("tokens")).orderBy("chunk_id")
+
+
+# version comparison
+
+SECTIONS = """lines AS (SELECT doc_id, unnest(string_split(text, E'\\n')) AS line, generate_subscripts(string_split(text, E'\\n'), 1) - 1 AS n FROM documents),
+old AS (SELECT doc_id AS pair_id, n AS idx, doc_id::VARCHAR AS document_id, 's' || n AS section_id, array_to_string(string_split(line, ' ')[1:3], ' ') AS title,
+  CASE WHEN n % 2 = 0 THEN 'it may be that ' ELSE '' END || line AS text, '1' AS version, n + 1 AS page FROM lines),
+new AS (SELECT pair_id, idx, document_id, CASE WHEN (pair_id + idx) % 7 = 4 THEN 'r' || idx ELSE section_id END AS section_id, title,
+  CASE (pair_id + idx) % 7 WHEN 0 THEN replace(text, 'it may be that ', 'it must be that ') WHEN 1 THEN '  WITHIN 30 DAYS ' || text WHEN 3 THEN replace(upper(text), ' ', '  ') ELSE text END AS text, '2' AS version, page
+  FROM old WHERE (pair_id + idx) % 7 <> 2
+  UNION ALL SELECT pair_id, idx + 100000, document_id, 'x' || idx, 'Added ' || idx, 'Firms shall ensure ' || text, '2', page FROM old WHERE (pair_id + idx) % 7 = 5)"""
+SQL_NORM = r"trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '\s+', ' ', 'g'))"
+SQL_WORDS = r"list_filter(list_transform(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_''-]+'), lambda w: trim(w, '''-')), lambda w: w <> '')"
+MATCHES = f"""o AS (SELECT *, {SQL_NORM.format("title")} AS t FROM old), m AS (SELECT *, {SQL_NORM.format("title")} AS t FROM new),
+by_id AS (SELECT o.pair_id, o.idx AS old_idx, m.idx AS new_idx, 1.0 AS match_score FROM o JOIN m USING (pair_id, section_id)),
+ro AS (SELECT *, row_number() OVER (PARTITION BY pair_id, t ORDER BY idx) AS k FROM o WHERE t <> '' AND (pair_id, idx) NOT IN (SELECT (pair_id, old_idx) FROM by_id)),
+rn AS (SELECT *, row_number() OVER (PARTITION BY pair_id, t ORDER BY idx) AS k FROM m WHERE t <> '' AND (pair_id, idx) NOT IN (SELECT (pair_id, new_idx) FROM by_id)),
+matches AS (SELECT * FROM by_id UNION ALL SELECT ro.pair_id, ro.idx, rn.idx, 0.98 FROM ro JOIN rn USING (pair_id, t, k))"""
+SIDES = f"""{SECTIONS}, {MATCHES}, pairs AS (SELECT x.pair_id, 0 AS bucket, old_idx AS idx, o AS p, n AS c FROM matches x JOIN old o ON o.pair_id = x.pair_id AND o.idx = old_idx JOIN new n ON n.pair_id = x.pair_id AND n.idx = new_idx
+  UNION ALL SELECT pair_id, 1, idx, old, NULL FROM old WHERE (pair_id, idx) NOT IN (SELECT (pair_id, old_idx) FROM matches) UNION ALL SELECT pair_id, 2, idx, NULL, new FROM new WHERE (pair_id, idx) NOT IN (SELECT (pair_id, new_idx) FROM matches)),
+normed AS (SELECT *, {SQL_NORM.format("p.text")} AS pt, {SQL_NORM.format("c.text")} AS ct FROM pairs),
+worded AS (SELECT *, {SQL_WORDS.format("pt")} AS ow, {SQL_WORDS.format("ct")} AS nw, CASE WHEN p IS NULL THEN 'added' WHEN c IS NULL THEN 'removed' WHEN pt = ct THEN 'unchanged' ELSE 'modified' END AS change_type,
+  p.document_id || ':' || p.section_id AS ps, c.document_id || ':' || c.section_id AS cs FROM normed)"""
+
+
+def _count(words: str, w: str) -> str:
+    return f"len(list_filter({words}, lambda w: w = '{w}'))"
+
+
+_DROPPED = ", ".join(f"CASE WHEN {_count('ow', m)} > {_count('nw', m)} THEN {s} END" for m, s in diff.MODALS.items())
+_RAISED = ", ".join(f"CASE WHEN {_count('nw', m)} > {_count('ow', m)} THEN {s} END" for m, s in diff.MODALS.items())
+_REQ = "[" + ", ".join(f"'{w}'" for w in diff.REQUIREMENTS) + "]"
+_DEAD = "[" + ", ".join(f"'{w}'" for w in diff.DEADLINES) + "]"
+SIGNALS = f"""{SIDES}, shifts AS (SELECT *, [{_DROPPED}] AS dropped, [{_RAISED}] AS raised FROM worded),
+flags AS (SELECT *, coalesce(list_max(raised) > list_min(dropped), false) AS stronger, coalesce(list_min(raised) < list_max(dropped), false) AS weaker,
+  list_has_any(nw, {_REQ}) AND NOT list_has_any(ow, {_REQ}) AS binding,
+  list_has_any(list_concat(list_filter(ow, lambda w: NOT list_contains(nw, w)), list_filter(nw, lambda w: NOT list_contains(ow, w))), {_DEAD}) AS deadline,
+  list_sort(list_distinct(list_filter(ow, lambda w: regexp_full_match(w, '[0-9]+')))) <> list_sort(list_distinct(list_filter(nw, lambda w: regexp_full_match(w, '[0-9]+')))) AS numeric FROM shifts)"""
+
+
+def _changes(spark, sf, similarity=False):
+    old, new = W.old_sections(spark, sf), W.new_sections(spark, sf)
+    return diff.changes(diff.aligned(old, new, diff.match_exact(old, new)), similarity)
+
+
+@query(f"WITH {SECTIONS}, twice AS (SELECT * FROM old UNION ALL SELECT * FROM new) SELECT document_id, section_id, count(*) AS n FROM twice GROUP BY ALL HAVING count(*) > 1")
+def section_duplicates(spark, sf):
+    return diff.duplicates(W.old_sections(spark, sf).unionByName(W.new_sections(spark, sf)))
+
+
+@query(f"WITH {SECTIONS}, {MATCHES} SELECT pair_id, old_idx, new_idx, match_score::DOUBLE AS match_score FROM matches")
+def section_alignment_exact(spark, sf):
+    return diff.match_exact(W.old_sections(spark, sf), W.new_sections(spark, sf))
+
+
+@query()
+def section_alignment_fuzzy(spark, sf):
+    return diff.match(W.old_sections(spark, sf), W.new_sections(spark, sf))
+
+
+@query(f"WITH {SIDES} SELECT pair_id, bucket, idx, change_type FROM worded")
+def change_types(spark, sf):
+    return _changes(spark, sf).select("pair_id", "bucket", "idx", "change_type")
+
+
+@query(f"""WITH {SIGNALS} SELECT pair_id, bucket, idx, CASE bucket WHEN 1 THEN 'removed_section' WHEN 2 THEN 'new_section' ELSE concat_ws(',', CASE WHEN stronger THEN 'obligation_strengthened' END, CASE WHEN weaker THEN 'obligation_weakened' END,
+  CASE WHEN binding THEN 'binding_language_added' END, CASE WHEN deadline THEN 'deadline_language_changed' END, CASE WHEN numeric THEN 'numeric_threshold_changed' END) END AS signals FROM flags""")
+def change_signals(spark, sf):
+    return _changes(spark, sf).select("pair_id", "bucket", "idx", F.array_join("signals", ",").alias("signals"))
+
+
+@query(f"""WITH {SIGNALS} SELECT pair_id, bucket, idx, 'change-' || substr(sha256(coalesce(ps, '-') || '|' || coalesce(p.version, '') || '|' || coalesce(cs, '-') || '|' || coalesce(c.version, '')), 1, 12) AS change_id,
+  CASE WHEN change_type <> 'unchanged' THEN 'claim-' || substr(sha256(CASE bucket WHEN 0 THEN 'modified|' || ps || '|' || cs ELSE change_type || '|' || coalesce(ps, cs) END), 1, 12) END AS claim_id,
+  CASE WHEN change_type = 'unchanged' THEN NULL WHEN bucket = 2 THEN 'Section ' || c.section_id || ' introduces new regulatory text.' WHEN bucket = 1 THEN 'Section ' || p.section_id || ' is absent from the current version.'
+  WHEN stronger THEN 'The obligation in section ' || c.section_id || ' has been strengthened.' WHEN weaker THEN 'The obligation in section ' || c.section_id || ' has been weakened.' ELSE 'The regulatory text in section ' || c.section_id || ' has changed.' END AS claim_text FROM flags""")
+def change_ids_claims(spark, sf):
+    return _changes(spark, sf).select("pair_id", "bucket", "idx", "change_id", "claim_id", "claim_text")
+
+
+@query(f"WITH {SIDES} SELECT pair_id, bucket, idx, CASE WHEN list_has_any(coalesce(ow, nw), {_REQ}) THEN 0.75 ELSE 0.5 END::DOUBLE AS materiality_score, CASE WHEN list_has_any(coalesce(ow, nw), {_REQ}) THEN 'high' ELSE 'medium' END AS materiality FROM worded WHERE bucket > 0")
+def one_sided_changes(spark, sf):
+    return _changes(spark, sf, True).filter("bucket > 0").select("pair_id", "bucket", "idx", "materiality_score", "materiality")
+
+
+@query()
+def change_scores(spark, sf):
+    return _changes(spark, sf, True).select("pair_id", "bucket", "idx", "similarity_score", "materiality_score", "materiality", "confidence_score", "confidence")
+
+
+@query(f"WITH {SIDES} SELECT pair_id, bucket, idx, change_type FROM worded WHERE false")
+def change_shape_violations(spark, sf):
+    return diff.shape_violations(_changes(spark, sf)).select("pair_id", "bucket", "idx", "change_type")
+
+
+# evidence
+
+CITED = f"""{SECTIONS}, s AS (SELECT *, document_id || '/' || idx AS claim_id, document_id || ':' || section_id AS source_id, (pair_id + idx) % 5 AS k FROM old),
+citations AS (SELECT claim_id, 0 AS n, source_id, CASE WHEN k = 1 THEN text || ' altered' ELSE upper(substr(text, 4, 40)) END AS quote, CASE WHEN k = 2 THEN '9' END AS version, CASE WHEN k = 0 THEN page END AS page FROM s WHERE k <> 4
+  UNION ALL SELECT claim_id, 1, 'none:s0', text, NULL, NULL FROM s WHERE k = 3),
+checked AS (SELECT c.claim_id, c.n, coalesce(bool_or({SQL_NORM.format("c.quote")} <> '' AND contains({SQL_NORM.format("s.text")}, {SQL_NORM.format("c.quote")}) AND (c.version IS NULL OR c.version = s.version) AND (c.page IS NULL OR c.page = s.page)), false) AS supported
+  FROM citations c LEFT JOIN s USING (source_id) GROUP BY ALL),
+counts AS (SELECT claim_id, sum(supported::INT) AS yes, sum((NOT supported)::INT) AS no FROM checked GROUP BY claim_id),
+reviews AS (SELECT s.claim_id, coalesce(yes, 0)::BIGINT AS supported_citations, coalesce(no, 0)::BIGINT AS unsupported_citations FROM s LEFT JOIN counts USING (claim_id)),
+statuses AS (SELECT *, CASE WHEN supported_citations > 0 AND unsupported_citations = 0 THEN 'supported' WHEN supported_citations > 0 THEN 'partially_supported' ELSE 'unsupported' END AS status FROM reviews)"""
+
+
+def _checked(spark, sf):
+    return evidence.citation_support(W.citations(spark, sf), W.sources(spark, sf))
+
+
+def _reviews(spark, sf):
+    return evidence.review(W.claims(spark, sf), _checked(spark, sf))
+
+
+@query(f"WITH {CITED} SELECT claim_id, n, supported FROM checked")
+def citation_support(spark, sf):
+    return _checked(spark, sf).select("claim_id", "n", "supported")
+
+
+@query(f"""WITH {CITED} SELECT claim_id, supported_citations, unsupported_citations, status, CASE status WHEN 'supported' THEN 'Every citation resolves to an exact passage in its source.' WHEN 'partially_supported' THEN 'At least one citation could not be verified against its source.'
+  ELSE CASE WHEN unsupported_citations = 0 THEN 'The claim has no citation.' ELSE 'No citation could be verified against its source.' END END AS reason FROM statuses""")
+def claim_status(spark, sf):
+    return _reviews(spark, sf).select("claim_id", "supported_citations", "unsupported_citations", "status", "reason")
+
+
+@query(f"WITH {CITED} SELECT claim_id, status = 'supported' AS accepted, status <> 'supported' AS flagged FROM statuses")
+def accept_flag(spark, sf):
+    return evidence.policy(_reviews(spark, sf)).select("claim_id", "accepted", "flagged")
+
+
+@query(f"WITH {CITED} SELECT count(*) AS claims, round(avg((supported_citations > 0)::INT), 4) AS groundedness, round(sum(supported_citations) / sum(supported_citations + unsupported_citations), 4) AS citation_accuracy FROM statuses")
+def grounding(spark, sf):
+    return evaluation.grounding(_reviews(spark, sf))
+
+
+# impact
+
+CONCEPTS = ", ".join(f"'{w}'" for w in CONCEPT_STOP_WORDS)
+SQL_CONCEPTS = "list_distinct(list_filter(list_transform(list_filter(" + SQL_WORDS + ", lambda w: length(w) > 2), lambda w: replace(lower(w), 'ß', 'ss')), lambda w: w NOT IN (" + CONCEPTS + ")))"
+IMPACTS = f"""{SECTIONS.split("old AS")[0].rstrip().rstrip(",")}, changed AS (SELECT doc_id || '/' || n AS change_id, unnest({SQL_CONCEPTS.format("line")}) AS concept FROM lines),
+items AS (SELECT item_id, {SQL_CONCEPTS.format("text")} AS concepts FROM benchmark), words AS (SELECT item_id, unnest(concepts) AS concept FROM items),
+shared AS (SELECT change_id, item_id, list_sort(list(concept)) AS overlap FROM changed JOIN words USING (concept) GROUP BY ALL),
+found AS (SELECT *, round(len(overlap) / len(concepts), 4) AS relevance_score FROM shared JOIN items USING (item_id)), impacts AS (SELECT * FROM found WHERE relevance_score >= 0.2)"""
+
+
+def _impacts(spark, sf):
+    return impact.impacts(W.changed_lines(spark, sf), W.candidates(spark, sf))
+
+
+@query(f"WITH {IMPACTS} SELECT change_id, item_id, relevance_score, round(least(0.98::DOUBLE, 0.5::DOUBLE + relevance_score * 0.4::DOUBLE + CASE WHEN item_id % 2 = 0 THEN 0.08::DOUBLE ELSE 0 END), 4) AS confidence_score FROM impacts")
+def impact_relevance(spark, sf):
+    return _impacts(spark, sf).select("change_id", "item_id", "relevance_score", "confidence_score")
+
+
+@query(f"""WITH {IMPACTS} SELECT change_id, item_id, 'Potential impact inferred from shared concepts: ' || array_to_string(overlap, ', ') || '. Human validation is required.' AS rationale,
+  'impact-claim-' || substr(sha256(change_id || '|' || item_id), 1, 12) AS claim_id, 'Item ' || item_id || ' may be impacted by this regulatory change.' AS claim_text FROM impacts""")
+def impact_rationale(spark, sf):
+    return _impacts(spark, sf).select("change_id", "item_id", "rationale", "claim_id", "claim_text")
+
+
+# evaluation
+
+CASES = f"""{_top(0.6)}, wanted AS (SELECT item_id AS case_id, doc_id AS item FROM benchmark b JOIN documents d ON contains(d.text, b.text)), total AS (SELECT case_id, count(*) AS relevant FROM wanted GROUP BY case_id),
+firsts AS (SELECT case_id, min(rank) AS first, count(*) AS at_k FROM wanted JOIN top ON query_id = case_id AND chunk_id = item GROUP BY case_id),
+cases AS (SELECT b.item_id AS case_id, CASE b.item_id % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' WHEN 2 THEN 'hard' ELSE 'unspecified' END AS stratum, coalesce(at_k / relevant, 0) AS recall, coalesce(1 / first, 0) AS rr, coalesce(at_k, 0) > 0 AS hit
+  FROM benchmark b LEFT JOIN total ON total.case_id = b.item_id LEFT JOIN firsts ON firsts.case_id = b.item_id)"""
+
+
+def _cases(spark, sf):
+    ranked = search.search(W.benchmark_queries(spark, sf), W.chunk_docs(spark, sf)).select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("item"), "rank")
+    level = F.when(F.col("item_id") % 4 == 0, "EASY").when(F.col("item_id") % 4 == 1, "medium").when(F.col("item_id") % 4 == 2, "hard").otherwise("none")
+    cases = W.table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), evaluation.stratum(level).alias("stratum"))
+    return evaluation.retrieval_cases(W.judgments(spark, sf), ranked, cases)
+
+
+@query(f"WITH {CASES} SELECT case_id, stratum, round(recall, 6) AS recall, round(rr, 6) AS reciprocal_rank, hit FROM cases")
+def retrieval_details(spark, sf):
+    return _cases(spark, sf).select("case_id", "stratum", F.round("recall", 6).alias("recall"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "hit")
+
+
+@query(f"WITH {CASES} SELECT count(*) AS cases, round(avg(recall), 4) AS recall_at_k, round(avg(rr), 4) AS mrr FROM cases")
+def recall_mrr(spark, sf):
+    return evaluation.retrieval_summary(_cases(spark, sf))
+
+
+@query(f"WITH {CASES} SELECT coalesce(stratum, 'all') AS stratum, count(*) AS cases, round(avg(recall), 4) AS recall_at_k, round(avg(rr), 4) AS mrr FROM cases GROUP BY GROUPING SETS ((), (stratum))")
+def recall_by_stratum(spark, sf):
+    return evaluation.retrieval_by_stratum(_cases(spark, sf), "stratum")
+
+
+@query("""WITH n AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality <> 1 AND toxic = 1) AS fp, count(*) FILTER (quality = 1 AND toxic <> 1) AS fn FROM labels),
+r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM n) SELECT tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM r""")
+def precision_recall_f1(spark, sf):
+    return evaluation.classification(W.table(spark, sf, "labels").select((F.col("quality") == 1).alias("expected"), (F.col("toxic") == 1).alias("predicted")))
+
+
+@query("SELECT count(*) AS cases, count(*) FILTER (quality = toxic) AS correct, round(count(*) FILTER (quality = toxic) / count(*), 4) AS accuracy FROM labels")
+def reviewer_accuracy(spark, sf):
+    return evaluation.agreement(W.table(spark, sf, "labels"), "quality", "toxic")
+
+
+@query("SELECT count(*) AS cases, count(*) FILTER ((toxic = 1) = (s >= 0.35)) AS passed, count(*) FILTER ((toxic = 1) <> (s >= 0.35)) AS failed FROM (SELECT toxic, (doc_id % 100) / 100 AS s FROM labels)")
+def regression_passes(spark, sf):
+    return evaluation.passed(W.table(spark, sf, "labels").select((F.col("toxic") == 1).alias("expected_material"), ((F.col("doc_id") % 100) / 100).alias("materiality_score")))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.975), 6) AS upper FROM events GROUP BY event_type")
+def percentile_interval(spark, sf):
+    return W.table(spark, sf, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.025), 6).alias("lower"), F.round(F.percentile("value", 0.975), 6).alias("upper"))
+
+
+@query()
+def bootstrap_ci(spark, sf):
+    return evaluation.bootstrap_means(_cases(spark, sf), "stratum", "case_id", "recall")
+
+
+@query()
+def bootstrap_ci_large(spark, sf):
+    return evaluation.poisson_bootstrap(W.table(spark, sf, "events"), "event_type", "event_id", "value")
+
+
+@query("SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'test' END AS split FROM documents WHERE doc_id % 3 = 0 OR (doc_id % 3 IN (1, 2) AND doc_id IN (SELECT doc_id FROM labels))")
+def split_selection(spark, sf):
+    cases = W.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, "test").alias("split"))
+    return evaluation.select_split(cases, "test", W.table(spark, sf, "labels").select(F.col("doc_id").alias("id")))
+
+
+@query("SELECT coalesce(lang, '*') AS lang, coalesce(source, '*') AS source, count(*) AS n FROM documents GROUP BY GROUPING SETS ((), (lang), (source))")
+def dataset_statistics(spark, sf):
+    d = W.table(spark, sf, "documents").select("lang", "source")
+    sets = d.select(F.explode(F.array(F.struct(F.lit("*").alias("lang"), F.lit("*").alias("source")), F.struct("lang", F.lit("*").alias("source")), F.struct(F.lit("*").alias("lang"), "source"))).alias("s"))
+    return sets.groupBy("s.lang", "s.source").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'family_leak' AS rule, source AS offender FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1
+UNION ALL SELECT 'duplicate_id', source FROM documents GROUP BY source HAVING count(*) > 1 UNION ALL SELECT 'missing_reference', doc_id::VARCHAR FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def dataset_violations(spark, sf):
+    d = W.table(spark, sf, "documents")
+    leaks = evaluation.family_leaks(d.select(F.col("source").alias("family_id"), F.col("lang").alias("split"))).select(F.lit("family_leak").alias("rule"), F.col("family_id").alias("offender"))
+    twice = evaluation.duplicate_ids(d.select(F.col("source").alias("id"))).select(F.lit("duplicate_id").alias("rule"), F.col("id").alias("offender"))
+    lost = evaluation.missing_references(d.select(F.col("doc_id").alias("document_id"), F.lit("s").alias("section_id")), W.table(spark, sf, "labels").select(F.col("doc_id").alias("document_id"), F.lit("s").alias("section_id")))
+    return leaks.union(twice).union(lost.select(F.lit("missing_reference").alias("rule"), F.col("document_id").cast("string").alias("offender")))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, E'\\n')) AS line, generate_subscripts(string_split(text, E'\\n'), 1) AS n FROM (SELECT doc_id, '# ' || source || E'\\narticle ' || doc_id || ' - x\\n# Part\\nArticle 2 - y' AS text FROM documents)),
+h AS (SELECT *, last_value(CASE WHEN line LIKE '# %' THEN substr(line, 3) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS heading FROM l)
+SELECT doc_id, heading, split_part(line, ' - ', 1) AS article FROM h WHERE lower(line) LIKE 'article %'""".replace("' - x\\n", "E' - x\\n"))
+def section_listing(spark, sf):
+    text = F.concat(F.lit("# "), F.col("source"), F.lit("\narticle "), F.col("doc_id").cast("string"), F.lit(" - x\n# Part\nArticle 2 - y"))
+    rows = W.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(text, "\n")).alias("n", "line"))
+    w = Window.partitionBy("doc_id").orderBy("n")
+    rows = rows.withColumn("heading", F.last(F.when(F.col("line").startswith("# "), F.substring("line", 3, 10000)), ignorenulls=True).over(w))
+    return rows.filter(F.lower("line").startswith("article ")).select("doc_id", "heading", F.split_part("line", F.lit(" - "), F.lit(1)).alias("article"))
+
+
+# sources
+
+MANIFEST = """(VALUES ('a', 't', '32013R0575', 'http://data.europa.eu/eli/reg/2013/575/oj', 'https://eur-lex.europa.eu/legal-content/EN/TXT/?uri=CELEX:32013R0575', 'https://publications.europa.eu/resource/celex/32013R0575', 'EU', 'r'),
+('b', 't', '32014L0065', 'http://data.europa.eu/eli/dir/2014/65/oj', 'https://example.com/?uri=CELEX:32014L0065', 'https://publications.europa.eu/resource/celex/32014L0065', 'EU', 'd'),
+('b', 't', '32014L0066', 'https://data.europa.eu/eli/dir/2014/66/oj', 'https://eur-lex.europa.eu/?uri=CELEX:1', 'https://publications.europa.eu/resource/cellar/32014L0066', 'EU', 'd'),
+('d', CAST(NULL AS VARCHAR(9)), '32014L0066', 'http://data.europa.eu/x', 'https://eur-lex.europa.eu/?uri=CELEX:32014L0066', 'https://publications.europa.eu/resource/celex/0', 'EU', 'd'))
+AS m(id, short_title, celex, eli, official_url, acquisition_url, jurisdiction, document_type)"""
+
+
+@query(f"""WITH m AS (SELECT * FROM {MANIFEST}), r AS (SELECT id, unnest([CASE WHEN short_title IS NULL THEN 'missing_field' END, CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate_id' END,
+  CASE WHEN count(*) OVER (PARTITION BY celex) > 1 THEN 'duplicate_celex' END, CASE WHEN NOT regexp_matches(official_url, '^https://eur-lex\\.europa\\.eu[/?]') THEN 'official_url_host' END,
+  CASE WHEN NOT starts_with(acquisition_url, 'https://publications.europa.eu/resource/celex/') THEN 'acquisition_url_host' END, CASE WHEN NOT contains(official_url, 'CELEX:' || celex) THEN 'official_url_celex' END,
+  CASE WHEN NOT ends_with(acquisition_url, '/resource/celex/' || celex) THEN 'acquisition_url_celex' END, CASE WHEN NOT starts_with(eli, 'http://data.europa.eu/') THEN 'eli_host' END]) AS rule FROM m) SELECT * FROM r WHERE rule IS NOT NULL""")
+def manifest_violations(spark, sf):
+    return corpus.manifest_violations(spark.sql(f"SELECT * FROM {MANIFEST.replace('VARCHAR(9)', 'STRING')}"))
+
+
+@query("SELECT 'POST' AS method, event_type AS path, CASE WHEN user_id % 10 = 0 THEN 500 ELSE 200 END::INT AS status, count(*) AS requests FROM events GROUP BY ALL")
+def request_counters(spark, sf):
+    return corpus.request_counters(W.requests(spark, sf))
+
+
+@query("""WITH b AS (SELECT unnest(['0.005', '0.01', '0.025', '0.05', '0.075', '0.1', '0.25', '0.5', '0.75', '1.0', '2.5', '5.0', '7.5', '10.0', '+Inf']) AS le)
+SELECT 'POST' AS method, event_type AS path, le, count(*) FILTER (le = '+Inf' OR value / 50 <= try_cast(le AS DOUBLE)) AS observations FROM events, b GROUP BY ALL""")
+def latency_histogram(spark, sf):
+    return corpus.latency_histogram(W.requests(spark, sf))
+
+
+@query(f"WITH {SECTIONS} SELECT document_id, section_id, page, old.text FROM old JOIN documents ON document_id = doc_id::VARCHAR WHERE source = 'src1' AND lang = 'en'")
+def repository_lookup(spark, sf):
+    docs = W.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("external_id"), F.col("lang").alias("version"))
+    parts = W.old_sections(spark, sf).select("document_id", "section_id", F.col("page").cast("long").alias("page"), "text", F.col("idx").alias("position"))
+    return corpus.look_up(docs, parts, "src1", "en").select("document_id", "section_id", "page", "text")
+
+
+@query("SELECT doc_id, substr(sha256(source || chr(31) || text), 1, 20) AS document_id FROM documents")
+def document_ids(spark, sf):
+    return W.table(spark, sf, "documents").select("doc_id", T.stable_id(F.col("source"), F.col("text")).alias("document_id"))
