@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestone.llm.common import materialise, slices, texts_of
-from lodestone.llm.pieces import PieceCache, blank_pieces
+from lodestone.llm.pieces import PieceCache, blank_pieces, byte_letters
 
 MAGIC = b"LRP1"
 HEAD = struct.Struct("<4sIIIIQ")  # magic, vocabulary, rules, documents, symbols, ids
@@ -30,7 +32,7 @@ BLOCK = 1024
 #: Ids that a shard gathers before it is closed.
 SHARD_IDS = 1 << 19
 #: A pair must occur so often to become a rule; a round takes pairs within this factor of its most frequent one.
-LEAST_COUNT, SPREAD, ROUNDS = 24, 8, 10
+LEAST_COUNT, SPREAD, ROUNDS = 32, 64, 6
 
 SHARDS = "part long, base long, n_tokens long, n_docs long, payload binary"
 
@@ -156,14 +158,42 @@ class Shard:
             at += n
 
 
+#: Marks that stand behind words and are never joined with letters into a token.
+TAILS = ".,!?;:|"
+
+
 class BlankTokenizer:
-    """Ids of whole texts for tokenizers that drop white space, as 16-bit integers."""
+    """Ids of whole texts for tokenizers that drop white space and letter case, as 16-bit integers.
+
+    A piece of letters below U+0370 in normal form, and marks behind it, goes lower-cased to the library's BPE model
+    itself, once for each word; every other piece goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tok.get_vocab_size()
-        self.cache = PieceCache(lambda p: [np.array(e.ids, "<u2").tobytes() for e in self.tok.encode_batch_fast(p, add_special_tokens=False)])
+        self.bytes = str.maketrans({chr(b): c for c, b in byte_letters().items() if chr(b) != c})
+        self.words = PieceCache(self._words)
+        self.marks = PieceCache(self._plain, 10_000)
+        self.cache = PieceCache(self._many)
+
+    def _plain(self, pieces: list[str]) -> list[bytes]:
+        return [array("H", e.ids).tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        tokenize = self.tok.model.tokenize
+        spelt = [w if w.isascii() else w.encode().decode("latin-1").translate(self.bytes) for w in words]
+        return [array("H", [t.id for t in tokenize(w)]).tobytes() for w in spelt]
+
+    def _many(self, pieces: list[str]) -> list[bytes]:
+        bodies = [p.rstrip(TAILS) for p in pieces]
+        plain = [b.isalpha() and (b.isascii() or (max(b) < "\u0370" and is_normalized("NFC", b))) for b in bodies]
+        lower = [b.lower() if ok else "" for b, ok in zip(bodies, plain)]
+        tails = [p[len(b) :] for p, b in zip(pieces, bodies)]
+        word, mark = self.words.get([lower]), self.marks.get([[t for t, ok in zip(tails, plain) if ok]])
+        rest = iter(self._plain([p for p, ok in zip(pieces, plain) if not ok]))
+        return [word[w] + mark[t] if ok else next(rest) for w, t, ok in zip(lower, tails, plain)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         lists = [blank_pieces(t) for t in texts]
