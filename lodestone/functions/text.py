@@ -21,7 +21,7 @@ def _folded(c: str) -> str:
 
 
 def _tables() -> tuple[str, str, list[tuple[str, str]]]:
-    """Characters mapped one to one, then those dropped; and those that become several below U+2200."""
+    """Characters mapped one to one, then those dropped; and those that become several, below U+2200 and Latin ligatures."""
     one, to, dropped, many = [], [], [], []
     for code in [*range(0x80, 0xD800), *range(0xF900, 0x10000)]:
         c = chr(code)
@@ -33,7 +33,7 @@ def _tables() -> tuple[str, str, list[tuple[str, str]]]:
         elif len(f) == 1:
             one.append(c)
             to.append(f)
-        elif code < 0x2200:
+        elif code < 0x2200 or 0xFB00 <= code <= 0xFB06:
             many.append((c, f))
     return "".join(one + dropped), "".join(to), many
 
