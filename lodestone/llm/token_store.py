@@ -188,8 +188,9 @@ class BlankTokenizer:
 
     def _many(self, pieces: list[str]) -> list[bytes]:
         bodies = [p.rstrip(TAILS) for p in pieces]
-        plain = [b.isalpha() and (b.isascii() or (max(b) < "\u0370" and is_normalized("NFC", b))) for b in bodies]
-        lower = [b.lower() if ok else "" for b, ok in zip(bodies, plain)]
+        lower = [b.lower() for b in bodies]
+        plain = [w.isalpha() and (b.isascii() or (max(b) < "\u0370" and b.isalpha() and is_normalized("NFC", b))) for b, w in zip(bodies, lower)]
+        lower = [w if ok else "" for w, ok in zip(lower, plain)]
         tails = [p[len(b) :] for p, b in zip(pieces, bodies)]
         word, mark = self.words.get([lower]), self.marks.get([[t for t, ok in zip(tails, plain) if ok]])
         rest = iter(self._plain([p for p, ok in zip(pieces, plain) if not ok]))
