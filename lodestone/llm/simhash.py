@@ -220,7 +220,8 @@ def near_duplicate_links(prints: DataFrame, radius: int = RADIUS, bucket: int =
         level = materialise(dealt.mapInArrow(_compare(radius, bucket), "mask long, key long, fp long, a long, b long"), "links")
         found = level.filter("b is not null").select("a", "b")
         links = found if links is None else links.union(found)
-        rows = level.filter("b is null").select("mask", "key", "fp", F.col("a").alias("rep"))
+        # several ways lead to one choice of bits: once more distinct, a bucket shrinks with its free bits
+        rows = level.filter("b is null").select("mask", "key", "fp", F.col("a").alias("rep")).distinct()
         if rows.isEmpty():
             return links
 
