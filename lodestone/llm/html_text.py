@@ -158,6 +158,12 @@ LABELLED = [
     [(2, 2, -2, 0, 0), (6, 0, 1, 1, 1), (3, 0, 1, 0, 1), (48, 0, 1, 0, 1), (7, 7, 1, 0, 0), (30, 0, 0, 0, 0), (20, 12, 0, 0, 0), (12, 0, -1, 0, 0)],
     [(2, 2, -2, 0, 0), (20, 0, 1, 0, 1), (2, 0, 1, 0, 1), (15, 0, 1, 1, 1), (22, 2, 1, 0, 1), (5, 5, 1, 0, 0), (8, 0, 0, 0, 0)],
     [(40, 0, 0, 0, 1)],
+    [(1, 1, -2, 0, 0), (5, 0, 2, 1, 1), (40, 0, 2, 0, 1), (2, 0, 2, 0, 1)],
+    [(3, 0, 2, 1, 1), (1, 0, 2, 0, 1)],
+    [(12, 12, 2, 0, 1), (9, 0, 2, 0, 1), (20, 20, 2, 0, 1), (4, 0, 2, 0, 1), (8, 8, 2, 0, 1), (11, 0, 2, 0, 1), (1, 1, 2, 0, 1)],
+    [(9, 9, 0, 0, 0), (7, 0, 0, 0, 0), (10, 10, 0, 0, 0), (5, 0, 0, 1, 1), (40, 0, 0, 0, 1), (9, 9, 0, 0, 0), (10, 0, 0, 0, 0), (12, 12, 0, 0, 0)],
+    [(1, 0, 2, 0, 1)],
+    [(6, 0, 1, 1, 1), (30, 0, 1, 0, 1), (3, 0, 1, 0, 1)],
     [(12, 0, 0, 0, 1), (60, 2, 0, 0, 1)],
     [(3, 0, 0, 1, 1), (18, 1, 0, 0, 1)],
     [(25, 3, 0, 0, 1), (30, 0, 0, 0, 1), (2, 0, 0, 0, 1), (50, 0, 0, 0, 1)],
