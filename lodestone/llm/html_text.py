@@ -160,7 +160,7 @@ LABELLED = [
     [(40, 0, 0, 0, 1)],
     [(1, 1, -2, 0, 0), (5, 0, 2, 1, 1), (40, 0, 2, 0, 1), (2, 0, 2, 0, 1)],
     [(3, 0, 2, 1, 1), (1, 0, 2, 0, 1)],
-    [(12, 12, 2, 0, 1), (9, 0, 2, 0, 1), (20, 20, 2, 0, 1), (4, 0, 2, 0, 1), (8, 8, 2, 0, 1), (11, 0, 2, 0, 1), (1, 1, 2, 0, 1)],
+    [(12, 12, 2, 0, 1), (9, 0, 2, 0, 1), (20, 20, 2, 0, 1), (4, 0, 2, 0, 1), (8, 8, 2, 0, 1), (11, 0, 2, 0, 1), (10, 6, 2, 0, 1), (15, 0, 2, 0, 1), (9, 8, 2, 0, 1), (4, 0, 2, 0, 1), (1, 1, 2, 0, 1)],
     [(9, 9, 0, 0, 0), (7, 0, 0, 0, 0), (10, 10, 0, 0, 0), (5, 0, 0, 1, 1), (40, 0, 0, 0, 1), (9, 9, 0, 0, 0), (10, 0, 0, 0, 0), (12, 12, 0, 0, 0)],
     [(1, 0, 2, 0, 1)],
     [(6, 0, 1, 1, 1), (30, 0, 1, 0, 1), (3, 0, 1, 0, 1)],
@@ -171,6 +171,10 @@ LABELLED = [
 ]
 
 
+#: Blocks that a leaf of the tree is based on, at least.
+LEAF = 3
+
+
 def _grow(x: np.ndarray, y: np.ndarray, depth: int):
     """A tree as nested (feature, threshold, below, above); leaves are shares of main text."""
     share = float(y.mean())
@@ -182,6 +186,8 @@ def _grow(x: np.ndarray, y: np.ndarray, depth: int):
         for t in ((values[1:] + values[:-1]) / 2).tolist():
             left = x[:, f] <= t
             a, b = y[left], y[~left]
+            if min(a.size, b.size) < LEAF:
+                continue
             impurity = (a.size * a.mean() * (1 - a.mean()) + b.size * b.mean() * (1 - b.mean())) / y.size
             if impurity < best[0] - 1e-9:
                 best = (impurity, f, t)
