@@ -40,3 +40,11 @@ def review(claims: DataFrame, checked: DataFrame) -> DataFrame:
 def policy(reviews: DataFrame, remove_unsupported: bool = True) -> DataFrame:
     ok = F.col("status") == "supported"
     return reviews.withColumns({"accepted": ok | F.lit(not remove_unsupported), "flagged": ~ok})
+
+
+def sources_from_map(sources: DataFrame, column: str = "sources") -> DataFrame:
+    """A map column of 'document:section' to text as source rows; an error for a key without a colon."""
+    rows = sources.select(F.explode(column).alias("key", "text"))
+    parts = F.split("key", ":", 2)
+    section = F.when(F.size(parts) == 2, parts[1]).otherwise(F.raise_error(F.lit("a source id must be document:section")).cast("string"))
+    return rows.select(F.concat(parts[0], F.lit(":"), section).alias("source_id"), "text", F.lit(None).cast("string").alias("version"), F.lit(None).cast("int").alias("page"))

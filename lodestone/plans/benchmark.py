@@ -1,0 +1,74 @@
+"""A whole evaluation of a golden set: retrieval, changes, grounding; every step is an operator over DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.operators import diff, evaluation, evidence, search, structure
+
+REQUIRED = ("dataset", "version", "retrieval", "changes", "grounding")
+SECTION = "document_id string, section_id string, title string, text string, version string, page int"
+_FIELDS = ("document_id", "section_id", "title", "text", "version", "page")
+
+
+def _section(s: dict | None):
+    return None if s is None else tuple(s.get(f, "" if f == "title" else None) for f in _FIELDS)
+
+
+def corpus_chunks(spark: SparkSession, documents: list[dict]) -> DataFrame:
+    raw = spark.createDataFrame([(d["source"], d["content"]) for d in documents], "source string, content string")
+    return structure.chunks(raw.withColumn("blocks", structure.text_blocks(F.col("content"))).drop("content"))
+
+
+def retrieved(spark: SparkSession, data: dict, coverage: float) -> DataFrame:
+    """case_id, rank, item (the citation), of every query's hits."""
+    chunks = corpus_chunks(spark, data["documents"])
+    queries = spark.createDataFrame([(q["id"], q["question"]) for q in data["queries"]], "query_id string, query string")
+    found = search.search(queries, chunks.select("chunk_id", "text"), data.get("k", 5), coverage)
+    return found.join(chunks.select("chunk_id", "citation"), "chunk_id").select(F.col("query_id").alias("case_id"), "rank", F.col("citation").alias("item"), "score")
+
+
+def change_cases(spark: SparkSession, cases: list[dict]) -> DataFrame:
+    """One compared pair a case, whatever the sections' ids."""
+    rows = [(c["id"], c["expected_material"], _section(c.get("previous")), _section(c.get("current"))) for c in cases]
+    pairs = spark.createDataFrame(rows, f"case_id string, expected_material boolean, previous struct<{SECTION.replace(' string', ':string').replace(' int', ':int')}>, current struct<{SECTION.replace(' string', ':string').replace(' int', ':int')}>")
+    return diff.changes(pairs)
+
+
+def reviewed(spark: SparkSession, data: dict) -> DataFrame:
+    sources = spark.createDataFrame([(f"{s['document_id']}:{s['section_id']}", s["text"], s.get("version"), s.get("page")) for s in data["sources"]], "source_id string, text string, version string, page int")
+    cited = [(c["claim_id"], i, f"{x['document_id']}:{x['section_id']}", x["quote"], x.get("version"), x.get("page")) for c in data["claims"] for i, x in enumerate(c["citations"])]
+    citations = spark.createDataFrame(cited, "claim_id string, n int, source_id string, quote string, version string, page int")
+    claims = spark.createDataFrame([(c["claim_id"], c["expected_status"]) for c in data["claims"]], "claim_id string, expected string")
+    return evidence.review(claims, evidence.citation_support(citations, sources))
+
+
+def run(spark: SparkSession, data: dict, coverage: float = 0.6) -> dict:
+    """The report as a dictionary; same input, same report."""
+    if missing := [k for k in REQUIRED if k not in data]:
+        raise ValueError(f"dataset is missing required fields: {', '.join(sorted(missing))}")
+    asked = data["retrieval"]
+    found = retrieved(spark, asked, coverage).cache()
+    cases = spark.createDataFrame([(q["id"],) for q in asked["queries"]], "case_id string")
+    wanted = spark.createDataFrame([(q["id"], c) for q in asked["queries"] for c in q["relevant_citations"]], "case_id string, item string")
+    ranked = found.groupBy("case_id", "item").agg(F.min("rank").alias("rank"))
+    retrieval = evaluation.retrieval_summary(evaluation.retrieval_cases(wanted, ranked, cases, asked.get("k", 5))).first().asDict()
+    retrieval["retrieved"] = {r["case_id"]: r["items"] for r in found.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]).alias("items")).collect()}
+    changed = change_cases(spark, data["changes"]["cases"]).cache()
+    changes = evaluation.passed(changed, data["changes"].get("materiality_threshold", 0.35)).first().asDict()
+    changes["cases_detail"] = [{k: r[k] for k in ("case_id", "change_type", "materiality_score", "similarity_score", "signals", "claim_id")} for r in changed.orderBy("case_id").collect()]
+    checked = reviewed(spark, data["grounding"]).cache()
+    # the generated claims cite the changes' own sections
+    own = changed.filter("change_type <> 'unchanged'").select("claim_id", (F.col("previous").isNotNull().cast("long") + F.col("current").isNotNull().cast("long")).alias("supported_citations"), F.lit(0).cast("long").alias("unsupported_citations"))
+    grounding = evaluation.grounding(checked.select("claim_id", "supported_citations", "unsupported_citations").unionByName(own)).first().asDict()
+    reviewer = evaluation.agreement(checked, "expected", "status").first().asDict()
+    for df in (found, changed, checked):
+        df.unpersist()
+    return {"dataset": data["dataset"], "version": data["version"], "retrieval": retrieval, "changes": changes, "grounding": grounding, "reviewer": reviewer}
+
+
+def judge_summary(verdicts: DataFrame) -> DataFrame:
+    """Means of verdicts(groundedness, correctness, completeness, passed), rounded to 4."""
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(c)
+    return verdicts.agg(F.count("*").alias("cases"), mean("groundedness"), mean("correctness"), mean("completeness"), F.round(F.coalesce(F.avg(F.col("passed").cast("int")), F.lit(0.0)), 4).alias("pass_rate"))
