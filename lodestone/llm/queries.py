@@ -60,4 +60,13 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_simhash": op1_simhash, "op2_token_store": op2_token_store, "op3_chat_format": op3_chat_format, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op6_media": op6_media, "op7_language_id": op7_language_id, "op8_best_fit_packing": op8_best_fit_packing, "op9_quality_rules": op9_quality_rules, "op10_html_text": op10_html_text}
-ORACLE: dict[str, str] = {}
+#: Lengths of the template's markup: <s>, then for each turn brackets, and one more character for each escaped one.
+OP3_SQL = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(text) + length(regexp_replace(text, '[^\\\[\]<>]', '', 'g')) AS n, length(role) + length(regexp_replace(role, '[^\\\[\]<>]', '', 'g')) AS r FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(n + CASE role WHEN 'assistant' THEN 15 WHEN 'user' THEN 13 ELSE 26 + r END))::BIGINT AS formatted_chars, false AS rewritten FROM e GROUP BY conv_id"""
+
+#: The others are fingerprint graphs, tokenizers, trained models and files; tests/llm holds them against plain versions.
+ORACLE = {"op3_chat_format": OP3_SQL}

@@ -3,10 +3,12 @@
 import random
 from pathlib import Path
 
+import duckdb
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
+from lodestone.llm import queries as llm_queries
 
 SF = Path("/root/testdata/sf0.001")
 
@@ -60,3 +62,17 @@ def test_registered_queries_run(spark, name):
         assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
     else:
         assert -7 in {r["conv_id"] for r in rows}
+
+
+@pytest.mark.parametrize("name", sorted(llm_queries.ORACLE))
+def test_sql_twins(spark, name):
+    if not SF.exists():
+        pytest.skip("tables are not here")
+    con = duckdb.connect()
+    for p in SF.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    df = llm_queries.QUERIES[name](spark, str(SF))
+    cols = sorted(df.columns)
+    cur = con.execute(llm_queries.ORACLE[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(tuple(r[names.index(c)] for c in cols) for r in cur.fetchall())

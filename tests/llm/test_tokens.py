@@ -63,7 +63,7 @@ def test_merge_replay_with_ranks_out_of_order(seed):
         ranks.setdefault(bytes([b]), 1000 + b)
     lib = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     words = ["".join(rng.choice("abc") for _ in range(rng.randrange(40))) for _ in range(60)]
-    assert byte_bpe.replay([w.encode() for w in words], ranks) == [lib.encode_ordinary(w) for w in words]
+    assert byte_bpe.replay([w.encode() for w in words], byte_bpe.Merges(ranks)) == [lib.encode_ordinary(w) for w in words]
 
 
 def test_encode_decode(odd, none):
