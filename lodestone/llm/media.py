@@ -84,17 +84,18 @@ def feature(payload: bytes, width: int, height: int) -> str:
     return f"{width}x{height};mean={x.mean():.4f};std={x.std():.4f};fill={np.count_nonzero(x == FILL)};ahash={bits:016x}"
 
 
-ADDRESSES = "doc_id long, n_bytes long, payload_bytes long, digest string, shard string, offset long, length long"
+ADDRESSES = "doc_id long, n_bytes long, payload_bytes long, digest binary, shard string, offset long, length long"
 
 
-def store(docs: DataFrame) -> DataFrame:
-    """Write docs(doc_id, text) to tar shards; a row for each row: doc_id, n_bytes, payload_bytes, digest, and its address."""
+def store(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Write docs(doc_id, text) to tar shards; a row for each row: doc_id, n_bytes, payload_bytes, digest, and its address; and the shards' folder."""
     root = shared_path(docs.sparkSession, "media")
 
     def run(batches):
         system, base = fs.FileSystem.from_uri(root)
         system.create_dir(base, recursive=True)
-        names = iter(f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}-{k:05d}.tar" for k in range(1 << 30))
+        attempt = uuid.uuid4().hex[:16]
+        names = iter(f"{TaskContext.get().partitionId():06d}-{attempt}-{k}.tar" for k in range(1 << 30))
         seen: dict[bytes, tuple[str, int, int]] = {}
         out, name, size = None, "", 0
         try:
@@ -122,8 +123,8 @@ def store(docs: DataFrame) -> DataFrame:
                         if len(seen) >= REMEMBERED:
                             seen.clear()
                         seen[digest] = place
-                    rows.append((doc_id, len(data), len(payload), digest.hex(), *place))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+                    rows.append((doc_id, len(data), len(payload), digest, *place))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
                 cols = list(zip(*rows)) or [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "n_bytes", "payload_bytes", "digest", "shard", "offset", "length"])
         finally:
@@ -131,42 +132,40 @@ def store(docs: DataFrame) -> DataFrame:
                 out.write(bytes(1024))
                 out.close()
 
-    rows = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ADDRESSES), "media-rows")
-    return rows.withColumn("root", F.lit(root))
+    return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ADDRESSES), "media-rows"), root
 
 
 def canonical(rows: DataFrame) -> DataFrame:
     """One address for each digest: the first by shard and offset."""
     first = F.min(F.struct("shard", "offset", "length")).alias("at")
-    return rows.groupBy("root", "digest").agg(first).select("root", "digest", "at.*")
+    return rows.groupBy("digest").agg(first).select("digest", "at.*")
 
 
-def _read(addresses: DataFrame, columns: str, row) -> DataFrame:
+def _read(addresses: DataFrame, root: str, columns: str, row) -> DataFrame:
     """addresses with what row(file, offset, length) returns for columns; shards are read in order of offset."""
     names = [c.split()[0] for c in columns.split(",")]
 
     def run(batches):
-        opened: tuple[str, object] = ("", None)
+        system, base = fs.FileSystem.from_uri(root)
+        name, file = None, None
         for batch in slices(batches):
             found = []
-            for root, shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("root", "shard", "offset", "length"))):
-                if opened[0] != shard:
-                    if opened[1] is not None:
-                        opened[1].close()
-                    system, base = fs.FileSystem.from_uri(root)
-                    opened = shard, system.open_input_file(f"{base}/{shard}")
-                found.append(row(opened[1], offset, length))
-            cols = [pa.array(c) for c in zip(*found)] if found else []
-            if cols:
-                yield pa.RecordBatch.from_arrays([batch.column("digest"), *cols], names=["digest", *names])
+            for shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length"))):
+                if name != shard:
+                    if file is not None:
+                        file.close()
+                    name, file = shard, system.open_input_file(f"{base}/{shard}")
+                found.append(row(file, offset, length))
+            if found:
+                yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("shard"), batch.column("offset"), *(pa.array(c) for c in zip(*found))], names=["digest", "shard", "offset", *names])
 
-    rows = addresses.select("root", "digest", "shard", "offset", "length").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
-    return rows.mapInArrow(run, f"digest string, {columns}")
+    rows = addresses.select("digest", "shard", "offset", "length").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    return rows.mapInArrow(run, f"digest binary, shard string, offset long, {columns}")
 
 
-def metadata(addresses: DataFrame) -> DataFrame:
-    """digest, width, height, bits: from range reads of the headers alone."""
-    return _read(addresses, "width long, height long, bits long", lambda f, offset, length: read_header(f.read_at(HEADER, offset)))
+def metadata(addresses: DataFrame, root: str) -> DataFrame:
+    """digest, shard, offset, width, height, bits: from range reads of the headers alone."""
+    return _read(addresses, root, "width long, height long, bits long", lambda f, offset, length: read_header(f.read_at(HEADER, offset)))
 
 
 def _whole(f, offset: int, length: int) -> tuple:
@@ -176,14 +175,14 @@ def _whole(f, offset: int, length: int) -> tuple:
     return hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), length, hashlib.sha256(media).hexdigest(), width, height, feature(payload, width, height)
 
 
-def contents(addresses: DataFrame) -> DataFrame:
-    """digest, and what the stored bytes say: digests, sizes and the feature."""
-    return _read(addresses, "payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, feature string", _whole)
+def contents(addresses: DataFrame, root: str) -> DataFrame:
+    """digest, shard, offset, and what the stored bytes say: digests, sizes and the feature."""
+    return _read(addresses, root, "payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, feature string", _whole)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """Per row of docs(doc_id, text): sizes, digests read back, feature, and the address of its payload."""
-    rows = store(docs)
+    rows, root = store(docs)
     places = materialise(canonical(rows), "media-addresses")
-    read = materialise(contents(places).join(places.select("digest", "shard", "offset"), "digest"), "media-contents")
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "digest").join(read, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "digest", "shard", "offset")
+    read = contents(places, root)
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "digest").join(read, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset")
