@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices, texts_of
+from lodestone.llm.common import kept_rows, slices, texts_of
 from lodestone.llm.word_rows import WordRows, bounded_sample
 
 #: Labelled documents that the model is fitted on, at most (about).
@@ -209,6 +209,12 @@ def _identifier(model: dict) -> Identifier:
     return _identifiers[key]
 
 
+def determined(docs: DataFrame, model: dict, share: float) -> DataFrame:
+    """The rows of docs that have a language, and share of their letters in it at least, with all their columns."""
+    model = model | {"log": model["log"].astype(np.float16)}
+    return kept_rows(docs, lambda texts: [lang != UNDETERMINED and s >= share for lang, s in _identifier(model)(texts)])
+
+
 def identify(docs: DataFrame, model: dict, spans: bool = False) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, held_out, lang_pred, score; spans adds the labelled spans."""
     model = model | {"log": model["log"].astype(np.float16)}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices, texts_of
+from lodestone.llm.common import kept_rows, slices, texts_of
 from lodestone.llm.word_rows import WordRows, bounded_sample
 
 #: Labelled documents that the model is fitted on, at most (about).
@@ -293,10 +293,24 @@ def _scorer(model: Model) -> Scorer:
     return _scorers[key]
 
 
+def _small(model: Model) -> Model:
+    """The model as it goes to the workers."""
+    model.embedding = model.embedding.astype(np.float16)
+    return model
+
+
+def not_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs whose predicted is 0, with all their columns."""
+    if model is None:
+        return docs
+    model = _small(model)
+    return kept_rows(docs, lambda texts: _scorer(model)(texts) < THRESHOLD)
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, held_out, score, predicted."""
     if model is not None:
-        model.embedding = model.embedding.astype(np.float16)
+        model = _small(model)
 
     def run(batches):
         for batch in slices(batches):
