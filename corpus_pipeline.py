@@ -16,21 +16,18 @@ MAIN_SHARE = 0.4
 def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """docs without those of judged(doc_id, keep) that are not kept. A row without a doc_id cannot be named, and stays."""
     rejected = judged.filter(~F.col("keep")).select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, F.col("doc_id").cast("long") == F.col("_rejected"), "left_anti")
+    # as many as near copies: never broadcast, whatever the size at hand
+    return docs.join(rejected.hint("merge"), F.col("doc_id").cast("long") == F.col("_rejected"), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on labels, predicts not to be toxic."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = materialise(toxicity.score(docs, model).select("doc_id", (F.col("predicted") == 0).alias("keep")), "toxicity")
-    return _without(docs, scored)
+    return toxicity.not_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language that is determined and has MAIN_SHARE of the letters at least."""
-    found = language.identify(docs, language.train(docs))
-    keep = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MAIN_SHARE)
-    return _without(docs, materialise(found.select("doc_id", keep.alias("keep")), "language"))
+    return language.determined(docs, language.train(docs), MAIN_SHARE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
