@@ -17,13 +17,17 @@ import heapq
 from array import array
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import slices, texts_of
-from lodestone.llm.pieces import LeadEncoder
+from lodestone.llm.pieces import LeadEncoder, PieceCache
+
+#: Token pairs whose merge a worker remembers, and pieces between spaces whose ids it keeps.
+REMEMBERED, CHUNKS = 1_000_000, 800_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -33,95 +37,107 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def replay(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+class Merges:
+    """What two neighbouring tokens become: the rank of their joined bytes, or -1. Seen pairs are remembered."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.bytes = {r: b for b, r in ranks.items()}
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
+        self.double = np.array(pairs, np.int64)
+        self.seen: dict[int, int] = {}
+
+    def rank(self, a: int, b: int) -> int:
+        r = self.ranks.get(self.bytes[a] + self.bytes[b], -1)
+        if len(self.seen) >= REMEMBERED:
+            self.seen.clear()
+        self.seen[a << 32 | b] = r
+        return r
+
+
+def replay(pieces: list[bytes], merges: Merges) -> list[list[int]]:
     """Ids of each piece. A piece that is a token by itself is that token."""
-    out: list = [None] * len(pieces)
-    parts: list[bytes | None] = []  # all pieces in a row; a None ends each
-    after: list[int] = []
-    before: list[int] = []
-    starts: list[tuple[int, int]] = []
-    for n, piece in enumerate(pieces):
-        if piece in ranks:
-            out[n] = [ranks[piece]]
-            continue
-        if not piece:
-            out[n] = []
-            continue
-        at = len(parts)
-        starts.append((n, at))
-        parts += [piece[i : i + 1] for i in range(len(piece))]
-        parts.append(None)
-        before += range(at - 1, at + len(piece))
-        before[at] = -1
-        after += range(at + 1, at + len(piece) + 2)
-    index: dict[int, list[int]] = {}  # rank -> places of the left half, in rising order at first
-    seen = ranks.get
-    for i, (a, b) in enumerate(zip(parts, parts[1:])):
-        if a is not None and b is not None and (r := seen(a + b)) is not None:
-            index.setdefault(r, []).append(i)
-    heap = list(index)
-    heapq.heapify(heap)
-    token = {}
+    ranks = merges.ranks
+    out: list = [[ranks[p]] if p in ranks else [] for p in pieces]
+    rest = [n for n, p in enumerate(pieces) if p and not out[n]]
+    if not rest:
+        return out
+    lengths = np.array([len(pieces[n]) for n in rest])
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    data = np.frombuffer(b"".join([pieces[n] for n in rest]), np.uint8).astype(np.int64)
+    place = np.arange(data.size) + np.repeat(np.arange(len(rest)), lengths)
+    row = np.full(data.size + len(rest), -1, np.int64)  # all pieces in a row; a -1 ends each
+    row[place] = merges.single[data]
+    first = np.full(row.size, -1, np.int64)
+    inner = np.flatnonzero(np.diff(place) == 1)
+    first[place[inner]] = merges.double[data[inner] * 256 + data[inner + 1]]
+    at = np.flatnonzero(first >= 0)
+    at = at[np.argsort(first[at], kind="stable")]
+    heap, cuts = np.unique(first[at], return_index=True)
+    index = dict(zip(heap.tolist(), map(np.ndarray.tolist, np.split(at, cuts[1:]))))  # rank -> places of the left half
+    heap = heap.tolist()
+    parts, rank_at = row.tolist(), first.tolist()
+    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+    seen, find, push = merges.seen, merges.rank, heapq.heappush
+
     while heap:
         rank = heapq.heappop(heap)
         places = index.pop(rank, None)
-        if not places:
+        if places is None:
             continue
         places.sort()
-        whole = token.get(rank)
-        held = -1  # a piece whose remaining places of this rank wait for a lower rank
+        held = -1  # a piece whose remaining places of this rank wait for a lower rank ends here
         for i in places:
-            a = parts[i]
-            if a is None:
+            if rank_at[i] != rank:
+                continue  # a neighbour has changed since
+            if i < held:
+                index.setdefault(rank, []).append(i)
                 continue
             j = after[i]
-            b = parts[j]
-            if b is None or ranks.get(a + b) != rank:
-                continue  # a neighbour has changed since
-            if held >= 0:
-                if i < held:
-                    index.setdefault(rank, []).append(i)
-                    continue
-                held = -1
-            if whole is None:
-                whole = token[rank] = a + b
-            parts[i] = whole
             k = after[j]
-            parts[j] = None
-            after[i] = k
+            parts[i], rank_at[j] = rank, -1
+            after[i], before[k] = k, i
             lower = False
-            if parts[k] is not None:
-                before[k] = i
-                if (r := seen(whole + parts[k])) is not None:
-                    if r not in index:
-                        index[r] = [i]
-                        heapq.heappush(heap, r)
-                    else:
+            c = parts[k]
+            r = -1
+            if c >= 0:
+                r = seen.get(rank << 32 | c)
+                if r is None:
+                    r = find(rank, c)
+                if r >= 0:
+                    if r in index:
                         index[r].append(i)
+                    else:
+                        index[r] = [i]
+                        push(heap, r)
                     lower = r < rank
-            else:
-                before[k] = i
+            rank_at[i] = r
             h = before[i]
-            if h >= 0 and (r := seen(parts[h] + whole)) is not None:
-                if r not in index:
-                    index[r] = [h]
-                    heapq.heappush(heap, r)
-                else:
-                    index[r].append(h)
-                lower = lower or r < rank
+            c = parts[h]  # before the first piece stands the last -1
+            if c >= 0:
+                r = seen.get(c << 32 | rank)
+                if r is None:
+                    r = find(c, rank)
+                rank_at[h] = r
+                if r >= 0:
+                    if r in index:
+                        index[r].append(h)
+                    else:
+                        index[r] = [h]
+                        push(heap, r)
+                    lower = lower or r < rank
             if lower:
-                end = k
-                while parts[end] is not None:
-                    end = after[end]
-                held = end
+                held = k
+                while parts[held] >= 0:
+                    held = after[held]
         if rank in index:
-            heapq.heappush(heap, rank)
-    for n, at in starts:
-        ids = []
-        while parts[at] is not None:
-            ids.append(ranks[parts[at]])
-            at = after[at]
-        out[n] = ids
+            push(heap, rank)
+    for n, i in zip(rest, starts.tolist()):
+        ids = out[n]
+        while parts[i] >= 0:
+            ids.append(parts[i])
+            i = after[i]
     return out
 
 
@@ -129,16 +145,16 @@ class ByteBpe:
     """Texts to little-endian unsigned 32-bit ids, and back."""
 
     def __init__(self, path: str, pattern: str):
-        self.ranks = load_ranks(path)
-        self.words = {r: b for b, r in self.ranks.items()}
+        self.merges = Merges(load_ranks(path))
+        self.ranks, self.words = self.merges.ranks, self.merges.bytes
         self.split = regex.compile(pattern).findall
-        self.encode = LeadEncoder(self._many)
+        self.encode = LeadEncoder(self._many, CHUNKS)
+        self.pieces = PieceCache(lambda p: [array("I", x).tobytes() for x in replay([x.encode() for x in p], self.merges)])
 
     def _many(self, texts: list[str]) -> list[bytes]:
         cut = [self.split(t) for t in texts]
-        distinct = list(set().union(*cut))
-        ids = {p: array("I", x).tobytes() for p, x in zip(distinct, replay([p.encode() for p in distinct], self.ranks))}
-        return [b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
+        known = self.pieces.get(cut).__getitem__
+        return [b"".join(map(known, pieces)) for pieces in cut]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.words.__getitem__, memoryview(ids).cast("I")))
