@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import language, packing, simhash, toxicity
+from lodestone.llm import language, packing, shingles, toxicity
 from lodestone.llm.common import materialise, table
 
 #: A document whose main language has less than this share of its letters is rejected.
@@ -31,8 +31,8 @@ def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id; of rows that share it, one."""
-    found = materialise(simhash.near_duplicates(docs).select("doc_id", "component_id"), "components")
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id; of rows that share it, one."""
+    found = materialise(shingles.near_duplicates(docs), "components")
     kept = _without(docs, found.select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("keep")))
     repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_repeated"))
     repeated = materialise(repeated, "repeated")
