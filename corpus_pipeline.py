@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import language, packing, shingles, toxicity
 from lodestone.llm.common import materialise, table
 
-#: A document whose main language has less than this share of its letters is rejected.
+#: A document whose main language has less than this share of its letters, in scripts of learned languages, is rejected.
 MAIN_SHARE = 0.4
 
 
@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language that is determined and has MAIN_SHARE of the letters at least."""
+    """Documents with evidence for one language that has MAIN_SHARE of the letters at least."""
     return language.determined(docs, language.train(docs), MAIN_SHARE)
 
 

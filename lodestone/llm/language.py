@@ -29,6 +29,8 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 #: A word's scores are held within this of its best language; switching costs as much as PENALTY.
 SPREAD, PENALTY = 8.0, 20.0
+#: A language is determined if its words' log-likelihood is so far above that of the next one: 20 to 1.
+MARGIN = 3.0
 CHUNK = 64
 UNDETERMINED = "und"
 
@@ -96,9 +98,9 @@ def fit(texts: list[str], langs: list[str]) -> dict:
 
 
 def word_scores(model: dict, words: list[str]) -> np.ndarray:
-    """Per word: a score for each language (0 for the best, down to -SPREAD), and its number of letters."""
+    """Per word: a score for each language (0 for the best, down to -SPREAD), whether any occurs in its script, and its number of letters."""
     plain = [letters_of(w) for w in words]
-    out = np.zeros((len(words), len(model["names"]) + 1), np.float32)
+    out = np.zeros((len(words), len(model["names"]) + 2), np.float32)
     out[:, -1] = [len(p) for p in plain]
     have = [i for i, p in enumerate(plain) if p]
     if have and model["names"]:
@@ -110,7 +112,8 @@ def word_scores(model: dict, words: list[str]) -> np.ndarray:
         score = np.where(may | ~may.any(axis=1, keepdims=True), score, -np.inf)
         score = np.maximum(score - score.max(axis=1, keepdims=True), -SPREAD)
         score[~may.any(axis=1)] = 0
-        out[have, :-1] = score
+        out[have, :-2] = score
+        out[have, -2] = may.any(axis=1)
     return out
 
 
@@ -171,15 +174,15 @@ def train(docs: DataFrame, held_out: int = 1, sample: int = SAMPLE) -> dict:
 class Identifier:
     def __init__(self, model: dict):
         self.model = model
-        self.words = WordRows(lambda w: word_scores(model, w), len(model["names"]) + 1)
+        self.words = WordRows(lambda w: word_scores(model, w), len(model["names"]) + 2)
 
-    def __call__(self, texts: list[str], spans: bool = False) -> list[tuple]:
-        """(language, score[, spans as (first word, words, language)]) of each text."""
+    def __call__(self, texts: list[str], spans: bool = False, evidence: bool = False) -> list[tuple]:
+        """(language, score[, spans as (first word, words, language)][, its share of letters in known scripts, margin]) of each text."""
         names = self.model["names"]
         numbers = self.words([t.split() for t in texts])
         lengths = np.array([len(n) for n in numbers])
-        rows = self.words.rows[np.concatenate(numbers)] if len(numbers) else np.zeros((0, len(names) + 1))
-        labels = viterbi(rows[:, :-1], lengths) if names else np.zeros(len(rows), np.int64)
+        rows = self.words.rows[np.concatenate(numbers)] if len(numbers) else np.zeros((0, len(names) + 2))
+        labels = viterbi(rows[:, :-2], lengths) if names else np.zeros(len(rows), np.int64)
         out, at = [], 0
         for n in lengths.tolist():
             mine, letters = labels[at : at + n], rows[at : at + n, -1]
@@ -190,6 +193,8 @@ class Identifier:
                 share = np.bincount(mine, weights=letters, minlength=len(names)) / total
                 best = int(share.argmax())
                 found = (names[best], float(min(1.0, share[best])))
+            if evidence:
+                found += self._evidence(rows[at : at + n], mine, names.index(found[0]), total) if found[0] != UNDETERMINED else (0.0, 0.0)
             if spans:
                 cuts = np.flatnonzero(np.diff(mine, prepend=-1)).tolist() if names else []
                 found += ([{"first": a, "words": b - a, "lang": names[mine[a]]} for a, b in zip(cuts, [*cuts[1:], n])],)
@@ -197,6 +202,14 @@ class Identifier:
             at += n
         return out
 
+    @staticmethod
+    def _evidence(rows: np.ndarray, labels: np.ndarray, best: int, total: float) -> tuple[float, float]:
+        """Of the words that have the best language and a script in which some language occurs: share of letters, margin over the next language."""
+        rows = rows[(labels == best) & (rows[:, -2] > 0)]
+        sums = rows[:, :-2].sum(axis=0, dtype=np.float64)
+        others = np.delete(sums, best)
+        return float(rows[:, -1].sum(dtype=np.float64)) / total, float(sums[best] - others.max()) if others.size else np.inf
+
 
 _identifiers: dict[int, Identifier] = {}
 
@@ -210,9 +223,13 @@ def _identifier(model: dict) -> Identifier:
 
 
 def determined(docs: DataFrame, model: dict, share: float) -> DataFrame:
-    """The rows of docs that have a language, and share of their letters in it at least, with all their columns."""
+    """The rows of docs with evidence for one language, with all their columns.
+
+    Share of their letters at least stand in words that have this language and a script in which some learned language
+    occurs, and these words' scores are MARGIN above those of the next language.
+    """
     model = model | {"log": model["log"].astype(np.float16)}
-    return kept_rows(docs, lambda texts: [lang != UNDETERMINED and s >= share for lang, s in _identifier(model)(texts)])
+    return kept_rows(docs, lambda texts: [lang != UNDETERMINED and own >= share and margin >= MARGIN for lang, _, own, margin in _identifier(model)(texts, evidence=True)])
 
 
 def identify(docs: DataFrame, model: dict, spans: bool = False) -> DataFrame:
