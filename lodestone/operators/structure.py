@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from html import unescape
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from lodestone.functions.text import stable_id
 
@@ -11,18 +16,32 @@ from lodestone.functions.text import stable_id
 ARTICLE = r"(?i)^((?:article|art\.)\s+[A-Z0-9][A-Z0-9.\-]*)(?:\s*[-:–—]\s*(.*))?$"
 HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
 NUMBERED = r"(?i)^(?:\d+(?:\.\d+)*|[IVXLCDM]+)[.)]?\s+\S+"
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 BLOCK_TAGS = r"(?:title|p|li|blockquote|td|th|h[1-6])"
 
 
-def unescape(text: Column) -> Column:
-    for name, c in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(c))
-    return text
+def inline(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, r"[ \t\f\x0B]+", " "), r"(?U)^\s+|\s+$", "")
+
 
+def _decoder(times: int):
+    """Lists of texts with all character references decoded (so often), white space as inline leaves it."""
 
-def inline(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(unescape(text), r"[ \t\f\x0B]+", " "), r"^\s+|\s+$", "")
+    def decode(text: str) -> str:
+        for _ in range(times):
+            text = unescape(text)
+        return re.sub(r"[ \t\f\v]+", " ", text).strip()
+
+    def run(lists: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else [decode(t) if "&" in t else t for t in x] for x in lists.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, ArrayType(StringType()))
+
+
+def _decoded(parts: Column, source: Column, times: int) -> Column:
+    """Structs with their text decoded; only rows whose source has an ampersand go through Python."""
+    texts = F.when(F.contains(source, F.lit("&")), F.transform(parts, lambda p: p["text"]))
+    decoded = _decoder(times)(texts)
+    return F.when(decoded.isNull(), parts).otherwise(F.zip_with(parts, decoded, lambda p, t: p.withField("text", t)))
 
 
 def _block(kind: str, text: Column, level: Column | int = 0) -> Column:
@@ -54,7 +73,7 @@ def _text_block(lines: Column) -> Column:
 
 def text_blocks(content: Column) -> Column:
     groups = F.transform(F.split(F.regexp_replace(content, r"\r\n?", "\n"), r"\n\s*\n"), lambda g: F.filter(F.transform(F.split(g, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
-    return F.flatten(F.transform(F.filter(groups, lambda g: F.size(g) > 0), _text_block))
+    return _decoded(F.flatten(F.transform(F.filter(groups, lambda g: F.size(g) > 0), _text_block)), content, 1)
 
 
 def html_parts(html: Column) -> Column:
@@ -66,9 +85,10 @@ def html_parts(html: Column) -> Column:
         tag = F.lower(F.regexp_extract(raw, r"^<(\w+)", 1))
         inner = F.regexp_replace(raw, r"(?is)^<(\w+)[^>]*>(.*?)(?:</\1\s*>.*)?$", "$2")
         lines = F.regexp_replace(F.regexp_replace(inner, r"(?i)<br\s*/?>", " \n "), r"(?s)<[^>]*>", " ")
-        return F.struct(tag.alias("tag"), inline(unescape(lines)).alias("text"))
+        return F.struct(tag.alias("tag"), inline(lines).alias("text"))
 
-    return F.filter(F.transform(found, part), lambda p: p["text"] != "")
+    # once as a parser of pages does, once as every text
+    return F.filter(_decoded(F.transform(found, part), html, 2), lambda p: p["text"] != "")
 
 
 def html_title(html: Column) -> Column:
