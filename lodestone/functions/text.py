@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that do not make a query informative.
 QUERY_STOP_WORDS = (
@@ -20,42 +23,31 @@ def _folded(c: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKD", c.casefold()) if not unicodedata.combining(x))
 
 
-def _tables() -> tuple[str, str, list[tuple[str, str]]]:
-    """Characters mapped one to one, then those dropped; and those that become several, below U+2200 and Latin ligatures."""
-    one, to, dropped, many = [], [], [], []
-    for code in [*range(0x80, 0xD800), *range(0xF900, 0x10000)]:
-        c = chr(code)
-        f = _folded(c)
-        if f == c:
-            continue
-        if not f:
-            dropped.append(c)
-        elif len(f) == 1:
-            one.append(c)
-            to.append(f)
-        elif code < 0x2200 or 0xFB00 <= code <= 0xFB06:
-            many.append((c, f))
-    return "".join(one + dropped), "".join(to), many
+def _composed(c: str) -> str:
+    return unicodedata.normalize("NFKC", c).casefold()
 
 
-FROM, TO, MANY = _tables()
+def _beyond_ascii(text: Column, form: Callable[[str], str]) -> Column:
+    """form of texts with characters beyond ASCII; the others are lower-cased without going through Python."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else form(t) for t in texts.to_pylist()], pa.string())
+
+    return F.coalesce(F.arrow_udf(run, StringType())(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.lower(text))
 
 
 def fold(text: Column) -> Column:
     """Case folded, compatibility decomposed, without combining marks; plain ASCII takes the short way."""
-    out = F.lower(text)
-    for c, f in MANY:
-        out = F.replace(out, F.lit(c), F.lit(f))
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(out, FROM, TO)).otherwise(F.lower(text))
+    return _beyond_ascii(text, _folded)
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def normalise(text: Column) -> Column:
-    """Case folded (for text in composed form), white space runs as one space, trimmed."""
-    folded = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+def normalise(text: Column | str) -> Column:
+    """Compatibility composed (NFKC), case folded, white space runs as one space, trimmed."""
+    folded = _beyond_ascii(F.col(text) if isinstance(text, str) else text, _composed)
     return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
 
 
