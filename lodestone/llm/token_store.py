@@ -31,8 +31,8 @@ HEAD = struct.Struct("<4sIIIIQ")  # magic, vocabulary, rules, documents, symbols
 BLOCK = 1024
 #: Ids that a shard gathers before it is closed.
 SHARD_IDS = 1 << 19
-#: A pair must occur so often to become a rule; a round takes pairs within this factor of its most frequent one.
-LEAST_COUNT, SPREAD, ROUNDS = 32, 64, 6
+#: A pair must occur so often to become a rule, and rounds go on until none does; a round takes pairs within this factor of its most frequent one.
+LEAST_COUNT, SPREAD = 24, 64
 
 SHARDS = "part long, base long, n_tokens long, n_docs long, payload binary"
 
@@ -58,9 +58,7 @@ def compress(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     s = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     made, room = 0, 65536 - vocabulary
-    for _ in range(ROUNDS):
-        if s.size < 2 or made >= room:
-            break
+    while s.size > 1 and made < room:
         key = (s[:-1] << np.uint32(16)) | s[1:]
         pairs, places = _frequent(key, room - made, LEAST_COUNT)
         if not pairs.size:
