@@ -6,8 +6,11 @@ history and the conversation is reported as such. Rendering the same prefix with
 the text stands, so the loss mask covers exactly the assistant texts.
 
 A template that declares how many earlier turns a turn's rendering looks at (context) is rendered on that window: its
-cost is linear in the turns, and the first CHECKED prefixes of every conversation are also rendered whole and compared.
-Rows stream through sorted by conversation and turn; a conversation of any length is one row a turn, never one value.
+cost is linear in the turns. The first CHECKED prefixes of every conversation, those whose number of turns is a power of
+two, and the whole conversation are also rendered whole and compared with the pieces so far; rows are reported as rewritten
+from the first such turn on that differs. A template that declares none is rendered whole at every turn.
+Rows stream through sorted by conversation and turn; a conversation of any length is one row a turn, never one value, but
+the turns of the one at hand are kept for rendering it whole.
 
 Defined results: null text or role counts as empty; turns of equal number stand in order of role and text, repeated rows
 each count; a null conv_id is a conversation of its own; an empty table gives no rows; other columns are ignored.
@@ -27,7 +30,7 @@ from lodestone.llm.common import slices
 
 Turns = list[tuple[str, str]]
 
-#: Prefixes of each conversation that are rendered whole even if the template declares its context.
+#: Prefixes of each conversation that are all rendered whole even if the template declares its context.
 CHECKED = 4
 #: A text that no escaping touches, to find the place of a text in a span.
 PROBE = "\ue000"
@@ -89,28 +92,25 @@ class Incremental:
         self.render, self.context = render, context
         self.turns: Turns = []
         self.n = 0
-        self.whole = ""
+        self.made: list[str] = []
         self.rewritten = False
 
-    def add(self, role: str, text: str) -> tuple[str, int, int]:
-        """(piece, start, end): what the turn adds to the output, and where in it the text stands."""
+    def add(self, role: str, text: str, last: bool = False) -> tuple[str, int, int]:
+        """(piece, start, end): what the turn adds to the output, and where in it the text stands. last: no turn follows."""
         self.n += 1
         window = self.turns if self.context is None else self.turns[max(0, len(self.turns) - self.context) :]
         turns = [*window, (role, text)]
         before, after = self.render(window), self.render(turns)
         found = span(self.render, before, turns, after)
-        if self.context is not None and self.n <= CHECKED:
-            if self.n == 1:
-                self.whole = self.render([])
-            whole = self.render([*self.turns, (role, text)])
-            if found is None or whole != self.whole + after[len(before) :]:
-                found = None
-            self.whole = whole
-        if self.context is None or self.n < CHECKED:
-            self.turns.append((role, text))
-        else:
-            self.turns = [*window[-self.context + 1 :], (role, text)] if self.context > 1 else [(role, text)] * self.context
         opening = self.render([]) if self.n == 1 else ""
+        self.turns.append((role, text))
+        if self.context is not None:
+            self.made.append(opening + after[len(before) :])
+            if self.n <= CHECKED or self.n & (self.n - 1) == 0 or last:
+                whole = self.render(self.turns)
+                if whole != "".join(self.made):
+                    found = None
+                self.made = [whole]
         if found is None:
             self.rewritten = True
             return opening, len(opening), len(opening)
@@ -121,7 +121,7 @@ class Incremental:
 FORMATTED = "conv_id long, turn_index long, role string, piece string, text_start int, text_end int, loss boolean, rewritten boolean"
 
 
-def formatted(turns: DataFrame, render: Callable[[Turns], str] = instruct, context: int | None = 0, loss_role: str = "assistant") -> DataFrame:
+def formatted(turns: DataFrame, render: Callable[[Turns], str] = instruct, context: int | None = None, loss_role: str = "assistant") -> DataFrame:
     """Per row of turns(conv_id, turn, role, text): its piece of the conversation's formatted text, in order.
 
     text_start and text_end (code points in the piece) bound the text; loss says whether they are under the loss mask.
@@ -129,18 +129,31 @@ def formatted(turns: DataFrame, render: Callable[[Turns], str] = instruct, conte
     """
 
     def run(batches):
-        key, state = (object(),), None
+        key, state, held = (object(),), None, None
+
+        def take(out: list[list], last: bool):
+            conv, role, text = held
+            piece, start, end = state.add(role, text, last)
+            for k, x in enumerate((conv, state.n - 1, role, piece, start, end, role == loss_role and not state.rewritten, state.rewritten)):
+                out[k].append(x)
+
+        def made(out: list[list]):
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["conv_id", "turn_index", "role", "piece", "text_start", "text_end", "loss", "rewritten"])
+
+        # a turn is rendered when the next row tells whether it is its conversation's last one
         for batch in slices(batches):
             out: list[list] = [[] for _ in range(8)]
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
+                if held is not None:
+                    take(out, key != (conv,))
                 if key != (conv,):
                     key, state = (conv,), Incremental(render, context)
-                role = role or ""
-                piece, start, end = state.add(role, text or "")
-                for k, x in enumerate((conv, state.n - 1, role, piece, start, end, role == loss_role and not state.rewritten, state.rewritten)):
-                    out[k].append(x)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["conv_id", "turn_index", "role", "piece", "text_start", "text_end", "loss", "rewritten"])
+                held = (conv, role or "", text or "")
+            yield made(out)
+        if held is not None:
+            take(out := [[] for _ in range(8)], True)
+            yield made(out)
 
     rows = turns.select(F.col("conv_id").cast("long"), "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.select("conv_id", "role", "text").mapInArrow(run, FORMATTED)

@@ -26,7 +26,7 @@ MARKUP = "</s>[INST] ok [/INST]"
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.range(2, numPartitions=1).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKUP).alias("text"))
-    return chat.digests(chat.formatted(turns.union(extra)))
+    return chat.digests(chat.formatted(turns.union(extra), context=0))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
