@@ -1,8 +1,8 @@
 """Hierarchical residual packing of token sequences.
 
 Each partition packs its pieces best-fit decreasing and keeps only bins that are still short of full open; those go up a
-tree, FAN nodes to one, where they are items of the next best-fit round, until one node is left (or ROOT_ITEMS for each of
-several: beyond that many items a larger pool gains nothing, and no task grows with the input). Every level is a written
+tree, FAN nodes to one, where they are items of the next best-fit round, until one node is left (or about ROOT_ITEMS for each of
+several, to which bins are dealt by hash: beyond that many items a larger pool gains nothing, and no task grows with the input). Every level is a written
 table, so a lost executor costs one level at most.
 
 Defined results: null text counts as empty, an empty document is its end id alone; a document longer than the capacity is
@@ -161,7 +161,9 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 2048) -> DataF
         level = len(levels)
         fewer = max(-(-nodes // FAN), -(-rest // ROOT_ITEMS))
         last = fewer == 1 or fewer >= nodes
-        nodes = min(fewer, nodes)
+        # more nodes than the tree would have: their bins are dealt out evenly, whatever node they come from
+        home = (F.col("node") / FAN).cast("long") if fewer == -(-nodes // FAN) else F.pmod(F.xxhash64("bin"), F.lit(fewer))
+        nodes = fewer
 
         def merge(batches, level=level, last=last):
             items, node, counter = [], 0, [0]
@@ -172,11 +174,11 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 2048) -> DataF
             if items:
                 yield _packed(items, capacity, level, node, counter, last)
 
-        up = levels[-1].filter(~F.col("done")).withColumn("node", (F.col("node") / FAN).cast("long"))
+        up = levels[-1].filter(~F.col("done")).withColumn("node", home)
         if nodes == 1:
             up = up.coalesce(1)
         else:
-            up = up.repartition(nodes, "node")
+            up = up.repartitionById(nodes, F.col("node").cast("int"))
         levels.append(materialise(up.select("node", "fill", *MEMBERS).mapInArrow(merge, BINS), f"packed-{level}"))
         if last:
             break
