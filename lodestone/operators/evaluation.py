@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from itertools import accumulate
+from math import exp, factorial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -104,11 +106,17 @@ def bootstrap_means(rows: DataFrame, group: str, order: str, value: str, samples
     return rows.select(group, order, value).groupBy(group).applyInPandas(run, f"{group} string, cases long, lower double, upper double")
 
 
-def poisson_bootstrap(rows: DataFrame, group: str, key: str, value: str, samples: int = 200) -> DataFrame:
+#: Chances that a row stands in a resample at most 0, 1, 2, ... times; the last one is 1 in double precision.
+POISSON = list(accumulate(exp(-1) / factorial(k) for k in range(18)))
+
+
+def poisson_bootstrap(rows: DataFrame, group: str, key: str, value: str, samples: int = 1000) -> DataFrame:
     """Interval of the mean for groups of any size: each row stands in each resample as often as a hash says (Poisson of 1)."""
-    u = F.pmod(F.xxhash64(key, "replicate"), F.lit(1_000_003)) / 1_000_003.0
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    times = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
+    u = F.pmod(F.xxhash64(key, "replicate"), F.lit(1 << 53)) / float(1 << 53)
+    times = F.when(u < POISSON[0], 0)
+    for k, s in enumerate(POISSON[1:], 1):
+        times = times.when(u < s, k)
+    times = times.otherwise(len(POISSON))
     dealt = rows.select(group, key, value, F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate")).withColumn("times", times)
     means = dealt.groupBy(group, "replicate").agg(F.try_divide(F.sum(F.col("times") * F.col(value)), F.sum("times")).alias("mean"))
     return means.groupBy(group).agg(F.round(F.percentile("mean", 0.025), 4).alias("lower"), F.round(F.percentile("mean", 0.975), 4).alias("upper"))
