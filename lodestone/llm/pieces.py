@@ -29,10 +29,19 @@ class PieceCache:
         self.known.update(zip(missing, self.encode_many(missing)))
         return self.known
 
-
-def blank_pieces(text: str) -> list[str]:
-    """For tokenizers that drop white space: pieces between spaces and line ends."""
-    return text.replace("\n", " ").split(" ")
+    def find(self, pieces: list) -> list:
+        """The encoded bytes of pieces that are all different."""
+        out = list(map(self.known.get, pieces))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if missing:
+            some = [pieces[i] for i in missing]
+            made = list(self.encode_many(some))
+            if len(self.known) + len(some) > self.limit:
+                self.known = {}
+            self.known.update(zip(some, made))
+            for i, x in zip(missing, made):
+                out[i] = x
+        return out
 
 
 def lead_pieces(text: str) -> list:

@@ -5,83 +5,100 @@ one left. It stores the rules, the length to which each nonterminal expands, the
 symbols, how many ids stand before them; so a range of ids is decoded from the blocks that hold it.
 
 Documents stand in ascending order of doc_id (rows that share one: by text; a null doc_id comes first); null text counts
-as empty, an empty document is its end id alone; no document is split over shards, however long; other columns are ignored.
+as empty, an empty document is its end id alone; no document is split over shards, however long; special strings in a text
+have the ids that the library gives them; an empty table gives no shards and no rows; other columns are ignored. Rows of one
+doc_id, and those without one, stand in one task, as their order asks for.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import string
 import struct
 import zlib
 from array import array
 from functools import lru_cache
-from unicodedata import is_normalized
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm.common import materialise, slices, texts_of
-from lodestone.llm.pieces import PieceCache, blank_pieces, byte_letters
+from lodestone.llm.common import materialise, slices
+from lodestone.llm.pieces import PieceCache, byte_letters
 
-MAGIC = b"LRP1"
+MAGIC = b"LRP2"
 HEAD = struct.Struct("<4sIIIIQ")  # magic, vocabulary, rules, documents, symbols, ids
 BLOCK = 1024
 #: Ids that a shard gathers before it is closed.
 SHARD_IDS = 1 << 19
-#: A pair must occur so often to become a rule, and rounds go on until none does; a round takes pairs within this factor of its most frequent one.
-LEAST_COUNT, SPREAD = 24, 64
+#: A rule is stored in 8 bytes and saves 2 with each use: from 4 on it pays. Rounds go on until no pair occurs so often.
+LEAST_COUNT = 4
+#: A round replaces the pairs within this factor of its most frequent one.
+SPREAD = 16
+#: Hash buckets that tell which pairs may be frequent.
+BUCKET_BITS = 20
 
 SHARDS = "part long, base long, n_tokens long, n_docs long, payload binary"
 
 
-def _frequent(key: np.ndarray, room: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs to replace in this round in key order, and the places where a pair may be one of them."""
-    bucket = (key * np.uint32(2654435761)) >> np.uint32(13)
-    counts = np.bincount(bucket, minlength=1 << 19)
-    if counts.max(initial=0) < least:
-        return key[:0], np.zeros(0, np.int64)
-    places = np.flatnonzero((counts >= least)[bucket])
-    pairs, n = np.unique(key[places], return_counts=True)
-    if n.max(initial=0) < least:
-        return key[:0], places
-    keep = np.flatnonzero(n >= max(least, n.max() // SPREAD))
-    if keep.size > room:
-        keep = np.sort(keep[np.argsort(-n[keep], kind="stable")[:room]])
-    return pairs[keep], places
+def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash bucket of each pair of symbols."""
+    return ((a * np.uint32(2654435761) + b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64)
+
+
+def _frequent(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs to replace in this round, places where one of them starts, which one): pairs as 64-bit keys."""
+    bucket = _bucket(s[:-1], s[1:])
+    places = np.flatnonzero((np.bincount(bucket, minlength=1 << BUCKET_BITS) >= LEAST_COUNT)[bucket])
+    key = s[places].astype(np.uint64) << np.uint64(32) | s[places + 1]
+    pairs, n = np.unique(key, return_counts=True)
+    chosen = np.flatnonzero(n >= max(LEAST_COUNT, n.max(initial=0) // SPREAD))
+    if not chosen.size:
+        return pairs[:0], places[:0], places[:0]
+    # of pairs that share a bucket the most frequent one; the others have their turn in later rounds
+    pairs = pairs[chosen[np.argsort(n[chosen], kind="stable")]]
+    table = np.full(1 << BUCKET_BITS, -1, np.int32)
+    table[_bucket((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))] = np.arange(pairs.size)
+    which = table[bucket[places]]
+    hit = np.flatnonzero((which >= 0) & (pairs[which] == key))
+    return pairs, places[hit], which[hit]
 
 
 def compress(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """(rules as pairs of symbols, remaining symbols); symbols from vocabulary on are nonterminals in order of rules."""
     s = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
-    made, room = 0, 65536 - vocabulary
-    while s.size > 1 and made < room:
-        key = (s[:-1] << np.uint32(16)) | s[1:]
-        pairs, places = _frequent(key, room - made, LEAST_COUNT)
+    made = vocabulary
+    while s.size > 1:
+        pairs, places, which = _frequent(s)
         if not pairs.size:
             break
-        at = np.searchsorted(pairs, own := key[places])
-        at[at == pairs.size] = 0
-        hit = pairs[at] == own
-        places, at = places[hit], at[hit]
         # neighbouring places overlap: of each run take the first, third, ...
         first = np.ones(places.size, bool)
         first[1:] = np.diff(places) != 1
         run = np.maximum.accumulate(np.where(first, np.arange(places.size), 0))
         take = (np.arange(places.size) - run) % 2 == 0
-        places, at = places[take], at[take]
-        used, at = np.unique(at, return_inverse=True)
-        rules.append(pairs[used])
-        s[places] = (vocabulary + made + at).astype(np.uint32)
-        made += used.size
+        # half the places at least are taken, LEAST_COUNT / 2 a pair on average: some pair has two uses, so each round makes rules
+        uses = np.bincount(which[take], minlength=pairs.size)
+        take &= uses[which] >= 2
+        number = np.cumsum(uses >= 2) - 1
+        places = places[take]
+        rules.append(pairs[uses >= 2])
+        s[places] = (made + number[which[take]]).astype(np.uint32)
+        made += rules[-1].size
         keep = np.ones(s.size, bool)
         keep[places + 1] = False
         s = s[keep]
-    key = np.concatenate(rules) if rules else np.zeros(0, np.uint32)
-    return np.stack([key >> np.uint32(16), key & np.uint32(65535)], 1).astype("<u2"), s.astype("<u2")
+    key = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
+    kind = "<u2" if made <= 1 << 16 else "<u4"
+    return np.stack([key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)], 1).astype(kind), s.astype(kind)
 
 
 @lru_cache(maxsize=2)
@@ -105,27 +122,28 @@ class Shard:
             return x
 
         self.doc_ids, self.null, self.lengths = take("<i8", docs), take("<u1", docs), take("<u4", docs)
-        self.rules, self.expands = take("<u2", 2 * rules).reshape(-1, 2), take("<u4", rules)
-        self.blocks, self.symbols = take("<u8", -(-symbols // BLOCK)), take("<u2", symbols)
+        kind = "<u2" if self.vocabulary + rules <= 1 << 16 else "<u4"
+        self.rules, self.expands = take(kind, 2 * rules).reshape(-1, 2), take("<u4", rules)
+        self.blocks, self.symbols = take("<u8", -(-symbols // BLOCK)), take(kind, symbols)
         self._table: list[bytes] | None = None
 
     @staticmethod
-    def build(doc_ids: list[int | None], docs: list[bytes], vocabulary: int) -> bytes:
-        """docs: each document's ids as little-endian unsigned 16-bit integers, end id included."""
-        ids = np.frombuffer(b"".join(docs), "<u2")
+    def build(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, vocabulary: int) -> bytes:
+        """ids of all documents in a row, end ids included; lengths says how many are each one's."""
         rules, symbols = compress(ids, vocabulary)
-        size = np.ones(vocabulary + len(rules), np.uint32)
-        for i, (a, b) in enumerate(rules.tolist(), vocabulary):
-            size[i] = size[a] + size[b]
-        before = np.concatenate([[0], np.cumsum(size[symbols], dtype=np.uint64)])[:-1]
+        size = [1] * vocabulary
+        for a, b in rules.tolist():
+            size.append(size[a] + size[b])
+        expands = np.array(size, np.uint32)
+        before = np.concatenate([[0], np.cumsum(expands[symbols], dtype=np.uint64)])[:-1]
         return b"".join(
             [
-                HEAD.pack(MAGIC, vocabulary, len(rules), len(docs), len(symbols), len(ids)),
+                HEAD.pack(MAGIC, vocabulary, len(rules), len(doc_ids), len(symbols), len(ids)),
                 np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
                 np.array([d is None for d in doc_ids], "<u1").tobytes(),
-                np.array([len(d) // 2 for d in docs], "<u4").tobytes(),
+                np.array(lengths, "<u4").tobytes(),
                 rules.tobytes(),
-                size[vocabulary:].astype("<u4").tobytes(),
+                expands[vocabulary:].astype("<u4").tobytes(),
                 before[::BLOCK].astype("<u8").tobytes(),
                 symbols.tobytes(),
             ]
@@ -156,48 +174,110 @@ class Shard:
             at += n
 
 
-#: Marks that stand behind words and are never joined with letters into a token.
-TAILS = ".,!?;:|"
+#: Marks that stand around words and are never joined with letters or digits into a token; in front of a letter, an apostrophe may be.
+TAILS = string.punctuation
+HEADS = TAILS.replace("'", "")
+#: The end of a word, as a character that no word has.
+END = "\0"
+#: Characters that are encoded as one text.
+JOINED = 1 << 16
+#: What is not a letter below U+0370 whose lower case is one letter.
+BEYOND = re.compile("[^\0-\u012f\u0131-\u036f]")
 
 
 class BlankTokenizer:
     """Ids of whole texts for tokenizers that drop white space and letter case, as 16-bit integers.
 
-    A piece of letters below U+0370 in normal form, and marks behind it, goes lower-cased to the library's BPE model
-    itself, once for each word; every other piece goes through the whole tokenizer.
+    A piece of letters below U+0370 (all in normal form), with marks around it, goes lower-cased to tiktoken's encoder, whose ranks
+    are the file's own vocabulary with the end of a word as one more character; every other piece, special strings among
+    them, goes through the library's tokenizer. The tests hold both to the same ids.
     """
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tok.get_vocab_size()
-        self.bytes = str.maketrans({chr(b): c for c, b in byte_letters().items() if chr(b) != c})
-        self.words = PieceCache(self._words)
-        self.marks = PieceCache(self._plain, 10_000)
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        model = json.loads(self.tok.to_str())["model"]
+        suffix, letters = model["end_of_word_suffix"], byte_letters()
+        ranks = {}
+        for token, i in model["vocab"].items():
+            body = token.removesuffix(suffix)
+            if all(c in letters for c in body):
+                ranks[bytes(letters[c] for c in body) + END.encode() * (body != token)] = i
+        merged = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+        self.fast = None
+        # rank files merge by the number of what is made: letters and ends of words first, then in order of merges
+        if merged == sorted(set(merged)) and len(ranks) == 512 + len(merged) and all(ranks[bytes([b]) + END.encode()] < merged[0] for b in range(256)):
+            self.fast = tiktoken.Encoding("own", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+            self.ends = np.zeros(max(ranks.values()) + 1, bool)
+            self.ends[[i for b, i in ranks.items() if len(b) > 1 and b.endswith(END.encode())]] = True
         self.cache = PieceCache(self._many)
 
     def _plain(self, pieces: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        tokenize = self.tok.model.tokenize
-        spelt = [w if w.isascii() else w.encode().decode("latin-1").translate(self.bytes) for w in words]
-        return [array("H", [t.id for t in tokenize(w)]).tobytes() for w in spelt]
+    def _source(self, piece: str) -> str | None:
+        """The piece's words in lower case, each with its end; None if only the library can tell."""
+        if piece.isalpha() and (piece.isascii() or not BEYOND.search(piece)):
+            return piece.lower() + END
+        body = piece.rstrip(TAILS)
+        word = body.lstrip(HEADS)
+        if word and not (word.isalpha() and (word.isascii() or not BEYOND.search(word))):
+            return None
+        out = word.lower() + END if word else ""
+        if len(word) != len(body):
+            out = body[: len(body) - len(word)] + END + out
+        return out + piece[len(body) :] + END if len(body) != len(piece) else out
 
     def _many(self, pieces: list[str]) -> list[bytes]:
-        bodies = [p.rstrip(TAILS) for p in pieces]
-        lower = [b.lower() for b in bodies]
-        plain = [w.isalpha() and (b.isascii() or (max(b) < "\u0370" and b.isalpha() and is_normalized("NFC", b))) for b, w in zip(bodies, lower)]
-        lower = [w if ok else "" for w, ok in zip(lower, plain)]
-        tails = [p[len(b) :] for p, b in zip(pieces, bodies)]
-        word, mark = self.words.get([lower]), self.marks.get([[t for t, ok in zip(tails, plain) if ok]])
-        rest = iter(self._plain([p for p, ok in zip(pieces, plain) if not ok]))
-        return [word[w] + mark[t] if ok else next(rest) for w, t, ok in zip(lower, tails, plain)]
+        if self.fast is None:
+            return self._plain(pieces)
+        sources = list(map(self._source, pieces))
+        every = "\n".join(pieces)
+        if any(x in every for x in self.special):
+            sources = [None if any(x in p for x in self.special) else s for p, s in zip(pieces, sources)]
+        out: list = [None] * len(pieces)
+        own = [i for i, s in enumerate(sources) if s is not None]
+        ids = [self.fast.encode_ordinary(part) for part in self._joined([sources[i] for i in own])]
+        flat = np.fromiter(chain.from_iterable(ids), np.uint16, sum(map(len, ids)))
+        after = np.concatenate([[0], np.flatnonzero(self.ends[flat]) + 1])
+        cuts = (2 * after[np.cumsum([0] + [sources[i].count(END) for i in own])]).tolist()
+        raw = flat.tobytes()
+        for i, a, b in zip(own, cuts, cuts[1:]):
+            out[i] = raw[a:b]
+        rest = [i for i, s in enumerate(sources) if s is None]
+        for i, x in zip(rest, self._plain([pieces[i] for i in rest])):
+            out[i] = x
+        return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        lists = [blank_pieces(t) for t in texts]
-        known = self.cache.get(lists).__getitem__
-        return [b"".join(map(known, p)) for p in lists]
+    @staticmethod
+    def _joined(sources: list[str]):
+        held, size = [], 0
+        for s in sources:
+            held.append(s)
+            size += len(s)
+            if size >= JOINED:
+                yield "".join(held)
+                held, size = [], 0
+        if held:
+            yield "".join(held)
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, each with the end id behind it; how many are each text's)."""
+        lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        pieces = lists.flatten().dictionary_encode()
+        own = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self.cache.find(own)
+        known.append(struct.pack("<H", end))
+        size = np.array([len(x) for x in known]) // 2
+        start = np.cumsum(size) - size
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        index = np.insert(pieces.indices.to_numpy(), ends, len(own))
+        n = size[index]
+        total = np.cumsum(n)
+        places = np.repeat(start[index] - total + n, n) + np.arange(int(total[-1]) if total.size else 0)
+        counts = np.diff(total[ends + np.arange(len(ends))], prepend=0)
+        return np.frombuffer(b"".join(known), "<u2")[places], counts
 
 
 @lru_cache(maxsize=1)
@@ -209,24 +289,31 @@ def write_shards(docs: DataFrame, path: str, end_id: int, shard_ids: int = SHARD
     """Stored shards of docs(doc_id, text) in order of doc_id: part (rising with doc_id), base (ids of the part before the shard), payload."""
 
     def run(batches):
-        tok, end = tokenizer(path), struct.pack("<H", end_id)
-        part, base, size = TaskContext.get().partitionId(), 0, 0
-        ids: list = []
-        held: list[bytes] = []
+        tok = tokenizer(path)
+        part, base = TaskContext.get().partitionId(), 0
+        doc_ids: list = []
+        lengths: list[int] = []
+        held: list[np.ndarray] = []
+        size = 0
 
         def close():
-            payload = Shard.build(ids, held, tok.vocabulary)
-            return pa.RecordBatch.from_pydict({"part": [part], "base": [base], "n_tokens": [size], "n_docs": [len(ids)], "payload": [payload]}, schema=pa.schema([("part", pa.int64()), ("base", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("payload", pa.binary())]))
+            payload = Shard.build(doc_ids, lengths, np.concatenate(held), tok.vocabulary)
+            row = {"part": [part], "base": [base], "n_tokens": [size], "n_docs": [len(doc_ids)], "payload": [payload]}
+            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int64()), ("base", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("payload", pa.binary())]))
 
         for batch in slices(batches):
-            for doc_id, x in zip(batch.column("doc_id").to_pylist(), tok(texts_of(batch))):
-                ids.append(doc_id)
-                held.append(x + end)
-                size += len(x) // 2 + 1
+            ids, counts = tok.encode(batch.column("text"), end_id)
+            at = 0
+            for doc_id, n in zip(batch.column("doc_id").to_pylist(), counts.tolist()):
+                doc_ids.append(doc_id)
+                lengths.append(n)
+                held.append(ids[at : at + n])
+                at += n
+                size += n
                 if size >= shard_ids:
                     yield close()
-                    base, size, ids, held = base + size, 0, [], []
-        if ids:
+                    base, size, doc_ids, lengths, held = base + size, 0, [], [], []
+        if doc_ids:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

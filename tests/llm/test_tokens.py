@@ -2,12 +2,12 @@
 
 import hashlib
 import random
-import struct
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -18,21 +18,21 @@ from tests.llm.conftest import ODD
 WORDS, BYTES, RANKS = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"))
 
 
-def library(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+library = Tokenizer.from_file  # with its own settings: special strings in a text are special tokens
+SPECIAL = ["<|endoftext|>", "a <|endoftext|>  b", "x<|endoftext|>y's\n<|endoftext|>\n", "(<|startoftext|>) <|ENDOFTEXT|>", " <|endoftext|> <|endoftext|>"]
 
 
 def strange(n, seed=1):
     rng = random.Random(seed)
-    return [t or "" for _, t in ODD] + ["".join(rng.choice("abcTh e\n'1é.,!  \t的İß\u0301Σ|") for _ in range(rng.randrange(60))) for _ in range(n)]
+    return [t or "" for _, t in ODD] + SPECIAL + ["".join(rng.choice("abcTh e\n'1é.,!  \t的İß\u0301Σ|") for _ in range(rng.randrange(60))) for _ in range(n)]
 
 
 def test_word_tokenizer_is_the_library():
     tok, lib, texts = token_store.BlankTokenizer(WORDS), library(WORDS), strange(3000)
-    for ids, e in zip(tok(texts), lib.encode_batch(texts, add_special_tokens=False)):
-        assert np.frombuffer(ids, "<u2").tolist() == e.ids
+    assert tok.fast
+    ids, counts = tok.encode(pa.array(texts), 2)
+    for got, e in zip(np.split(ids, np.cumsum(counts)[:-1]), lib.encode_batch(texts, add_special_tokens=False)):
+        assert got.tolist() == [*e.ids, 2]
 
 
 def test_byte_level_ids_are_the_library():
@@ -77,8 +77,8 @@ def test_encode_decode(odd, none):
 def test_shard_round_trip_and_random_access(n):
     rng = random.Random(n)
     phrase = [rng.randrange(49408) for _ in range(7)]
-    docs = [struct.pack("<H", 2) if rng.random() < 0.1 else np.array([x for _ in range(rng.randrange(4)) for x in (phrase if rng.random() < 0.8 else [rng.randrange(49408)] * 9)] + [2], "<u2").tobytes() for _ in range(n)]
-    shard = token_store.Shard(payload := token_store.Shard.build([i or None for i in range(n)], docs, 49408))
+    docs = [np.array([2], "<u2").tobytes() if rng.random() < 0.1 else np.array([x for _ in range(rng.randrange(4)) for x in (phrase if rng.random() < 0.8 else [rng.randrange(49408)] * 9)] + [2], "<u2").tobytes() for _ in range(n)]
+    shard = token_store.Shard(payload := token_store.Shard.build([i or None for i in range(n)], [len(d) // 2 for d in docs], np.frombuffer(b"".join(docs), "<u2"), 49408))
     assert [(d, bytes(x)) for d, _, x in shard.documents()] == [(i or None, np.frombuffer(d, "<u2").astype("<u4").tobytes()) for i, d in enumerate(docs)]
     every = b"".join(bytes(x) for _, _, x in shard.documents())
     for _ in range(50):
@@ -119,8 +119,9 @@ def test_best_fit_is_best_fit_decreasing():
         assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 32 for b in bins) and len(bins) == len(free)
 
 
-@pytest.mark.parametrize("parts", [1, 11])
-def test_pack(odd, none, parts):
+@pytest.mark.parametrize("parts,items", [(1, 10**6), (11, 10**6), (11, 3)])
+def test_pack(odd, none, parts, items, monkeypatch):
+    monkeypatch.setattr(packing, "NODE_ITEMS", items)
     lib = library(BYTES)
     rows = packing.pack(odd.repartition(parts), BYTES, 0).collect()
     want = defaultdict(int)
@@ -139,5 +140,5 @@ def test_pack(odd, none, parts):
             assert offset == at
             at += length
         assert at <= 2048
-    assert len(sequences) <= -(-sum(r["length"] for r in rows) // 2048) + 1
+    assert len(sequences) <= -(-sum(r["length"] for r in rows) // 2048) + (1 if items > 3 else 4)
     assert packing.pack(none, BYTES, 0).collect() == []
