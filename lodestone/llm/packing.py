@@ -1,18 +1,22 @@
 """Hierarchical residual packing of token sequences.
 
-Each partition packs its pieces best-fit decreasing and keeps only bins that are still short of full open; those go up a
-tree, FAN nodes to one, where they are items of the next best-fit round, until one node is left (or about ROOT_ITEMS for each of
-several, to which bins are dealt by hash: beyond that many items a larger pool gains nothing, and no task grows with the input). Every level is a written
-table, so a lost executor costs one level at most.
+Each partition packs its pieces best-fit decreasing and closes bins that are nearly full; the others go up a tree as items
+of the next best-fit round. A level has a FAN-th of the nodes of the one below, or as many as it takes that none gets over
+NODE_ITEMS bins, to which open bins are dealt evenly by number; the last level, which closes all, is the one node at the top,
+or the first level that could not have fewer nodes (a pool of that many items gains nothing from more). In the tree a bin is
+its number and fill; what is in it joins its place at the end. Every level is a written table, so a lost executor costs one
+level at most.
 
 Defined results: null text counts as empty, an empty document is its end id alone; a document longer than the capacity is
-cut from its end into full pieces, so only its first piece can be shorter; repeated rows are packed as often as they
-stand there; an empty table gives no rows; other columns are ignored.
+cut from its end into full pieces, so only its first piece can be shorter; special strings in a text have the ids that the
+library gives them; repeated rows are packed as often as they stand there; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -22,7 +26,7 @@ import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -30,16 +34,19 @@ from lodestone.llm.common import materialise, slices, texts_of
 from lodestone.llm.pieces import LeadEncoder, byte_letters
 
 FAN = 8
-ROOT_ITEMS = 2_000_000
+#: Bins that a task of the tree holds, at most.
+NODE_ITEMS = 500_000
 #: Items that a task of the first level holds before it packs them.
 LOCAL_ITEMS = 400_000
 #: Pieces that are encoded as one text.
 JOINED = 2000
-#: A bin with at most this share of its capacity free is closed below the root.
+#: A bin with at most this share of its capacity free is closed before the last level.
 SLACK = 1 / 256
 
 MEMBERS = ("doc_id", "piece", "start", "length", "ids_crc32")
-BINS = "done boolean, node long, bin long, fill long, " + ", ".join(f"{c} array<long>" for c in MEMBERS)
+PLACES = "part long, nth long, done boolean, bin long, fill long, "
+BINS = PLACES + ", ".join(f"{c} array<long>" for c in MEMBERS)
+LINKS = PLACES + "child long, at long"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -52,7 +59,10 @@ class ByteLevelIds:
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = self.tok.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or any(c.isspace() for c in t.content) for t in special):
+            raise ValueError("special strings with white space cannot be cut at white space")
+        self.special = re.compile("|".join(re.escape(t.content) for t in special) or r"(?!)")
         model = json.loads(self.tok.to_str())["model"]
         letters = byte_letters()
         merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
@@ -72,7 +82,10 @@ class ByteLevelIds:
         if self.fast is None:
             return self._slow(texts)
         out: list = [None] * len(texts)
-        joined = [i for i, t in enumerate(texts) if t[:1] in (" ", "\n") and t.count(" ") + t.count("\n") == 1]
+        marked = [i for i, t in enumerate(texts) if self.special.search(t)]
+        for i, x in zip(marked, self._slow([texts[i] for i in marked])):
+            out[i] = x
+        joined = [i for i, t in enumerate(texts) if out[i] is None and t[:1] in (" ", "\n") and t.count(" ") + t.count("\n") == 1]
         for at in range(0, len(joined), JOINED):
             some = joined[at : at + JOINED]
             ids = np.array(self.fast.encode_ordinary("".join([texts[i] for i in some])), "<u4")
@@ -120,21 +133,31 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _packed(items: list[tuple], capacity: int, level: int, node: int, counter: list[int], last: bool):
-    """Bins of items (fill, then a list for each member column) as a record batch of BINS."""
-    out: list[list] = [[] for _ in range(4 + len(MEMBERS))]
-    tag = (level << 56) | (TaskContext.get().partitionId() << 32)
-    for held in best_fit([x[0] for x in items], capacity):
-        fill = sum(items[i][0] for i in held)
-        out[0].append(last or capacity - fill <= capacity * SLACK)
-        out[1].append(node)
-        out[2].append(tag | counter[0])
-        out[3].append(fill)
+def _numbered(level: int, bins: list[list[int]], sizes: list[int], capacity: int, counter: list[int], last: bool) -> tuple[list, ...]:
+    """Columns part, nth, done, bin, fill of bins; counter holds the numbers of the next bin and of the next open one."""
+    part = TaskContext.get().partitionId()
+    fills = [sum(sizes[i] for i in held) for held in bins]
+    done = [last or capacity - f <= capacity * SLACK for f in fills]
+    nth, numbers = [], []
+    for d in done:
+        nth.append(counter[1])
+        numbers.append(level << 56 | part << 32 | counter[0])
         counter[0] += 1
-        for k in range(len(MEMBERS)):
-            out[4 + k].append([x for i in held for x in items[i][1 + k]])
-    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * len(MEMBERS)]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["done", "node", "bin", "fill", *MEMBERS])
+        counter[1] += not d
+    return [part] * len(bins), nth, done, numbers, fills
+
+
+def _merged(levels: list[DataFrame]) -> DataFrame | None:
+    """(child, root, at): the sequence of each bin that the tree holds, and its place there; levels are those above the first."""
+    above = None
+    for level in reversed(levels):
+        own = level.select("child", F.col("bin").alias("root"), "at", "done")
+        if above is not None:
+            up = above.select(F.col("child").alias("root"), F.col("root").alias("top"), F.col("at").alias("shift"))
+            moved = own.filter(~F.col("done")).join(up, "root").select("child", F.col("top").alias("root"), (F.col("at") + F.col("shift")).alias("at"))
+            own = own.filter("done").drop("done").union(moved)
+        above = own.select("child", "root", "at")
+    return above
 
 
 def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 2048) -> DataFrame:
@@ -142,57 +165,71 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 2048) -> DataF
 
     def local(batches):
         encode, end = _encoder(path), array("I", [end_id]).tobytes()
-        node, items, counter = TaskContext.get().partitionId(), [], [0]
+        counter = [0, 0]
+        doc_ids: list = []
+        kept = [array("q") for _ in MEMBERS[1:]]  # a column each: no object an item
+
+        def close():
+            sizes = kept[2].tolist()
+            bins = best_fit(sizes, capacity)
+            lists = [[[c[i] for i in held] for held in bins] for c in (doc_ids, *kept)]
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * len(MEMBERS)]
+            cols = (*_numbered(0, bins, sizes, capacity, counter, False), *lists)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["part", "nth", "done", "bin", "fill", *MEMBERS])
+
         for batch in slices(batches):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts_of(batch))):
                 ids = memoryview(ids + end)
                 for k, (at, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    items.append((n, [doc_id], [k], [at], [n], [zlib.crc32(ids[4 * at : 4 * (at + n)])]))
-            if len(items) >= LOCAL_ITEMS:
-                yield _packed(items, capacity, 0, node, counter, False)
-                items = []
-        if items:
-            yield _packed(items, capacity, 0, node, counter, False)
-
-    levels = [materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(local, BINS), "packed-0")]
-    state = levels[0].agg(F.coalesce(F.max("node"), F.lit(0)) + 1, F.count_if(~F.col("done"))).first()
-    nodes, rest = int(state[0]), int(state[1])
-    while rest:
-        level = len(levels)
-        fewer = max(-(-nodes // FAN), -(-rest // ROOT_ITEMS))
-        last = fewer == 1 or fewer >= nodes
-        # more nodes than the tree would have: their bins are dealt out evenly, whatever node they come from
-        home = (F.col("node") / FAN).cast("long") if fewer == -(-nodes // FAN) else F.pmod(F.xxhash64("bin"), F.lit(fewer))
-        nodes = fewer
-
-        def merge(batches, level=level, last=last):
-            items, node, counter = [], 0, [0]
-            for batch in batches:
-                cols = batch.to_pydict()
-                items += zip(cols["fill"], *(cols[c] for c in MEMBERS))
-                node = cols["node"][0] if cols["node"] else node
-            if items:
-                yield _packed(items, capacity, level, node, counter, last)
-
-        up = levels[-1].filter(~F.col("done")).withColumn("node", home)
-        if nodes == 1:
-            up = up.coalesce(1)
-        else:
-            up = up.repartitionById(nodes, F.col("node").cast("int"))
-        levels.append(materialise(up.select("node", "fill", *MEMBERS).mapInArrow(merge, BINS), f"packed-{level}"))
+                    doc_ids.append(doc_id)
+                    for column, x in zip(kept, (k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]))):
+                        column.append(x)
+            if len(doc_ids) >= LOCAL_ITEMS:
+                yield close()
+                doc_ids.clear()
+                kept = [array("q") for _ in kept]
+        if doc_ids:
+            yield close()
+
+    first = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(local, BINS), "packed-0")
+    levels: list[DataFrame] = []
+    going = first.filter(~F.col("done")).select("part", "nth", "bin", "fill")
+    while True:
+        counts = going.groupBy("part").agg(F.count("*").alias("n"))  # a row for each task of the level before
+        before, rest = counts.agg(F.count("*"), F.sum("n")).first()
+        if not rest:
+            break
+        nodes = max(-(-before // FAN), -(-rest // NODE_ITEMS))
+        last = nodes == 1 or nodes >= before
+
+        def merge(batches, level=len(levels) + 1, last=last):
+            held = pa.Table.from_batches(batches, pa.schema([("node", pa.int32()), ("bin", pa.int64()), ("fill", pa.int64())])).sort_by([("fill", "descending"), ("bin", "ascending")])
+            names, sizes = held["bin"].to_pylist(), held["fill"].to_pylist()
+            bins = best_fit(sizes, capacity)
+            out: list[list] = [[] for _ in range(7)]
+            for *place, items in zip(*_numbered(level, bins, sizes, capacity, [0, 0], last), bins):
+                at = 0
+                for i in items:
+                    for column, x in zip(out, (*place, names[i], at)):
+                        column.append(x)
+                    at += sizes[i]
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["part", "nth", "done", "bin", "fill", "child", "at"])
+
+        order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        bases = counts.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+        dealt = going.join(bases, "part").select(F.pmod(F.col("base") + F.col("nth"), F.lit(nodes)).cast("int").alias("node"), "bin", "fill")
+        dealt = dealt.coalesce(1) if nodes == 1 else dealt.repartitionById(nodes, F.col("node"))
+        levels.append(materialise(dealt.mapInArrow(merge, LINKS), f"packed-{len(levels) + 1}"))
         if last:
             break
-        rest = int(levels[-1].agg(F.count_if(~F.col("done"))).first()[0])
-    done = levels[0]
-    for x in levels[1:]:
-        done = done.union(x)
+        going = levels[-1].filter(~F.col("done") & (F.col("at") == 0)).select("part", "nth", "bin", "fill")
 
     def spread(batches):
         for batch in slices(batches, 4096):
             cols = batch.to_pydict()
             out: list[list] = [[] for _ in range(7)]
-            for b, *members in zip(cols["bin"], *(cols[c] for c in MEMBERS)):
-                at = 0
+            for b, at, *members in zip(cols["bin"], cols["at"], *(cols[c] for c in MEMBERS)):
                 for row in zip(*members):
                     for k, x in enumerate(row):
                         out[k].append(x)
@@ -202,4 +239,9 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 2048) -> DataF
             kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[*MEMBERS, "sequence_id", "offset"])
 
-    return done.filter("done").select("bin", *MEMBERS).mapInArrow(spread, PIECES + ", sequence_id long, offset long")
+    placed = first.filter("done").select("bin", F.lit(0).cast("long").alias("at"), *MEMBERS)
+    if levels:
+        roots = _merged(levels)
+        rest = first.filter(~F.col("done")).join(roots, F.col("bin") == F.col("child")).select(F.col("root").alias("bin"), "at", *MEMBERS)
+        placed = placed.union(rest)
+    return placed.mapInArrow(spread, PIECES + ", sequence_id long, offset long")
