@@ -5,15 +5,17 @@ longer output starts with the shorter one, the rest is the new turn's span; wher
 history and the conversation is reported as such. Rendering the same prefix with another last text shows where in the span
 the text stands, so the loss mask covers exactly the assistant texts.
 
-A template that declares how many earlier turns a turn's rendering looks at (context) is rendered on that window: its
-cost is linear in the turns. The first CHECKED prefixes of every conversation, those whose number of turns is a power of
-two, and the whole conversation are also rendered whole and compared with the pieces so far; rows are reported as rewritten
-from the first such turn on that differs. A template that declares none is rendered whole at every turn.
+The first CHECKED prefixes of every conversation are rendered whole. From there on a template that declares how many earlier
+turns a turn's rendering looks at (context) is rendered on that window, so that its cost is linear in the turns; the prefixes
+whose number of turns is a power of two, and the whole conversation, are also rendered whole and compared with the pieces so
+far; rows are reported as rewritten from the first such turn on that differs. A template that declares no context is
+rendered whole at every turn.
 Rows stream through sorted by conversation and turn; a conversation of any length is one row a turn, never one value, but
 the turns of the one at hand are kept for rendering it whole.
 
 Defined results: null text or role counts as empty; turns of equal number stand in order of role and text, repeated rows
-each count; a null conv_id is a conversation of its own; an empty table gives no rows; other columns are ignored.
+each count; a null conv_id is a conversation of its own; texts of any length are formatted whole; an empty table gives no
+rows; other columns are ignored. A conversation is one task's, as its order and digests ask for.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from lodestone.llm.common import slices
 Turns = list[tuple[str, str]]
 
 #: Prefixes of each conversation that are all rendered whole even if the template declares its context.
-CHECKED = 4
+CHECKED = 64
 #: A text that no escaping touches, to find the place of a text in a span.
 PROBE = "\ue000"
 
@@ -92,28 +94,33 @@ class Incremental:
         self.render, self.context = render, context
         self.turns: Turns = []
         self.n = 0
-        self.made: list[str] = []
+        self.made = [render([])]  # joined, what the template has made of the turns so far
         self.rewritten = False
 
     def add(self, role: str, text: str, last: bool = False) -> tuple[str, int, int]:
         """(piece, start, end): what the turn adds to the output, and where in it the text stands. last: no turn follows."""
         self.n += 1
-        window = self.turns if self.context is None else self.turns[max(0, len(self.turns) - self.context) :]
-        turns = [*window, (role, text)]
-        before, after = self.render(window), self.render(turns)
+        whole = self.context is None or self.n <= CHECKED
+        history = self.turns if whole else self.turns[max(0, len(self.turns) - self.context) :]
+        before = "".join(self.made) if whole else self.render(history)
+        turns = [*history, (role, text)]
+        after = self.render(turns)
         found = span(self.render, before, turns, after)
-        opening = self.render([]) if self.n == 1 else ""
+        opening = before if self.n == 1 else ""
         self.turns.append((role, text))
-        if self.context is not None:
-            self.made.append(opening + after[len(before) :])
-            if self.n <= CHECKED or self.n & (self.n - 1) == 0 or last:
-                whole = self.render(self.turns)
-                if whole != "".join(self.made):
+        if whole:
+            self.made = [after]
+        else:
+            self.made.append(after[len(before) :])
+            if self.n & (self.n - 1) == 0 or last:
+                real = self.render(self.turns)
+                if real != "".join(self.made):
                     found = None
-                self.made = [whole]
+                self.made = [real]
         if found is None:
             self.rewritten = True
             return opening, len(opening), len(opening)
+        # the opening stands before the first turn's text and is part of its piece
         start, end = found[0] - len(before), found[1] - len(before)
         return opening + after[len(before) :], len(opening) + start, len(opening) + end
 
