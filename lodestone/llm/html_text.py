@@ -1,18 +1,23 @@
 """Main text of web pages: flat text blocks, classified by a small decision tree.
 
-A page is cut into blocks at block-level tags. Each block has its word count and link density, those of its neighbours,
-and what encloses it: the nearest marked container (article and main, or menus, headers, footers, sidebars, notices,
-adverts, forms, comments). A tree of axis-parallel splits, trained at start on the labelled pages below, keeps or drops it.
-
-Defined results: null or blank html has an empty text; scripts, styles, comments, heads and hidden elements never become
-blocks; a <br> is white space inside a block; unclosed elements end with their parent; broken markup is read as text or
-skipped, never an error; texts of any length are read whole; repeated rows give repeated results; other columns are ignored.
+A page is cut into blocks at block-level tags, in one scan that is linear in its length. Each block has its word count and
+link density, those of its neighbours, whether it is a heading, and a mark: what the nearest named container around it says
+(article and main, or menus, headers, footers, sidebars, notices, adverts, forms, comments). A tree of axis-parallel splits,
+trained at start on the labelled pages below, keeps or drops it. The mark is one feature among others: it tells a reader's
+comment from a paragraph, which counts cannot, and where a page has none, words and links decide alone.
+
+Defined results: null or blank html has an empty text; scripts, styles, comments and hidden elements never become blocks, nor
+does what stands between <head> and its end, <body> or the first element of a body; a <br> is white space inside a block;
+unclosed elements end with their parent, unclosed scripts with the page; broken markup is read as text or skipped, never an
+error; texts of any length are read whole; repeated rows give repeated results; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -22,14 +27,12 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import slices
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|head|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>"
-    r"|[^<]+|<",
-    re.S | re.I,
-)
+TAG = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile("[>\"']")
+#: Elements whose content is no text of the page; of those without a word in it, a block ends only at the first kind.
+FIELDS = frozenset(("textarea", "select"))
+RAW = frozenset("script style noscript template svg math iframe object canvas title".split()) | FIELDS
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 CUT = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -71,11 +74,102 @@ def _kind(tag: str, attributes: str, outer: int) -> int:
     return max(outer, 1) if names & CONTENT_NAMES and outer >= 0 else outer
 
 
+def tokens(html: str):
+    """(tag, attributes, closing) of each tag and (None, text, False) of each text between; raw elements are one empty tag."""
+    at, size = 0, len(html)
+    last = html.rfind(">")
+    last_quote = {q: html.rfind(q) for q in "\"'"}
+    while at < size:
+        lt = html.find("<", at)
+        if lt < 0 or lt > last:  # no tag ends behind this
+            yield None, html[at:], False
+            return
+        if lt > at:
+            yield None, html[at:lt], False
+        if html.startswith("<!--", lt):
+            end = html.find("-->", lt + 4)
+            at = size if end < 0 else end + 3
+            continue
+        m = TAG.match(html, lt + 1)
+        if m is None:
+            if html[lt + 1 : lt + 2] in ("!", "?", "/"):
+                at = html.index(">", lt) + 1
+            else:
+                yield None, "<", False
+                at = lt + 1
+            continue
+        # the first > that stands in no quoted value; a value whose quote is never closed ends with its tag
+        end = m.end()
+        while True:
+            stop = STOP.search(html, end)
+            if stop is None:
+                end = html.index(">", m.end())
+                break
+            end, found = stop.end(), stop[0]
+            if found == ">":
+                end -= 1
+                break
+            before = stop.start() - 1
+            while html[before].isspace():
+                before -= 1
+            if html[before] == "=":
+                if stop.start() >= last_quote[found]:
+                    end = html.index(">", m.end())
+                    break
+                end = html.index(found, end) + 1
+        name, attributes, at = m[1].lower(), html[m.end() : end], end + 1
+        closing = html[lt + 1] == "/"
+        if name in RAW and not closing and not (attributes.endswith("/") and name in ("svg", "math")):
+            close = RAW_END[name].search(html, at)
+            at = size if close is None else close.end()
+        yield name, attributes, closing
+
+
+#: Elements that an end tag inside does not leave, unless it is one of OUTER.
+BARRIERS, OUTER = frozenset(("article", "body", "main", "td")), frozenset(("html", "body", "main", "article", "table", "tr"))
+
+
+class Stack:
+    """Open elements as (tag, kind); knows without a search whether an end tag closes one."""
+
+    def __init__(self):
+        self.open: list[tuple[str, int]] = []
+        self.total, self.scopes = Counter(), [Counter()]
+
+    def top(self) -> tuple[str, int]:
+        return self.open[-1] if self.open else ("", 0)
+
+    def push(self, tag: str, kind: int):
+        self.open.append((tag, kind))
+        self.total[tag] += 1
+        self.scopes[-1][tag] += 1
+        if tag in BARRIERS:
+            self.scopes.append(Counter())
+
+    def pop(self) -> str:
+        tag = self.open.pop()[0]
+        if tag in BARRIERS:
+            self.scopes.pop()
+        self.total[tag] -= 1
+        self.scopes[-1][tag] -= 1
+        return tag
+
+    def close(self, tag: str):
+        """Up to the innermost such element that is no further out than a barrier; else nothing."""
+        inside = self.scopes[-1][tag] or (len(self.scopes) > 1 and tag in BARRIERS and self.scopes[-2][tag] and self._barrier() == tag)
+        if inside or (tag in OUTER and self.total[tag]):
+            while self.pop() != tag:
+                pass
+
+    def _barrier(self) -> str:
+        return next((t for t, _ in reversed(self.open) if t in BARRIERS), "")
+
+
 def blocks(html: str) -> list[tuple[str, int, int, int, int]]:
     """(text, words, words in links, kind of container, heading or not) of each block with words, in page order."""
     out: list = []
-    stack: list[tuple[str, int]] = []
-    kind, links, held, in_links, heading = 0, 0, [], 0, 0
+    stack = Stack()
+    kind, links, held, in_links, heading, in_head = 0, 0, [], 0, 0, False
 
     def flush():
         nonlocal held, in_links
@@ -85,52 +179,44 @@ def blocks(html: str) -> list[tuple[str, int, int, int, int]]:
                 out.append((" ".join(words), len(words), min(in_links, len(words)), kind, heading))
             held, in_links = [], 0
 
-    for m in TOKEN.finditer(html):
-        tag = m[3]
+    for tag, rest, closing in tokens(html):
         if tag is None:
-            raw = m[0]
-            if m[1] is None and not (raw[0] == "<" and len(raw) > 1):
-                held.append(raw)
+            if not in_head:
+                held.append(rest)
                 if links:
-                    in_links += len(entities.unescape(raw).split())
-            elif m[1] is not None and m[1].lower() in ("head", "textarea", "select"):
-                flush()
-            continue
-        tag = tag.lower()
-        if tag == "br":
+                    in_links += len(entities.unescape(rest).split())
+        elif tag == "head":
+            flush()
+            in_head = not closing
+        elif tag == "br" or tag == "img" or tag == "input":
             held.append(" ")
         elif tag == "a":
-            links = 0 if m[2] else 1
+            links = 0 if closing else 1
+        elif tag in FIELDS:
+            flush()
         elif tag in BLOCKS:
             flush()
-            links = 0
-            if m[2]:
-                for at in range(len(stack) - 1, -1, -1):
-                    if stack[at][0] == tag:
-                        del stack[at:]
-                        break
-                    if stack[at][0] in ("article", "body", "main", "td") and tag not in ("html", "body", "main", "article", "table", "tr"):
-                        break  # a stray end tag does not leave its part of the page
+            links, in_head = 0, in_head and tag == "html"
+            if closing:
+                stack.close(tag)
             else:
-                while stack and stack[-1][0] in CLOSED_BY.get(tag, ()):
+                while stack.top()[0] in CLOSED_BY.get(tag, ()):
                     stack.pop()
-                if stack and stack[-1][0] == "p" and tag not in ("button", "label"):
+                if stack.top()[0] == "p" and tag not in ("button", "label"):
                     stack.pop()
-                if tag not in VOID and not m[4].endswith("/"):
-                    stack.append((tag, _kind(tag, m[4], stack[-1][1] if stack else 0)))
-            kind = stack[-1][1] if stack else 0
-            heading = int(bool(stack) and len(stack[-1][0]) == 2 and stack[-1][0][0] == "h" and stack[-1][0][1].isdigit())
-        elif tag == "img" or tag == "input":
-            held.append(" ")
+                if tag not in VOID and not rest.endswith("/"):
+                    stack.push(tag, _kind(tag, rest, stack.top()[1]))
+            name, kind = stack.top()
+            heading = int(len(name) == 2 and name[0] == "h" and name[1].isdigit())
     flush()
     return out
 
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "place", "heading")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "mark", "heading")
 
 
 def features(found: list[tuple]) -> np.ndarray:
-    """place: 2 in a content element, 1 in one by its name, 0 unmarked, -1 beside the page's content elements, -2 in a container to drop."""
+    """mark: 2 in a content element, 1 in one by its name, 0 unmarked, -1 beside the page's content elements, -2 in a container to drop."""
     n = len(found)
     out = np.zeros((n, len(FEATURES)))
     if not n:
@@ -139,36 +225,66 @@ def features(found: list[tuple]) -> np.ndarray:
     density = np.array([b[2] for b in found]) / words
     kinds = np.array([b[3] for b in found])
     top = kinds.max()
-    place = np.where(kinds < 0, -2, np.where(kinds == top, kinds, -1)) if top > 0 else np.where(kinds < 0, -2, 0)
+    mark = np.where(kinds < 0, -2, np.where(kinds == top, kinds, -1)) if top > 0 else np.where(kinds < 0, -2, 0)
     out[:, 0], out[:, 1] = words, density
     out[1:, 2], out[1:, 3] = words[:-1], density[:-1]
     out[:-1, 4], out[:-1, 5] = words[1:], density[1:]
-    out[:, 6], out[:, 7] = place, [b[4] for b in found]
+    out[:, 6], out[:, 7] = mark, [b[4] for b in found]
     return out
 
 
-#: The labelled table: pages as blocks (words, words in links, kind of container, heading, main text or not).
-LABELLED = [
-    [(1, 1, -2, 0, 0), (2, 2, -2, 0, 0), (8, 0, -1, 0, 0), (5, 0, 2, 1, 1), (60, 0, 2, 0, 1), (1, 0, 2, 0, 1), (45, 5, 2, 0, 1), (9, 0, -2, 0, 0)],
-    [(1, 1, -2, 0, 0), (30, 0, -1, 0, 0), (2, 0, 2, 1, 1), (1, 0, 2, 0, 1), (3, 3, 2, 0, 1), (25, 0, -2, 0, 0), (14, 0, 2, 0, 1), (40, 0, -2, 0, 0)],
-    [(25, 0, 0, 0, 0), (7, 0, 2, 1, 1), (80, 0, 2, 0, 1), (4, 0, 2, 1, 1), (33, 10, 2, 0, 1), (30, 0, 0, 0, 0), (60, 0, 0, 0, 0)],
-    [(3, 3, 0, 0, 0), (2, 2, 0, 0, 0), (6, 0, 0, 1, 1), (70, 2, 0, 0, 1), (50, 0, 0, 0, 1), (12, 0, 0, 0, 1), (40, 3, 0, 0, 1), (4, 4, 0, 0, 0), (3, 2, 0, 0, 0)],
-    [(1, 1, 0, 0, 0), (1, 1, 0, 0, 0), (8, 0, 0, 1, 1), (35, 0, 0, 0, 1), (6, 0, 0, 0, 1), (55, 0, 0, 0, 1), (5, 0, 0, 0, 0), (2, 2, 0, 0, 0), (6, 5, 0, 0, 0)],
-    [(4, 0, 0, 0, 0), (3, 3, 0, 0, 0), (5, 0, 0, 1, 1), (28, 1, 0, 0, 1), (90, 4, 0, 0, 1), (20, 0, 0, 0, 1), (10, 8, 0, 0, 0), (4, 0, 0, 0, 0)],
-    [(2, 2, -2, 0, 0), (6, 0, 1, 1, 1), (3, 0, 1, 0, 1), (48, 0, 1, 0, 1), (7, 7, 1, 0, 0), (30, 0, 0, 0, 0), (20, 12, 0, 0, 0), (12, 0, -1, 0, 0)],
-    [(2, 2, -2, 0, 0), (20, 0, 1, 0, 1), (2, 0, 1, 0, 1), (15, 0, 1, 1, 1), (22, 2, 1, 0, 1), (5, 5, 1, 0, 0), (8, 0, 0, 0, 0)],
-    [(40, 0, 0, 0, 1)],
-    [(1, 1, -2, 0, 0), (5, 0, 2, 1, 1), (40, 0, 2, 0, 1), (2, 0, 2, 0, 1)],
-    [(3, 0, 2, 1, 1), (1, 0, 2, 0, 1)],
-    [(12, 12, 2, 0, 1), (9, 0, 2, 0, 1), (20, 20, 2, 0, 1), (4, 0, 2, 0, 1), (8, 8, 2, 0, 1), (11, 0, 2, 0, 1), (10, 6, 2, 0, 1), (15, 0, 2, 0, 1), (9, 8, 2, 0, 1), (4, 0, 2, 0, 1), (1, 1, 2, 0, 1)],
-    [(9, 9, 0, 0, 0), (7, 0, 0, 0, 0), (10, 10, 0, 0, 0), (5, 0, 0, 1, 1), (40, 0, 0, 0, 1), (9, 9, 0, 0, 0), (10, 0, 0, 0, 0), (12, 12, 0, 0, 0)],
-    [(1, 0, 2, 0, 1)],
-    [(6, 0, 1, 1, 1), (30, 0, 1, 0, 1), (3, 0, 1, 0, 1)],
-    [(12, 0, 0, 0, 1), (60, 2, 0, 0, 1)],
-    [(3, 0, 0, 1, 1), (18, 1, 0, 0, 1)],
-    [(25, 3, 0, 0, 1), (30, 0, 0, 0, 1), (2, 0, 0, 0, 1), (50, 0, 0, 0, 1)],
-    [(15, 15, -2, 0, 0), (2, 2, 2, 0, 1), (1, 0, 2, 0, 1), (1, 0, 2, 1, 1), (6, 0, -1, 0, 0), (120, 0, -2, 0, 0), (90, 0, -1, 1, 0)],
-]
+#: The labelled table, a page a line, a block a word: how often it stands there, words, words in links, its container (c content,
+#: b content by name, . none, x may hold content, n holds none), h for a heading, and whether it is main text.
+LABELLED = """
+6*1/1n- 8x- 5ch+ 60c+ 1c+ 45/5c+ 9n-
+5*1/1n- 2/2n- 30x- 2ch+ 1c+ 3/3c+ 25n- 14c+ 40n-
+7*1/1.- 25.- 7ch+ 80c+ 4ch+ 33/10c+ 30.- 60.- 3*2/2.-
+4*3/3.- 5*2/2.- 6.h+ 70/2.+ 50.+ 12.+ 40/3.+ 4/4.- 3*3/2.-
+6*1/1.- 1/1.- 8.h+ 35.+ 6.+ 55.+ 5.- 2/2.- 6/5.-
+4.- 5*3/3.- 5.h+ 28/1.+ 90/4.+ 20.+ 10/8.- 4.-
+8*2/2n- 6bh+ 3b+ 48b+ 7/7b- 30.- 20/12.- 12x-
+4*2/2n- 20b+ 2b+ 15bh+ 22/2b+ 5/5b- 8.-
+40.+
+6*1/1n- 5ch+ 40c+ 2c+ 3*1/1n-
+3ch+ 1c+
+7*2/2n- 12/12c+ 9c+ 20/20c+ 4c+ 8/8c+ 11c+ 10/6c+ 15c+ 9/8c+ 4c+ 1/1c+
+3*9/9.- 7.- 10/10.- 5.h+ 40.+ 2*9/9.- 10.- 12/12.-
+1c+
+6bh+ 30b+ 3b+
+12.+ 60/2.+
+3.h+ 18/1.+
+25/3.+ 30.+ 2.+ 50.+
+5*15/15n- 2/2c+ 1c+ 1ch+ 6x- 120n- 90xh-
+9*1/1n- 4x- 7ch+ 2c+ 55c+ 1c+ 3*30/1c+ 6*1/1n- 12n-
+6*1/1n- 3x- 4ch+ 20c+ 35c+ 3*25n- 2*60n- 2n-
+5*2/2n- 9ch+ 5/5c+ 41/2c+ 28c+ 5*6/6n- 4*1/1n-
+8*1/1.- 9.h+ 44/1.+ 38.+ 6.h+ 51.+ 5*4/4.- 7/5.-
+6*2/2.- 11.h+ 62.+ 15.+ 33/2.+ 47.+ 8*5/5.- 6/3.- 4.-
+10*1/1.- 5.h+ 30.+ 26.+ 9/1.+ 40.+ 6*3/3.- 9/6.-
+5*1/1x- 6bh+ 52/2b+ 4b+ 37b+ 6*4/4x- 20x- 8/4.-
+7*2/2x- 8bh+ 31b+ 66/3b+ 3*35x- 5*5/5.- 9.-
+4*1/1n- 15x- 3ch+ 3*1c+ 2/2c+ 18c+ 8n-
+6*1/1n- 9x- 10ch+ 120/3c+ 80c+ 2*14c+ 4ch+ 64c+ 22/22x- 16n-
+5*4/4.- 6.h+ 5*7.+ 45.+ 3*6.+ 52/1.+ 4*4/4.-
+12*2/2.- 48/3.+ 55.+ 39.+ 5*3/3.-
+6*1/1.- 4.h+ 90/6.+ 75/4.+ 5.h+ 58.+ 2*2/2.- 6/2.-
+2*1/1n- 70ch+ 1c+ 1/1c+ 2c+ 4*50n-
+7*1/1n- 5.h+ 40.+ 35/2.+ 4.- 6n-
+6*1/1n- 3*2n- 4.h+ 36.+ 2.+ 41/1.+ 30n- 8n-
+5*1/1n- 7.h+ 33.+ 3.+ 28.+ 16x- 2*45n- 6*2/2n-
+4*1/1n- 5bh+ 35b+ 3/2b+ 60b+ 3/2b+ 22/2b+ 5/3b+ 3/2b+ 31b+ 6/6b- 9n-
+4*1/1x- 6.h+ 24.+ 58/2.+ 1.+ 33.+ 3*9/9x- 12x-
+"""
+
+
+def labelled() -> list[list[tuple[int, int, int, int, int]]]:
+    """The table's pages as blocks (words, words in links, kind of container, heading, main text or not)."""
+    kinds, pages = {"c": 2, "b": 1, ".": 0, "x": -1, "n": -2}, []
+    for line in LABELLED.split("\n"):
+        found = re.findall(r"(?:(\d+)\*)?(\d+)(?:/(\d+))?([cb.xn])(h?)([+-])", line)
+        if found:
+            pages.append([(int(w), int(n or 0), kinds[k], int(h != ""), int(y == "+")) for times, w, n, k, h, y in found for _ in range(int(times or 1))])
+    return pages
 
 
 #: Blocks that a leaf of the tree is based on, at least.
@@ -200,8 +316,9 @@ def _grow(x: np.ndarray, y: np.ndarray, depth: int):
 
 @lru_cache(maxsize=1)
 def tree(depth: int = 7):
-    x = np.concatenate([features([("", *b[:4]) for b in page]) for page in LABELLED])
-    return _grow(x, np.array([b[4] for page in LABELLED for b in page], float), depth)
+    pages = labelled()
+    x = np.concatenate([features([("", *b[:4]) for b in page]) for page in pages])
+    return _grow(x, np.array([b[4] for page in pages for b in page], float), depth)
 
 
 def _keeps(node, row) -> bool:
