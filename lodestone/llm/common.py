@@ -18,22 +18,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; where that is unset (tests), below a folder of our own."""
+def shared_path(spark: SparkSession, name: str, keep: bool = True) -> str:
+    """A fresh folder below spark.checkpoint.dir, which a cluster must set; where all runs on this machine, below one of our own.
+
+    keep: false for steps of a computation, which are deleted when the application ends.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _own.setdefault("dir", "")
         if not base:
             base = _own["dir"] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}")
-    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()  # also other readers must find it
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not keep:
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    full = system.makeQualified(path).toString()  # also other readers must find it
     return full if "://" in full else full.replace(":/", ":///", 1)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    path = shared_path(df.sparkSession, name, keep)
+    df.write.mode("append").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

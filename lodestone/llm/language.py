@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import kept_rows, slices, texts_of
-from lodestone.llm.word_rows import WordRows, bounded_sample
+from lodestone.llm.word_rows import WordRows, bounded_sample, bounded_texts
 
-#: Labelled documents that the model is fitted on, at most (about).
+#: Labelled documents that the model is fitted on, at most (about); their characters are bounded too (word_rows).
 SAMPLE = 4000
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
@@ -43,7 +43,11 @@ LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters_of(word: str) -> str:
-    return word.lower() if word.isalpha() else LETTERS.sub("", word).lower()
+    if not word.isalpha():
+        word = LETTERS.sub("", word)
+        if word and not word.isalpha():  # some numbers count as characters of words
+            word = "".join(c for c in word if c.isalpha())
+    return word.lower()
 
 
 def script_of(word: str) -> int:
@@ -166,8 +170,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = PENALTY, c
 def train(docs: DataFrame, held_out: int = 1, sample: int = SAMPLE) -> dict:
     """The model of docs(doc_id, text, lang): a bounded sample of labelled rows outside the held-out remainder of 3."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != held_out))
-    found = bounded_sample(rows.select("doc_id", "text", "lang"), sample).collect()
-    found.sort(key=lambda r: (r["doc_id"], r["text"]))
+    found = bounded_texts(bounded_sample(rows.select("doc_id", "text", "lang"), sample))
     return fit([r["text"] for r in found], [r["lang"] for r in found])
 
 

@@ -7,6 +7,7 @@ of a task, and only rows of finished tasks name shards: what a lost executor lef
 not shuffled; only addresses are.
 
 Metadata columns come from range reads of the first HEADER bytes of a member; whole members are read for features only.
+The shared folder must be of a kind that pyarrow.fs.FileSystem.from_uri knows: file, hdfs and viewfs, s3, gs or abfss.
 
 Defined results: null text counts as empty; an empty payload is one block of fill bytes; texts of any length are one member;
 repeated rows share a member; an empty table gives no rows; other columns are ignored.
@@ -35,6 +36,8 @@ WIDTH = 576
 SHARD_BYTES = 64 << 20
 #: Digests that a task remembers; beyond that a payload may be stored again, which costs space only.
 REMEMBERED = 1_000_000
+#: Stored bytes that a task reads back, about.
+TASK_BYTES = 16 << 20
 MAGIC = b"\x89PNG\r\n\x1a\n"
 HEADER = 33  # the signature and the header chunk
 
@@ -132,7 +135,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, str]:
                 out.write(bytes(1024))
                 out.close()
 
-    return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ADDRESSES), "media-rows"), root
+    return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ADDRESSES), "media-rows", keep=True), root
 
 
 def canonical(rows: DataFrame) -> DataFrame:
@@ -159,7 +162,9 @@ def _read(addresses: DataFrame, root: str, columns: str, row) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("shard"), batch.column("offset"), *(pa.array(c) for c in zip(*found))], names=["digest", "shard", "offset", *names])
 
-    rows = addresses.select("digest", "shard", "offset", "length").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    stored = addresses.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-stored // TASK_BYTES))  # by what is read, not by the size of addresses
+    rows = addresses.select("digest", "shard", "offset", "length").repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
     return rows.mapInArrow(run, f"digest binary, shard string, offset long, {columns}")
 
 

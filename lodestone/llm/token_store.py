@@ -317,7 +317,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, shard_ids: int = SHARD
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialise(rows.mapInArrow(run, SHARDS), "token-shards")
+    return materialise(rows.mapInArrow(run, SHARDS), "token-shards", keep=True)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:

@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import kept_rows, slices, texts_of
-from lodestone.llm.word_rows import WordRows, bounded_sample
+from lodestone.llm.word_rows import WordRows, bounded_sample, bounded_texts
 
-#: Labelled documents that the model is fitted on, at most (about).
+#: Labelled documents that the model is fitted on, at most (about); their characters are bounded too (word_rows).
 SAMPLE = 6000
 BUCKETS = 1 << 16
 PREFIXES = (3, 4, 5, 6)
@@ -156,11 +156,8 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     e = rng.normal(0, 0.05, (BUCKETS, DIMENSIONS)).astype(np.float32)
     e[:, 0] = np.maximum(odds, 0)
     w = rng.normal(0, 0.2, (DIMENSIONS, TAPS)).astype(np.float32)
-    for part in _split(w):
-        part[0, :, 0] = 1.0 / part.shape[1]  # views of w: the first filter of each width reads the log-odds
-    w = np.ascontiguousarray(w)
     at = 0
-    for width, f in FILTERS:
+    for width, f in FILTERS:  # the first filter of each width reads the log-odds
         w[0, at : at + width * f : f] = 1.0 / width
         at += width * f
     model = Model(e, w, np.zeros(POOLED, np.float32), np.full(POOLED, 0.02, np.float32), float(np.log((n1 + 1) / (n0 + 1))))
@@ -173,8 +170,9 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
         x[index] -= RATE * g / np.sqrt(s[index])
 
     for _ in range(EPOCHS):
-        for at in range(0, len(used), BATCH):
-            some = rng.permutation(used)[:BATCH] if at else used[rng.permutation(len(used))[:BATCH]]
+        dealt = rng.permutation(used)
+        for at in range(0, len(dealt), BATCH):
+            some = dealt[at : at + BATCH]
             rows, lengths = _padded([docs[d] for d in some])
             own, back_to = np.unique(rows, return_inverse=True)
             vectors = model.embedding[ids[own]].sum(axis=1)
@@ -250,8 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 2, sample: int = S
     marked = labels.filter(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 4 != held_out)).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
     chosen = bounded_sample(marked, sample).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    found = texts.join(F.broadcast(chosen), "doc_id").collect()  # bounded: about sample rows of labels
-    found.sort(key=lambda r: (r["doc_id"], r["text"]))
+    found = bounded_texts(texts.join(F.broadcast(chosen), "doc_id"))  # about sample rows of labels
     return fit([r["text"] for r in found], [r["toxic"] for r in found])
 
 

@@ -8,6 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import materialise
+
+#: Characters of the texts that a model is fitted on, at most (about), and of the longest one of them.
+SAMPLE_CHARS, LONGEST = 64_000_000, 1_000_000
 #: Words that a worker keeps; beyond that the cache starts anew, so memory stays bounded.
 CACHE_WORDS = 300_000
 
@@ -48,3 +52,14 @@ def bounded_sample(rows: DataFrame, size: int, key: str = "doc_id") -> DataFrame
     if n <= size:
         return rows
     return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1_000_003)) < int(1_000_003 * size / n))
+
+
+def bounded_texts(rows: DataFrame, size: int = SAMPLE_CHARS, longest: int = LONGEST) -> list:
+    """rows(doc_id, text, ...) for fitting a model, sorted: one row for each doc_id (the smallest), about size characters in all, on the driver."""
+    rest = [c for c in rows.columns if c != "doc_id"]
+    one = rows.filter(F.length("text") <= longest).groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in rest if c != "text"])).alias("r")).select("doc_id", "r.*")
+    one = materialise(one, "sample")
+    chars = one.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > size:
+        one = one.filter(F.pmod(F.xxhash64(F.lit("chars"), "doc_id"), F.lit(1_000_003)) < int(1_000_003 * size / chars))
+    return sorted(one.collect(), key=lambda r: r["doc_id"])
