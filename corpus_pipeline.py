@@ -39,7 +39,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if repeated.isEmpty():
         return kept
     same = F.col("doc_id").cast("long") == F.col("_repeated")
-    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+    first = F.min_by(F.struct(*kept.columns), F.coalesce("text", F.lit(""))).alias("_row")
+    one = kept.join(repeated, same, "left_semi").groupBy("doc_id").agg(first).select("_row.*")
+    return kept.join(repeated, same, "left_anti").unionByName(one)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
