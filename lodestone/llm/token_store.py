@@ -43,7 +43,7 @@ LEAST_COUNT = 4
 #: A round replaces the pairs within this factor of its most frequent one.
 SPREAD = 16
 #: Hash buckets that tell which pairs may be frequent.
-BUCKET_BITS = 20
+BUCKET_BITS = 18
 
 SHARDS = "part long, base long, n_tokens long, n_docs long, payload binary"
 
