@@ -18,6 +18,7 @@ import string
 import struct
 import zlib
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
 
@@ -97,8 +98,32 @@ def compress(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
         keep[places + 1] = False
         s = s[keep]
     key = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
-    kind = "<u2" if made <= 1 << 16 else "<u4"
-    return np.stack([key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)], 1).astype(kind), s.astype(kind)
+    return np.stack([key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32), s
+
+
+def _bits(symbols: int) -> int:
+    """Bits that so many symbols take, 16 at least."""
+    return max(16, (symbols - 1).bit_length())
+
+
+def _stored(x: np.ndarray, bits: int) -> bytes:
+    """Low halves of 16 bits, then a plane of bits for each further one."""
+    planes = [np.packbits((x >> np.uint32(k) & np.uint32(1)).astype(bool), bitorder="little") for k in range(16, bits)]
+    return b"".join([x.astype("<u2").tobytes(), *(p.tobytes() for p in planes)])
+
+
+class Stored:
+    """A column of _stored symbols, read in ranges that start at a multiple of 8."""
+
+    def __init__(self, take: Callable[[str, int], np.ndarray], n: int, bits: int):
+        self.low, self.planes, self.size = take("<u2", n), [take("<u1", -(-n // 8)) for _ in range(16, bits)], n
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        a, b, _ = part.indices(self.size)
+        out = self.low[a:b].astype(np.uint32)
+        for k, plane in enumerate(self.planes, 16):
+            out |= np.unpackbits(plane[a // 8 : -(-b // 8)], bitorder="little")[: b - a].astype(np.uint32) << np.uint32(k)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -122,9 +147,9 @@ class Shard:
             return x
 
         self.doc_ids, self.null, self.lengths = take("<i8", docs), take("<u1", docs), take("<u4", docs)
-        kind = "<u2" if self.vocabulary + rules <= 1 << 16 else "<u4"
-        self.rules, self.expands = take(kind, 2 * rules).reshape(-1, 2), take("<u4", rules)
-        self.blocks, self.symbols = take("<u8", -(-symbols // BLOCK)), take(kind, symbols)
+        bits = _bits(self.vocabulary + rules)
+        self.rules, self.expands = Stored(take, 2 * rules, bits)[:].reshape(-1, 2), take("<u4", rules)
+        self.blocks, self.symbols = take("<u8", -(-symbols // BLOCK)), Stored(take, symbols, bits)
         self._table: list[bytes] | None = None
 
     @staticmethod
@@ -134,7 +159,7 @@ class Shard:
         size = [1] * vocabulary
         for a, b in rules.tolist():
             size.append(size[a] + size[b])
-        expands = np.array(size, np.uint32)
+        expands, bits = np.array(size, np.uint32), _bits(len(size))
         before = np.concatenate([[0], np.cumsum(expands[symbols], dtype=np.uint64)])[:-1]
         return b"".join(
             [
@@ -142,10 +167,10 @@ class Shard:
                 np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
                 np.array([d is None for d in doc_ids], "<u1").tobytes(),
                 np.array(lengths, "<u4").tobytes(),
-                rules.tobytes(),
+                _stored(rules.reshape(-1), bits),
                 expands[vocabulary:].astype("<u4").tobytes(),
                 before[::BLOCK].astype("<u8").tobytes(),
-                symbols.tobytes(),
+                _stored(symbols, bits),
             ]
         )
 
@@ -167,7 +192,7 @@ class Shard:
 
     def documents(self):
         """(doc_id, first id's place in the shard, ids) of each document."""
-        ids = memoryview(self._expand(self.symbols))
+        ids = memoryview(self._expand(self.symbols[:]))
         at = 0
         for doc_id, null, n in zip(self.doc_ids.tolist(), self.null.tolist(), self.lengths.tolist()):
             yield None if null else doc_id, at, ids[4 * at : 4 * (at + n)]
@@ -181,6 +206,8 @@ HEADS = TAILS.replace("'", "")
 END = "\0"
 #: Characters that are encoded as one text.
 JOINED = 1 << 16
+#: Pieces that a worker keeps.
+CACHED = 1_000_000
 #: What is not a letter below U+0370 whose lower case is one letter.
 BEYOND = re.compile("[^\0-\u012f\u0131-\u036f]")
 
@@ -211,7 +238,7 @@ class BlankTokenizer:
             self.fast = tiktoken.Encoding("own", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
             self.ends = np.zeros(max(ranks.values()) + 1, bool)
             self.ends[[i for b, i in ranks.items() if len(b) > 1 and b.endswith(END.encode())]] = True
-        self.cache = PieceCache(self._many)
+        self.cache = PieceCache(self._many, CACHED)
 
     def _plain(self, pieces: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -269,13 +296,14 @@ class BlankTokenizer:
         own = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self.cache.find(own)
         known.append(struct.pack("<H", end))
-        size = np.array([len(x) for x in known]) // 2
-        start = np.cumsum(size) - size
-        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        size = np.array(list(map(len, known)), np.int32) // 2
+        start = np.cumsum(size, dtype=np.int32) - size
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)
         index = np.insert(pieces.indices.to_numpy(), ends, len(own))
         n = size[index]
-        total = np.cumsum(n)
-        places = np.repeat(start[index] - total + n, n) + np.arange(int(total[-1]) if total.size else 0)
+        total = np.cumsum(n, dtype=np.int32)  # a batch of texts has fewer than 2**31 bytes
+        places = np.repeat(start[index] - total + n, n)
+        places += np.arange(places.size, dtype=np.int32)
         counts = np.diff(total[ends + np.arange(len(ends))], prepend=0)
         return np.frombuffer(b"".join(known), "<u2")[places], counts
 

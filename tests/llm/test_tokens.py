@@ -85,7 +85,7 @@ def test_shard_round_trip_and_random_access(n):
         a, b = sorted(rng.randrange(shard.n + 1) for _ in range(2))
         assert shard.read(a, b) == every[4 * a : 4 * b]
     if n == 5000:
-        assert shard.symbols.nbytes + shard.rules.nbytes < len(every) // 4 and len(shard.rules) > 5
+        assert 2 * shard.symbols.size + shard.rules.nbytes < len(every) // 4 and len(shard.rules) > 5
 
 
 def test_token_store(odd, none):
