@@ -111,7 +111,7 @@ def word_scores(model: dict, words: list[str]) -> np.ndarray:
         bucket, owner = grams([plain[i] for i in have])
         order = np.argsort(owner, kind="stable")
         starts = np.flatnonzero(np.diff(owner[order], prepend=-1))
-        score = np.add.reduceat(model["log"][bucket[order]], starts, axis=0)
+        score = np.add.reduceat(model["log"][bucket[order]], starts, axis=0, dtype=np.float32)
         may = model["scripts"][[script_of(plain[i]) for i in have]]
         score = np.where(may | ~may.any(axis=1, keepdims=True), score, -np.inf)
         score = np.maximum(score - score.max(axis=1, keepdims=True), -SPREAD)

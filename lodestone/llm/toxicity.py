@@ -38,6 +38,9 @@ TAPS = sum(w * f for w, f in FILTERS)
 POOLED = sum(f for _, f in FILTERS)
 EPOCHS, BATCH, RATE, DECAY = 3, 64, 0.05, 1e-5
 THRESHOLD = 0.3
+#: Labelled rows kept aside, five of each kind among them, that a calibration rests on at least; a language with fewer takes
+#: that of all languages, and with fewer of all logits stay as they are.
+ENOUGH = 50
 SEED = 7
 
 #: Common function words, to read a text's language off.
@@ -215,11 +218,10 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
         vectors = model.embedding[ids[rows]].sum(axis=1)
         vectors[rows == 0] = 0
         logit[some] = model.logits(responses(vectors @ model.filters, lengths)[0])
-    every_scale = _calibrate(logit[aside], y[aside], (1.0, 0.0))
+    scaled = lambda own, start: _calibrate(logit[own], y[own], start) if len(own) >= ENOUGH and 5 <= y[own].sum() <= len(own) - 5 else start
+    every_scale = scaled(aside, (1.0, 0.0))
     for lang in LANGUAGES:
-        own = np.array([d for d in aside if langs[d] == lang], np.int64)
-        enough = len(own) >= 50 and 5 <= y[own].sum() <= len(own) - 5
-        model.scales[lang] = _calibrate(logit[own], y[own], every_scale) if enough else every_scale
+        model.scales[lang] = scaled(np.array([d for d in aside if langs[d] == lang], np.int64), every_scale)
     return model
 
 
