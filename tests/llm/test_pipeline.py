@@ -50,6 +50,22 @@ def test_stages(spark, planted):
     assert corpus_pipeline.run(spark, sf).count() == packed.count()
 
 
+def test_stages_on_odd_rows(spark, planted, odd, none):
+    """Nulls, empty and very long texts, repeated rows, no rows, columns of clashing names."""
+    sf, _ = planted
+    extra = odd.selectExpr("*", "'en' as lang", "'s' as source", "1L as n_chars", "'x' as _rejected", "1 as node")
+    ids = lambda df: sorted((r["doc_id"] for r in df.collect()), key=str)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, extra, sf)
+        assert got.columns == extra.columns and set(ids(got)) <= set(ids(extra))
+        empty = none.selectExpr("doc_id", "text", "lang", "'s' as source", "1L as n_chars")
+        assert stage(spark, empty, sf).collect() == []
+        if name == "simhash":
+            assert ids(got) == sorted([1, 4, 5, 7, 8, 9, None, 10], key=str)
+    packed = corpus_pipeline.STAGES[-1][1](spark, extra, sf)
+    assert set(ids(packed)) == set(ids(extra)) and corpus_pipeline.STAGES[-1][1](spark, none, sf).collect() == []
+
+
 @pytest.mark.parametrize("name", [n for n in __spark_entry__.queries() if n.startswith("op")])
 def test_registered_queries_run(spark, name):
     if not SF.exists():
