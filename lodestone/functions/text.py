@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import string
+import sys
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -19,6 +23,10 @@ QUERY_STOP_WORDS = (
 CONCEPT_STOP_WORDS = "a an and are as at be by for from in is of on or the to with shall should must".split()
 
 
+#: What tokens are made of.
+TOKEN = string.ascii_lowercase + string.digits
+
+
 def _folded(c: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKD", c.casefold()) if not unicodedata.combining(x))
 
@@ -36,9 +44,44 @@ def _beyond_ascii(text: Column, form: Callable[[str], str]) -> Column:
     return F.coalesce(F.arrow_udf(run, StringType())(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.lower(text))
 
 
+@lru_cache(maxsize=1)
+def fold_table() -> tuple[str, str, str]:
+    """(characters, what each becomes: shorter, as the rest becomes nothing; characters that become several of which some count).
+
+    Of all code points those that fold to a letter a to z or a digit, or to nothing; whatever else ends a token as it is.
+    """
+    one, to, none, several = [], [], [], []
+    for code in chain(range(ord("A"), ord("Z") + 1), range(0x80, 0xD800), range(0xE000, sys.maxunicode + 1)):
+        c = chr(code)
+        f = _folded(c)
+        if f == c:
+            continue
+        if not f:
+            none.append(c)
+        elif any(x in TOKEN for x in f):
+            if len(f) == 1:
+                one.append(c)
+                to.append(f)
+            else:
+                several.append(c)
+    return "".join(one + none), "".join(to), "".join(several)
+
+
 def fold(text: Column) -> Column:
-    """Case folded, compatibility decomposed, without combining marks; plain ASCII takes the short way."""
-    return _beyond_ascii(text, _folded)
+    """Case folded, compatibility decomposed, without combining marks, as far as letters a to z and digits go.
+
+    Plain ASCII is lower-cased; other texts are translated character by character, and only those with a character that becomes
+    several (but for sharp s, a common one) go through Python.
+    """
+    given, become, several = fold_table()
+    common = F.translate(F.replace(F.replace(text, F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss")), given, become)
+    rare = text.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in several if c not in "ßẞ") + "]")
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _folded(t) for t in texts.to_pylist()], pa.string())
+
+    slow = F.arrow_udf(run, StringType())(F.when(rare, text))
+    return F.when(~text.rlike(r"[^\x00-\x7F]"), F.lower(text)).otherwise(F.coalesce(slow, common))
 
 
 def tokens(text: Column) -> Column:

@@ -7,6 +7,7 @@ one version pair at a time, to the similarity ratio in Python.
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +30,13 @@ def ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
+def most_alike(a: str, b: str) -> float:
+    """What their ratio cannot exceed, by their characters alone."""
+    if not a and not b:
+        return 1.0
+    return 2 * (Counter(a) & Counter(b)).total() / (len(a) + len(b))
+
+
 def _ratios(old: str, new: str) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([round(ratio(x or "", y or ""), 4) for x, y in zip(a, b)], dtype=float)
@@ -51,20 +59,24 @@ def match_exact(old: DataFrame, new: DataFrame) -> DataFrame:
     return by_id.union(by_title)
 
 
-def section_match_score(old_title: str, old_text: str, new_title: str, new_text: str) -> float:
-    """Of sections with different ids; titles and texts normalised."""
+def section_match_score(old_title: str, old_text: str, new_title: str, new_text: str, threshold: float = 0.0) -> float:
+    """Of sections with different ids; titles and texts normalised. 0 for what cannot reach the threshold."""
     if old_title and old_title == new_title:
         return 0.98
-    if not old_title or not new_title:
-        return 0.0  # the texts alone give 0.3 at most
-    title = ratio(old_title, new_title)
-    if 0.7 * title + 0.3 < MATCH - 1e-4:
+    title = 0.0
+    if old_title and new_title:
+        if 0.7 * most_alike(old_title, new_title) + 0.3 < threshold - 1e-4:
+            return 0.0
+        title = ratio(old_title, new_title)
+    if 0.7 * title + 0.3 * most_alike(old_text, new_text) < threshold - 1e-4:
         return 0.0
     return round(0.7 * title + 0.3 * ratio(old_text, new_text), 4)
 
 
 def match(old: DataFrame, new: DataFrame, threshold: float = MATCH) -> DataFrame:
     """(pair_id, old_idx, new_idx, match_score): one to one, best score first, then input order."""
+    if not 0 <= threshold <= 1:
+        raise ValueError("threshold must be between 0 and 1")
     o = old.select("pair_id", F.col("idx").alias("old_idx"), "section_id", normalise("title").alias("title"), normalise("text").alias("text"))
     n = new.select("pair_id", F.col("idx").alias("new_idx"), "section_id", normalise("title").alias("title"), normalise("text").alias("text"))
     by_id = o.select("pair_id", "old_idx", "section_id").join(n.select("pair_id", "new_idx", "section_id"), ["pair_id", "section_id"]).select("pair_id", "old_idx", "new_idx", F.lit(1.0).alias("match_score"))
@@ -75,7 +87,7 @@ def match(old: DataFrame, new: DataFrame, threshold: float = MATCH) -> DataFrame
         found = []
         for x in a.itertuples():
             for y in b.itertuples():
-                s = section_match_score(x.title, x.text, y.title, y.text)
+                s = section_match_score(x.title, x.text, y.title, y.text, threshold)
                 if s >= threshold:
                     found.append((-s, x.old_idx, y.new_idx))
         out, left, right = [], set(), set()
@@ -139,6 +151,7 @@ def changes(pairs: DataFrame, with_similarity: bool = True) -> DataFrame:
     found = F.array_compact(F.array(*[F.when(F.col(k), F.lit(v)) for k, v in names]))
     signals = F.when(both, found).when(p.isNull(), F.array(F.lit("new_section"))).otherwise(F.array(F.lit("removed_section")))
     ids = F.when(both, F.array(F.lit("modified"), _source_id(p), _source_id(c))).otherwise(F.array(kind, F.coalesce(_source_id(p), _source_id(c))))
+    # fixed values: the sentences are part of the result
     said = (
         F.when(p.isNull(), F.concat(F.lit("Section "), c["section_id"], F.lit(" introduces new regulatory text.")))
         .when(c.isNull(), F.concat(F.lit("Section "), p["section_id"], F.lit(" is absent from the current version.")))

@@ -25,7 +25,11 @@ def citation_support(citations: DataFrame, sources: DataFrame) -> DataFrame:
 def review(claims: DataFrame, checked: DataFrame) -> DataFrame:
     """claims(claim_id) with checked(claim_id, supported): counts, status, reason; claims without citations stay."""
     n = checked.groupBy("claim_id").agg(F.count_if("supported").alias("supported_citations"), F.count_if(~F.col("supported")).alias("unsupported_citations"))
-    out = claims.join(n, "claim_id", "left").fillna(0, ["supported_citations", "unsupported_citations"])
+    return with_status(claims.join(n, "claim_id", "left").fillna(0, ["supported_citations", "unsupported_citations"]))
+
+
+def with_status(out: DataFrame) -> DataFrame:
+    """Status and reason by supported_citations and unsupported_citations."""
     yes, no = F.col("supported_citations"), F.col("unsupported_citations")
     status = F.when((yes > 0) & (no == 0), "supported").when(yes > 0, "partially_supported").otherwise("unsupported")
     reason = (
@@ -37,6 +41,20 @@ def review(claims: DataFrame, checked: DataFrame) -> DataFrame:
     return out.withColumns({"status": status, "reason": reason})
 
 
+def self_review(changes: DataFrame) -> DataFrame:
+    """changes(change_id, claim_id, previous, current): the review of each change's claim against the change's own sections.
+
+    A claim cites the sections it has, each with its whole text; changes without a claim have no review.
+    """
+    made = changes.filter(F.col("claim_id").isNotNull())
+    sides = made.select("change_id", "claim_id", F.posexplode(F.array("previous", "current")).alias("n", "s")).filter(F.col("s").isNotNull())
+    own = F.concat_ws("\u001f", "change_id", F.concat(F.col("s.document_id"), F.lit(":"), F.col("s.section_id")))
+    cited = sides.select("change_id", "claim_id", "n", own.alias("source_id"), F.col("s.text").alias("quote"), F.col("s.version").alias("version"), F.col("s.page").alias("page"))
+    sources = cited.select("source_id", F.col("quote").alias("text"), "version", "page")
+    n = citation_support(cited, sources).groupBy("change_id").agg(F.count_if("supported").alias("supported_citations"), F.count_if(~F.col("supported")).alias("unsupported_citations"))
+    return with_status(made.select("change_id", "claim_id").join(n, "change_id", "left").fillna(0, ["supported_citations", "unsupported_citations"]))
+
+
 def policy(reviews: DataFrame, remove_unsupported: bool = True) -> DataFrame:
     ok = F.col("status") == "supported"
     return reviews.withColumns({"accepted": ok | F.lit(not remove_unsupported), "flagged": ~ok})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import concepts, digest
@@ -30,7 +30,26 @@ def impacts(changed: DataFrame, candidates: DataFrame, minimum: float = 0.2) ->
         "item_id",
         "relevance_score",
         sure.alias("confidence_score"),
+        # fixed values: the two sentences are part of the result
         F.concat(F.lit("Potential impact inferred from shared concepts: "), F.array_join("overlap", ", "), F.lit(". Human validation is required.")).alias("rationale"),
         F.concat(F.lit("impact-claim-"), digest(12, "|", F.col("change_id"), F.col("item_id"))).alias("claim_id"),
         F.concat(F.col("name"), F.lit(" may be impacted by this regulatory change.")).alias("claim_text"),
     )
+
+
+def assessments(changes: DataFrame, candidates: DataFrame, minimum: float = 0.2) -> DataFrame:
+    """changes(change_id, previous, current) × candidates(item_id, name, keywords, source): impacts with citations and rank.
+
+    previous, current and source are sections or null: the current section is what counts, else the previous one; a change
+    with neither has no impacts. A claim cites that section and, where it has one, the candidate's. Best relevance ranks first
+    within a change, then the smallest item_id.
+    """
+    fields = ("document_id", "section_id", "text", "page", "version")
+    cite = lambda s: F.struct(*[F.col(s)[f].alias("quote" if f == "text" else f) for f in fields])
+    changed = changes.withColumn("section", F.coalesce("current", "previous")).filter(F.col("section").isNotNull()).select("change_id", "section", F.col("section.text").alias("text"))
+    known = candidates.withColumn("has_source", F.col("source").isNotNull())
+    found = impacts(changed.select("change_id", "text"), known.drop("source"), minimum)
+    cited = found.join(changed.select("change_id", "section"), "change_id").join(known.select("item_id", "source"), "item_id")
+    order = Window.partitionBy("change_id").orderBy(F.desc("relevance_score"), "item_id")
+    citations = F.when(F.col("source").isNull(), F.array(cite("section"))).otherwise(F.array(cite("section"), cite("source")))
+    return cited.withColumns({"citations": citations, "rank": F.row_number().over(order)}).drop("section", "source")

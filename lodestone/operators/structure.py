@@ -16,11 +16,20 @@ from lodestone.functions.text import stable_id
 ARTICLE = r"(?i)^((?:article|art\.)\s+[A-Z0-9][A-Z0-9.\-]*)(?:\s*[-:–—]\s*(.*))?$"
 HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
 NUMBERED = r"(?i)^(?:\d+(?:\.\d+)*|[IVXLCDM]+)[.)]?\s+\S+"
+#: What ends a line inside a block, what ends a block, and what counts as white space at the ends of a line.
+LINE_END = r"[\n\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+BLOCK_END = r"(?U)\n[\s\x1C-\x1F]*\n"
+SPACE_ENDS = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
 BLOCK_TAGS = r"(?:title|p|li|blockquote|td|th|h[1-6])"
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, SPACE_ENDS, "")
+
+
 def inline(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"[ \t\f\x0B]+", " "), r"(?U)^\s+|\s+$", "")
+    return stripped(F.regexp_replace(text, r"[ \t\f\x0B]+", " "))
 
 
 def _decoder(times: int):
@@ -72,7 +81,7 @@ def _text_block(lines: Column) -> Column:
 
 
 def text_blocks(content: Column) -> Column:
-    groups = F.transform(F.split(F.regexp_replace(content, r"\r\n?", "\n"), r"\n\s*\n"), lambda g: F.filter(F.transform(F.split(g, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    groups = F.transform(F.split(F.regexp_replace(content, r"\r\n?", "\n"), BLOCK_END), lambda g: F.filter(F.transform(F.split(g, LINE_END), stripped), lambda x: x != ""))
     return _decoded(F.flatten(F.transform(F.filter(groups, lambda g: F.size(g) > 0), _text_block)), content, 1)
 
 
@@ -106,6 +115,11 @@ def html_blocks(html: Column) -> Column:
     return F.flatten(F.transform(F.filter(html_parts(html), lambda p: p["tag"] != "title"), blocks))
 
 
+def document_id(source: Column, texts: Column) -> Column:
+    """Of a document by its source and the texts of its blocks."""
+    return stable_id(source, F.array_join(texts, "\n\n"))
+
+
 def chunks(df: DataFrame, blocks: str = "blocks", source: str = "source") -> DataFrame:
     """One row a paragraph of df(source, blocks): ids, ordinal, text, heading_path, article, citation.
 
@@ -127,7 +141,7 @@ def chunks(df: DataFrame, blocks: str = "blocks", source: str = "source") -> Dat
 
     texts = F.filter(F.transform(F.col(blocks), lambda b: b["text"]), lambda t: t != "")
     nonempty = F.filter(F.col(blocks), lambda b: b["text"] != "")
-    placed = df.withColumn("document_id", stable_id(F.col(source), F.array_join(texts, "\n\n"))).withColumn("_rows", F.aggregate(nonempty, start, step)["out"])
+    placed = df.withColumn("document_id", document_id(F.col(source), texts)).withColumn("_rows", F.aggregate(nonempty, start, step)["out"])
     out = placed.select("*", F.posexplode("_rows").alias("ordinal", "_row")).drop("_rows", blocks)
     out = out.withColumns({"text": F.col("_row.text"), "heading_path": F.col("_row.heading_path"), "article": F.col("_row.article")}).drop("_row")
     cited = F.when(F.col("article").isNotNull() & ~F.array_contains("heading_path", F.col("article")), F.array("article")).otherwise(F.array().cast("array<string>"))

@@ -513,7 +513,7 @@ def section_listing(spark, sf):
     text = F.concat(F.lit("# "), F.col("source"), F.lit("\narticle "), F.col("doc_id").cast("string"), F.lit(" - x\n# Part\nArticle 2 - y"))
     rows = W.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(text, "\n")).alias("n", "line"))
     w = Window.partitionBy("doc_id").orderBy("n")
-    rows = rows.withColumn("heading", F.last(F.when(F.col("line").startswith("# "), F.substring("line", 3, 10000)), ignorenulls=True).over(w))
+    rows = rows.withColumn("heading", F.last(F.when(F.col("line").startswith("# "), F.substr("line", F.lit(3))), ignorenulls=True).over(w))
     return rows.filter(F.lower("line").startswith("article ")).select("doc_id", "heading", F.split_part("line", F.lit(" - "), F.lit(1)).alias("article"))
 
 

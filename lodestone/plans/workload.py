@@ -89,10 +89,36 @@ def changed_lines(spark, sf):
     return lines(spark, sf).select(F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("n")).alias("change_id"), F.col("line").alias("text"))
 
 
+#: Words of a passage by which documents that may contain it are found.
+HEAD_WORDS = 5
+
+
 def judgments(spark, sf):
-    """Documents that contain a passage are relevant to it. Few passages: they are broadcast below Catalyst's threshold."""
-    d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    return b.select("item_id", F.col("text").alias("passage")).join(d.select("doc_id", "text"), F.expr("contains(text, passage)")).select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("item"))
+    """Documents that contain a passage are relevant to it.
+
+    A text that contains a passage contains, as neighbours, the words between its first HEAD_WORDS blanks and line ends (cut off at
+    both ends where they stand inside words), so documents and passages meet in an equi-join on a hash of these; then the whole
+    passage is looked for. Passages of fewer words, which have no such key, are few and short: each is looked for in every text.
+    """
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
+    return passages_in(b, d).select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("item"))
+
+
+def passages_in(passages, docs):
+    """passages(item_id, passage), docs(doc_id, text) -> (item_id, doc_id) where the text contains the passage."""
+    cut = F.split("passage", r"[ \n]")
+    inner = F.slice(cut, 2, HEAD_WORDS)  # the first word may be the end of a longer one
+    keyed = passages.withColumn("key", F.when(F.size(cut) >= HEAD_WORDS + 2, F.xxhash64(inner)))
+    words = docs.select("doc_id", "text", F.split("text", r"[ \n]").alias("words"))
+    windows = F.transform(F.sequence(F.lit(1), F.size("words") - HEAD_WORDS + 1), lambda i: F.xxhash64(F.slice("words", i, HEAD_WORDS)))
+    windows = F.array_distinct(F.when(F.size("words") >= HEAD_WORDS, windows).otherwise(F.array().cast("array<long>")))
+    met = words.select("doc_id", F.explode(windows).alias("key")).join(keyed.filter("key is not null").select("key", "item_id", "passage"), "key").select("doc_id", "item_id", "passage")
+    long = met.join(docs, "doc_id").filter(F.expr("contains(text, passage)"))
+    short = keyed.filter("key is null")
+    if short.isEmpty():
+        return long.select("item_id", "doc_id")
+    return long.select("item_id", "doc_id").union(short.join(docs, F.expr("contains(text, passage)")).select("item_id", "doc_id"))
 
 
 def requests(spark, sf):

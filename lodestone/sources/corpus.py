@@ -35,6 +35,48 @@ def manifest_violations(sources: DataFrame) -> DataFrame:
     return broken.select("id", F.explode("rules").alias("rule"))
 
 
+def manifest_errors(manifest: dict) -> list[str]:
+    """What is wrong with a manifest as a whole; its sources are manifest_violations' matter."""
+    about = manifest.get("corpus") or {}
+    rules = {
+        "schema_version": manifest.get("schema_version") != "1.0",
+        "provenance_policy": not about.get("provenance_policy"),
+        "rights_notice_url": not about.get("rights_notice_url"),
+        "sources": not isinstance(manifest.get("sources"), list) or not manifest["sources"],
+    }
+    return [rule for rule, broken in rules.items() if broken]
+
+
+def acquired(responses: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Fetched sources as provenance rows: source_id, celex, eli, eur_lex_url, requested_url, resolved_url, retrieved_at,
+    content_type, file, bytes, sha256, and the first rule broken, if any.
+
+    responses(id, celex, eli, official_url, acquisition_url, resolved_url, status, content_type, retrieved_at, content) come from
+    any fetcher; content is binary.
+    """
+    where = lambda c, part: F.try_parse_url(F.col(c), F.lit(part))
+    ours = lambda c: (where(c, "PROTOCOL") == "https") & (where(c, "HOST") == ACQUISITION_HOST)
+    kind = F.lower(F.trim(F.split_part(F.coalesce("content_type", F.lit("")), F.lit(";"), F.lit(1))))
+    text = F.regexp_replace(F.decode("content", "ISO-8859-1"), r"^[ \t\n\x0B\f\r]+", "")
+    head = F.lower(F.substring(text, 1, 100))
+    path = where("resolved_url", "PATH")
+    rules = [
+        ("requested_url", ~(ours("acquisition_url") & where("acquisition_url", "PATH").startswith("/resource/celex/"))),
+        ("resolved_url", ~(ours("resolved_url") & (path.startswith("/resource/celex/") | path.startswith("/resource/cellar/")))),
+        ("status", F.col("status") != 200),
+        ("content_type", ~kind.isin("text/html", "application/xhtml+xml")),
+        ("too_large", F.octet_length("content") > max_bytes),
+        ("empty", text == ""),
+        ("no_markup", ~(head.startswith("<?xml") | head.contains("<html"))),
+    ]
+    broken = F.coalesce(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(rule)) for rule, bad in rules])
+    at = F.date_format(F.to_utc_timestamp("retrieved_at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return responses.select(
+        F.col("id").alias("source_id"), "celex", "eli", F.col("official_url").alias("eur_lex_url"), F.col("acquisition_url").alias("requested_url"), "resolved_url",
+        at.alias("retrieved_at"), kind.alias("content_type"), F.concat("id", F.lit(".html")).alias("file"), F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"), broken.alias("rule"),
+    )
+
+
 def snapshot_violations(files: DataFrame) -> DataFrame:
     """files(path, content) as the binaryFile source gives them: path, bytes, sha256, and the first rule broken, if any."""
     head = F.lower(F.decode(F.substring("content", 1, 100), "ISO-8859-1"))
@@ -53,10 +95,31 @@ def load_json(spark: SparkSession, path: str, required: list[str], schema: str |
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
-    """documents with a regulator column, partitioned by it; rows of a partition are replaced together."""
+    """Appends documents with a regulator column, partitioned by it."""
     docs.write.mode("append").partitionBy("regulator").parquet(path)
 
 
+def write_repository(docs: DataFrame, sections: DataFrame, path: str) -> None:
+    """Appends documents(document_id, external_id, version, regulator, ...) and their sections(document_id, reference, position, ...).
+
+    Nothing is written if a document (regulator, external_id, version) or a reference within a document is there twice, in the
+    batch or with what is stored, or if a section has no document in the batch. Both tables are partitioned by regulator.
+    """
+    spark, keys = docs.sparkSession, ["regulator", "external_id", "version"]
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/documents")
+    stored = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+    every = docs.select(*keys).unionByName(spark.read.parquet(f"{path}/documents").select(*keys)) if stored else docs.select(*keys)
+    faults = {
+        "documents that are there twice": every.groupBy(*keys).count().filter("count > 1"),
+        "references that are there twice": sections.groupBy("document_id", "reference").count().filter("count > 1"),
+        "sections without a document": sections.join(docs.select("document_id"), "document_id", "left_anti"),
+    }
+    if found := [name for name, df in faults.items() if not df.isEmpty()]:
+        raise ValueError(", ".join(found))
+    write_documents(docs, f"{path}/documents")
+    sections.join(docs.select("document_id", "regulator"), "document_id").write.mode("append").partitionBy("regulator").parquet(f"{path}/sections")
+
+
 def look_up(documents: DataFrame, sections: DataFrame, external_id: str, version: str) -> DataFrame:
     """A document with its sections in order of position; filters reach the scan."""
     d = documents.filter((F.col("external_id") == external_id) & (F.col("version") == version))

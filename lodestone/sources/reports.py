@@ -55,7 +55,28 @@ def write_report(report: dict, json_path: str, markdown_path: str | None = None)
         Path(markdown_path).write_text(render_markdown(report))
 
 
+def _row(metrics: dict, level: str) -> str:
+    """A line of the table: shares with their intervals, counts."""
+    r, c, v = metrics["retrieval"], metrics["change_detection"], metrics["reviewer_classification"]
+
+    def share(value: float, interval: dict | None) -> str:
+        return f"{value:.1%}" + (f" ({interval['lower']:.1%} to {interval['upper']:.1%})" if interval else "")
+
+    recall, mrr = (share(r[m], r["confidence_intervals"][m]) for m in ("recall_at_k", "mean_reciprocal_rank"))
+    accuracy = share(v["accuracy"], v["confidence_intervals"]["accuracy"])
+    return f"| {level} | {r['evaluated_cases']} | {recall} | {mrr} | {c['passed']} of {c['evaluated_cases']} | {v['evaluated_cases']} | {accuracy} |"
+
+
 def render_markdown(report: dict) -> str:
+    """A report of either version: of the second with strata and intervals, of the first its flat numbers."""
+    if "benchmark" in report:
+        about, summary = report["benchmark"], report["summary"]
+        k = summary["retrieval"]["k"]
+        out = [f"# Evaluation of {about['dataset']} {about['version']}", "", f"Split: {about['split']}. Intervals: 95 %, {about['bootstrap']['samples']} resamples, seed {about['bootstrap']['seed']}.", ""]
+        out += [f"| Cases | Queries | Recall at {k} | MRR | Changes passed | Claims | Review accuracy |", "|-|-|-|-|-|-|-|", _row(summary, "all"), *(_row(m, level) for level, m in summary["by_difficulty"].items()), ""]
+        if judge := summary.get("judge"):
+            out += ["## Judge (advisory)", "", "| Metric | Value |", "|-|-|", *(f"| {m} | {x} |" for m, x in sorted(judge.items()) if m != "advisory"), ""]
+        return "\n".join(out)
     out = [f"# Evaluation of {report.get('dataset', '')} {report.get('version', '')}".rstrip(), ""]
     for section, values in sorted(report.items()):
         if isinstance(values, dict):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def last_writes(batch: DataFrame, sequence: str = "seq") -> DataFrame:
@@ -31,13 +32,50 @@ def size(index: DataFrame) -> DataFrame:
     return index.agg(F.count("*").alias("n_chunks"))
 
 
-def maintain(stream: DataFrame, index_path: str, checkpoint: str):
-    """A streaming query that upserts each micro-batch into a new version of the index under index_path."""
+#: Parts into which an index is cut by a hash of the document's id.
+PARTS = 256
+
+
+def write_parts(index: DataFrame, index_path: str, epoch: int, parts: int = PARTS) -> None:
+    """Writes an index, or some parts of one, as of an epoch: <index_path>/part=p/epoch=e."""
+    placed = index.withColumns({"part": F.pmod(F.xxhash64("document_id"), F.lit(parts)).cast("int"), "epoch": F.lit(epoch)})
+    placed.repartition("part").write.mode("append").partitionBy("part", "epoch").parquet(index_path)
+
+
+def read_index(spark: SparkSession, index_path: str, schema, until: int | None = None) -> DataFrame:
+    """The index as of the last epoch (or of the last one up to until): of each part its latest epoch."""
+    full = StructType([*schema.fields, StructField("part", IntegerType()), StructField("epoch", IntegerType())])
+    every = spark.read.schema(full).parquet(index_path)
+    if until is not None:
+        every = every.filter(F.col("epoch") <= until)
+    latest = every.groupBy("part").agg(F.max("epoch").alias("epoch"))  # a row a part
+    return every.join(F.broadcast(latest), ["part", "epoch"]).select(*[f.name for f in schema.fields])
+
+
+def maintain(stream: DataFrame, index_path: str, checkpoint: str, parts: int = PARTS):
+    """A streaming query that upserts each micro-batch into the index under index_path, whose parts write_parts has cut.
+
+    Only the parts that hold the batch's documents are read and written anew; upserting
+    never empties a part. An epoch that is run again writes over what it had written.
+    """
 
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = last_writes(batch).drop("seq")
-        old = spark.read.schema(new.schema).parquet(f"{index_path}/v{epoch}") if epoch else spark.createDataFrame([], new.schema)
-        upsert(old, new).write.mode("overwrite").parquet(f"{index_path}/v{epoch + 1}")
+        new = last_writes(batch).drop("seq").persist()
+        try:
+            touched = [r[0] for r in new.select(F.pmod(F.xxhash64("document_id"), F.lit(parts)).cast("int")).distinct().collect()]  # at most parts numbers
+            if not touched:
+                return
+            path = spark._jvm.org.apache.hadoop.fs.Path(index_path)
+            system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            for part in touched:  # left over from an attempt that did not end
+                system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{index_path}/part={part}/epoch={epoch + 1}"), True)
+            merged = new
+            if system.exists(path) and system.listStatus(path):
+                own = F.pmod(F.xxhash64("document_id"), F.lit(parts)).isin(touched)
+                merged = upsert(read_index(spark, index_path, new.schema, epoch).filter(own), new)
+            write_parts(merged, index_path, epoch + 1, parts)
+        finally:
+            new.unpersist()
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import tokens
 from lodestone.operators import search
 from lodestone.streaming import index
 
@@ -69,6 +70,39 @@ def test_stream_keeps_the_last_write(spark, tmp_path):
     schema = "document_id string, chunk_id string, seq long"
     spark.createDataFrame([("d1", "old", 1), ("d1", "new", 2), ("d2", "x", 1)], schema).coalesce(1).write.parquet(str(source))
     stream = spark.readStream.schema(schema).parquet(str(source))
-    q = index.maintain(stream, str(target), str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert {(r[0], r[1]) for r in spark.read.parquet(f"{target}/v1").collect()} == {("d1", "new"), ("d2", "x")}
+    kept = "document_id string, chunk_id string"
+    read = lambda: sorted(map(tuple, index.read_index(spark, str(target), spark.createDataFrame([], kept).schema).collect()))
+    run = lambda: index.maintain(stream, str(target), str(tmp_path / "checkpoint"), parts=4).trigger(availableNow=True).start().awaitTermination(60)
+    run()
+    assert read() == [("d1", "new"), ("d2", "x")]
+    spark.createDataFrame([("d2", "y", 3), ("d2", "z", 3), ("d3", "w", 1)], schema).coalesce(1).write.mode("append").parquet(str(source))
+    run()
+    assert read() == [("d1", "new"), ("d2", "y"), ("d2", "z"), ("d3", "w")]
+
+
+def test_tokens_of_every_code_point(spark):
+    """Against the rule itself: case folded, decomposed, without combining marks, then letters a to z and digits."""
+    import re
+    import unicodedata
+
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{chr(c)}b" for c in codes[at : at + 64]) for at in range(0, len(codes), 64)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", tokens(F.col("text")).alias("t")).collect()
+    for r in got:
+        folded = "".join(x for x in unicodedata.normalize("NFKD", texts[r["i"]].casefold()) if not unicodedata.combining(x))
+        assert r["t"] == re.findall("[a-z0-9]+", folded), r["i"]
+
+
+def test_passages_are_found_by_their_words(spark):
+    import random
+
+    from lodestone.plans.workload import passages_in
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(0, 3)))
+    texts = [rng.choice(" \n").join(word() for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    passages = [t[(at := rng.randrange(len(t))) : at + rng.randint(1, 30)] for t in texts if t] + ["", "zz"]
+    p = spark.createDataFrame(list(enumerate(passages)), "item_id int, passage string")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    want = sorted((i, j) for i, x in enumerate(passages) for j, t in enumerate(texts) if x in t)
+    assert sorted(map(tuple, passages_in(p, d).collect())) == want
