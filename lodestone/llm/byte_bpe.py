@@ -15,7 +15,6 @@ import base64
 import hashlib
 import heapq
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices, texts_of
+from lodestone.llm.common import held, slices, texts_of
 from lodestone.llm.pieces import LeadEncoder, PieceCache
 
 #: Token pairs whose merge a worker remembers, and pieces between spaces whose ids it keeps.
@@ -160,9 +159,8 @@ class ByteBpe:
         return b"".join(map(self.words.__getitem__, memoryview(ids).cast("I")))
 
 
-@lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(path, pattern)
+    return held(("byte_bpe", path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, full: bool = False) -> DataFrame:

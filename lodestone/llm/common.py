@@ -65,3 +65,14 @@ def kept_rows(docs: DataFrame, decide) -> DataFrame:
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
+
+
+_held: dict = {}
+
+
+def held(key, make):
+    """What make() gives, kept by the worker until another key is asked for: one operator's caches at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import kept_rows, slices, texts_of
+from lodestone.llm.common import held, kept_rows, slices, texts_of
 from lodestone.llm.word_rows import WordRows, bounded_sample, bounded_texts
 
 #: Labelled documents that the model is fitted on, at most (about); their characters are bounded too (word_rows).
@@ -214,15 +214,8 @@ class Identifier:
         return float(rows[:, -1].sum(dtype=np.float64)) / total, float(sums[best] - others.max()) if others.size else np.inf
 
 
-_identifiers: dict[int, Identifier] = {}
-
-
 def _identifier(model: dict) -> Identifier:
-    key = zlib.crc32(model["log"].tobytes(), zlib.crc32(repr(model["names"]).encode()))
-    if key not in _identifiers:
-        _identifiers.clear()
-        _identifiers[key] = Identifier(model)
-    return _identifiers[key]
+    return held(("language", zlib.crc32(model["log"].tobytes(), zlib.crc32(repr(model["names"]).encode()))), lambda: Identifier(model))
 
 
 def determined(docs: DataFrame, model: dict, share: float) -> DataFrame:
@@ -250,6 +243,6 @@ def identify(docs: DataFrame, model: dict, spans: bool = False) -> DataFrame:
                 names.append("spans")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out")
+    aside = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out")
     schema = "doc_id long, held_out boolean, lang_pred string, score double" + (", spans array<struct<first:int,words:int,lang:string>>" if spans else "")
-    return docs.select(F.col("doc_id").cast("long"), held, "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), aside, "text").mapInArrow(run, schema)

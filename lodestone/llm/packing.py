@@ -19,7 +19,6 @@ import json
 import re
 import zlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm.common import materialise, slices, texts_of
+from lodestone.llm.common import held, materialise, slices, texts_of
 from lodestone.llm.pieces import LeadEncoder, byte_letters
 
 FAN = 8
@@ -100,9 +99,8 @@ class ByteLevelIds:
         return out
 
 
-@lru_cache(maxsize=1)
 def _encoder(path: str) -> LeadEncoder:
-    return LeadEncoder(ByteLevelIds(path))
+    return held(("packing", path), lambda: LeadEncoder(ByteLevelIds(path)))
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -136,7 +134,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 def _numbered(level: int, bins: list[list[int]], sizes: list[int], capacity: int, counter: list[int], last: bool) -> tuple[list, ...]:
     """Columns part, nth, done, bin, fill of bins; counter holds the numbers of the next bin and of the next open one."""
     part = TaskContext.get().partitionId()
-    fills = [sum(sizes[i] for i in held) for held in bins]
+    fills = [sum(sizes[i] for i in own) for own in bins]
     done = [last or capacity - f <= capacity * SLACK for f in fills]
     nth, numbers = [], []
     for d in done:
@@ -172,7 +170,7 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 2048) -> DataF
         def close():
             sizes = kept[2].tolist()
             bins = best_fit(sizes, capacity)
-            lists = [[[c[i] for i in held] for held in bins] for c in (doc_ids, *kept)]
+            lists = [[[c[i] for i in own] for own in bins] for c in (doc_ids, *kept)]
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * len(MEMBERS)]
             cols = (*_numbered(0, bins, sizes, capacity, counter, False), *lists)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["part", "nth", "done", "bin", "fill", *MEMBERS])
@@ -203,13 +201,13 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 2048) -> DataF
         last = nodes == 1 or nodes >= before
 
         def merge(batches, level=len(levels) + 1, last=last):
-            held = pa.Table.from_batches(batches, pa.schema([("node", pa.int32()), ("bin", pa.int64()), ("fill", pa.int64())])).sort_by([("fill", "descending"), ("bin", "ascending")])
-            names, sizes = held["bin"].to_pylist(), held["fill"].to_pylist()
+            items = pa.Table.from_batches(batches, pa.schema([("node", pa.int32()), ("bin", pa.int64()), ("fill", pa.int64())])).sort_by([("fill", "descending"), ("bin", "ascending")])
+            names, sizes = items["bin"].to_pylist(), items["fill"].to_pylist()
             bins = best_fit(sizes, capacity)
             out: list[list] = [[] for _ in range(7)]
-            for *place, items in zip(*_numbered(level, bins, sizes, capacity, [0, 0], last), bins):
+            for *place, own in zip(*_numbered(level, bins, sizes, capacity, [0, 0], last), bins):
                 at = 0
-                for i in items:
+                for i in own:
                     for column, x in zip(out, (*place, names[i], at)):
                         column.append(x)
                     at += sizes[i]

@@ -6,7 +6,7 @@ dealt to BANDS buckets by ROWS minima each, and a pair of similarity 0.8 meets i
 (1 - 0.8 ** 7, to the power of 50), a more similar pair with less. So candidates only choose what is compared; they decide
 nothing. Comparison has two steps, neither of which gathers a group:
 
-1. Every member of a bucket is compared with the bucket's first member. Members stream past that first one, in several
+1. Every member of a bucket is compared with the bucket's first member, unless both are one part already. Members stream past that first one, in several
    tasks if they are over STREAM; what agrees is connected. That settles groups of copies, of whatever size.
 2. Buckets whose members are in several parts after that are cut into chunks of CELL shingles or less, and each pair of
    chunks is one cell, in which members of different parts are compared by counts over an inverted index.
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise, slices, texts_of
+from lodestone.llm.common import held, materialise, slices, texts_of
 from lodestone.llm.components import components
 from lodestone.llm.simhash import near_duplicate_links as simhash_links
 
@@ -46,7 +46,6 @@ FLIPS = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)[:, None]
 ODD = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)[:, None] | np.uint64(1)
 PLACES = _rng.integers(0, 1 << 64, SHINGLE, np.uint64) | np.uint64(1)
 MIXED = _rng.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
-_words: dict[bytes, int] = {}
 
 
 def shingles(text: str) -> np.ndarray:
@@ -54,11 +53,12 @@ def shingles(text: str) -> np.ndarray:
     words = text.encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > WORDS:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh64_intdigest(w, 42)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = held("shingles", dict)
+    if len(known) > WORDS:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w, 42)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - SHINGLE + 1)
     out = np.full(n, min(len(h), SHINGLE), np.uint64)
     for j in range(min(len(h), SHINGLE)):
@@ -168,8 +168,9 @@ def _cells(batches):
 
 def candidates(nodes: DataFrame, dealt: DataFrame) -> DataFrame:
     """(a, b): nodes to compare, b the first of a bucket or what operator 1's search has linked."""
-    least = dealt.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").select("bucket", "b")
-    stars = dealt.join(least.hint("merge"), "bucket").filter("node > b").select(F.col("node").alias("a"), "b")
+    least = dealt.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("least"), F.count("*").alias("n")).filter("n > 1").select("bucket", "least")
+    sizes = F.least("size", "least.size") >= LEAST * F.greatest("size", "least.size") - 1e-9  # others cannot be alike
+    stars = dealt.join(least.hint("merge"), "bucket").filter((F.col("node") > F.col("least.node")) & sizes).select(F.col("node").alias("a"), F.col("least.node").alias("b"))
     prints = materialise(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "prints")
     equal = nodes.select("fp", "node").join(prints, "fp").filter("node > rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     near = simhash_links(prints).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -214,13 +215,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     firsts = [F.first(c).alias(c) for c in ("size", "fp", "buckets")]
     nodes = materialise(named.groupBy("same").agg(F.min("doc_id").alias("rep"), *firsts).withColumn("node", F.monotonically_increasing_id()), "nodes")
     dealt = nodes.select(F.explode("buckets").alias("bucket"), "node", "size")
-    pairs = materialise(candidates(nodes, dealt.drop("size")), "candidates")
+    pairs = materialise(candidates(nodes, dealt), "candidates")
     met = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node").join(nodes.select("node", "same", "rep"), "node")
     texts = named.select("same", F.col("doc_id").alias("rep"), "text").join(met.hint("merge"), ["same", "rep"]).select("node", "text")
     texts = materialise(texts, "texts")
-    links = materialise(against_first(pairs, texts), "links")
+    # each node with one candidate; then with its other ones that have not become one part with it
+    one = pairs.groupBy("a").agg(F.min("b").alias("b"))
+    found = components(materialise(against_first(one, texts), "links"))
+    part = lambda c: found.select(F.col("id").alias(c), F.col("root").alias(f"part_{c}"))
+    rest = pairs.join(one, ["a", "b"], "left_anti").join(part("a"), "a", "left").join(part("b"), "b", "left")
+    rest = materialise(rest.filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b"), "rest")
+    if not rest.isEmpty():
+        found = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).union(against_first(rest, texts)))
     crowded = dealt.join(dealt.groupBy("bucket").count().filter("count > 2").select("bucket").hint("merge"), "bucket")
-    found = components(links)
     more = [x for x in [across(crowded, found, texts)] if x is not None]
     # a doc_id that stands in several rows joins their sets
     sets = named.select("doc_id", "same").distinct()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm.common import materialise, slices
+from lodestone.llm.common import held, materialise, slices
 from lodestone.llm.pieces import PieceCache, byte_letters
 
 MAGIC = b"LRP2"
@@ -308,9 +308,8 @@ class BlankTokenizer:
         return np.frombuffer(b"".join(known), "<u2")[places], counts
 
 
-@lru_cache(maxsize=1)
 def tokenizer(path: str) -> BlankTokenizer:
-    return BlankTokenizer(path)
+    return held(("tokens", path), lambda: BlankTokenizer(path))
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -321,11 +320,11 @@ def write_shards(docs: DataFrame, path: str, end_id: int, shard_ids: int = SHARD
         part, base = TaskContext.get().partitionId(), 0
         doc_ids: list = []
         lengths: list[int] = []
-        held: list[np.ndarray] = []
+        waiting: list[np.ndarray] = []
         size = 0
 
         def close():
-            payload = Shard.build(doc_ids, lengths, np.concatenate(held), tok.vocabulary)
+            payload = Shard.build(doc_ids, lengths, np.concatenate(waiting), tok.vocabulary)
             row = {"part": [part], "base": [base], "n_tokens": [size], "n_docs": [len(doc_ids)], "payload": [payload]}
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int64()), ("base", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("payload", pa.binary())]))
 
@@ -335,12 +334,12 @@ def write_shards(docs: DataFrame, path: str, end_id: int, shard_ids: int = SHARD
             for doc_id, n in zip(batch.column("doc_id").to_pylist(), counts.tolist()):
                 doc_ids.append(doc_id)
                 lengths.append(n)
-                held.append(ids[at : at + n])
+                waiting.append(ids[at : at + n])
                 at += n
                 size += n
                 if size >= shard_ids:
                     yield close()
-                    base, size, doc_ids, lengths, held = base + size, 0, [], [], []
+                    base, size, doc_ids, lengths, waiting = base + size, 0, [], [], []
         if doc_ids:
             yield close()
 

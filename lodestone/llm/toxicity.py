@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import kept_rows, slices, texts_of
+from lodestone.llm.common import held, kept_rows, slices, texts_of
 from lodestone.llm.word_rows import WordRows, bounded_sample, bounded_texts
 
 #: Labelled documents that the model is fitted on, at most (about); their characters are bounded too (word_rows).
@@ -281,15 +281,8 @@ class Scorer:
         return out
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def _scorer(model: Model) -> Scorer:
-    key = zlib.crc32(model.filters.tobytes(), zlib.crc32(model.weights.tobytes()))
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model)
-    return _scorers[key]
+    return held(("toxicity", zlib.crc32(model.filters.tobytes(), zlib.crc32(model.weights.tobytes()))), lambda: Scorer(model))
 
 
 def _small(model: Model) -> Model:
@@ -318,5 +311,5 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "score", "predicted"])
 
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out")
-    return docs.select(F.col("doc_id").cast("long"), held, "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    aside = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out")
+    return docs.select(F.col("doc_id").cast("long"), aside, "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

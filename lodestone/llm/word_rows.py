@@ -56,10 +56,11 @@ def bounded_sample(rows: DataFrame, size: int, key: str = "doc_id") -> DataFrame
 
 def bounded_texts(rows: DataFrame, size: int = SAMPLE_CHARS, longest: int = LONGEST) -> list:
     """rows(doc_id, text, ...) for fitting a model, sorted: one row for each doc_id (the smallest), about size characters in all, on the driver."""
-    rest = [c for c in rows.columns if c != "doc_id"]
-    one = rows.filter(F.length("text") <= longest).groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in rest if c != "text"])).alias("r")).select("doc_id", "r.*")
-    one = materialise(one, "sample")
-    chars = one.agg(F.sum(F.length("text"))).first()[0] or 0
-    if chars > size:
-        one = one.filter(F.pmod(F.xxhash64(F.lit("chars"), "doc_id"), F.lit(1_000_003)) < int(1_000_003 * size / chars))
-    return sorted(one.collect(), key=lambda r: r["doc_id"])
+    rows = materialise(rows.filter(F.length("text") <= longest), "sample")
+    chars, repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("chars")).agg(F.sum("chars"), F.max("n") > 1).first()
+    if chars and chars > size:
+        rows = rows.filter(F.pmod(F.xxhash64(F.lit("chars"), "doc_id"), F.lit(1_000_003)) < int(1_000_003 * size / chars))
+    if repeated:
+        rest = [c for c in rows.columns if c not in ("doc_id", "text")]
+        rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("r")).select("doc_id", "r.*")
+    return sorted(rows.collect(), key=lambda r: r["doc_id"])
