@@ -6,7 +6,7 @@ rightly absent. Query-side tables are small next to postings: Catalyst broadcast
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import QUERY_STOP_WORDS, tokens
@@ -66,20 +66,58 @@ def scored(queries: DataFrame, chunks: DataFrame, key: str = "chunk_id", k1: flo
     return rows.withColumn("score", F.col("ranking") * F.col("coverage"))
 
 
+def gated(queries: DataFrame, chunks: DataFrame, coverage: float, key: str = "chunk_id", k1: float = K1, b: float = B, weight: float = LEXICAL_WEIGHT) -> DataFrame:
+    """The rows of scored() that pass a gate above 0, without pairing each query with all chunks that share a stop word with it.
+
+    Chunks are found by informative terms, which the gate asks for. What stop words can add to a chunk is bounded; they are looked
+    up only for chunks that pass the gate, or that may have the query's highest score, by which all others are divided.
+    """
+    terms = chunk_terms(chunks, key)
+    posted, q = postings(terms, key), query_terms(queries)
+    frequency = document_frequency(posted.join(q.select("term").distinct(), "term", "left_semi"))
+    asked = q.join(frequency, "term").crossJoin(F.broadcast(corpus_stats(terms)))  # one row
+    asked = asked.withColumn("idf", F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    rare, common = asked.filter("informative = 1"), asked.filter("informative = 0").select("query_id", "term", "qtf", "idf", "avg_length")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_length"))) * F.col("qtf")
+    first = [F.first(c).alias(c) for c in ("n_distinct", "n_terms", "n_informative")]
+    found = posted.join(rare, "term").groupBy("query_id", key).agg(F.sum(part).alias("rare"), F.count("*").alias("covered"), *first)
+    low = found.groupBy("query_id").agg(F.max("rare").alias("low"))
+    limits = low.join(common.groupBy("query_id").agg(F.sum(F.col("idf") * (k1 + 1) * F.col("qtf")).alias("most")), "query_id", "left").fillna(0.0, ["most"])
+    passes = F.col("covered") / F.col("n_informative") >= coverage
+    needed = found.join(limits, "query_id").filter(passes | (F.col("rare") + F.col("most") >= F.col("low")))
+    also = needed.select("query_id", key).join(common, "query_id").join(posted.select(key, "dl", "term", "tf"), [key, "term"])
+    also = also.groupBy("query_id", key).agg(F.sum(part).alias("common"), F.count("*").alias("others"))
+    rows = needed.join(also, ["query_id", key], "left").fillna(0.0, ["common"]).fillna(0, ["others"]).withColumn("bm25", F.col("rare") + F.col("common"))
+    # where stop words alone could make the highest score, theirs is worked out too
+    heavy = common.join(limits.filter("most > low").select("query_id"), "query_id")
+    alone = posted.join(heavy, "term").groupBy("query_id", key).agg(F.sum(part).alias("bm25")).groupBy("query_id").agg(F.max("bm25").alias("alone"))
+    best = rows.groupBy("query_id").agg(F.max("bm25").alias("best")).join(alone, "query_id", "left").select("query_id", F.greatest("best", F.coalesce("alone", F.lit(0.0))).alias("best"))
+    shared = F.col("covered") + F.col("others")
+    rows = rows.filter(passes).join(best, "query_id").select(
+        "query_id",
+        key,
+        "bm25",
+        (F.col("bm25") / F.col("best")).alias("lexical"),
+        (shared / (F.col("n_terms") + F.col("n_distinct") - shared)).alias("jaccard"),
+        (F.col("covered") / F.col("n_informative")).alias("coverage"),
+    )
+    rows = rows.withColumn("ranking", weight * F.col("lexical") + (1 - weight) * F.col("jaccard"))
+    return rows.withColumn("score", F.col("ranking") * F.col("coverage"))
+
+
 def top_k(rows: DataFrame, k: int = 5, coverage: float = 0.6, key: str = "chunk_id") -> DataFrame:
     """Rows that pass the coverage gate, best k of each query by ranking, then key: rank from 1."""
     if k < 1:
         raise ValueError("k must be positive")
     if not 0 <= coverage <= 1:
         raise ValueError("coverage must be between 0 and 1")
-    from pyspark.sql import Window
-
     order = Window.partitionBy("query_id").orderBy(F.round("ranking", 10).desc(), F.col(key))
     return rows.filter((F.col("bm25") > 0) & (F.col("coverage") >= coverage)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = 5, coverage: float = 0.6, key: str = "chunk_id") -> DataFrame:
-    return top_k(scored(queries, chunks, key), k, coverage, key)
+    rows = gated(queries, chunks, coverage, key) if 0 < coverage <= 1 else scored(queries, chunks, key)
+    return top_k(rows, k, coverage, key)
 
 
 def status(queries: DataFrame, found: DataFrame) -> DataFrame:
@@ -97,8 +135,6 @@ def cosine(left, right):
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """queries(query_id, embedding) against all vectors(vec_id, embedding): exact top k. The query set is broadcast if Catalyst finds it small."""
-    from pyspark.sql import Window
-
     pairs = vectors.select("vec_id", F.col("embedding").alias("_v")).join(queries.select("query_id", F.col("embedding").alias("_q")), F.col("vec_id") != F.col("query_id"))
     rows = pairs.select("query_id", "vec_id", cosine(F.col("_q"), F.col("_v")).alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), F.col("vec_id"))

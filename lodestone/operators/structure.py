@@ -16,6 +16,8 @@ from lodestone.functions.text import stable_id
 ARTICLE = r"(?i)^((?:article|art\.)\s+[A-Z0-9][A-Z0-9.\-]*)(?:\s*[-:–—]\s*(.*))?$"
 HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
 NUMBERED = r"(?i)^(?:\d+(?:\.\d+)*|[IVXLCDM]+)[.)]?\s+\S+"
+#: What stands in a tag before its end: a quoted value behind an equals sign may hold a >.
+ATTRIBUTES = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+"""
 #: What ends a line inside a block, what ends a block, and what counts as white space at the ends of a line.
 LINE_END = r"[\n\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 BLOCK_END = r"(?U)\n[\s\x1C-\x1F]*\n"
@@ -87,14 +89,15 @@ def text_blocks(content: Column) -> Column:
 
 def html_parts(html: Column) -> Column:
     """(tag, text) of each block of the page with text, titles included; a block ends at its own end tag or the next block."""
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<!--.*?-->", ""), r"(?is)<(script|style|noscript)\b.*?</\1\s*>", "")
-    found = F.regexp_extract_all(bare, F.lit(rf"(?is)<{BLOCK_TAGS}(?:\s[^>]*)?>(?:(?!<{BLOCK_TAGS}[\s>]).)*"), F.lit(0))
+    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<!--.*?-->", ""), r"(?is)<(script|style|noscript)\b.*?(?:</\1\s*>|\z)", "")
+    found = F.regexp_extract_all(bare, F.lit(rf"(?is)<{BLOCK_TAGS}(?:[\s/]{ATTRIBUTES})?>(?:(?!<{BLOCK_TAGS}[\s/>]).)*+"), F.lit(0))
 
     def part(raw: Column) -> Column:
         tag = F.lower(F.regexp_extract(raw, r"^<(\w+)", 1))
-        inner = F.regexp_replace(raw, r"(?is)^<(\w+)[^>]*>(.*?)(?:</\1\s*>.*)?$", "$2")
-        lines = F.regexp_replace(F.regexp_replace(inner, r"(?i)<br\s*/?>", " \n "), r"(?s)<[^>]*>", " ")
-        return F.struct(tag.alias("tag"), inline(lines).alias("text"))
+        inner = F.regexp_replace(raw, rf"(?is)^<(\w+){ATTRIBUTES}>(.*?)(?:</\1\s*>.*)?$", "$2")
+        lines = F.regexp_replace(F.regexp_replace(inner, rf"(?i)<br(?:[\s/]{ATTRIBUTES})?>", " \n "), rf"(?s)</?[a-zA-Z!?]{ATTRIBUTES}>", " ")
+        closed = F.endswith(F.regexp_extract(raw, rf"(?is)^(<\w+{ATTRIBUTES}>)", 1), F.lit("/>"))  # such a tag is its own end
+        return F.struct(tag.alias("tag"), F.when(closed, "").otherwise(inline(lines)).alias("text"))
 
     # once as a parser of pages does, once as every text
     return F.filter(_decoded(F.transform(found, part), html, 2), lambda p: p["text"] != "")

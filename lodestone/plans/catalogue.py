@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions.text import CONCEPT_STOP_WORDS, QUERY_STOP_WORDS
 from lodestone.operators import diff, evaluation, evidence, impact, sanitize, search, structure
+from lodestone.plans import challenge, ingest
 from lodestone.plans import workload as W
 from lodestone.sources import corpus
 from lodestone.streaming import index
@@ -124,10 +125,38 @@ def html_title(spark, sf):
     return W.table(spark, sf, "pages").select("page_id", structure.html_title(F.col("html")).alias("title"))
 
 
-@query()
+HTML_CHUNKS = f"""{HTML}, sorted AS (SELECT page_id AS doc_id, url AS source, g AS pos, text, level, level = 0 AND regexp_matches(text, '{ARTICLE}') AS article
+  FROM (SELECT *, CASE WHEN regexp_full_match(tag, 'h[1-6]') THEN substr(tag, 2, 1)::INT ELSE 0 END AS level FROM texts WHERE tag <> 'title') JOIN pages USING (page_id)),
+blocks AS (SELECT doc_id, source, pos, 0 AS sub, CASE WHEN level > 0 THEN 'heading' WHEN article THEN 'article' ELSE 'paragraph' END AS kind, CASE WHEN article THEN regexp_extract(text, '{ARTICLE}', 1) ELSE text END AS text, level FROM sorted
+  UNION ALL SELECT doc_id, source, pos, 1, 'paragraph', regexp_extract(text, '{ARTICLE}', 2), 0 FROM sorted WHERE article AND regexp_extract(text, '{ARTICLE}', 2) <> ''), {CHUNKS}"""
+CITATION = "array_to_string(list_concat([source], heading_path, CASE WHEN article IS NOT NULL AND NOT list_contains(heading_path, article) THEN [article] ELSE []::VARCHAR[] END), ' > ')"
+
+
+@query(f"WITH {HTML_CHUNKS} SELECT doc_id AS page_id, ordinal, substr(sha256(document_id || chr(31) || ordinal || chr(31) || text), 1, 20) AS chunk_id, text, {CITATION} AS citation FROM chunks")
 def html_chunks(spark, sf):
     pages = W.table(spark, sf, "pages").select("page_id", F.col("url").alias("source"), structure.html_blocks(F.col("html")).alias("blocks"))
-    return structure.chunks(pages).select("page_id", "ordinal", "chunk_id", "text", "citation")
+    return structure.chunks(pages).select("page_id", F.col("ordinal").cast("long").alias("ordinal"), "chunk_id", "text", "citation")
+
+
+def _clean(text: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace({text}, '^\\s+|\\s+$', '', 'g'), '{IBAN}', '[IBAN_REDACTED]', 'gi'), '{EMAIL}', '[EMAIL_REDACTED]', 'gi')"
+
+
+# every document as a text and every page as html, from requests to chunks
+INGESTED = f"""SELECT * FROM (WITH {STRUCTURED.replace("structured AS", "given AS")}, structured AS (SELECT doc_id, source, {_clean("content")} AS content FROM given), {BLOCKS}, {CHUNKS}
+  SELECT source, ordinal, document_id, NULL AS title, text, {CITATION} AS citation FROM chunks)
+UNION ALL SELECT * FROM (WITH clean AS (SELECT page_id, url, {_clean("html")} AS html FROM pages), {HTML_CHUNKS.replace("FROM pages)", "FROM clean)")}, titles AS (SELECT page_id AS doc_id, arg_max(text, g) AS title FROM texts WHERE tag = 'title' GROUP BY page_id)
+  SELECT source, ordinal, document_id, title, text, {CITATION} AS citation FROM chunks LEFT JOIN titles USING (doc_id))"""
+
+
+@query(INGESTED)
+def ingest_chunks(spark, sf):
+    return ingest.ingest(W.requests_to_ingest(spark, sf)).select("source", F.col("ordinal").cast("long").alias("ordinal"), "document_id", "title", "text", "citation")
+
+
+@query(f"SELECT document_id, source, count(*) AS chunks_indexed FROM ({INGESTED}) GROUP BY ALL")
+def ingest_responses(spark, sf):
+    return ingest.responses(W.requests_to_ingest(spark, sf)).filter("chunks_indexed > 0").groupBy("document_id", "source").agg(F.sum("chunks_indexed").alias("chunks_indexed"))
 
 
 # retrieval
@@ -351,9 +380,42 @@ def change_scores(spark, sf):
     return _changes(spark, sf, True).select("pair_id", "bucket", "idx", "similarity_score", "materiality_score", "materiality", "confidence_score", "confidence")
 
 
-@query(f"WITH {SIDES} SELECT pair_id, bucket, idx, change_type FROM worded WHERE false")
+# some changes are given a type that their sides do not fit
+@query(f"""WITH {SIDES}, planted AS (SELECT *, CASE pair_id % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' ELSE 'modified' END AS t FROM worded)
+SELECT pair_id, bucket, idx, t AS change_type FROM planted WHERE bucket <> CASE t WHEN 'added' THEN 2 WHEN 'removed' THEN 1 ELSE 0 END""")
 def change_shape_violations(spark, sf):
-    return diff.shape_violations(_changes(spark, sf)).select("pair_id", "bucket", "idx", "change_type")
+    k = F.col("pair_id") % 3
+    planted = _changes(spark, sf).withColumn("change_type", F.when(k == 0, "added").when(k == 1, "removed").otherwise("modified"))
+    return diff.shape_violations(planted).select("pair_id", "bucket", "idx", "change_type")
+
+
+# pairs whose ratios are worked out by hand: twice the matching characters over all characters
+SCORED_PAIRS = [
+    (1, "s1", "s1", "t", "t", "abcd", "abcf"),
+    (2, "s1", "s1", "t", "t", "the bank may pay", "the bank must pay"),
+    (3, "s1", "s1", "t", "t", "Same  TEXT", "same text"),
+    (4, "s1", "s2", "Term", "term", "limit 10 days", "limit 20 days"),
+    (5, "s1", "s1", "t", "t", "report it", "report it within 30 days"),
+]
+
+
+@query("""SELECT * FROM (VALUES (1, 0.75, 0.35, 'medium', 0.9225, 'high'), (2, 0.8485, 0.9, 'high', 0.9471, 'high'), (3, 1.0, 0.0, 'low', 1.0, 'high'), (4, 0.9231, 0.4261, 'medium', 0.9358, 'high'),
+(5, 0.5455, 0.7727, 'high', 0.8714, 'high')) AS v(pair_id, similarity_score, materiality_score, materiality, confidence_score, confidence)""".replace("0.75,", "0.75::DOUBLE,", 1).replace("0.35,", "0.35::DOUBLE,", 1).replace("0.9225,", "0.9225::DOUBLE,", 1))
+def change_scores_by_hand(spark, sf):
+    side = lambda s, t, x, v: ("d", s, t, x, v, 1)
+    rows = [(i, side(a, ta, xa, "1"), side(b, tb, xb, "2")) for i, a, b, ta, tb, xa, xb in SCORED_PAIRS]
+    section = "struct<document_id:string,section_id:string,title:string,text:string,version:string,page:int>"
+    found = diff.changes(spark.createDataFrame(rows, f"pair_id int, previous {section}, current {section}"))
+    return found.select("pair_id", "similarity_score", "materiality_score", "materiality", "confidence_score", "confidence")
+
+
+# titles that differ by a letter, by their first word, and altogether; one pair of sections each
+@query("SELECT * FROM (VALUES (1, 0::BIGINT, 0::BIGINT, 0.9741::DOUBLE), (2, 0, 0, 0.98), (4, 0, 0, 1.0)) AS v(pair_id, old_idx, new_idx, match_score)")
+def section_alignment_by_hand(spark, sf):
+    rows = [(1, "a", "Capital ratio", "x y z", "b", "Capital ratios", "x y z"), (2, "a", "Liquidity", "one", "b", "LIQUIDITY ", "two"), (3, "a", "abc", "mno", "b", "xyz", "pqr"), (4, "a", "abc", "mno", "a", "xyz", "pqr")]
+    schema = "pair_id int, idx long, section_id string, title string, text string"
+    old = spark.createDataFrame([(p, 0, s, t, x) for p, s, t, x, *_ in rows], schema)
+    return diff.match(old, spark.createDataFrame([(r[0], 0, *r[4:]) for r in rows], schema))
 
 
 # evidence
@@ -387,6 +449,14 @@ def claim_status(spark, sf):
     return _reviews(spark, sf).select("claim_id", "supported_citations", "unsupported_citations", "status", "reason")
 
 
+@query(f"""WITH {SIDES}, own AS (SELECT *, (coalesce(pt, '') <> '')::INT + (coalesce(ct, '') <> '')::INT AS yes, (p IS NOT NULL)::INT + (c IS NOT NULL)::INT AS n FROM worded WHERE change_type <> 'unchanged')
+SELECT pair_id, bucket, idx, yes::BIGINT AS supported_citations, (n - yes)::BIGINT AS unsupported_citations, CASE WHEN yes = n THEN 'supported' WHEN yes > 0 THEN 'partially_supported' ELSE 'unsupported' END AS status FROM own""")
+def change_self_review(spark, sf):
+    found = _changes(spark, sf)
+    reviews = evidence.self_review(found).select("change_id", "supported_citations", "unsupported_citations", "status")
+    return found.select("change_id", "pair_id", "bucket", "idx").join(reviews, "change_id").drop("change_id")
+
+
 @query(f"WITH {CITED} SELECT claim_id, status = 'supported' AS accepted, status <> 'supported' AS flagged FROM statuses")
 def accept_flag(spark, sf):
     return evidence.policy(_reviews(spark, sf)).select("claim_id", "accepted", "flagged")
@@ -422,6 +492,19 @@ def impact_rationale(spark, sf):
     return _impacts(spark, sf).select("change_id", "item_id", "rationale", "claim_id", "claim_text")
 
 
+@query(f"""WITH {SIDES}, changes AS (SELECT 'change-' || substr(sha256(coalesce(ps, '-') || '|' || coalesce(p.version, '') || '|' || coalesce(cs, '-') || '|' || coalesce(c.version, '')), 1, 12) AS change_id, coalesce(c.text, p.text) AS text FROM worded),
+changed AS (SELECT change_id, unnest({SQL_CONCEPTS.format("text")}) AS concept FROM changes), items AS (SELECT item_id, text, {SQL_CONCEPTS.format("text")} AS concepts FROM benchmark), words AS (SELECT item_id, unnest(concepts) AS concept FROM items),
+shared AS (SELECT change_id, item_id, count(*) AS n FROM changed JOIN words USING (concept) GROUP BY ALL),
+found AS (SELECT *, round(n / len(concepts), 4) AS relevance_score FROM shared JOIN items USING (item_id))
+SELECT change_id, item_id, row_number() OVER (PARTITION BY change_id ORDER BY relevance_score DESC, item_id) AS rank, relevance_score, CASE WHEN item_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS n_citations, changes.text || CASE WHEN item_id % 2 = 0 THEN '|' || found.text ELSE '' END AS quotes
+FROM found JOIN changes USING (change_id) WHERE relevance_score >= 0.2""")
+def impact_assessments(spark, sf):
+    source = F.struct(F.lit("items").alias("document_id"), F.concat(F.lit("i"), F.col("item_id")).alias("section_id"), F.lit("").alias("title"), F.col("text").alias("text"), F.lit("1").alias("version"), F.lit(1).alias("page"))
+    items = W.candidates(spark, sf).drop("has_source").join(W.table(spark, sf, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, source).alias("source")), "item_id")
+    found = impact.assessments(_changes(spark, sf), items)
+    return found.select("change_id", "item_id", F.col("rank").cast("long").alias("rank"), "relevance_score", F.size("citations").cast("long").alias("n_citations"), F.array_join(F.transform("citations", lambda c: c["quote"]), "|").alias("quotes"))
+
+
 # evaluation
 
 CASES = f"""{_top(0.6)}, wanted AS (SELECT item_id AS case_id, doc_id AS item FROM benchmark b JOIN documents d ON contains(d.text, b.text)), total AS (SELECT case_id, count(*) AS relevant FROM wanted GROUP BY case_id),
@@ -478,6 +561,12 @@ def bootstrap_ci(spark, sf):
     return evaluation.bootstrap_means(_cases(spark, sf), "stratum", "case_id", "recall")
 
 
+@query("SELECT * FROM (VALUES ('all one', 3::BIGINT, 1.0::DOUBLE, 1.0::DOUBLE), ('all zero', 2, 0.0, 0.0), ('single', 1, NULL, NULL)) AS v(stratum, cases, lower, upper)")
+def bootstrap_by_hand(spark, sf):
+    rows = [("all one", 1, 1.0), ("all one", 2, 1.0), ("all one", 3, 1.0), ("all zero", 1, 0.0), ("all zero", 2, 0.0), ("single", 1, 0.5)]
+    return evaluation.bootstrap_means(spark.createDataFrame(rows, "stratum string, case_id int, recall double"), "stratum", "case_id", "recall")
+
+
 @query()
 def bootstrap_ci_large(spark, sf):
     return evaluation.poisson_bootstrap(W.table(spark, sf, "events"), "event_type", "event_id", "value")
@@ -517,6 +606,27 @@ def section_listing(spark, sf):
     return rows.filter(F.lower("line").startswith("article ")).select("doc_id", "heading", F.split_part("line", F.lit(" - "), F.lit(1)).alias("article"))
 
 
+CHALLENGE = """t AS (SELECT i, ['train', 'dev', 'test'][i // 10 + 1] AS split FROM range(30) AS r(i)),
+two AS (SELECT split, ['easy', 'medium', 'hard'][(2 * i + k) % 3 + 1] AS difficulty FROM t, range(2) AS s(k)),
+four AS (SELECT split, ['easy', 'medium', 'hard'][(i + k) % 3 + 1] AS difficulty, (k < 2)::VARCHAR AS material FROM t, range(4) AS s(k)),
+cases AS (SELECT 'documents' AS measure, split, NULL AS difficulty, NULL AS material FROM t UNION ALL SELECT 'retrieval_queries', *, NULL FROM two UNION ALL SELECT 'grounding_claims', *, NULL FROM two UNION ALL SELECT 'change_cases', * FROM four),
+sets AS (SELECT measure, unnest([{'kind': 'all', 'value': 'all'}, {'kind': 'split', 'value': split}, {'kind': 'difficulty', 'value': difficulty}, {'kind': 'material', 'value': material}]) AS s FROM cases)"""
+
+
+@query(f"WITH {CHALLENGE} SELECT measure, s.kind AS kind, s.value AS value, count(*) AS n FROM sets WHERE s.value IS NOT NULL GROUP BY ALL")
+def challenge_statistics(spark, sf):
+    return challenge.statistics(challenge.tables(spark))
+
+
+# a set in which a query has moved to another split, a claim is there twice, and a source and two tags are gone
+@query("""SELECT * FROM (VALUES ('family_leak', 'topic-03'), ('crosses_splits', 'query-03-1'), ('duplicate_id', 'claim-05-1'), ('unknown_source', 'claim-12-0'), ('missing_tag', 'hard_negative'), ('missing_tag', 'paraphrase_without_lexical_overlap')) AS v(rule, offender)""")
+def challenge_violations(spark, sf):
+    data = challenge.tables(spark)
+    q, g = data["queries"], data["claims"]
+    moved = q.withColumn("split", F.when(F.col("id") == "query-03-1", "dev").otherwise(F.col("split"))).withColumn("challenge_tags", F.array().cast("array<string>"))
+    return challenge.violations(data | {"queries": moved, "claims": g.union(g.filter("id = 'claim-05-1'")), "sources": data["sources"].filter("document_id <> 'evidence-12'")})
+
+
 # sources
 
 MANIFEST = """(VALUES ('a', 't', '32013R0575', 'http://data.europa.eu/eli/reg/2013/575/oj', 'https://eur-lex.europa.eu/legal-content/EN/TXT/?uri=CELEX:32013R0575', 'https://publications.europa.eu/resource/celex/32013R0575', 'EU', 'r'),

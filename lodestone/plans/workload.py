@@ -32,6 +32,12 @@ def structured(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "source", content.alias("content"))
 
 
+def requests_to_ingest(spark, sf):
+    """Every document as a text, every page as html."""
+    text = structured(spark, sf).select("source", "content", F.lit("text").alias("content_type"))
+    return text.union(table(spark, sf, "pages").select("url", "html", F.lit("html")))
+
+
 def lines(spark, sf):
     """(doc_id, n, line): the lines of each document from 0."""
     return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))

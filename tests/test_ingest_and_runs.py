@@ -38,6 +38,18 @@ def test_lines_lose_white_space_of_any_kind(spark):
     assert [(b["kind"], b["text"]) for b in got] == [("heading", "Head"), ("paragraph", "next line third"), ("paragraph", "plain")]
 
 
+@pytest.mark.parametrize("html,texts", [
+    ("<p title='a > b' class=\"x>y\">one</p><li data-x=don't>two <b title='>'>bold</b> end</li>", ["one", "two bold end"]),
+    ("<p>one<script>var x = '<p>no</p>';", ["one"]),
+    ("<P>a<br/>b<br class='c'>c</P>stray<h2>d</h2>", ["a \n b \n c", "d"]),
+    ("<li><p>inner</p>lost</li><blockquote>1 < 2 and 3 > 2</blockquote>", ["inner", "1 < 2 and 3 > 2"]),
+    ("<noscript><p>no</p></noscript><td/>cell<th>head</th><p x=1 />no", ["head"]),
+])
+def test_html_blocks_of_uneven_pages(spark, html, texts):
+    got = spark.createDataFrame([(html,)], "h string").select(structure.html_blocks(F.col("h")).alias("b")).first()["b"]
+    assert [b["text"] for b in got] == texts
+
+
 SECTION = "struct<document_id:string,section_id:string,title:string,text:string,version:string,page:int>"
 
 

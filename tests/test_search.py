@@ -56,6 +56,22 @@ def test_cosine(spark):
         spark.createDataFrame([([1.0], [1.0, 2.0])], "a array<float>, b array<float>").select(search.cosine(F.col("a"), F.col("b"))).collect()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_gated_search_is_the_full_search(spark, seed):
+    """Also for queries that are mostly stop words, whose highest score belongs to a chunk that the gate does not pass."""
+    import random
+
+    rng = random.Random(seed)
+    words = ["the", "of", "and", "to", "a", *(f"w{i}" for i in range(12))]
+    chunks = [(i, " ".join(rng.choice(words[: rng.choice([5, 17])]) for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    queries = [(i, " ".join(["the"] * rng.randint(0, 6) + [rng.choice(words) for _ in range(rng.randint(1, 5))])) for i in range(25)] + [(99, "w0 the the the the the the the the of")]
+    c, q = spark.createDataFrame(chunks, "chunk_id int, text string"), spark.createDataFrame(queries, "query_id int, query string")
+    for coverage in (0.3, 1.0):
+        want = search.scored(q, c).filter(F.col("coverage") >= coverage)
+        rows = lambda df: sorted((r["query_id"], r["chunk_id"], round(r["bm25"], 9), round(r["lexical"], 9), round(r["jaccard"], 9), round(r["coverage"], 9)) for r in df.collect())
+        assert rows(search.gated(q, c, coverage)) == rows(want)
+
+
 def test_index_maintenance(spark):
     df = lambda rows: spark.createDataFrame(rows, "document_id string, chunk_id string")
     first = df([("d1", "a"), ("d1", "b"), ("d2", "c")])
