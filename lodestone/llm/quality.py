@@ -21,7 +21,10 @@ from lodestone.llm.common import materialise
 BLANK = r"[\x20\x09-\x0D]+"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: Rounds of expectation-maximisation; with WEIGHT and the bounds below, parameters move by less than 0.001 in the last ones.
 ROUNDS = 15
+#: Between which the share of good documents is held: labels that are all alike would otherwise run to 0 or 1.
+LEAST_SHARE, MOST_SHARE = 0.5, 0.98
 #: Where expectation-maximisation starts, and the weight in documents of that start: P(good vote | good), P(bad vote | bad), P(good).
 START_GOOD, START_BAD, START_SHARE, WEIGHT = 0.98, 0.5, 0.85, 20.0
 KEEP = 0.5
@@ -109,7 +112,7 @@ def estimate(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict[s
         if not s["n"]:
             break
         bound = lambda x: min(max(x, 1e-4), 1 - 1e-4)
-        new = {"share": min(max((s["good"] + WEIGHT * START_SHARE) / (s["n"] + WEIGHT), 0.5), 0.98)}
+        new = {"share": min(max((s["good"] + WEIGHT * START_SHARE) / (s["n"] + WEIGHT), LEAST_SHARE), MOST_SHARE)}
         for v in names:
             new[f"good_{v}"] = bound((s[f"gr_{v}"] + WEIGHT * START_GOOD) / (s[f"gv_{v}"] + WEIGHT))
             new[f"bad_{v}"] = bound((s[f"br_{v}"] + WEIGHT * START_BAD) / (s[f"bv_{v}"] + WEIGHT))

@@ -52,7 +52,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(table(spark, sf_dir, "documents")).withColumn("quality", F.round("quality", 6))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,5 +68,47 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   (3 + sum(n + CASE role WHEN 'assistant' THEN 15 WHEN 'user' THEN 13 ELSE 26 + r END))::BIGINT AS formatted_chars, false AS rewritten FROM e GROUP BY conv_id"""
 
+#: Votes by rule: against, for.
+OP9_RULES = {
+    "v_length": ("n_words < 30", "n_words >= 60"),
+    "v_word_length": ("mean < 2.5 OR mean > 12", "mean BETWEEN 3 AND 10"),
+    "v_symbols": ("n_symbols / n > 0.3", "n_symbols / n < 0.1"),
+    "v_marked": ("n_marked / n > 0.3", "n_marked / n < 0.1"),
+    "v_upper": ("n_upper / n > 2", "n_upper / n < 0.5"),
+    "v_shouts": ("n_shouts / n > 0.5", "n_shouts / n < 0.05"),
+    "v_dup_lines": ("dup > 0.5", "n_lines >= 2 AND dup < 0.05"),
+    "v_repeats": ("n_repeat_words / n > 0.4", "n_repeat_words / n < 0.1"),
+}
+
+
+def _op9_sql() -> str:
+    """Counts from positions of words, votes, and expectation-maximisation as a recursive query over the table of votes."""
+    names, w = list(OP9_RULES), quality.WEIGHT
+    blank = r"[\x20\x09-\x0D]+"
+    votes = ", ".join(f"CASE WHEN coalesce({bad}, false) THEN -1 WHEN coalesce({good}, false) THEN 1 ELSE 0 END AS {v}" for v, (bad, good) in OP9_RULES.items())
+    log_good = "ln(share)" + "".join(f" + CASE {v} WHEN 1 THEN ln(good[{k}]) WHEN -1 THEN ln(1 - good[{k}]) ELSE 0 END" for k, v in enumerate(names, 1))
+    log_bad = "ln(1 - share)" + "".join(f" + CASE {v} WHEN 1 THEN ln(1 - bad[{k}]) WHEN -1 THEN ln(bad[{k}]) ELSE 0 END" for k, v in enumerate(names, 1))
+    bound = lambda x: f"least(greatest({x}, 1e-4), 1 - 1e-4)"
+    good = ", ".join(bound(f"(coalesce(sum(n * g) FILTER ({v} = 1), 0) + {w * quality.START_GOOD}) / (coalesce(sum(n * g) FILTER ({v} <> 0), 0) + {w})") for v in names)
+    bad = ", ".join(bound(f"(coalesce(sum(n * (1 - g)) FILTER ({v} = -1), 0) + {w * quality.START_BAD}) / (coalesce(sum(n * (1 - g)) FILTER ({v} <> 0), 0) + {w})") for v in names)
+    share = f"least(greatest((sum(n * g) + {w * quality.START_SHARE}) / (sum(n) + {w}), {quality.LEAST_SHARE}), {quality.MOST_SHARE})"
+    start = lambda x: "[" + ", ".join([f"{x}::DOUBLE"] * len(names)) + "]"
+    posterior = f"1 / (1 + exp(({log_bad}) - ({log_good})))"
+    return f"""WITH RECURSIVE rows AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT rid, doc_id, text, list_filter(regexp_split_to_array(text, '{blank}'), lambda x: x <> '') AS words, list_filter(string_split(text, E'\\n'), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM rows),
+windows AS (SELECT rid, unnest(list_transform(range(1, len(words) - 1), lambda i: {{'i': i, 'w': words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]}}), recursive := true) FROM cut),
+twice AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, w) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(3) AS s(k) GROUP BY rid),
+counts AS (SELECT rid, doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '{blank}', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(text, '[^!]+', '', 'g')) AS n_shouts,
+  length(regexp_replace(text, '\\P{{Lu}}+', '', 'g')) AS n_upper, len(list_filter(words, lambda x: regexp_matches(x, '[#*$%&|<>]'))) AS n_marked FROM cut LEFT JOIN covered USING (rid)),
+ratios AS (SELECT *, nullif(n_words, 0)::DOUBLE AS n, word_chars / nullif(n_words, 0) AS mean, n_dup_lines / nullif(n_lines, 0) AS dup FROM counts),
+voted AS MATERIALIZED (SELECT *, {votes} FROM ratios), patterns AS MATERIALIZED (SELECT {', '.join(names)}, count(*)::DOUBLE AS n FROM voted GROUP BY ALL),
+em AS (SELECT 0 AS round, {quality.START_SHARE}::DOUBLE AS share, {start(quality.START_GOOD)} AS good, {start(quality.START_BAD)} AS bad
+  UNION ALL SELECT round + 1, {share}, [{good}], [{bad}] FROM (SELECT em.round, patterns.*, {posterior} AS g FROM em, patterns WHERE em.round < {quality.ROUNDS}) GROUP BY round),
+judged AS (SELECT voted.*, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed, {posterior} AS p FROM voted, (SELECT * FROM em WHERE round = {quality.ROUNDS}))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= {quality.KEEP} AS kept, round(p, 6) AS quality, {', '.join(names)} FROM judged"""
+
+
 #: The others are fingerprint graphs, tokenizers, trained models and files; tests/llm holds them against plain versions.
-ORACLE = {"op3_chat_format": OP3_SQL}
+ORACLE = {"op3_chat_format": OP3_SQL, "op9_quality_rules": _op9_sql()}

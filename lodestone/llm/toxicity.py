@@ -42,6 +42,8 @@ THRESHOLD = 0.3
 #: that of all languages, and with fewer of all logits stay as they are.
 ENOUGH = 50
 SEED = 7
+#: Words that are scored together.
+TOGETHER = 50_000
 
 #: Common function words, to read a text's language off.
 FUNCTION_WORDS = {
@@ -267,9 +269,9 @@ class Scorer:
         numbers = self.words([t.split() for t in texts])
         out = np.zeros(len(texts))
         at = 0
-        while at < len(texts):  # a few hundred thousand words at a time
+        while at < len(texts):  # some tens of thousands of words at a time
             end, size = at, 0
-            while end < len(texts) and (end == at or size + len(numbers[end]) <= 200_000):
+            while end < len(texts) and (end == at or size + len(numbers[end]) <= TOGETHER):
                 size += len(numbers[end])
                 end += 1
             rows, lengths = _padded(numbers[at:end])
