@@ -496,13 +496,13 @@ def impact_rationale(spark, sf):
 changed AS (SELECT change_id, unnest({SQL_CONCEPTS.format("text")}) AS concept FROM changes), items AS (SELECT item_id, text, {SQL_CONCEPTS.format("text")} AS concepts FROM benchmark), words AS (SELECT item_id, unnest(concepts) AS concept FROM items),
 shared AS (SELECT change_id, item_id, count(*) AS n FROM changed JOIN words USING (concept) GROUP BY ALL),
 found AS (SELECT *, round(n / len(concepts), 4) AS relevance_score FROM shared JOIN items USING (item_id))
-SELECT change_id, item_id, row_number() OVER (PARTITION BY change_id ORDER BY relevance_score DESC, item_id) AS rank, relevance_score, CASE WHEN item_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS n_citations, changes.text || CASE WHEN item_id % 2 = 0 THEN '|' || found.text ELSE '' END AS quotes
+SELECT change_id, item_id, row_number() OVER (PARTITION BY change_id ORDER BY relevance_score DESC, item_id) AS rank, relevance_score, CASE WHEN item_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS n_citations, replace(lower(changes.text || CASE WHEN item_id % 2 = 0 THEN '|' || found.text ELSE '' END), 'ß', 'ss') AS quotes
 FROM found JOIN changes USING (change_id) WHERE relevance_score >= 0.2""")
 def impact_assessments(spark, sf):
     source = F.struct(F.lit("items").alias("document_id"), F.concat(F.lit("i"), F.col("item_id")).alias("section_id"), F.lit("").alias("title"), F.col("text").alias("text"), F.lit("1").alias("version"), F.lit(1).alias("page"))
     items = W.candidates(spark, sf).drop("has_source").join(W.table(spark, sf, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, source).alias("source")), "item_id")
     found = impact.assessments(_changes(spark, sf), items)
-    return found.select("change_id", "item_id", F.col("rank").cast("long").alias("rank"), "relevance_score", F.size("citations").cast("long").alias("n_citations"), F.array_join(F.transform("citations", lambda c: c["quote"]), "|").alias("quotes"))
+    return found.select("change_id", "item_id", F.col("rank").cast("long").alias("rank"), "relevance_score", F.size("citations").cast("long").alias("n_citations"), F.replace(F.lower(F.array_join(F.transform("citations", lambda c: c["quote"]), "|")), F.lit("ß"), F.lit("ss")).alias("quotes"))
 
 
 # evaluation
