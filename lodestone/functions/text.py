@@ -67,6 +67,17 @@ def fold_table() -> tuple[str, str, str]:
     return "".join(one + none), "".join(to), "".join(several)
 
 
+def _ranges(characters: str) -> str:
+    """The inside of a character class."""
+    codes, out = sorted(map(ord, characters)), []
+    for code in codes:
+        if out and code == out[-1][1] + 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
+
+
 def fold(text: Column) -> Column:
     """Case folded, compatibility decomposed, without combining marks, as far as letters a to z and digits go.
 
@@ -75,13 +86,15 @@ def fold(text: Column) -> Column:
     """
     given, become, several = fold_table()
     common = F.translate(F.replace(F.replace(text, F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss")), given, become)
-    rare = text.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in several if c not in "ßẞ") + "]")
+    beyond = text.rlike(r"[^\x00-\x7F]")
+    # few ranges, and none of them looked at for a character below the first: a class of single characters is slow
+    rare = beyond & text.rlike(f"[\\x{{{ord(min(several)):x}}}-\\x{{10FFFF}}&&[{_ranges(several.replace('ß', '').replace('ẞ', ''))}]]")
 
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else _folded(t) for t in texts.to_pylist()], pa.string())
 
     slow = F.arrow_udf(run, StringType())(F.when(rare, text))
-    return F.when(~text.rlike(r"[^\x00-\x7F]"), F.lower(text)).otherwise(F.coalesce(slow, common))
+    return F.when(~beyond, F.lower(text)).otherwise(F.coalesce(slow, common))
 
 
 def tokens(text: Column) -> Column:

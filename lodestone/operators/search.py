@@ -115,8 +115,9 @@ def top_k(rows: DataFrame, k: int = 5, coverage: float = 0.6, key: str = "chunk_
     return rows.filter((F.col("bm25") > 0) & (F.col("coverage") >= coverage)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, chunks: DataFrame, k: int = 5, coverage: float = 0.6, key: str = "chunk_id") -> DataFrame:
-    rows = gated(queries, chunks, coverage, key) if 0 < coverage <= 1 else scored(queries, chunks, key)
+def search(queries: DataFrame, chunks: DataFrame, k: int = 5, coverage: float = 0.6, key: str = "chunk_id", lean: bool = False) -> DataFrame:
+    """Gated top k. lean: by gated(), which reads the chunks several times but pairs no query with all chunks of a stop word."""
+    rows = gated(queries, chunks, coverage, key) if lean and 0 < coverage <= 1 else scored(queries, chunks, key)
     return top_k(rows, k, coverage, key)
 
 
