@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, chat, html_text, language, media, packing, quality, simhash, token_store, toxicity
+from lodestone.llm import byte_bpe, centroids, chat, html_text, language, media, packing, quality, simhash, token_store, toxicity
 from lodestone.llm.common import table
 
 
@@ -59,7 +59,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_token_store": op2_token_store, "op3_chat_format": op3_chat_format, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op6_media": op6_media, "op7_language_id": op7_language_id, "op8_best_fit_packing": op8_best_fit_packing, "op9_quality_rules": op9_quality_rules, "op10_html_text": op10_html_text}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_token_store": op2_token_store, "op3_chat_format": op3_chat_format, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op6_media": op6_media, "op7_language_id": op7_language_id, "op8_best_fit_packing": op8_best_fit_packing, "op9_quality_rules": op9_quality_rules, "op10_html_text": op10_html_text, "op11_centroids": op11_centroids}
 #: Lengths of the template's markup: <s>, then for each turn brackets, and one more character for each escaped one.
 OP3_SQL = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
@@ -110,5 +114,19 @@ judged AS (SELECT voted.*, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= {quality.KEEP} AS kept, round(p, 6) AS quality, {', '.join(names)} FROM judged"""
 
 
+def _op11_sql() -> str:
+    """Every round as two tables: all vectors with their nearest centroid, and the centroids that follow."""
+    distance = "list_inner_product(v.p, v.p) - 2 * list_inner_product(v.p, c.p) + list_inner_product(c.p, c.p)"
+    near = lambda n: f"a{n} AS MATERIALIZED (SELECT rid, min_by(z, (d, z)) AS z, min(d)::BIGINT AS d FROM (SELECT v.rid, c.z, {distance} AS d FROM v, c{n} AS c) GROUP BY rid)"
+    moved = lambda n: f"""c{n + 1} AS MATERIALIZED (SELECT c{n}.z, coalesce(m.p, c{n}.p) AS p FROM c{n} LEFT JOIN (SELECT z, list(x ORDER BY k) AS p FROM
+  (SELECT z, k, floor(sum(x) / count(*)) AS x FROM (SELECT z, unnest(p) AS x, unnest(range(64)) AS k FROM v JOIN a{n} USING (rid)) GROUP BY z, k) GROUP BY z) AS m USING (z))"""
+    steps = ", ".join(f"{near(n)}, {moved(n)}" for n in range(5))
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS p FROM embeddings
+  WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), p) - 1 AS z, p FROM v QUALIFY z < 40), {steps}, {near(5)}
+SELECT vec_id, z::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY z)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(list_transform(c5.p, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM v JOIN a5 USING (rid) JOIN c5 USING (z)"""
+
+
 #: The others are fingerprint graphs, tokenizers, trained models and files; tests/llm holds them against plain versions.
-ORACLE = {"op3_chat_format": OP3_SQL, "op9_quality_rules": _op9_sql()}
+ORACLE = {"op3_chat_format": OP3_SQL, "op9_quality_rules": _op9_sql(), "op11_centroids": _op11_sql()}
