@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, centroids, chat, html_text, language, media, packing, quality, simhash, token_store, toxicity
+from lodestone.llm import byte_bpe, centroids, chat, html_text, language, media, packing, quality, simhash, substrings, token_store, toxicity
 from lodestone.llm.common import table
 
 
@@ -63,7 +63,11 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_token_store": op2_token_store, "op3_chat_format": op3_chat_format, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op6_media": op6_media, "op7_language_id": op7_language_id, "op8_best_fit_packing": op8_best_fit_packing, "op9_quality_rules": op9_quality_rules, "op10_html_text": op10_html_text, "op11_centroids": op11_centroids}
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_token_store": op2_token_store, "op3_chat_format": op3_chat_format, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op6_media": op6_media, "op7_language_id": op7_language_id, "op8_best_fit_packing": op8_best_fit_packing, "op9_quality_rules": op9_quality_rules, "op10_html_text": op10_html_text, "op11_centroids": op11_centroids, "op13_substrings": op13_substrings}
 #: Lengths of the template's markup: <s>, then for each turn brackets, and one more character for each escaped one.
 OP3_SQL = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
@@ -128,5 +132,13 @@ SELECT vec_id, z::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY z
 FROM v JOIN a5 USING (rid) JOIN c5 USING (z)"""
 
 
+OP13_SQL = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+starts AS (SELECT rid, i, sha256(array_to_string(w[i:i + 34], ' ')) AS key FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY key) AS n FROM starts) WHERE n > 1),
+gone AS (SELECT DISTINCT rid, i + k AS p FROM twice, range(35) AS s(k)),
+words AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (rid, p) GROUP BY rid), lost AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(lost.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid) LEFT JOIN lost USING (rid)"""
+
 #: The others are fingerprint graphs, tokenizers, trained models and files; tests/llm holds them against plain versions.
-ORACLE = {"op3_chat_format": OP3_SQL, "op9_quality_rules": _op9_sql(), "op11_centroids": _op11_sql()}
+ORACLE = {"op3_chat_format": OP3_SQL, "op9_quality_rules": _op9_sql(), "op11_centroids": _op11_sql(), "op13_substrings": OP13_SQL}
