@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import byte_bpe, centroids, chat, html_text, language, media, packing, quality, simhash, substrings, token_store, toxicity
+from lodestone.llm import alignment, byte_bpe, centroids, chat, html_text, language, media, packing, quality, simhash, substrings, token_store, toxicity
 from lodestone.llm.common import table
 
 
@@ -63,11 +63,15 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_token_store": op2_token_store, "op3_chat_format": op3_chat_format, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op6_media": op6_media, "op7_language_id": op7_language_id, "op8_best_fit_packing": op8_best_fit_packing, "op9_quality_rules": op9_quality_rules, "op10_html_text": op10_html_text, "op11_centroids": op11_centroids, "op13_substrings": op13_substrings}
+QUERIES = {"op1_simhash": op1_simhash, "op2_token_store": op2_token_store, "op3_chat_format": op3_chat_format, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op6_media": op6_media, "op7_language_id": op7_language_id, "op8_best_fit_packing": op8_best_fit_packing, "op9_quality_rules": op9_quality_rules, "op10_html_text": op10_html_text, "op11_centroids": op11_centroids, "op12_alignment": op12_alignment, "op13_substrings": op13_substrings}
 #: Lengths of the template's markup: <s>, then for each turn brackets, and one more character for each escaped one.
 OP3_SQL = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
