@@ -36,7 +36,7 @@ BLOCK_CHARS, ENTRIES = 24_000_000, 6_000_000
 PLAIN, MARKS = "A-Za-z0-9À-ÖØ-öø-ɏ", "!#$%&*,.:;?|"
 
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-TOKENS = "key long, key2 long, a array<int>, a_len array<int>, b array<int>, b_len array<int>"
+TOKENS = "id long, key long, key2 long, a array<int>, a_len array<int>, b array<int>, b_len array<int>"
 
 
 # --- relational core
@@ -150,7 +150,7 @@ def coded(docs: DataFrame, load, most: int = BLOCK_CHARS) -> DataFrame:
 
 
 def tokens_of(parts: DataFrame, load) -> DataFrame:
-    """parts(key, key2, part) -> TOKENS, for parts whose tokens give the part's bytes."""
+    """parts(key, key2, part) -> TOKENS, for parts whose tokens give the part's bytes; ids are numbers, shorter than keys."""
 
     def lists(values: list, lengths: np.ndarray) -> list:
         sizes = np.fromiter(map(len, values), np.int64, len(values))
@@ -159,22 +159,26 @@ def tokens_of(parts: DataFrame, load) -> DataFrame:
         return [pa.ListArray.from_arrays(at, pa.array(x)) for x in (flat, lengths[flat])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = load()
+        from pyspark import TaskContext
+
+        both, number = load(), TaskContext.get().partitionId() << 40
         for batch in slices(batches, 8192):
             parts = batch.column("part").to_pylist()
             a, b = both.encode(parts)
             good = [i for i, p in enumerate(parts) if (raw := p.encode()) == b"".join([both.a_bytes.get(t, b"") for t in a[i].tolist()]) and raw == b"".join([both.b_bytes[t] for t in b[i]])]
             keys = [batch.column(c).take(pa.array(good, pa.int64())) for c in ("key", "key2")]
-            yield pa.RecordBatch.from_arrays(keys + lists([a[i] for i in good], both.lengths[0]) + lists([b[i] for i in good], both.lengths[1]), names=["key", "key2", "a", "a_len", "b", "b_len"])
+            ids = pa.array(np.arange(number, number + len(good)))
+            number += len(good)
+            yield pa.RecordBatch.from_arrays([ids, *keys] + lists([a[i] for i in good], both.lengths[0]) + lists([b[i] for i in good], both.lengths[1]), names=["id", "key", "key2", "a", "a_len", "b", "b_len"])
 
-    return materialise(parts.mapInArrow(run, TOKENS), "tokens")
+    return materialise(parts.mapInArrow(run, TOKENS), "tokens", codec="zstd")
 
 
 # --- what a part carries to its blocks
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """aligned() rows -> (key, key2, code): for each key its numbers of a, b and groups, a ids, b ids, and how many of each a group has."""
+    """aligned() rows -> (id, code): for each id its numbers of a, b and groups, a ids, b ids, and how many of each a group has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,10 +202,10 @@ def packed(rows: DataFrame) -> DataFrame:
             codes = [heads[k].tobytes() + flat_ids[0][at[0][k] : at[0][k + 1]].tobytes() + flat_ids[1][at[1][k] : at[1][k + 1]].tobytes() + counts[at[2][k] : at[2][k + 1]].tobytes() for k in range(len(sizes))]
             # halves of integers compress better apart: low bytes carry all of most values
             codes = [np.frombuffer(c, np.uint16).reshape(-1, 2).T.tobytes() for c in codes]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("key2"), pa.array(codes, pa.binary())], names=["key", "key2", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes, pa.binary())], names=["id", "code"])
 
-    gathered = rows.groupBy("key", "key2").agg(F.collect_list(F.struct("end", "a", "b", "grp")).alias("r"))
-    return materialise(gathered.mapInArrow(run, "key long, key2 long, code binary"), "packed")
+    gathered = rows.groupBy("id").agg(F.collect_list(F.struct("end", "a", "b", "grp")).alias("r"))
+    return materialise(gathered.mapInArrow(run, "id long, code binary"), "packed", codec="zstd")
 
 
 class Parts:
@@ -315,7 +319,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CH
     # 128 bits of the part
     keys = [F.xxhash64("part").alias("key"), F.xxhash64(F.lit(2), "part").alias("key2")]
     tokens = _settled(tokens_of(words.select("part").distinct().select(*keys, "part"), load))
-    codes = _settled(packed(aligned(tokens, ["key", "key2"])))
+    codes = _settled(packed(aligned(tokens.drop("key", "key2"), ["id"]))).join(tokens.select("id", "key", "key2"), "id").drop("id")
     placed = words.select("block", "local", *keys).join(codes, ["key", "key2"]).select("block", "local", "code")
     n = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = _settled(bucketed(placed.repartition(n, "block"), "placed"))
@@ -334,13 +338,14 @@ def align(docs: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CH
     counts = linked.groupBy("pair").agg(F.sum("n").alias("total")).withColumn("best", F.col("total") == F.max("total").over(of_id))
     known = linked.select("block", "pair").join(counts, "pair")
     nothing = lambda kind: F.lit(None).cast(kind)
-    more = known.select("block", nothing("int").alias("local"), nothing("binary").alias("code"), "pair", "total", "best")
-    all_known = placed.select("block", "local", "code", nothing("long").alias("pair"), nothing("long").alias("total"), nothing("boolean").alias("best")).unionByName(more)
+    more = known.select("block", nothing("long").alias("doc_id"), nothing("binary").alias("ids"), "pair", "total", "best")
+    # documents are shorter rows than parts, which stay where they are
+    asked = texts.select("*", nothing("long").alias("pair"), nothing("long").alias("total"), nothing("boolean").alias("best")).unionByName(more)
 
     def result(docs: pa.Table, own: pa.Table) -> pa.Table:
+        asked, docs = docs.filter(docs.column("pair").is_valid()), docs.filter(docs.column("ids").is_valid())
         ids, sizes = _documents(docs)
-        coded_rows = own.filter(own.column("code").is_valid())
-        parts, asked = _parts(coded_rows, ids), own.filter(own.column("pair").is_valid())
+        parts = _parts(own, ids)
         pair, total, best = (np.asarray(asked.column(c).combine_chunks()) for c in ("pair", "total", "best"))
         order = np.argsort(pair)
         pair, total, best = pair[order], total[order], best[order]
@@ -365,4 +370,4 @@ def align(docs: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CH
             digests.append(hashlib.sha256(";".join([written[k] for k in own_ids]).encode()).hexdigest() if whole[i] else "")
         return pa.table([docs.column("doc_id"), *map(pa.array, columns), pa.array(digests, pa.string())], names=[c.split()[0] for c in RESULT.split(", ")])
 
-    return texts.groupBy("block").cogroup(all_known.groupBy("block")).applyInArrow(result, RESULT)
+    return asked.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(result, RESULT)

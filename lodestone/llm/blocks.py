@@ -24,7 +24,7 @@ def bucketed(df: DataFrame, name: str, key: str = "block") -> DataFrame:
     """df as a table in the shared folder, bucketed by key into as many buckets as the session has shuffle partitions."""
     spark = df.sparkSession
     path, table = shared_path(spark, name, keep=False), f"lodestone_{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(table)
+    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).option("compression", "zstd").saveAsTable(table)
     return spark.table(table)
 
 

@@ -39,10 +39,10 @@ def shared_path(spark: SparkSession, name: str, keep: bool = True) -> str:
     return full if "://" in full else full.replace(":/", ":///", 1)
 
 
-def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str, keep: bool = False, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = shared_path(df.sparkSession, name, keep)
-    df.write.mode("append").parquet(path)
+    df.write.mode("append").parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
