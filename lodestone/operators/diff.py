@@ -1,18 +1,22 @@
 """Version comparison: section alignment, change types, signals, scores, claims.
 
-Sections are rows (pair_id, side columns …). Alignment by section id and by title are equi-joins; only what they leave goes,
-one version pair at a time, to the similarity ratio in Python.
+Sections are rows (pair_id, side columns …). Alignment by section id and by title are equi-joins; what they leave meets in an
+inverted index on the characters of titles, is scored by the similarity ratio, and is taken greedily in rounds over edges.
 """
 
 from __future__ import annotations
 
-import difflib
 from collections import Counter
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
+from lodestone.functions.similarity import most_alike, ratio
+from lodestone.functions.steps import checkpointed
 from lodestone.functions.text import digest, normalise, words
 
 #: Modal strengths and the word lists behind signals.
@@ -20,23 +24,14 @@ MODALS = {"may": 0, "can": 0, "could": 0, "should": 1, "shall": 2, "must": 3}
 REQUIREMENTS = ["must", "shall", "required", "prohibited", "ensure"]
 DEADLINES = ["day", "days", "month", "months", "annual", "annually", "immediately"]
 MATCH = 0.64
+#: What equal titles score; what rounding a score to four digits may add to it; edges of a version pair that a task takes at once.
+SAME_TITLE, SLACK, AT_ONCE = 0.98, 1e-4, 200_000
 
 
 def duplicates(sections: DataFrame) -> DataFrame:
     return sections.groupBy("document_id", "section_id").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def ratio(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
-
-
-def most_alike(a: str, b: str) -> float:
-    """What their ratio cannot exceed, by their characters alone."""
-    if not a and not b:
-        return 1.0
-    return 2 * (Counter(a) & Counter(b)).total() / (len(a) + len(b))
-
-
 def _ratios(old: str, new: str) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([round(ratio(x or "", y or ""), 4) for x, y in zip(a, b)], dtype=float)
@@ -62,45 +57,147 @@ def match_exact(old: DataFrame, new: DataFrame) -> DataFrame:
 def section_match_score(old_title: str, old_text: str, new_title: str, new_text: str, threshold: float = 0.0) -> float:
     """Of sections with different ids; titles and texts normalised. 0 for what cannot reach the threshold."""
     if old_title and old_title == new_title:
-        return 0.98
-    title = 0.0
-    if old_title and new_title:
-        if 0.7 * most_alike(old_title, new_title) + 0.3 < threshold - 1e-4:
-            return 0.0
-        title = ratio(old_title, new_title)
-    if 0.7 * title + 0.3 * most_alike(old_text, new_text) < threshold - 1e-4:
+        return SAME_TITLE
+    title = ratio(old_title, new_title) if old_title and new_title else 0.0
+    if 0.7 * title + 0.3 * most_alike(old_text, new_text) < threshold - SLACK:
         return 0.0
     return round(0.7 * title + 0.3 * ratio(old_text, new_text), 4)
 
 
-def match(old: DataFrame, new: DataFrame, threshold: float = MATCH) -> DataFrame:
-    """(pair_id, old_idx, new_idx, match_score): one to one, best score first, then input order."""
+def _characters(title: Column) -> Column:
+    """A title's characters, each with its number among equal ones: as sets they share what the titles share as multisets.
+
+    Characters that are rare in most texts come first: later ones of equals, then those far up in the code table.
+    """
+
+    def numbered(text: str) -> list[str]:
+        seen: Counter = Counter()
+        out = []
+        for c in text:
+            seen[c] += 1
+            out.append((seen[c], c))
+        return [f"{c}{n}" for n, c in sorted(out, reverse=True)]
+
+    def run(titles: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else numbered(t) for t in titles.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, ArrayType(StringType()))(title)
+
+
+def _candidates(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
+    """(pair_id, old_idx, new_idx, old_title, new_title) of sections with different titles whose ratio may reach `least`.
+
+    Titles of la and lb characters with that ratio share least * (la + lb) / 2 of them, so they meet in a prefix of each one's
+    characters in a fixed order; a pair is taken where its first common character meets. No pair that can match is left out.
+    With least <= 0 titles rule out nothing, and all pairs are candidates.
+    """
+    sides = []
+    for df, side in ((old, "old"), (new, "new")):
+        df = df.select("pair_id", f"{side}_idx", F.col("title").alias(f"{side}_title"))
+        if least > 0:
+            n = F.length(f"{side}_title")
+            df = df.filter(n > 0).withColumn(f"{side}_all", _characters(F.col(f"{side}_title")))
+            df = df.withColumn(f"{side}_prefix", F.slice(f"{side}_all", 1, n - F.ceil(n * (least / (2 - least)) - 1e-9).cast("int") + 1))
+            df = df.withColumn("character", F.explode(f"{side}_prefix"))
+        sides.append(df)
+    columns = ("pair_id", "old_idx", "new_idx", "old_title", "new_title")
+    if least <= 0:
+        return sides[0].join(sides[1], "pair_id").filter("old_title <> new_title or old_title = ''").select(*columns)
+    met = sides[0].join(sides[1], ["pair_id", "character"]).filter("old_title <> new_title")
+    first = F.element_at(F.array_intersect("old_prefix", "new_prefix"), 1) == F.col("character")
+    enough = F.size(F.array_intersect("old_all", "new_all")) >= (F.size("old_all") + F.size("new_all")) * (least / 2) - 1e-9
+    return met.filter(first & enough).select(*columns)
+
+
+def _edges(old: DataFrame, new: DataFrame, threshold: float) -> DataFrame:
+    """(pair_id, old_idx, new_idx, score) of sections with different titles that reach the threshold."""
+    least = (threshold - SLACK - 0.3) / 0.7
+    found = _candidates(old, new, least)
+
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([ratio(x, y) if x and y else 0.0 for x, y in zip(a, b)], dtype=float)
+
+    found = found.withColumn("title_ratio", F.pandas_udf(alike, "double")("old_title", "new_title")).filter(F.col("title_ratio") >= least).drop("old_title", "new_title")
+    texts = found.join(old.select("pair_id", "old_idx", F.col("text").alias("old_text")), ["pair_id", "old_idx"]).join(new.select("pair_id", "new_idx", F.col("text").alias("new_text")), ["pair_id", "new_idx"])
+
+    def scored(title: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        at_best = [0.7 * t + 0.3 * most_alike(x, y) for t, x, y in zip(title, a, b)]
+        return pd.Series([round(0.7 * t + 0.3 * ratio(x, y), 4) if m >= threshold - SLACK else 0.0 for m, t, x, y in zip(at_best, title, a, b)], dtype=float)
+
+    score = F.pandas_udf(scored, "double")("title_ratio", "old_text", "new_text")
+    return texts.select("pair_id", "old_idx", "new_idx", score.alias("score")).filter(F.col("score") >= threshold)
+
+
+def greedy(edges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """Of edges(pair_id, old_idx, new_idx, score) those that are taken one by one, best score first, then smallest old_idx and new_idx.
+
+    An edge that is the best one of both its ends is taken whatever happens elsewhere, so a round takes all of these and drops
+    the other edges of their ends, until none is left. A version pair with at most `at_once` edges is finished in one task.
+    """
+    kind, taken, left = edges.schema["pair_id"].dataType.simpleString(), [], edges
+    schema = f"pair_id {kind}, old_idx long, new_idx long, score double"
+
+    def finish(some: pd.DataFrame) -> pd.DataFrame:
+        old, new, rows = set(), set(), []
+        for s, i, j in sorted(zip(-some["score"], some["old_idx"], some["new_idx"])):
+            if i not in old and j not in new:
+                old.add(i)
+                new.add(j)
+                rows.append((some["pair_id"].iloc[0], i, j, -s))
+        return pd.DataFrame(rows, columns=["pair_id", "old_idx", "new_idx", "score"])
+
+    while True:
+        n = left.groupBy("pair_id").agg(F.count("*").alias("n"))
+        taken.append(left.join(n.filter(F.col("n") <= at_once).select("pair_id"), "pair_id", "left_semi").groupBy("pair_id").applyInPandas(finish, schema))
+        many = n.filter(F.col("n") > at_once).select("pair_id")
+        if many.isEmpty():
+            return reduce(DataFrame.unionByName, taken)
+        best = lambda end, other: F.row_number().over(Window.partitionBy("pair_id", end).orderBy(F.desc("score"), other)) == 1
+        ranked = checkpointed(left.join(many, "pair_id", "left_semi").withColumns({"_o": best("old_idx", "new_idx"), "_n": best("new_idx", "old_idx")}))
+        chosen = ranked.filter("_o and _n").drop("_o", "_n")
+        taken.append(chosen)
+        ends = chosen.select("pair_id", "old_idx", "new_idx")
+        rest = ranked.drop("_o", "_n").join(ends.drop("new_idx"), ["pair_id", "old_idx"], "left_anti").join(ends.drop("old_idx"), ["pair_id", "new_idx"], "left_anti")
+        left = checkpointed(rest.select(*edges.columns))
+
+
+def _free(df: DataFrame, side: str, taken: DataFrame) -> DataFrame:
+    return df.join(taken.select("pair_id", f"{side}_idx"), ["pair_id", f"{side}_idx"], "left_anti")
+
+
+def _by_title(old: DataFrame, new: DataFrame, edges: DataFrame) -> DataFrame:
+    """What is taken among sections with equal titles and edges of the same score: the k-th with the k-th within a title.
+
+    Titles whose sections have such an edge are taken edge by edge.
+    """
+    o, n = (df.filter("title <> ''").select("pair_id", f"{side}_idx", "title") for df, side in ((old, "old"), (new, "new")))
+    touched = edges.join(o, ["pair_id", "old_idx"]).select("pair_id", "title").union(edges.join(n, ["pair_id", "new_idx"]).select("pair_id", "title")).distinct()
+    mixed = o.join(touched, ["pair_id", "title"], "left_semi").join(n, ["pair_id", "title"]).select("pair_id", "old_idx", "new_idx", F.lit(SAME_TITLE).alias("score"))
+    nth = lambda df, side: df.join(touched, ["pair_id", "title"], "left_anti").withColumn("k", F.row_number().over(Window.partitionBy("pair_id", "title").orderBy(f"{side}_idx")))
+    plain = nth(o, "old").join(nth(n, "new"), ["pair_id", "title", "k"]).select("pair_id", "old_idx", "new_idx", F.lit(SAME_TITLE).alias("score"))
+    return plain.unionByName(greedy(checkpointed(mixed.unionByName(edges))))
+
+
+def match(old: DataFrame, new: DataFrame, threshold: float = MATCH, at_once: int = AT_ONCE) -> DataFrame:
+    """(pair_id, old_idx, new_idx, match_score): one to one, equal section ids first, then best score first, then input order.
+
+    Sections are rows at every step: no version pair is gathered in a task beyond at_once scored edges.
+    """
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must be between 0 and 1")
-    o = old.select("pair_id", F.col("idx").alias("old_idx"), "section_id", normalise("title").alias("title"), normalise("text").alias("text"))
-    n = new.select("pair_id", F.col("idx").alias("new_idx"), "section_id", normalise("title").alias("title"), normalise("text").alias("text"))
+    side = lambda df, name: df.select("pair_id", F.col("idx").cast("long").alias(f"{name}_idx"), "section_id", normalise("title").alias("title"), normalise("text").alias("text"))
+    o, n = side(old, "old"), side(new, "new")
     by_id = o.select("pair_id", "old_idx", "section_id").join(n.select("pair_id", "new_idx", "section_id"), ["pair_id", "section_id"]).select("pair_id", "old_idx", "new_idx", F.lit(1.0).alias("match_score"))
-    rest_o = o.join(by_id, ["pair_id", "old_idx"], "left_anti")
-    rest_n = n.join(by_id, ["pair_id", "new_idx"], "left_anti")
-
-    def assign(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for x in a.itertuples():
-            for y in b.itertuples():
-                s = section_match_score(x.title, x.text, y.title, y.text, threshold)
-                if s >= threshold:
-                    found.append((-s, x.old_idx, y.new_idx))
-        out, left, right = [], set(), set()
-        for s, i, j in sorted(found):
-            if i not in left and j not in right:
-                left.add(i)
-                right.add(j)
-                out.append((a["pair_id"].iloc[0], i, j, -s))
-        return pd.DataFrame(out, columns=["pair_id", "old_idx", "new_idx", "match_score"])
-
-    kind = old.schema["pair_id"].dataType.simpleString()
-    fuzzy = rest_o.groupBy("pair_id").cogroup(rest_n.groupBy("pair_id")).applyInPandas(assign, f"pair_id {kind}, old_idx long, new_idx long, match_score double")
-    return by_id.select("pair_id", F.col("old_idx").cast("long"), F.col("new_idx").cast("long"), "match_score").union(fuzzy)
+    o, n = (checkpointed(_free(df, name, by_id).drop("section_id")) for df, name in ((o, "old"), (n, "new")))
+    edges = checkpointed(_edges(o, n, threshold))
+    named = threshold <= SAME_TITLE
+    above, tied = edges.filter(F.col("score") > SAME_TITLE), edges.filter(F.col("score") == SAME_TITLE)
+    taken = [checkpointed(greedy(above if named else edges, at_once))]
+    if named:
+        free = lambda df: reduce(lambda d, t: _free(_free(d, "old", t), "new", t), taken, df)
+        taken.append(checkpointed(_by_title(_free(o, "old", taken[0]), _free(n, "new", taken[0]), free(tied))))
+        taken.append(greedy(checkpointed(free(edges.filter(F.col("score") < SAME_TITLE))), at_once))
+    return by_id.unionByName(reduce(DataFrame.unionByName, taken).withColumnRenamed("score", "match_score"))
 
 
 def aligned(old: DataFrame, new: DataFrame, matches: DataFrame) -> DataFrame:
