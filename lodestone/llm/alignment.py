@@ -18,11 +18,12 @@ import gc
 import hashlib
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.blocks import bucketed
@@ -49,6 +50,18 @@ def ends(tokens: DataFrame, by: list[str], ids: str, lengths: str) -> DataFrame:
     return rows.select(*by, F.sum(f"token.{lengths}").over(before).alias("end"), F.col(f"token.{ids}").alias(ids))
 
 
+@contextmanager
+def partitioned_by_some_keys(spark: SparkSession) -> Iterator[None]:
+    """Joins planned meanwhile use a partitioning by some of their keys as it is: here both sides lie by `by`, and so does what follows."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def aligned(tokens: DataFrame, by: list[str]) -> DataFrame:
     """tokens(by, a, a_len, b, b_len) -> (by, end, a, b, grp): a row for each offset where tokens end; a or b is null where only the other ends."""
     tokens = tokens.repartition(*by)
@@ -319,7 +332,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CH
     # 128 bits of the part
     keys = [F.xxhash64("part").alias("key"), F.xxhash64(F.lit(2), "part").alias("key2")]
     tokens = _settled(tokens_of(words.select("part").distinct().select(*keys, "part"), load))
-    codes = _settled(packed(aligned(tokens.drop("key", "key2"), ["id"]))).join(tokens.select("id", "key", "key2"), "id").drop("id")
+    with partitioned_by_some_keys(docs.sparkSession):  # packed() plans and runs
+        codes = packed(aligned(tokens.drop("key", "key2"), ["id"]))
+    codes = _settled(codes).join(tokens.select("id", "key", "key2"), "id").drop("id")
     placed = words.select("block", "local", *keys).join(codes, ["key", "key2"]).select("block", "local", "code")
     n = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = _settled(bucketed(placed.repartition(n, "block"), "placed"))
