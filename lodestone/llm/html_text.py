@@ -1,10 +1,11 @@
 """Main text of web pages: flat text blocks, classified by a small decision tree.
 
 A page is cut into blocks at block-level tags, in one scan that is linear in its length. Each block has its word count and
-link density, those of its neighbours, whether it is a heading, and a mark: what the nearest named container around it says
-(article and main, or menus, headers, footers, sidebars, notices, adverts, forms, comments). A tree of axis-parallel splits,
-trained at start on the labelled pages below, keeps or drops it. The mark is one feature among others: it tells a reader's
-comment from a paragraph, which counts cannot, and where a page has none, words and links decide alone.
+link density, those of its neighbours, whether it is a heading, and what the containers around it count for and against main
+text (article and main; menus, headers, footers, sidebars, notices, adverts, forms, comments). A tree of axis-parallel splits,
+trained at start on the labelled pages below, keeps or drops it. Names are graded: a word in passing or of the page's state
+weighs little or nothing, a container around the page's article or most of its words nothing, and long texts without links
+stay in spite of loose names. Readers' comments are told from paragraphs by names alone, which counts cannot do.
 
 Defined results: null or blank html has an empty text; scripts, styles, comments and hidden elements never become blocks, nor
 does what stands between <head> and its end, <body> or the first element of a body; a <br> is white space inside a block;
@@ -44,34 +45,42 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 CONTENT_NAMES = frozenset("article story entry post body text content main".split())
-STICKY_TAGS = frozenset(("nav", "footer", "aside", "dialog", "menu", "button"))
-STICKY_NAMES = frozenset("comment comments discussion disqus replies reply respond navigation nav menu breadcrumb breadcrumbs footer".split())
+FRAME_TAGS = frozenset(("nav", "footer", "aside", "dialog", "menu", "button"))
+TALK_NAMES = frozenset("comment comments discussion disqus replies reply respond".split())
+FRAME_NAMES = frozenset("navigation nav menu breadcrumb breadcrumbs footer".split())
 LOOSE_NAMES = frozenset(
     "ad ads advert advertisement adverts advertising banner sponsor sponsored promo promotion header masthead sidebar aside widget notice notices notification "
     "cookie cookies consent gdpr popup modal overlay share sharing social related recommended newsletter subscribe signup login search form pagination pager copyright alert disclaimer".split()
 )
+#: Words that turn a name into a state of the page, which says nothing; words beside which a name keeps its whole meaning.
+STATE_WORDS = frozenset("has have no not with without is are open opened closed enabled disabled active inactive hide show shown on off none below above sticky fixed loaded ready".split())
+PLAIN_WORDS = CONTENT_NAMES | frozenset(
+    "site page global primary secondary top bottom left right upper lower mobile desktop list item items box block panel bar wrap wrapper container section area region inner outer row col column "
+    "button buttons link links icon icons title the user blog news feed group text section element component module view js css fb wp id".split()
+)
 CLOSED_BY = {"p": frozenset(("p",)), "li": frozenset(("li",)), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "option": frozenset(("option",))}
 
 
-def _kind(tag: str, attributes: str, outer: int) -> int:
-    """2 content, 1 content by name, 0 none, -1 may hold content again, -2 holds none, -3 hidden; outer is what encloses it."""
-    if outer <= -2:
-        return outer
-    if attributes and HIDDEN.search(attributes):
-        return -3
-    names = {c.lower() for m in NAMES.finditer(attributes) for c in CUT.findall(m[1] or m[2] or m[3] or "")} if attributes else frozenset()
-    whole = tag in ("html", "body", "main")
-    if tag in STICKY_TAGS or (names & STICKY_NAMES and not whole):
-        return -2
+def evidence(tag: str, attributes: str) -> tuple[int, int, bool]:
+    """What an element's tag and names say: for main text (2 by its tag, 1 by a name), against it (3 frame or talk, 2 loose, 1 in passing), and if that is readers' talk."""
+    if tag in ("html", "body"):
+        return 0, 0, False
+    good, bad, talk = 0, 3 if tag in FRAME_TAGS else 2 if tag in ("form", "fieldset", "header") else 0, False
+    if attributes:
+        for m in NAMES.finditer(attributes):
+            for name in (m[1] or m[2] or m[3] or "").split():
+                words = {w.lower() for w in CUT.findall(name)}
+                against = words & TALK_NAMES or words & FRAME_NAMES or words & LOOSE_NAMES
+                if not against:
+                    good = max(good, int(bool(words & CONTENT_NAMES)))
+                elif not words & STATE_WORDS:
+                    other = words - TALK_NAMES - FRAME_NAMES - LOOSE_NAMES - PLAIN_WORDS
+                    weight = 1 if any(len(w) > 1 for w in other) else 2 if not words & (TALK_NAMES | FRAME_NAMES) else 3
+                    bad, talk = max(bad, weight), talk or (weight == 3 and bool(words & TALK_NAMES))
     if tag in CONTENT_TAGS:
-        return 2 if whole or not names & {"ad", "advert", "promo", "related", "sponsored"} else -2
-    if whole:
-        return outer
-    if outer < 2 and (tag == "header" or tag == "form") or tag in ("form", "fieldset"):
-        return -1
-    if names & LOOSE_NAMES and not (outer == 2 and names & {"header"}):
-        return -1
-    return max(outer, 1) if names & CONTENT_NAMES and outer >= 0 else outer
+        # a page's article may be marked by what stands around it; readers' own articles and sponsors' are named so
+        good, bad = (0, bad) if bad > 1 and tag == "article" else (2, 0)
+    return good, bad, talk
 
 
 def tokens(html: str):
@@ -130,7 +139,7 @@ BARRIERS, OUTER = frozenset(("article", "body", "main", "td")), frozenset(("html
 
 
 class Stack:
-    """Open elements as (tag, kind); knows without a search whether an end tag closes one."""
+    """Open elements as (tag, number); knows without a search whether an end tag closes one. Number 0 is the page."""
 
     def __init__(self):
         self.open: list[tuple[str, int]] = []
@@ -139,8 +148,8 @@ class Stack:
     def top(self) -> tuple[str, int]:
         return self.open[-1] if self.open else ("", 0)
 
-    def push(self, tag: str, kind: int):
-        self.open.append((tag, kind))
+    def push(self, tag: str, number: int):
+        self.open.append((tag, number))
         self.total[tag] += 1
         self.scopes[-1][tag] += 1
         if tag in BARRIERS:
@@ -165,18 +174,58 @@ class Stack:
         return next((t for t, _ in reversed(self.open) if t in BARRIERS), "")
 
 
-def blocks(html: str) -> list[tuple[str, int, int, int, int]]:
-    """(text, words, words in links, kind of container, heading or not) of each block with words, in page order."""
+#: Shares of the page's words outside links with which a container around them is no sign against them: by loose or frame names, by readers' talk.
+MOST, NEARLY_ALL = 0.5, 0.95
+
+
+def _judged(parents: list[int], says: list[tuple[int, int, bool] | None], found: list[tuple]) -> list[tuple[int, int]]:
+    """For each element what counts for and against main text in it, its own and what its containers say.
+
+    A container that holds main or article, or most of the page's words outside links, is a frame of the page, not a sign
+    against what stands in it; a content element inside another container counts by itself.
+    """
+    n = len(parents)
+    plain, heads, content = [0] * n, [0] * n, [0] * n
+    for _, words, linked, at, heading in found:
+        plain[at] += words - linked
+        heads[at] += heading
+    for k in range(n - 1, 0, -1):
+        content[k] |= int(bool(says[k]) and says[k][0] == 2)
+        for sums in (plain, heads):
+            sums[parents[k]] += sums[k]
+        content[parents[k]] |= content[k]
+    # where nothing speaks for main text and most of it stands in loose containers, these say nothing either
+    loose = sum(w - l for _, w, l, at, _ in found if (x := says[at]) and x[1] == 2)
+    spoken = any(x and x[0] for x in says)
+    out = [(0, 0)] * n
+    for k in range(1, n):
+        good, bad, talk = says[k] or (0, 0, False)
+        outer_good, outer_bad = out[parents[k]]
+        if bad and good < 2:
+            share = plain[k] / plain[0] if plain[0] else 0.0
+            around = content[k] or (share >= NEARLY_ALL and heads[k] == heads[0] if talk else share >= MOST)
+            if around or (bad == 2 and not spoken and loose >= MOST * plain[0]):
+                bad = 0
+        if good == 2 and outer_bad < 4:
+            out[k] = 2, bad
+        else:
+            out[k] = (max(good, outer_good) if max(bad, outer_bad) < 2 else 0), max(bad + talk * (bad > 0), outer_bad)
+    return out
+
+
+def blocks(html: str) -> list[tuple[str, int, int, tuple[int, int], int]]:
+    """(text, words, words in links, what counts for and against its container, heading or not) of each block with words, in page order."""
     out: list = []
     stack = Stack()
-    kind, links, held, in_links, heading, in_head = 0, 0, [], 0, 0, False
+    parents, says, hidden = [0], [None], [False]
+    at, links, held, in_links, heading, in_head = 0, 0, [], 0, 0, False
 
     def flush():
         nonlocal held, in_links
         if held:
             words = entities.unescape("".join(held)).split()
-            if words:
-                out.append((" ".join(words), len(words), min(in_links, len(words)), kind, heading))
+            if words and not hidden[at]:
+                out.append((" ".join(words), len(words), min(in_links, len(words)), at, heading))
             held, in_links = [], 0
 
     for tag, rest, closing in tokens(html):
@@ -205,36 +254,42 @@ def blocks(html: str) -> list[tuple[str, int, int, int, int]]:
                 if stack.top()[0] == "p" and tag not in ("button", "label"):
                     stack.pop()
                 if tag not in VOID and not rest.endswith("/"):
-                    stack.push(tag, _kind(tag, rest, stack.top()[1]))
-            name, kind = stack.top()
+                    outer = stack.top()[1]
+                    stack.push(tag, len(parents))
+                    parents.append(outer)
+                    says.append(evidence(tag, rest))
+                    hidden.append(hidden[outer] or bool(rest and HIDDEN.search(rest)))
+            name, at = stack.top()
             heading = int(len(name) == 2 and name[0] == "h" and name[1].isdigit())
     flush()
-    return out
+    judged = _judged(parents, says, out)
+    return [(text, words, linked, judged[k], h) for text, words, linked, k, h in out]
 
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "mark", "heading")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "content", "against", "heading")
 
 
 def features(found: list[tuple]) -> np.ndarray:
-    """mark: 2 in a content element, 1 in one by its name, 0 unmarked, -1 beside the page's content elements, -2 in a container to drop."""
+    """content: 2 in a content element, 1 in one by its name, 0 unmarked, -1 beside the page's content elements; against: 0 nothing, 1 a name in passing, 2 loose, 3 frame, 4 readers' talk."""
     n = len(found)
     out = np.zeros((n, len(FEATURES)))
     if not n:
         return out
     words = np.array([b[1] for b in found], float)
     density = np.array([b[2] for b in found]) / words
-    kinds = np.array([b[3] for b in found])
-    top = kinds.max()
-    mark = np.where(kinds < 0, -2, np.where(kinds == top, kinds, -1)) if top > 0 else np.where(kinds < 0, -2, 0)
+    good, bad = (np.array([b[3][k] for b in found]) for k in (0, 1))
+    top = good.max()
     out[:, 0], out[:, 1] = words, density
     out[1:, 2], out[1:, 3] = words[:-1], density[:-1]
     out[:-1, 4], out[:-1, 5] = words[1:], density[1:]
-    out[:, 6], out[:, 7] = mark, [b[4] for b in found]
+    out[:, 6] = np.where(good == top, good, -1) if top > 0 else 0
+    out[:, 7], out[:, 8] = bad, [b[4] for b in found]
     return out
 
 
 #: The labelled table, a page a line, a block a word: how often it stands there, words, words in links, its container (c content,
-#: b content by name, . none, x may hold content, n holds none), h for a heading, and whether it is main text.
+#: b content by name, . none, w a name in passing against it, x loose names, n frame, t readers' talk), h for a heading, and
+#: whether it is main text. The last lines are pages whose marks mislead.
 LABELLED = """
 6*1/1n- 8x- 5ch+ 60c+ 1c+ 45/5c+ 9n-
 5*1/1n- 2/2n- 30x- 2ch+ 1c+ 3/3c+ 25n- 14c+ 40n-
@@ -274,14 +329,24 @@ LABELLED = """
 5*1/1n- 7.h+ 33.+ 3.+ 28.+ 16x- 2*45n- 6*2/2n-
 4*1/1n- 5bh+ 35b+ 3/2b+ 60b+ 3/2b+ 22/2b+ 5/3b+ 3/2b+ 31b+ 6/6b- 9n-
 4*1/1x- 6.h+ 24.+ 58/2.+ 1.+ 33.+ 3*9/9x- 12x-
+6*1/1n- 5ch+ 40c+ 33/1c+ 3*45t- 2*3t- 8n-
+5*2/2n- 6bh+ 28b+ 51/3b+ 2*1/1t- 4*70t- 5n-
+4*1/1.- 7.h+ 62.+ 38.+ 2*90t- 30t- 6/2.-
+6*1/1.- 5.h+ 140x+ 120x+ 3*2/2x- 8x- 5*2/2.-
+8*1/1.- 4.h+ 35.+ 160x+ 6x- 12/12x- 4*2/2.-
+3*2/2n- 5.h+ 44.+ 130x+ 180/4x+ 5*4/4x- 60n- 9n-
+5*1/1n- 6wh+ 50w+ 3w+ 44/2w+ 8*3/3w- 6n-
+4*1/1w- 7wh+ 61w+ 35/1w+ 5/5w- 3*4/4w-
+7*2/2w- 5ch+ 40c+ 30c+ 9c+ 20/18w-
+6*1/1w- 8w- 5bh+ 38b+ 42b+ 6*5/5b- 4/4b-
 """
 
 
-def labelled() -> list[list[tuple[int, int, int, int, int]]]:
-    """The table's pages as blocks (words, words in links, kind of container, heading, main text or not)."""
-    kinds, pages = {"c": 2, "b": 1, ".": 0, "x": -1, "n": -2}, []
+def labelled() -> list[list[tuple[int, int, tuple[int, int], int, int]]]:
+    """The table's pages as blocks (words, words in links, for and against its container, heading, main text or not)."""
+    kinds, pages = {"c": (2, 0), "b": (1, 0), ".": (0, 0), "w": (0, 1), "x": (0, 2), "n": (0, 3), "t": (0, 4)}, []
     for line in LABELLED.split("\n"):
-        found = re.findall(r"(?:(\d+)\*)?(\d+)(?:/(\d+))?([cb.xn])(h?)([+-])", line)
+        found = re.findall(r"(?:(\d+)\*)?(\d+)(?:/(\d+))?([cb.wxnt])(h?)([+-])", line)
         if found:
             pages.append([(int(w), int(n or 0), kinds[k], int(h != ""), int(y == "+")) for times, w, n, k, h, y in found for _ in range(int(times or 1))])
     return pages

@@ -139,9 +139,49 @@ def test_pages_of_other_layouts(kind, least):
     assert precision >= least and recall >= least
 
 
-def test_counts_decide_where_marks_say_nothing():
-    """The same marks, other counts: the first split of the tree is not the mark."""
-    assert html_text.FEATURES[html_text.tree()[0]] == "link_density"
+TITLE = "<h1>A title of some words</h1>"
+BODY = f"{TITLE}<p>{'word ' * 35}</p><p>{'more ' * 50}</p>"
+MENU = "<ul>" + "<li><a href='/x'>go here</a></li>" * 6 + "</ul>"
+TALK = f"<p>{'talk ' * 60}</p>" * 3
+
+
+@pytest.mark.parametrize("page", [
+    f'{MENU}<article class="post-12 comments-open">{BODY}</article>',
+    f'<div class="page has-footer">{MENU}<div>{BODY}</div></div>',
+    f'<div class="menu-closed">{MENU}<main>{BODY}</main></div>',
+    f'{MENU}<div class="layout navigation-left"><div class="story">{BODY}</div></div>',
+    f'{MENU}<div class="form-factor">{BODY}</div>',
+    f'<div class="sidebar-right"><div class="menu">{MENU}</div><article>{BODY}</article></div>',
+    f'{MENU}<div class="widget">{BODY}</div><div class="advert">{MENU}</div>',
+    f'<div class="modal"><main class="header-2">{BODY}</main></div>',
+    f'<nav>{MENU}</nav><div class="no-comments banner-off">{BODY}</div><footer>words here</footer>',
+    f'<form id="aspnetForm">{MENU}<div class="content">{BODY}</div><div class="comments">{TALK}</div></form>',
+    f'<div class="entry">{BODY}</div><div id="comments" class="comments-area"><article class="comment">{TALK}</article></div>',
+    f'{BODY}<section class="discussion">{TALK}</section>',
+])
+def test_misleading_marks(page):
+    """Names of states, in passing, or of containers around the article: the article stays, and nothing else does."""
+    got = html_text.main_text(f"<html><body>{page}</body></html>").split("\n\n")
+    assert [len(t.split()) for t in got] == [5, 35, 50]
+
+
+def test_marks_are_overruled_both_ways():
+    """A long text without links stays in a loose container; a short list of links goes from a container with a good name."""
+    page = f'{MENU}{TITLE}<p>{"word " * 40}</p><div class="promo"><p>{"long " * 150}</p></div><div class="promo"><p>buy this now</p></div>'
+    assert [len(t.split()) for t in html_text.main_text(page).split("\n\n")] == [5, 40, 150]
+    page = f'<div class="content">{TITLE}<p>{"word " * 40}</p>{MENU}</div>'
+    assert [len(t.split()) for t in html_text.main_text(page).split("\n\n")] == [5, 40]
+
+
+def test_tree_rests_on_counts_and_evidence():
+    """Over combinations of words, links and neighbours each grade of evidence but readers' talk both keeps and drops blocks."""
+    kept = {grade: set() for grade in [(2, 0), (1, 0), (0, 0), (0, 1), (0, 2)]}
+    for good, bad in kept:
+        for words in (1, 4, 12, 40, 90, 200, 400):
+            for density in (0, 0.3, 0.8, 1):
+                row = [words, density, 3, 0.5, 3, 0.5, good, bad, 0]
+                kept[good, bad].add(html_text._keeps(html_text.tree(), row))
+    assert all(kept[g] == {True, False} for g in [(1, 0), (0, 0), (0, 1), (0, 2)]) and kept[2, 0] == {True}
     assert sum(len(p) for p in html_text.labelled()) > 400
 
 
