@@ -6,10 +6,11 @@ history and the conversation is reported as such. Rendering the same prefix with
 the text stands, so the loss mask covers exactly the assistant texts.
 
 The first CHECKED prefixes of every conversation are rendered whole. From there on a template that declares how many earlier
-turns a turn's rendering looks at (context) is rendered on that window, so that its cost is linear in the turns; the prefixes
-whose number of turns is a power of two, and the whole conversation, are also rendered whole and compared with the pieces so
-far; rows are reported as rewritten from the first such turn on that differs. A template that declares no context is
-rendered whole at every turn.
+turns a turn's rendering looks at (context) is rendered on that window, so that its cost is linear in the text; whenever what
+has come since the last whole rendering is a SHARE of it, and at the last turn, the prefix is also rendered whole and compared
+with the pieces so far; rows are reported as rewritten from the first such turn on that differs. So history that is rewritten
+and restored within less than that share of the text, beyond CHECKED turns of a template that declared otherwise, is not
+seen. A template that declares no context is rendered whole at every turn, and nothing is missed.
 Rows stream through sorted by conversation and turn; a conversation of any length is one row a turn, never one value, but
 the turns of the one at hand are kept for rendering it whole.
 
@@ -34,6 +35,8 @@ Turns = list[tuple[str, str]]
 
 #: Prefixes of each conversation that are all rendered whole even if the template declares its context.
 CHECKED = 64
+#: Beyond these a whole rendering follows when the text has grown by this share: at most 1 / SHARE + 1 times the text in all.
+SHARE = 1 / 8
 #: A text that no escaping touches, to find the place of a text in a span.
 PROBE = "\ue000"
 
@@ -95,6 +98,7 @@ class Incremental:
         self.turns: Turns = []
         self.n = 0
         self.made = [render([])]  # joined, what the template has made of the turns so far
+        self.whole, self.added = len(self.made[0]), 0
         self.rewritten = False
 
     def add(self, role: str, text: str, last: bool = False) -> tuple[str, int, int]:
@@ -109,14 +113,15 @@ class Incremental:
         opening = before if self.n == 1 else ""
         self.turns.append((role, text))
         if whole:
-            self.made = [after]
+            self.made, self.whole, self.added = [after], len(after), 0
         else:
             self.made.append(after[len(before) :])
-            if self.n & (self.n - 1) == 0 or last:
+            self.added += len(self.made[-1])
+            if self.added >= SHARE * self.whole or last:
                 real = self.render(self.turns)
                 if real != "".join(self.made):
                     found = None
-                self.made = [real]
+                self.made, self.whole, self.added = [real], len(real), 0
         if found is None:
             self.rewritten = True
             return opening, len(opening), len(opening)

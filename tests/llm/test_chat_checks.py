@@ -30,9 +30,9 @@ def test_no_context_is_declared_by_default(spark):
     assert [r["turn_index"] for r in chat.formatted(turns, drops_oldest).collect() if r["rewritten"]] == [5, 6, 7, 8, 9]
 
 
-@pytest.mark.parametrize("n,changed,found", [(7, 7, 6), (20, 20, 19), (64, 64, 63), (100, 70, 99), (100, 100, 99), (200, 100, 127), (200, 201, None)])
+@pytest.mark.parametrize("n,changed,found", [(7, 7, 6), (20, 20, 19), (64, 64, 63), (100, 70, 71), (100, 100, 99), (200, 100, 103), (200, 201, None)])
 def test_history_is_checked_over_the_whole_conversation(n, changed, found):
-    """A template that declares no context rewrites history at turn changed: up to CHECKED turns at once, then at a power of two or the last turn."""
+    """A template that declares no context rewrites history at turn changed: up to CHECKED turns at once, then when the text has grown by SHARE, or at the last turn."""
 
     def late(turns):
         return "".join(f"<{r}>{t}" for r, t in (turns[1:] if len(turns) >= changed else turns))
@@ -44,6 +44,15 @@ def test_history_is_checked_over_the_whole_conversation(n, changed, found):
     assert seen == found
 
 
+@pytest.mark.parametrize("n", [110, 128, 150, 1000])
+def test_rewriting_that_is_over_by_the_end_is_detected(n):
+    """A template that drops the first turn between turns 70 and 100 only."""
+    state = chat.Incremental(lambda turns: "".join(f"<{r}>{t}" for r, t in (turns[1:] if 70 <= len(turns) <= 100 else turns)), 0)
+    for i in range(n):
+        state.add("user", f"text {i:03}", i == n - 1)
+        assert state.rewritten == (i >= 71)
+
+
 def test_rendering_is_linear_in_the_turns():
     size = []
 
@@ -55,7 +64,7 @@ def test_rendering_is_linear_in_the_turns():
         state = chat.Incremental(counting, 0)
         for i in range(n):
             state.add("user", "x", i == n - 1)
-        assert not state.rewritten and sum(size) < 2 * chat.CHECKED**2 + 8 * n
+        assert not state.rewritten and sum(size) < 2 * chat.CHECKED**2 + (1 / chat.SHARE + 5) * n
         size.clear()
 
 
