@@ -6,16 +6,18 @@ import re
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from lodestone.functions.text import stable_id
 
-#: Line forms.
-ARTICLE = r"(?i)^((?:article|art\.)\s+[A-Z0-9][A-Z0-9.\-]*)(?:\s*[-:–—]\s*(.*))?$"
-HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
-NUMBERED = r"(?i)^(?:\d+(?:\.\d+)*|[IVXLCDM]+)[.)]?\s+\S+"
+#: White space of any kind, the four separators among control characters too, under (?U). Under (?d) only \n ends a line.
+SPACE = r"[\s\x1C-\x1F]"
+#: Line forms. Letters in both cases, as a range of one case misses the Kelvin sign and the dotted I.
+ARTICLE = rf"(?diU)^((?:article|art\.){SPACE}+[A-Za-z0-9][A-Za-z0-9.\-]*)(?:{SPACE}*[-:–—]{SPACE}*(.*))?$"
+HEADING = rf"(?dU)^(#{{1,6}}){SPACE}+(.+?){SPACE}*#*{SPACE}*$"
+NUMBERED = rf"(?diU)^(?:\d+(?:\.\d+)*|[IVXLCDMivxlcdm]+)[.)]?{SPACE}+[^\s\x1C-\x1F]+"
 #: What stands in a tag before its end: a quoted value behind an equals sign may hold a >.
 ATTRIBUTES = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+"""
 #: What ends a line inside a block, what ends a block, and what counts as white space at the ends of a line.
@@ -77,7 +79,7 @@ def _text_block(lines: Column) -> Column:
             F.when((body != "") | (F.size(lines) > 1), _block("paragraph", inline(F.array_join(F.concat(F.array(body), rest), " ")))),
         )
     )
-    shouted = (F.size(F.split(first, r"\s+")) <= 10) & (F.upper(first) == first) & (F.lower(first) != first)
+    shouted = (F.size(F.split(first, rf"(?U){SPACE}+")) <= 10) & (F.upper(first) == first) & (F.lower(first) != first)
     looks = (F.size(lines) == 1) & (first.rlike(NUMBERED) | shouted)
     return F.when(first.rlike(HEADING), heading).when(first.rlike(ARTICLE), article).when(looks, F.array(_block("heading", joined, 2))).otherwise(F.array(_block("paragraph", joined)))
 
@@ -123,29 +125,36 @@ def document_id(source: Column, texts: Column) -> Column:
     return stable_id(source, F.array_join(texts, "\n\n"))
 
 
+#: Heading levels, and so the entries of a heading path, at most.
+LEVELS = 6
+
+
 def chunks(df: DataFrame, blocks: str = "blocks", source: str = "source") -> DataFrame:
     """One row a paragraph of df(source, blocks): ids, ordinal, text, heading_path, article, citation.
 
-    The heading stack is positional: a heading of level n keeps the first n - 1 entries, whatever their levels.
+    The heading stack is positional: a heading of level n keeps the first n - 1 entries, whatever their levels, so after the h-th
+    heading it has min(h, n_j + h - h_j over headings j so far) entries, and entry p is the last heading that made it p long.
+    Both are running values over a document's blocks as rows, which stream however many they are.
     """
-    path, none = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
-    kinds = "array<struct<text:string,heading_path:array<string>,article:string>>"
-    start = F.struct(F.coalesce(path, F.array().cast("array<string>")).alias("path"), none.alias("article"), F.array().cast(kinds).alias("out"))
-
-    def step(s: Column, b: Column) -> Column:
-        deeper = F.concat(F.slice(s["path"], 1, b["level"] - 1), F.array(b["text"]))
-        row = F.struct(b["text"].alias("text"), s["path"].alias("heading_path"), s["article"].alias("article"))
-        is_heading, is_article = b["kind"] == "heading", b["kind"] == "article"
-        return F.struct(
-            F.when(is_heading, deeper).otherwise(s["path"]).alias("path"),
-            F.when(is_heading, none).when(is_article, b["text"]).otherwise(s["article"]).alias("article"),
-            F.when(is_heading | is_article, s["out"]).otherwise(F.concat(s["out"], F.array(row))).alias("out"),
-        )
-
-    texts = F.filter(F.transform(F.col(blocks), lambda b: b["text"]), lambda t: t != "")
     nonempty = F.filter(F.col(blocks), lambda b: b["text"] != "")
-    placed = df.withColumn("document_id", document_id(F.col(source), texts)).withColumn("_rows", F.aggregate(nonempty, start, step)["out"])
-    out = placed.select("*", F.posexplode("_rows").alias("ordinal", "_row")).drop("_rows", blocks)
-    out = out.withColumns({"text": F.col("_row.text"), "heading_path": F.col("_row.heading_path"), "article": F.col("_row.article")}).drop("_row")
+    texts = F.transform(nonempty, lambda b: b["text"])
+    placed = df.withColumns({"document_id": document_id(F.col(source), texts), "_blocks": nonempty, "_id": F.monotonically_increasing_id()}).drop(blocks)
+    rows = placed.select("*", F.posexplode("_blocks").alias("_pos", "_b")).drop("_blocks")
+    so_far = Window.partitionBy("_id").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kind, text = F.col("_b.kind"), F.col("_b.text")
+    heading = kind == "heading"
+    rows = rows.withColumn("_headings", F.count_if(heading).over(so_far))
+    rows = rows.withColumn("_depth", F.col("_headings") + F.least(F.lit(0), F.coalesce(F.min(F.when(heading, F.col("_b.level") - F.col("_headings"))).over(so_far), F.lit(0))))
+    last = lambda value: F.last(value, ignorenulls=True).over(so_far)
+    entries = [F.when(F.col("_depth") >= p, last(F.when(heading & (F.col("_depth") == p), text))) for p in range(1, LEVELS + 1)]
+    rows = rows.withColumns(
+        {
+            "heading_path": F.array_compact(F.array(*entries)),
+            "article": F.nullif(last(F.when(heading, F.lit("")).when(kind == "article", text)), F.lit("")),
+            "ordinal": (F.count_if(kind == "paragraph").over(so_far) - 1).cast("int"),
+            "text": text,
+        }
+    )
+    out = rows.filter(kind == "paragraph").drop("_id", "_pos", "_b", "_headings", "_depth")
     cited = F.when(F.col("article").isNotNull() & ~F.array_contains("heading_path", F.col("article")), F.array("article")).otherwise(F.array().cast("array<string>"))
     return out.withColumns({"chunk_id": stable_id(F.col("document_id"), F.col("ordinal"), F.col("text")), "citation": F.array_join(F.concat(F.array(F.col(source)), F.col("heading_path"), cited), " > ")})
