@@ -22,6 +22,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from lodestone.llm.packing import ByteLevelIds
 from lodestone.llm.pieces import byte_letters
 
 #: Characters of a block of documents, about; (document, pair) entries that a task sorts at a time.
-BLOCK_CHARS, ENTRIES = 24_000_000, 6_000_000
+BLOCK_CHARS, ENTRIES = 16_000_000, 1_000_000
 #: Letters and digits after which a mark may begin a part of its own, and such marks.
 PLAIN, MARKS = "A-Za-z0-9À-ÖØ-öø-ɏ", "!#$%&*,.:;?|"
 
@@ -221,20 +222,25 @@ def packed(rows: DataFrame) -> DataFrame:
     return materialise(gathered.mapInArrow(run, "id long, code binary"), "packed", codec="zstd")
 
 
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of consecutive runs: start, start + 1, ... for each."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 class Parts:
     """The coded parts of a block as arrays; groups stand in the order of parts."""
 
     def __init__(self, local: np.ndarray, codes: list[bytes], n: int):
         """n: how many parts the block has; those without a code have no tokens."""
-        raw = [np.frombuffer(c, np.uint16).reshape(2, -1).T.tobytes() for c in codes]
-        words, sizes = np.frombuffer(b"".join(raw), np.int32), np.array([len(c) // 4 for c in codes], np.int64)
+        sizes = np.array([len(c) // 4 for c in codes], np.int64)
+        words = np.frombuffer(b"".join([np.frombuffer(c, np.uint16).reshape(2, -1).T.tobytes() for c in codes]), np.int32)
         start = np.cumsum(sizes) - sizes
         heads = words[start[:, None] + np.arange(3)].astype(np.int64) if len(start) else np.zeros((0, 3), np.int64)
         self.good = np.zeros(n, bool)
         self.good[local] = True
         at, pulled = start + 3, []
         for size in (heads[:, 0], heads[:, 1], 2 * heads[:, 2]):
-            pulled.append(words[np.repeat(at - np.cumsum(size) + size, size) + np.arange(size.sum())])
+            pulled.append(words[_runs(at, size)])
             at = at + size
         self.a, self.b, self.sizes = pulled[0], pulled[1], pulled[2].reshape(-1, 2).astype(np.int64)
         self.local, self.groups = local, heads[:, 2]
@@ -252,35 +258,36 @@ class Parts:
             sides.append((known >> 32, known & 0xFFFFFFFF, often))
         (ga, a, ca), (gb, b, cb) = sides
         per = np.bincount(gb, minlength=n)
-        first = np.cumsum(per) - per
-        size = per[ga]
-        other = np.repeat(first[ga] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        mine = np.repeat(np.arange(len(ga)), size)
+        other = _runs((np.cumsum(per) - per)[ga], per[ga])
+        mine = np.repeat(np.arange(len(ga)), per[ga])
         return self.of_group[ga[mine]], a[mine] << 32 | b[other], ca[mine] * cb[other]
 
-    def texts(self) -> list[str]:
-        """Each coded part's groups, written out."""
-        a, b, out = list(map(str, self.a.tolist())), list(map(str, self.b.tolist())), []
-        groups, i, j = iter(self.sizes.tolist()), 0, 0
-        for n in self.groups.tolist():
-            some = []
-            for _ in range(n):
-                x, y = next(groups)
-                some.append(",".join(a[i : i + x]) + "|" + ",".join(b[j : j + y]))
-                i, j = i + x, j + y
-            out.append(";".join(some))
-        return out
+    def texts(self, some: int = 10_000) -> Iterator[str]:
+        """Each coded part's groups, written out; numbers of so many parts at a time."""
+        ends = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (self.sizes[:, 0], self.sizes[:, 1], self.groups)]
+        for at in range(0, len(self.groups), some):
+            first, last = ends[2][at], ends[2][min(at + some, len(self.groups))]
+            a, b = (list(map(str, ids[e[first] : e[last]].tolist())) for ids, e in ((self.a, ends[0]), (self.b, ends[1])))
+            groups, i, j = iter(self.sizes[first:last].tolist()), 0, 0
+            for n in self.groups[at : at + some].tolist():
+                made = []
+                for _ in range(n):
+                    x, y = next(groups)
+                    made.append(",".join(a[i : i + x]) + "|" + ",".join(b[j : j + y]))
+                    i, j = i + x, j + y
+                yield ";".join(made)
 
 
 def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Part numbers of all documents, and each document's number of parts."""
-    ids = table.column("ids").to_pylist()
-    return np.frombuffer(b"".join(ids), np.int32).astype(np.int64), np.array([len(x) // 4 for x in ids], np.int64)
+    ids = table.column("ids")
+    sizes = np.asarray(pc.binary_length(ids), np.int64) // 4
+    return np.frombuffer(b"".join(ids.to_pylist()), np.int32), sizes
 
 
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Exact sums of consecutive runs."""
-    total, ends_at = np.concatenate([[0], np.cumsum(values)]), np.cumsum(sizes)
+    total, ends_at = np.concatenate([[0], np.cumsum(values, dtype=np.int64)]), np.cumsum(sizes)
     return total[ends_at] - total[ends_at - sizes]
 
 
@@ -291,27 +298,32 @@ def _parts(table: pa.Table, ids: np.ndarray) -> Parts:
     return Parts(local[order], [codes[k] for k in order], int(ids.max()) + 1 if len(ids) else 0)
 
 
+def _chunks(weights: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges whose weights sum to about most."""
+    reached, at = np.cumsum(weights), 0
+    while at < len(weights):
+        end = max(at + 1, int(np.searchsorted(reached, (reached[at - 1] if at else 0) + most)))
+        yield at, end
+        at = end
+
+
 def document_counts(parts: Parts, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The block's linked pairs and in how many of its documents each stands."""
     where, pair, _ = parts.pairs()
     known, number = np.unique(pair, return_inverse=True)
+    number = number.astype(np.int32)
     per = np.zeros(len(parts.good), np.int64)
     per[parts.local] = np.bincount(where, minlength=len(parts.local))
-    first = np.cumsum(per) - per
-    whole = _sums((~parts.good[ids]).astype(np.int64), sizes) == 0
-    doc = np.repeat(np.arange(len(sizes)), np.where(whole, sizes, 0))
-    once = np.unique(doc * len(parts.good) + ids[np.repeat(whole, sizes)])
-    doc, part = once // max(1, len(parts.good)), once % max(1, len(parts.good))
-    counts, entries = np.zeros(len(known), np.int64), np.cumsum(per[part])
-    cuts = [0]
-    while cuts[-1] < len(doc):  # whole documents, some ENTRIES at a time
-        done = entries[cuts[-1] - 1] if cuts[-1] else 0
-        end = max(cuts[-1] + 1, int(np.searchsorted(entries, done + ENTRIES)))
-        cuts.append(int(np.searchsorted(doc, doc[min(end, len(doc)) - 1], "right")))
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        size = per[part[a:b]]
-        at = np.repeat(first[part[a:b]] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        seen = np.unique(np.repeat(doc[a:b], size) * len(known) + number[at])
+    first, whole = np.cumsum(per) - per, _sums(~parts.good[ids], sizes) == 0
+    del where, pair
+    counts, ends_at, n = np.zeros(len(known), np.int64), np.cumsum(sizes), max(1, len(parts.good))
+    # whole documents, some ENTRIES of (document, pair) at a time
+    for a, b in _chunks(_sums(per[ids], sizes) * whole, ENTRIES):
+        doc = np.repeat(np.arange(b - a), np.where(whole[a:b], sizes[a:b], 0))
+        own = ids[ends_at[a] - sizes[a] : ends_at[b - 1]][np.repeat(whole[a:b], sizes[a:b])]
+        once = np.unique(doc * n + own)
+        doc, part = once // n, once % n
+        seen = np.unique(np.repeat(doc, per[part]) * len(known) + number[_runs(first[part], per[part])])
         counts += np.bincount(seen % len(known), minlength=len(known))
     return known[counts > 0], counts[counts > 0]
 
@@ -373,15 +385,17 @@ def align(docs: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CH
         scored = np.zeros((len(parts.good), 2), np.int64)
         if len(pair):
             scored[parts.local] = np.column_stack([_sums(there * often * best[at], per), _sums(there * often * total[at], per)])
-        whole = (_sums((~parts.good[ids]).astype(np.int64), sizes) == 0) & (sizes > 0)
+        del where, mine, often, at, there
+        whole = (_sums(~parts.good[ids], sizes) == 0) & (sizes > 0)
         numbers = np.concatenate([parts.numbers, scored], 1)
         columns = [np.where(whole, _sums(numbers[ids, c], sizes), 0) for c in range(6)]
-        written = [""] * len(parts.good)
+        written = [""] * len(numbers)
         for k, text in zip(parts.local.tolist(), parts.texts()):
             written[k] = text
-        ends_at, digests, number = np.cumsum(sizes), [], ids.tolist()
+        del parts
+        ends_at, digests = np.cumsum(sizes), []
         for i, size in enumerate(sizes.tolist()):
-            own_ids = number[ends_at[i] - size : ends_at[i]]
+            own_ids = ids[ends_at[i] - size : ends_at[i]].tolist()
             digests.append(hashlib.sha256(";".join([written[k] for k in own_ids]).encode()).hexdigest() if whole[i] else "")
         return pa.table([docs.column("doc_id"), *map(pa.array, columns), pa.array(digests, pa.string())], names=[c.split()[0] for c in RESULT.split(", ")])
 
