@@ -33,12 +33,12 @@ from lodestone.llm.packing import ByteLevelIds
 from lodestone.llm.pieces import byte_letters
 
 #: Characters of a block of documents, about; (document, pair) entries that a task sorts at a time.
-BLOCK_CHARS, ENTRIES = 16_000_000, 1_000_000
+BLOCK_CHARS, ENTRIES = 24_000_000, 1_000_000
 #: Letters and digits after which a mark may begin a part of its own, and such marks.
 PLAIN, MARKS = "A-Za-z0-9À-ÖØ-öø-ɏ", "!#$%&*,.:;?|"
 
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-TOKENS = "id long, key long, key2 long, a array<int>, a_len array<int>, b array<int>, b_len array<int>"
+TOKENS = "id long, key long, key2 int, a array<int>, a_len array<int>, b array<int>, b_len array<int>"
 
 
 # --- relational core
@@ -192,7 +192,7 @@ def tokens_of(parts: DataFrame, load) -> DataFrame:
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """aligned() rows -> (id, code): for each id its numbers of a, b and groups, a ids, b ids, and how many of each a group has."""
+    """aligned() rows -> (id, code): for each id the width of its numbers, how many a and b, their ids, and a bit a token, set where a group's last a or b stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,18 +204,19 @@ def packed(rows: DataFrame) -> DataFrame:
             order = np.lexsort((end, key))
             ids = [np.asarray(flat.field(c).fill_null(-1), np.int64)[order] for c in ("a", "b")]
             key, grp = key[order], grp[order]
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (grp[1:] != grp[:-1])])[: len(key)]
-            group = np.cumsum(new) - 1
-            of_group = key[new]
-            counts = np.stack([np.bincount(group[x >= 0], minlength=len(of_group)) for x in ids], 1).astype(np.int32)
-            groups = np.bincount(of_group, minlength=len(sizes))
-            n = [np.bincount(key[x >= 0], minlength=len(sizes)) for x in ids]
-            flat_ids = [x[x >= 0].astype(np.int32) for x in ids]
-            at = [np.concatenate([[0], np.cumsum(x)]) for x in (*n, groups)]
-            heads = np.stack([*n, groups], 1).astype(np.int32)
-            codes = [heads[k].tobytes() + flat_ids[0][at[0][k] : at[0][k + 1]].tobytes() + flat_ids[1][at[1][k] : at[1][k + 1]].tobytes() + counts[at[2][k] : at[2][k + 1]].tobytes() for k in range(len(sizes))]
-            # halves of integers compress better apart: low bytes carry all of most values
-            codes = [np.frombuffer(c, np.uint16).reshape(-1, 2).T.tobytes() for c in codes]
+            flat_ids, starts, bits = [], [], []
+            for x in ids:
+                here = x >= 0
+                own, group = key[here], grp[here]
+                last = np.concatenate([(own[1:] != own[:-1]) | (group[1:] != group[:-1]), [True]])[: len(own)]
+                flat_ids.append(x[here])
+                bits.append(last)
+                starts.append(np.searchsorted(own, np.arange(len(sizes) + 1)))
+            codes = []
+            for (a, z), (b, y) in zip(*(zip(x[:-1].tolist(), x[1:].tolist()) for x in starts)):
+                numbers = np.concatenate([[z - a, y - b], flat_ids[0][a:z], flat_ids[1][b:y]])
+                kind = np.uint16 if numbers.max() < 1 << 16 else np.uint32
+                codes.append(bytes([kind().itemsize]) + numbers.astype(kind).tobytes() + np.packbits(np.concatenate([bits[0][a:z], bits[1][b:y]])).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes, pa.binary())], names=["id", "code"])
 
     gathered = rows.groupBy("id").agg(F.collect_list(F.struct("end", "a", "b", "grp")).alias("r"))
@@ -227,27 +228,49 @@ def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Exact sums of consecutive runs."""
+    total, ends_at = np.concatenate([[0], np.cumsum(values, dtype=np.int64)]), np.cumsum(sizes)
+    return total[ends_at] - total[ends_at - sizes]
+
+
 class Parts:
     """The coded parts of a block as arrays; groups stand in the order of parts."""
 
     def __init__(self, local: np.ndarray, codes: list[bytes], n: int):
         """n: how many parts the block has; those without a code have no tokens."""
-        sizes = np.array([len(c) // 4 for c in codes], np.int64)
-        words = np.frombuffer(b"".join([np.frombuffer(c, np.uint16).reshape(2, -1).T.tobytes() for c in codes]), np.int32)
-        start = np.cumsum(sizes) - sizes
-        heads = words[start[:, None] + np.arange(3)].astype(np.int64) if len(start) else np.zeros((0, 3), np.int64)
+        data = np.frombuffer(b"".join(codes), np.uint8)
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes))
+        at = np.cumsum(sizes) - sizes
+        width = data[at].astype(np.int64) if len(at) else at
+        at = at + 1
+
+        def numbers(each: np.ndarray) -> np.ndarray:
+            """So many numbers of each code, which is then read on behind them."""
+            nonlocal at
+            wide = np.repeat(width, each)
+            place = np.repeat(at, each) + _runs(np.zeros(len(each), np.int64), each) * wide
+            out = data[place].astype(np.int32)
+            for k in range(1, 4):
+                more = k < wide
+                out[more] += data[place[more] + k].astype(np.int32) << (8 * k)
+            at = at + each * width
+            return out
+
+        n_a, n_b = numbers(np.full(len(codes), 2)).reshape(-1, 2).T.astype(np.int64)
+        self.a, self.b = numbers(n_a), numbers(n_b)
+        ends = []
+        for first, each in ((0 * n_a, n_a), (n_a, n_b)):
+            bit = _runs(first, each)
+            ends.append((data[np.repeat(at, each) + (bit >> 3)] >> (7 - (bit & 7))) & 1 == 1)
         self.good = np.zeros(n, bool)
         self.good[local] = True
-        at, pulled = start + 3, []
-        for size in (heads[:, 0], heads[:, 1], 2 * heads[:, 2]):
-            pulled.append(words[_runs(at, size)])
-            at = at + size
-        self.a, self.b, self.sizes = pulled[0], pulled[1], pulled[2].reshape(-1, 2).astype(np.int64)
-        self.local, self.groups = local, heads[:, 2]
-        self.of_group = np.repeat(np.arange(len(local)), heads[:, 2])
-        links = np.bincount(self.of_group, self.sizes.prod(1), minlength=len(local)) if len(local) else np.zeros(0)
+        self.sizes = np.column_stack([np.diff(np.flatnonzero(x), prepend=-1) for x in ends])
+        self.local, self.groups = local, np.bincount(np.repeat(np.arange(len(codes)), n_a)[ends[0]], minlength=len(codes))
+        self.of_group = np.repeat(np.arange(len(local)), self.groups)
+        links = _sums(self.sizes.prod(1), self.groups)
         self.numbers = np.zeros((n, 4), np.int64)
-        self.numbers[local] = np.column_stack([heads, links]).astype(np.int64)
+        self.numbers[local] = np.column_stack([n_a, n_b, self.groups, links])
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Linked pairs of distinct ids by group: their parts (places in local), a << 32 | b, and how often each occurs."""
@@ -285,12 +308,6 @@ def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(ids.to_pylist()), np.int32), sizes
 
 
-def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Exact sums of consecutive runs."""
-    total, ends_at = np.concatenate([[0], np.cumsum(values, dtype=np.int64)]), np.cumsum(sizes)
-    return total[ends_at] - total[ends_at - sizes]
-
-
 def _parts(table: pa.Table, ids: np.ndarray) -> Parts:
     local = np.asarray(table.column("local").combine_chunks(), np.int64)
     order = np.argsort(local)
@@ -341,8 +358,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CH
     stored = coded(docs, load, block_chars)
     texts = stored.filter("part is null").select("block", "doc_id", "ids")
     words = stored.filter("part is not null").select("block", "local", "part")
-    # 128 bits of the part
-    keys = [F.xxhash64("part").alias("key"), F.xxhash64(F.lit(2), "part").alias("key2")]
+    # 96 bits of the part, by two hashes
+    keys = [F.xxhash64("part").alias("key"), F.hash("part").alias("key2")]
     tokens = _settled(tokens_of(words.select("part").distinct().select(*keys, "part"), load))
     with partitioned_by_some_keys(docs.sparkSession):  # packed() plans and runs
         codes = packed(aligned(tokens.drop("key", "key2"), ["id"]))
