@@ -27,7 +27,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.blocks import bucketed
+from lodestone.llm.blocks import bucketed, fresh
 from lodestone.llm.common import held, materialise, slices
 from lodestone.llm.packing import ByteLevelIds
 from lodestone.llm.pieces import byte_letters
@@ -160,7 +160,7 @@ def coded(docs: DataFrame, load, most: int = BLOCK_CHARS) -> DataFrame:
         yield from words()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return bucketed(rows.mapInArrow(run, CODED), "coded")
+    return bucketed(rows.mapInArrow(run, CODED), fresh("coded"))
 
 
 def tokens_of(parts: DataFrame, load) -> DataFrame:
@@ -364,9 +364,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CH
     with partitioned_by_some_keys(docs.sparkSession):  # packed() plans and runs
         codes = packed(aligned(tokens.drop("key", "key2"), ["id"]))
     codes = _settled(codes).join(tokens.select("id", "key", "key2"), "id").drop("id")
-    placed = words.select("block", "local", *keys).join(codes, ["key", "key2"]).select("block", "local", "code")
-    n = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = _settled(bucketed(placed.repartition(n, "block"), "placed"))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    placed = words.select("block", "local", *keys).join(codes, ["key", "key2"])
+    placed = placed.select("block", "local", "code", nothing("long").alias("pair"), nothing("long").alias("total"), nothing("boolean").alias("best"))
+    n, table = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")), fresh("placed")
+    placed = _settled(bucketed(placed.repartition(n, "block"), table)).select("block", "local", "code")
 
     def count(docs: pa.Table, own: pa.Table) -> pa.Table:
         known, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -381,15 +383,13 @@ def align(docs: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CH
     of_id = Window.partitionBy(F.shiftright("pair", 32))  # as many rows as b has ids, at most
     counts = linked.groupBy("pair").agg(F.sum("n").alias("total")).withColumn("best", F.col("total") == F.max("total").over(of_id))
     known = linked.select("block", "pair").join(counts, "pair")
-    nothing = lambda kind: F.lit(None).cast(kind)
-    more = known.select("block", nothing("long").alias("doc_id"), nothing("binary").alias("ids"), "pair", "total", "best")
-    # documents are shorter rows than parts, which stay where they are
-    asked = texts.select("*", nothing("long").alias("pair"), nothing("long").alias("total"), nothing("boolean").alias("best")).unionByName(more)
+    # to the parts' table, so that each block finds its parts and counts where they lie
+    more = known.select("block", nothing("int").alias("local"), nothing("binary").alias("code"), "pair", "total", "best")
+    placed = _settled(bucketed(more.repartition(n, "block"), table, more=True))
 
     def result(docs: pa.Table, own: pa.Table) -> pa.Table:
-        asked, docs = docs.filter(docs.column("pair").is_valid()), docs.filter(docs.column("ids").is_valid())
         ids, sizes = _documents(docs)
-        parts = _parts(own, ids)
+        parts, asked = _parts(own.filter(own.column("code").is_valid()), ids), own.filter(own.column("pair").is_valid())
         pair, total, best = (np.asarray(asked.column(c).combine_chunks()) for c in ("pair", "total", "best"))
         order = np.argsort(pair)
         pair, total, best = pair[order], total[order], best[order]
@@ -416,4 +416,4 @@ def align(docs: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CH
             digests.append(hashlib.sha256(";".join([written[k] for k in own_ids]).encode()).hexdigest() if whole[i] else "")
         return pa.table([docs.column("doc_id"), *map(pa.array, columns), pa.array(digests, pa.string())], names=[c.split()[0] for c in RESULT.split(", ")])
 
-    return asked.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(result, RESULT)
+    return texts.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(result, RESULT)

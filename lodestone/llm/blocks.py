@@ -20,11 +20,16 @@ from lodestone.llm.common import shared_path
 BLOCK_CHARS = 16_000_000
 
 
-def bucketed(df: DataFrame, name: str, key: str = "block") -> DataFrame:
-    """df as a table in the shared folder, bucketed by key into as many buckets as the session has shuffle partitions."""
+def fresh(name: str) -> str:
+    """A table name that no other step has."""
+    return f"lodestone_{name}_{uuid.uuid4().hex}"
+
+
+def bucketed(df: DataFrame, table: str, key: str = "block", more: bool = False) -> DataFrame:
+    """df as a table in the shared folder, bucketed by key into as many buckets as the session has shuffle partitions. more: rows for the table that is there."""
     spark = df.sparkSession
-    path, table = shared_path(spark, name, keep=False), f"lodestone_{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    rows = df.write.format("parquet").mode("append").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("compression", "zstd")
+    (rows if more else rows.option("path", shared_path(spark, table, keep=False))).saveAsTable(table)
     return spark.table(table)
 
 
@@ -53,7 +58,7 @@ def blocks(docs: DataFrame, most: int = BLOCK_CHARS) -> DataFrame:
             block += int(own[-1]) if len(own) else 0
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return bucketed(rows.mapInArrow(run, "block long, doc_id long, text string"), "blocks")
+    return bucketed(rows.mapInArrow(run, "block long, doc_id long, text string"), fresh("blocks"))
 
 
 def parts_of(table: pa.Table, column: str, kind) -> np.ndarray:
