@@ -1,15 +1,16 @@
-"""Written steps: a table in the folder that spark.checkpoint.dir names, so that later steps do not repeat earlier ones."""
+"""Written steps: tables in the folder that spark.checkpoint.dir names, so that later steps do not repeat earlier ones."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed and written once. A cluster must have set spark.checkpoint.dir; a local session gets a folder of its own."""
-    context = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. A cluster must have set spark.checkpoint.dir; a local session gets a folder of its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder:
@@ -17,4 +18,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="lodestone-steps-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed and written once, as rows."""
+    _folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, computed and written once, as columns of which later steps read those they need; deleted when the application ends."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_folder(spark)}/step-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(path.toString())
+    return spark.read.schema(df.schema).parquet(path.toString())

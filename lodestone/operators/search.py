@@ -2,6 +2,7 @@
 
 The inverted-index join is on term; idf is positive, so a chunk that shares no term with a query has no score and is
 rightly absent. Query-side tables are small next to postings: Catalyst broadcasts them below its threshold, else shuffles.
+Gated search goes through a block index, whose bounds rule out most postings of common words.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.steps import checkpointed, written
 from lodestone.functions.text import QUERY_STOP_WORDS, tokens
 
 K1, B, LEXICAL_WEIGHT = 1.5, 0.75, 0.75
@@ -19,8 +21,18 @@ def chunk_terms(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     return chunks.select(key, tokens(F.coalesce(F.col("text"), F.lit(""))).alias("tokens")).select(key, "tokens", F.size("tokens").alias("dl"), F.size(F.array_distinct("tokens")).alias("n_distinct"))
 
 
+def _counted(terms: DataFrame) -> DataFrame:
+    """Adds postings: a struct (term, tf) for each distinct token, counted inside the row over its sorted tokens."""
+    s = terms.withColumn("_s", F.sort_array("tokens"))
+    first = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
+    s = s.withColumn("_first", F.when(F.col("dl") > 0, first).otherwise(F.array().cast("array<int>")))
+    row = lambda i, k: F.struct(F.get("_s", i).alias("term"), (F.coalesce(F.get("_first", k + 1), F.col("dl")) - i).cast("long").alias("tf"))
+    return s.withColumn("postings", F.transform("_first", row)).drop("_s", "_first")
+
+
 def postings(terms: DataFrame, key: str = "chunk_id") -> DataFrame:
-    return terms.select(key, "dl", "n_distinct", F.explode("tokens").alias("term")).groupBy(key, "dl", "n_distinct", "term").agg(F.count("*").alias("tf"))
+    """(key, dl, n_distinct, term, tf): narrow, as a chunk is one row."""
+    return _counted(terms).select(key, "dl", "n_distinct", F.explode("postings").alias("_p")).select(key, "dl", "n_distinct", "_p.term", "_p.tf")
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:
@@ -66,39 +78,108 @@ def scored(queries: DataFrame, chunks: DataFrame, key: str = "chunk_id", k1: flo
     return rows.withColumn("score", F.col("ranking") * F.col("coverage"))
 
 
-def gated(queries: DataFrame, chunks: DataFrame, coverage: float, key: str = "chunk_id", k1: float = K1, b: float = B, weight: float = LEXICAL_WEIGHT) -> DataFrame:
-    """The rows of scored() that pass a gate above 0, without pairing each query with all chunks that share a stop word with it.
+#: Chunks of a part of the index, about: a block holds a term's postings in one part, so no block grows with the corpus.
+PART = 2048
+#: What sums of doubles in another order may differ by, relatively.
+ROUNDING = 1e-9
+
 
-    Chunks are found by informative terms, which the gate asks for. What stop words can add to a chunk is bounded; they are looked
-    up only for chunks that pass the gate, or that may have the query's highest score, by which all others are divided.
+class BlockIndex:
+    """Postings of chunks in blocks by part and term, each with its largest weight; and by chunk, to complete the found ones.
+
+    Both are written tables: searches read the blocks' heads (part, term, n, most) without their postings, and of the postings
+    the blocks that a query's bounds do not rule out. A weight is the term's part in BM25 but for idf and the query's own count.
     """
-    terms = chunk_terms(chunks, key)
-    posted, q = postings(terms, key), query_terms(queries)
-    frequency = document_frequency(posted.join(q.select("term").distinct(), "term", "left_semi"))
-    asked = q.join(frequency, "term").crossJoin(F.broadcast(corpus_stats(terms)))  # one row
-    asked = asked.withColumn("idf", F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    rare, common = asked.filter("informative = 1"), asked.filter("informative = 0").select("query_id", "term", "qtf", "idf", "avg_length")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_length"))) * F.col("qtf")
-    first = [F.first(c).alias(c) for c in ("n_distinct", "n_terms", "n_informative")]
-    found = posted.join(rare, "term").groupBy("query_id", key).agg(F.sum(part).alias("rare"), F.count("*").alias("covered"), *first)
-    low = found.groupBy("query_id").agg(F.max("rare").alias("low"))
-    limits = low.join(common.groupBy("query_id").agg(F.sum(F.col("idf") * (k1 + 1) * F.col("qtf")).alias("most")), "query_id", "left").fillna(0.0, ["most"])
-    passes = F.col("covered") / F.col("n_informative") >= coverage
-    needed = found.join(limits, "query_id").filter(passes | (F.col("rare") + F.col("most") >= F.col("low")))
-    also = needed.select("query_id", key).join(common, "query_id").join(posted.select(key, "dl", "term", "tf"), [key, "term"])
-    also = also.groupBy("query_id", key).agg(F.sum(part).alias("common"), F.count("*").alias("others"))
-    rows = needed.join(also, ["query_id", key], "left").fillna(0.0, ["common"]).fillna(0, ["others"]).withColumn("bm25", F.col("rare") + F.col("common"))
-    # where stop words alone could make the highest score, theirs is worked out too
-    heavy = common.join(limits.filter("most > low").select("query_id"), "query_id")
-    alone = posted.join(heavy, "term").groupBy("query_id", key).agg(F.sum(part).alias("bm25")).groupBy("query_id").agg(F.max("bm25").alias("alone"))
-    best = rows.groupBy("query_id").agg(F.max("bm25").alias("best")).join(alone, "query_id", "left").select("query_id", F.greatest("best", F.coalesce("alone", F.lit(0.0))).alias("best"))
-    shared = F.col("covered") + F.col("others")
-    rows = rows.filter(passes).join(best, "query_id").select(
+
+    def __init__(self, chunks: DataFrame, key: str = "chunk_id", k1: float = K1, b: float = B, part: int = PART):
+        terms = chunk_terms(chunks, key)
+        self.key, self.k1 = key, k1
+        self.n_chunks, average = corpus_stats(terms).first()  # one row
+        parts = max(1, self.n_chunks // part)
+        norm = k1 * (1 - b + b * F.col("dl") / (average or 1.0))
+        weighed = F.transform("postings", lambda p: F.struct(p["term"].alias("term"), (p["tf"] * (k1 + 1) / (p["tf"] + norm)).alias("w")))
+        placed = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")
+        self.forward = written(_counted(terms).select(key, "n_distinct", placed, weighed.alias("postings")))
+        rows = self.forward.select(key, "part", F.explode("postings").alias("p")).select("part", "p.term", F.struct(key, "p.w").alias("p"))
+        self.blocks = written(rows.groupBy("part", "term").agg(F.count("*").alias("n"), F.max("p.w").alias("most"), F.collect_list("p").alias("postings")))  # at most a part's chunks
+
+    def asked(self, queries: DataFrame) -> DataFrame:
+        """query_terms() with df (0 for terms that no chunk has) and weight (idf times the query's own count)."""
+        q = query_terms(queries)
+        df = self.blocks.select("term", "n").join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+        q = q.join(df, "term", "left").fillna(0, ["df"])
+        return q.withColumn("weight", F.log(1 + (F.lit(self.n_chunks) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("qtf"))
+
+    def found(self, wanted: DataFrame) -> DataFrame:
+        """wanted(query_id, term, weight[, part, rest]) -> (query_id, key, partial[, rest]): chunks with these terms, by their blocks."""
+        on = [c for c in ("part", "term") if c in wanted.columns]
+        rest = [c for c in ("rest",) if c in wanted.columns]
+        hits = wanted.join(self.blocks.select("part", "term", "postings") if "part" in on else self.blocks.select("term", "postings"), on)
+        rows = hits.select("query_id", "weight", *rest, F.explode("postings").alias("p")).select("query_id", F.col(f"p.{self.key}").alias(self.key), (F.col("weight") * F.col("p.w")).alias("part_score"), *rest)
+        return rows.groupBy("query_id", self.key).agg(F.sum("part_score").alias("partial"), *[F.first(c).alias(c) for c in rest])
+
+    def completed(self, pairs: DataFrame, asked: DataFrame) -> DataFrame:
+        """pairs(query_id, key) with bm25, covered, shared, n_distinct, n_terms, n_informative, from the chunks' own postings."""
+        of_query = asked.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("weight", "informative")))).alias("_q"), F.first("n_terms").alias("n_terms"), F.first("n_informative").alias("n_informative"))
+        rows = pairs.join(of_query, "query_id").join(self.forward.select(self.key, "n_distinct", "postings"), self.key)
+        shared = F.transform(F.filter("postings", lambda p: F.map_contains_key("_q", p["term"])), lambda p: F.struct(p["w"].alias("w"), F.element_at("_q", p["term"]).alias("q")))
+        rows = rows.withColumn("_shared", shared)
+        score = F.aggregate("_shared", F.lit(0.0), lambda s, x: s + x["w"] * x["q"]["weight"])
+        covered = F.aggregate("_shared", F.lit(0), lambda s, x: s + x["q"]["informative"])
+        return rows.select("query_id", self.key, score.alias("bm25"), covered.alias("covered"), F.size("_shared").alias("shared"), "n_distinct", "n_terms", "n_informative")
+
+    def passing(self, asked: DataFrame, coverage: float) -> DataFrame:
+        """completed() rows of chunks with the asked share of a query's informative terms.
+
+        Of n informative terms of which `need` must be there, a chunk has one of any n - need + 1: those in the fewest chunks.
+        """
+        rare = asked.filter("informative = 1").withColumn("_nth", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term")))
+        need = F.greatest(F.lit(1), F.ceil(F.lit(coverage) * F.col("n_informative") - ROUNDING))
+        pairs = self.found(rare.filter(F.col("_nth") <= F.col("n_informative") - need + 1)).select("query_id", self.key)
+        return self.completed(pairs, asked).filter(F.col("covered") / F.col("n_informative") >= coverage)
+
+    def _beyond(self, asked: DataFrame, reached: DataFrame, first: bool) -> DataFrame:
+        """(query_id, best): highest scores above those reached(query_id, low), in the part with the largest bound (first) or all others.
+
+        In a part a chunk scores at most the sum of its terms' largest weights. Terms are put aside, smallest bounds first, while
+        all of them together stay below what is reached; a chunk with none of the other terms cannot score more.
+        """
+        heads = asked.join(self.blocks.select("part", "term", "most"), "term").join(reached, "query_id")
+        heads = heads.select("query_id", "term", "weight", "part", "low", (F.col("weight") * F.col("most")).alias("bound"))
+        upward = Window.partitionBy("query_id", "part").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        totals = heads.groupBy("query_id", "part").agg(F.sum("bound").alias("total"))
+        totals = totals.withColumn("_nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("total"), "part"))).filter("_nth = 1" if first else "_nth > 1")
+        heads = heads.withColumn("below", F.sum("bound").over(upward)).join(totals.drop("_nth"), ["query_id", "part"])
+        limit = F.col("low") * (1 - ROUNDING)
+        heads = heads.filter((F.col("total") > limit) & (F.col("below") > limit))
+        rest = Window.partitionBy("query_id", "part")
+        wanted = heads.withColumn("rest", F.col("total") - F.sum("bound").over(rest))
+        partial = self.found(wanted.select("query_id", "term", "weight", "part", "rest")).join(reached, "query_id")
+        pairs = partial.filter(F.col("partial") + F.col("rest") > limit).select("query_id", self.key)
+        return self.completed(pairs, asked).groupBy("query_id").agg(F.max("bm25").alias("best"))
+
+    def best(self, asked: DataFrame, passed: DataFrame) -> DataFrame:
+        """(query_id, best): the highest score of any chunk, for queries with passing chunks: the part with the largest bound first, then what is still above."""
+        reached = passed.groupBy("query_id").agg(F.max("bm25").alias("low"))
+        for first in (True, False):
+            more = self._beyond(asked, reached, first)
+            reached = checkpointed(reached.join(more, "query_id", "left").select("query_id", F.greatest("low", F.coalesce("best", "low")).alias("low")))
+        return reached.withColumnRenamed("low", "best")
+
+
+def gated(queries: DataFrame, chunks: DataFrame, coverage: float, key: str = "chunk_id", k1: float = K1, b: float = B, weight: float = LEXICAL_WEIGHT) -> DataFrame:
+    """The rows of scored() that pass a gate above 0, by a block index: no query is paired with all chunks that share a word with it."""
+    if not 0 <= weight <= 1:
+        raise ValueError("weight must be between 0 and 1")
+    index = BlockIndex(chunks, key, k1, b)
+    asked = checkpointed(index.asked(queries))
+    passed = checkpointed(index.passing(asked, coverage))
+    rows = passed.join(index.best(asked, passed), "query_id").select(
         "query_id",
         key,
         "bm25",
         (F.col("bm25") / F.col("best")).alias("lexical"),
-        (shared / (F.col("n_terms") + F.col("n_distinct") - shared)).alias("jaccard"),
+        (F.col("shared") / (F.col("n_terms") + F.col("n_distinct") - F.col("shared"))).alias("jaccard"),
         (F.col("covered") / F.col("n_informative")).alias("coverage"),
     )
     rows = rows.withColumn("ranking", weight * F.col("lexical") + (1 - weight) * F.col("jaccard"))
@@ -115,12 +196,20 @@ def top_k(rows: DataFrame, k: int = 5, coverage: float = 0.6, key: str = "chunk_
     return rows.filter((F.col("bm25") > 0) & (F.col("coverage") >= coverage)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, chunks: DataFrame, k: int = 5, coverage: float = 0.6, key: str = "chunk_id", lean: bool = False) -> DataFrame:
-    """Gated top k. lean: by gated(), which reads the chunks several times but pairs no query with all chunks of a stop word."""
-    rows = gated(queries, chunks, coverage, key) if lean and 0 < coverage <= 1 else scored(queries, chunks, key)
+def search(queries: DataFrame, chunks: DataFrame, k: int = 5, coverage: float = 0.6, key: str = "chunk_id") -> DataFrame:
+    """Gated top k, by gated(); without a gate every chunk that shares a term is a result, and all are scored."""
+    rows = gated(queries, chunks, coverage, key) if 0 < coverage <= 1 else scored(queries, chunks, key)
     return top_k(rows, k, coverage, key)
 
 
+def response(queries: DataFrame, found: DataFrame, chunks: DataFrame, key: str = "chunk_id", columns: tuple[str, ...] = ("text",)) -> DataFrame:
+    """The rows of an answer: a query's results in order of rank with the chunks' own columns, scores to four digits; a row without a result for queries that have none."""
+    rounded = [F.round(c, 4).alias(c) for c in ("score", "lexical", "jaccard", "coverage")]
+    rows = found.select("query_id", key, "rank", *rounded).join(chunks.select(key, *columns), key)
+    status_of = F.when(F.col("rank").isNull(), "insufficient_evidence").otherwise("evidence_found").alias("status")
+    return queries.join(rows, "query_id", "left").select(*queries.columns, status_of, "rank", key, *columns, "score", "lexical", "jaccard", "coverage")
+
+
 def status(queries: DataFrame, found: DataFrame) -> DataFrame:
     n = found.groupBy("query_id").agg(F.count("*").alias("n"))
     return queries.select("query_id").join(n, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n_results"), F.when(F.col("n") > 0, "evidence_found").otherwise("insufficient_evidence").alias("status"))
