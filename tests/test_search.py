@@ -96,6 +96,40 @@ def test_stream_keeps_the_last_write(spark, tmp_path):
     assert read() == [("d1", "new"), ("d2", "y"), ("d2", "z"), ("d3", "w")]
 
 
+def test_statistics_are_kept_with_the_index(spark, tmp_path, monkeypatch):
+    """After random upserts the kept statistics are those of the index, over a compaction too; superseded epochs are gone."""
+    import random
+
+    monkeypatch.setattr(index, "COMPACT", 3)
+    rng = random.Random(2)
+    kept = spark.createDataFrame([], "document_id string, chunk_id string, text string").schema
+    source, target, stats = (str(tmp_path / x) for x in ("in", "index", "stats"))
+    schema = "document_id string, chunk_id string, text string, seq long"
+    stream = None
+    for batch in range(5):
+        rows = [(f"d{d}", f"d{d}-{batch}-{c}", " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(6))), batch) for d in rng.sample(range(6), 3) for c in range(rng.randint(1, 3))]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = stream or spark.readStream.schema(schema).parquet(source)
+        index.maintain(stream, target, str(tmp_path / "checkpoint"), 4, stats).trigger(availableNow=True).start().awaitTermination(120)
+        now = index.read_index(spark, target, kept)
+        want = index.folded(index.statistics(now))
+        key = lambda df: sorted(map(str, df.select("term", "df", "chunks", "length").collect()))
+        assert key(index.read_statistics(spark, stats)) == key(want)
+    assert all(len(list(p.glob("epoch=*"))) <= 2 for p in (tmp_path / "index").glob("part=*"))
+
+
+def test_micro_batches_read_touched_parts_only(spark, tmp_path):
+    """The plan's partition filters name the parts, so no other folder is listed for reading."""
+    rows = spark.createDataFrame([(f"d{i}", str(i)) for i in range(40)], "document_id string, chunk_id string")
+    index.write_parts(rows, str(tmp_path), 1, 8)
+    read = index.read_index(spark, str(tmp_path), rows.schema, parts=[3])
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert scans and all("part" in line.split("PartitionFilters: [")[1].split("]")[0] for line in scans)
+    files = read.inputFiles()
+    assert read.count() and files and all("part=3/" in f or "part=3%2F" in f for f in (f for f in files if "part=3" in f))
+
+
 def test_tokens_of_every_code_point(spark):
     """Against the rule itself: case folded, decomposed, without combining marks, then letters a to z and digits."""
     import re
