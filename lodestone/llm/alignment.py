@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.blocks import bucketed, fresh
-from lodestone.llm.common import held, materialise, slices
+from lodestone.llm.common import discard, held, materialise, slices
 from lodestone.llm.packing import ByteLevelIds
 from lodestone.llm.pieces import byte_letters
 
@@ -44,11 +44,11 @@ TOKENS = "id long, key long, key2 int, a array<int>, a_len array<int>, b array<i
 # --- relational core
 
 
-def ends(tokens: DataFrame, by: list[str], ids: str, lengths: str) -> DataFrame:
-    """(by, end, ids): each token with the offset where it ends."""
-    rows = tokens.select(*by, F.posexplode(F.arrays_zip(ids, lengths)).alias("pos", "token"))
+def ends(tokens: DataFrame, by: list[str], ids: str, lengths: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(by, end, ids, keep): each token with the offset where it ends."""
+    rows = tokens.select(*by, *keep, F.posexplode(F.arrays_zip(ids, lengths)).alias("pos", "token"))
     before = Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(*by, F.sum(f"token.{lengths}").over(before).alias("end"), F.col(f"token.{ids}").alias(ids))
+    return rows.select(*by, F.sum(f"token.{lengths}").over(before).alias("end"), F.col(f"token.{ids}").alias(ids), *keep)
 
 
 @contextmanager
@@ -63,10 +63,13 @@ def partitioned_by_some_keys(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def aligned(tokens: DataFrame, by: list[str]) -> DataFrame:
-    """tokens(by, a, a_len, b, b_len) -> (by, end, a, b, grp): a row for each offset where tokens end; a or b is null where only the other ends."""
+def aligned(tokens: DataFrame, by: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """tokens(by, a, a_len, b, b_len) -> (by, end, a, b, grp): a row for each offset where tokens end; a or b is null where only the other ends.
+
+    keep: further columns of tokens, null where only b ends.
+    """
     tokens = tokens.repartition(*by)
-    both = ends(tokens, by, "a", "a_len").join(ends(tokens, by, "b", "b_len"), [*by, "end"], "full")
+    both = ends(tokens, by, "a", "a_len", keep).join(ends(tokens, by, "b", "b_len"), [*by, "end"], "full")
     cut = F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull())
     before = Window.partitionBy(*by).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
     return both.withColumn("grp", cut.over(before))
@@ -192,7 +195,7 @@ def tokens_of(parts: DataFrame, load) -> DataFrame:
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """aligned() rows -> (id, code): for each id the width of its numbers, how many a and b, their ids, and a bit a token, set where a group's last a or b stands."""
+    """aligned() rows with keys -> (key, key2, code): for each id the width of its numbers, how many a and b, their ids, and a bit a token, set where a group's last a or b stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,10 +220,10 @@ def packed(rows: DataFrame) -> DataFrame:
                 numbers = np.concatenate([[z - a, y - b], flat_ids[0][a:z], flat_ids[1][b:y]])
                 kind = np.uint16 if numbers.max() < 1 << 16 else np.uint32
                 codes.append(bytes([kind().itemsize]) + numbers.astype(kind).tobytes() + np.packbits(np.concatenate([bits[0][a:z], bits[1][b:y]])).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes, pa.binary())], names=["id", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("key2"), pa.array(codes, pa.binary())], names=["key", "key2", "code"])
 
-    gathered = rows.groupBy("id").agg(F.collect_list(F.struct("end", "a", "b", "grp")).alias("r"))
-    return materialise(gathered.mapInArrow(run, "id long, code binary"), "packed", codec="zstd")
+    gathered = rows.groupBy("id").agg(F.max("key").alias("key"), F.max("key2").alias("key2"), F.collect_list(F.struct("end", "a", "b", "grp")).alias("r"))
+    return materialise(gathered.select("key", "key2", "r").mapInArrow(run, "key long, key2 int, code binary"), "packed", codec="zstd")
 
 
 def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -362,8 +365,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CH
     keys = [F.xxhash64("part").alias("key"), F.hash("part").alias("key2")]
     tokens = _settled(tokens_of(words.select("part").distinct().select(*keys, "part"), load))
     with partitioned_by_some_keys(docs.sparkSession):  # packed() plans and runs
-        codes = packed(aligned(tokens.drop("key", "key2"), ["id"]))
-    codes = _settled(codes).join(tokens.select("id", "key", "key2"), "id").drop("id")
+        codes = packed(aligned(tokens, ["id"], ("key", "key2")))
+    discard(tokens)
+    codes = _settled(codes)
     nothing = lambda kind: F.lit(None).cast(kind)
     placed = words.select("block", "local", *keys).join(codes, ["key", "key2"])
     placed = placed.select("block", "local", "code", nothing("long").alias("pair"), nothing("long").alias("total"), nothing("boolean").alias("best"))

@@ -46,6 +46,15 @@ def materialise(df: DataFrame, name: str, keep: bool = False, codec: str = "snap
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(step: DataFrame) -> None:
+    """Deletes the folder of a materialised step that no later step reads."""
+    files = step.inputFiles()
+    if files:
+        spark = step.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batches, size: int = SLICE):
     """Record batches in pieces of at most size rows."""
     for batch in batches:
