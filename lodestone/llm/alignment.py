@@ -33,7 +33,7 @@ from lodestone.llm.packing import ByteLevelIds
 from lodestone.llm.pieces import byte_letters
 
 #: Characters of a block of documents, about; (document, pair) entries that a task sorts at a time.
-BLOCK_CHARS, ENTRIES = 24_000_000, 1_000_000
+BLOCK_CHARS, ENTRIES = 14_000_000, 1_000_000
 #: Letters and digits after which a mark may begin a part of its own, and such marks.
 PLAIN, MARKS = "A-Za-z0-9À-ÖØ-öø-ɏ", "!#$%&*,.:;?|"
 
@@ -350,8 +350,9 @@ def document_counts(parts: Parts, ids: np.ndarray, sizes: np.ndarray) -> tuple[n
 
 def _settled(df: DataFrame) -> DataFrame:
     """Lets Spark delete the shuffle files of finished steps before the next ones come."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    for _ in range(2):  # what Python has let go reaches the JVM with a later call
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
     return df
 
 
