@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from functools import reduce
 from itertools import accumulate
 from math import exp, factorial
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.steps import checkpointed
+
 
 def retrieval_cases(judgments: DataFrame, ranked: DataFrame, cases: DataFrame, k: int = 5) -> DataFrame:
     """Per case: recall at k (0 without judgments), reciprocal rank over the whole list, hit at k."""
@@ -79,6 +82,47 @@ def percentile(values: list[float], p: float) -> float:
     return ordered[low] * (1 - (at - low)) + ordered[high] * (at - low) if high > low else ordered[low]
 
 
+#: Buckets into which a round of the selection cuts a range, and values that one task sorts at most.
+BUCKETS, SORTED = 1024, 100_000
+
+
+def percentiles(rows: DataFrame, group: str, value: str, shares: list[float], buckets: int = BUCKETS, at_once: int = SORTED) -> DataFrame:
+    """(group, p0, p1, ...): the percentiles of each group, linear between the neighbours of (n - 1) p; nulls do not count.
+
+    Selection in rounds: a group's range is cut into buckets, which are counted; only buckets that hold a wanted rank are cut
+    again, until they are of one value or small. No task holds a group's values.
+    """
+    data = rows.filter(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    whole = checkpointed(data.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")))
+    positions = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p")) for k, p in enumerate(shares)])
+    wanted = whole.select("g", "n", F.explode(positions).alias("s")).withColumn("at", (F.col("n") - 1) * F.col("s.p"))
+    wanted = wanted.select("g", F.col("s.k").alias("k"), F.col("at"), F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).distinct()
+    # ranges that are still open: from low to high, both included, with the number of values below and in it
+    ranges, done = whole.select("g", "low", "high", F.lit(0).cast("long").alias("below"), "n"), []
+    ranks = checkpointed(wanted.select("g", "rank").distinct())
+    while True:
+        holding = checkpointed(ranges.join(ranks, "g").filter((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("n"))))
+        done.append(holding.filter("low = high").select("g", "rank", F.col("low").alias("v")))
+        few = holding.filter((F.col("low") < F.col("high")) & (F.col("n") <= at_once)).select("g", "low", "high", "below").distinct()
+        values = data.join(few, "g").filter(F.col("v").between(F.col("low"), F.col("high")))
+        placed = values.withColumn("rank", F.col("below") + F.row_number().over(Window.partitionBy("g", "low").orderBy("v")) - 1)
+        done.append(placed.join(ranks, ["g", "rank"], "left_semi").select("g", "rank", "v"))
+        many = holding.filter((F.col("low") < F.col("high")) & (F.col("n") > at_once)).select("g", "low", "high", "below").distinct()
+        if many.isEmpty():
+            break
+        # halves first, so that the width of a range of any doubles is finite; a range of the least doubles has none, and is cut behind its first value
+        width = F.col("high") / 2 - F.col("low") / 2
+        part = F.when(width > 0, F.least(F.lit(buckets - 1), F.floor(F.try_divide(F.col("v") / 2 - F.col("low") / 2, width) * buckets))).otherwise((F.col("v") > F.col("low")).cast("long"))
+        counted = data.join(many, "g").filter(F.col("v").between(F.col("low"), F.col("high"))).groupBy("g", F.col("low").alias("from"), "below", part.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        earlier = F.coalesce(F.sum("n").over(Window.partitionBy("g", "from").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranges = checkpointed(counted.select("g", "low", "high", (F.col("below") + earlier).alias("below"), "n"))
+    found = reduce(DataFrame.unionByName, done).distinct()
+    ends = wanted.join(found, ["g", "rank"]).groupBy("g", "k", "at").agg(F.min_by("v", "rank").alias("a"), F.max_by("v", "rank").alias("b"))
+    between = F.col("at") - F.floor("at")
+    between = F.when(between > 0, F.col("a") * (1 - between) + F.col("b") * between).otherwise(F.col("a"))
+    return ends.groupBy(F.col("g").alias(group)).agg(*[F.max(F.when(F.col("k") == k, between)).alias(f"p{k}") for k in range(len(shares))])
+
+
 def bootstrap(values: list[float], statistic: Callable[[list], float], samples: int = 1000, confidence: float = 0.95, seed: int = 20260915) -> tuple[float, float] | None:
     """Percentile interval of the statistic over resamples drawn by the standard generator; None for under two values."""
     if samples < 1:
@@ -119,7 +163,8 @@ def poisson_bootstrap(rows: DataFrame, group: str, key: str, value: str, samples
     times = times.otherwise(len(POISSON))
     dealt = rows.select(group, key, value, F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate")).withColumn("times", times)
     means = dealt.groupBy(group, "replicate").agg(F.try_divide(F.sum(F.col("times") * F.col(value)), F.sum("times")).alias("mean"))
-    return means.groupBy(group).agg(F.round(F.percentile("mean", 0.025), 4).alias("lower"), F.round(F.percentile("mean", 0.975), 4).alias("upper"))
+    found = percentiles(means, group, "mean", [0.025, 0.975])
+    return found.select(group, F.round("p0", 4).alias("lower"), F.round("p1", 4).alias("upper"))
 
 
 def select_split(cases: DataFrame, split: str, manifest: DataFrame | None = None, default: str = "test") -> DataFrame:

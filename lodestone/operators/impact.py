@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import concepts, digest
 
 
+def _pairs(left: DataFrame, c: DataFrame, minimum: float) -> DataFrame:
+    """(change_id, item_id) that share `minimum` of the item's concepts, at least, or may: those that meet in the item's rarest concepts.
+
+    An item of n concepts of which m must be shared has one of any n - m + 1 in common with a change: those that stand in the
+    fewest changes. So a concept that most changes hold joins none, unless an item has few others.
+    """
+    rows = c.select("item_id", "_n", F.explode("_concepts").alias("concept"))
+    held = left.join(rows.select("concept").distinct(), "concept", "left_semi").groupBy("concept").agg(F.count("*").alias("held"))
+    order = Window.partitionBy("item_id").orderBy(F.coalesce("held", F.lit(0)), "concept")
+    # the score is rounded to four digits before it is compared
+    need = F.greatest(F.lit(1), F.ceil((F.lit(minimum) - 5e-5) * F.col("_n") - 1e-9))
+    first = rows.join(held, "concept", "left").withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= F.col("_n") - need + 1)
+    return left.join(first.select("item_id", "concept"), "concept").select("change_id", "item_id").distinct()
+
+
 def impacts(changed: DataFrame, candidates: DataFrame, minimum: float = 0.2) -> DataFrame:
     """changed(change_id, text) × candidates(item_id, name, keywords, has_source) -> scored overlaps.
 
@@ -18,9 +33,11 @@ def impacts(changed: DataFrame, candidates: DataFrame, minimum: float = 0.2) ->
     words = concepts(F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " "))
     c = candidates.withColumn("_concepts", F.when(F.size(words) > 0, words).otherwise(concepts(F.coalesce("name", F.lit("")))))
     c = c.filter(F.size("_concepts") > 0).withColumn("_n", F.size("_concepts"))
-    left = changed.select("change_id", F.explode(concepts("text")).alias("concept"))
-    right = c.select("item_id", F.explode("_concepts").alias("concept"))
-    shared = left.join(right, "concept").groupBy("change_id", "item_id").agg(F.array_sort(F.collect_list("concept")).alias("overlap"))  # at most a candidate's concepts
+    of_change = changed.select("change_id", concepts("text").alias("_own"))
+    left = of_change.select("change_id", F.explode("_own").alias("concept"))
+    pairs = _pairs(left, c, minimum)
+    both = pairs.join(of_change, "change_id").join(c.select("item_id", "_concepts"), "item_id")
+    shared = both.select("change_id", "item_id", F.array_sort(F.array_intersect("_concepts", "_own")).alias("overlap"))  # at most a candidate's concepts
     if minimum == 0:
         shared = changed.select("change_id").crossJoin(candidates.select("item_id")).join(shared, ["change_id", "item_id"], "left").withColumn("overlap", F.coalesce("overlap", F.array().cast("array<string>")))
     out = shared.join(c.select("item_id", "name", "has_source", "_n"), "item_id").withColumn("relevance_score", F.round(F.size("overlap") / F.col("_n"), 4)).filter(F.col("relevance_score") >= minimum)

@@ -248,6 +248,14 @@ def search_status(spark, sf):
     return search.status(q, search.search(q, W.chunk_docs(spark, sf)))
 
 
+@query(f"""WITH {_top(0.6)} SELECT b.item_id AS query_id, CASE WHEN top.rank IS NULL THEN 'insufficient_evidence' ELSE 'evidence_found' END AS status, top.rank, top.chunk_id, d.text, round(score, 4) AS score, round(coverage, 4) AS coverage
+FROM benchmark b LEFT JOIN top ON top.query_id = b.item_id LEFT JOIN documents d ON d.doc_id = top.chunk_id""")
+def search_response(spark, sf):
+    q, chunks = W.benchmark_queries(spark, sf), W.chunk_docs(spark, sf)
+    rows = search.response(q, search.search(q, chunks), chunks)
+    return rows.select("query_id", "status", F.col("rank").cast("long").alias("rank"), "chunk_id", "text", "score", "coverage")
+
+
 @query("""WITH v AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings),
 pairs AS (SELECT q.vec_id AS query_id, v.vec_id, CASE WHEN q.n * v.n = 0 THEN 0 ELSE list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (q.n * v.n) END AS s FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM pairs) SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 5""")
@@ -394,33 +402,22 @@ def change_shape_violations(spark, sf):
     return diff.shape_violations(planted).select("pair_id", "bucket", "idx", "change_type")
 
 
-# pairs whose ratios are worked out by hand: twice the matching characters over all characters
-SCORED_PAIRS = [
-    (1, "s1", "s1", "t", "t", "abcd", "abcf"),
-    (2, "s1", "s1", "t", "t", "the bank may pay", "the bank must pay"),
-    (3, "s1", "s1", "t", "t", "Same  TEXT", "same text"),
-    (4, "s1", "s2", "Term", "term", "limit 10 days", "limit 20 days"),
-    (5, "s1", "s1", "t", "t", "report it", "report it within 30 days"),
-]
-
-
-@query("""SELECT * FROM (VALUES (1, 0.75, 0.35, 'medium', 0.9225, 'high'), (2, 0.8485, 0.9, 'high', 0.9471, 'high'), (3, 1.0, 0.0, 'low', 1.0, 'high'), (4, 0.9231, 0.4261, 'medium', 0.9358, 'high'),
-(5, 0.5455, 0.7727, 'high', 0.8714, 'high')) AS v(pair_id, similarity_score, materiality_score, materiality, confidence_score, confidence)""".replace("0.75,", "0.75::DOUBLE,", 1).replace("0.35,", "0.35::DOUBLE,", 1).replace("0.9225,", "0.9225::DOUBLE,", 1))
+# an edit of known form has a known ratio: what both texts share, a head of ten characters and the rest behind the changed word, or the whole old text
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, E'\\n')) AS line, generate_subscripts(string_split(text, E'\\n'), 1) - 1 AS n FROM documents),
+e AS (SELECT doc_id, n, (doc_id + n) % 3 AS k, {SQL_NORM.format("'the bank may pay ' || line")} AS x, {SQL_NORM.format("line")} AS t FROM l),
+r AS (SELECT *, CASE k WHEN 0 THEN round(2 * (length(x) - 2) / (2 * length(x) + 1), 4) WHEN 1 THEN round(2 * length(x) / (2 * length(x) + 15), 4) ELSE 1 END::DOUBLE AS s, {SQL_WORDS.format("t")} AS w FROM e),
+m AS (SELECT *, 0.2::DOUBLE + least(0.35::DOUBLE, (1 - s) * 0.6::DOUBLE) AS base FROM r)
+SELECT doc_id, n, s AS similarity_score, CASE k WHEN 2 THEN 0 WHEN 0 THEN 0.9::DOUBLE ELSE round(least(1::DOUBLE, base + CASE WHEN list_contains(w, '30') THEN 0 ELSE 0.18::DOUBLE END + CASE WHEN list_contains(w, 'days') THEN 0 ELSE 0.12::DOUBLE END), 4) END::DOUBLE AS materiality_score,
+  'high' AS confidence FROM m""")
 def change_scores_by_hand(spark, sf):
-    side = lambda s, t, x, v: ("d", s, t, x, v, 1)
-    rows = [(i, side(a, ta, xa, "1"), side(b, tb, xb, "2")) for i, a, b, ta, tb, xa, xb in SCORED_PAIRS]
-    section = "struct<document_id:string,section_id:string,title:string,text:string,version:string,page:int>"
-    found = diff.changes(spark.createDataFrame(rows, f"pair_id int, previous {section}, current {section}"))
-    return found.select("pair_id", "similarity_score", "materiality_score", "materiality", "confidence_score", "confidence")
+    return diff.changes(W.edited_lines(spark, sf)).select("doc_id", F.col("n").cast("long").alias("n"), "similarity_score", "materiality_score", "confidence")
 
 
-# titles that differ by a letter, by their first word, and altogether; one pair of sections each
-@query("SELECT * FROM (VALUES (1, 0::BIGINT, 0::BIGINT, 0.9741::DOUBLE), (2, 0, 0, 0.98), (4, 0, 0, 1.0)) AS v(pair_id, old_idx, new_idx, match_score)")
+# titles of 32 characters that get one more, or capitals; a third of the sections is gone
+@query("""SELECT doc_id AS pair_id, n AS old_idx, n AS new_idx, CASE (doc_id + n) % 3 WHEN 0 THEN round(0.7 * 64 / 65 + 0.3, 4) ELSE 0.98 END::DOUBLE AS match_score
+FROM (SELECT doc_id, unnest(range(len(string_split(text, E'\\n')))) AS n FROM documents) WHERE (doc_id + n) % 3 < 2""")
 def section_alignment_by_hand(spark, sf):
-    rows = [(1, "a", "Capital ratio", "x y z", "b", "Capital ratios", "x y z"), (2, "a", "Liquidity", "one", "b", "LIQUIDITY ", "two"), (3, "a", "abc", "mno", "b", "xyz", "pqr"), (4, "a", "abc", "mno", "a", "xyz", "pqr")]
-    schema = "pair_id int, idx long, section_id string, title string, text string"
-    old = spark.createDataFrame([(p, 0, s, t, x) for p, s, t, x, *_ in rows], schema)
-    return diff.match(old, spark.createDataFrame([(r[0], 0, *r[4:]) for r in rows], schema))
+    return diff.match(*W.retitled(spark, sf))
 
 
 # evidence
@@ -558,7 +555,8 @@ def regression_passes(spark, sf):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.975), 6) AS upper FROM events GROUP BY event_type")
 def percentile_interval(spark, sf):
-    return W.table(spark, sf, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.025), 6).alias("lower"), F.round(F.percentile("value", 0.975), 6).alias("upper"))
+    found = evaluation.percentiles(W.table(spark, sf, "events"), "event_type", "value", [0.025, 0.975])
+    return found.select("event_type", F.round("p0", 6).alias("lower"), F.round("p1", 6).alias("upper"))
 
 
 @query()
@@ -566,10 +564,11 @@ def bootstrap_ci(spark, sf):
     return evaluation.bootstrap_means(_cases(spark, sf), "stratum", "case_id", "recall")
 
 
-@query("SELECT * FROM (VALUES ('all one', 3::BIGINT, 1.0::DOUBLE, 1.0::DOUBLE), ('all zero', 2, 0.0, 0.0), ('single', 1, NULL, NULL)) AS v(stratum, cases, lower, upper)")
+# resamples of equal values have their mean
+@query("SELECT 'quality ' || quality AS stratum, count(*) AS cases, CASE WHEN count(*) > 1 THEN round(avg(quality), 4) END::DOUBLE AS lower, CASE WHEN count(*) > 1 THEN round(avg(quality), 4) END::DOUBLE AS upper FROM labels GROUP BY quality")
 def bootstrap_by_hand(spark, sf):
-    rows = [("all one", 1, 1.0), ("all one", 2, 1.0), ("all one", 3, 1.0), ("all zero", 1, 0.0), ("all zero", 2, 0.0), ("single", 1, 0.5)]
-    return evaluation.bootstrap_means(spark.createDataFrame(rows, "stratum string, case_id int, recall double"), "stratum", "case_id", "recall")
+    rows = W.table(spark, sf, "labels").select(F.concat(F.lit("quality "), F.col("quality")).alias("stratum"), F.col("doc_id").alias("case_id"), F.col("quality").cast("double").alias("recall"))
+    return evaluation.bootstrap_means(rows, "stratum", "case_id", "recall")
 
 
 @query()
@@ -600,12 +599,11 @@ def dataset_violations(spark, sf):
     return leaks.union(twice).union(lost.select(F.lit("missing_reference").alias("rule"), F.col("document_id").cast("string").alias("offender")))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, E'\\n')) AS line, generate_subscripts(string_split(text, E'\\n'), 1) AS n FROM (SELECT doc_id, '# ' || source || E'\\narticle ' || doc_id || ' - x\\n# Part\\nArticle 2 - y' AS text FROM documents)),
+@query(f"""WITH {STRUCTURED}, l AS (SELECT doc_id, unnest(string_split(content, E'\\n')) AS line, generate_subscripts(string_split(content, E'\\n'), 1) AS n FROM structured),
 h AS (SELECT *, last_value(CASE WHEN line LIKE '# %' THEN substr(line, 3) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS heading FROM l)
-SELECT doc_id, heading, split_part(line, ' - ', 1) AS article FROM h WHERE lower(line) LIKE 'article %'""".replace("' - x\\n", "E' - x\\n"))
+SELECT doc_id, heading, split_part(line, ' - ', 1) AS article FROM h WHERE lower(line) LIKE 'article %'""")
 def section_listing(spark, sf):
-    text = F.concat(F.lit("# "), F.col("source"), F.lit("\narticle "), F.col("doc_id").cast("string"), F.lit(" - x\n# Part\nArticle 2 - y"))
-    rows = W.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(text, "\n")).alias("n", "line"))
+    rows = W.structured(spark, sf).select("doc_id", F.posexplode(F.split("content", "\n")).alias("n", "line"))
     w = Window.partitionBy("doc_id").orderBy("n")
     rows = rows.withColumn("heading", F.last(F.when(F.col("line").startswith("# "), F.substr("line", F.lit(3))), ignorenulls=True).over(w))
     return rows.filter(F.lower("line").startswith("article ")).select("doc_id", "heading", F.split_part("line", F.lit(" - "), F.lit(1)).alias("article"))
@@ -634,19 +632,18 @@ def challenge_violations(spark, sf):
 
 # sources
 
-MANIFEST = """(VALUES ('a', 't', '32013R0575', 'http://data.europa.eu/eli/reg/2013/575/oj', 'https://eur-lex.europa.eu/legal-content/EN/TXT/?uri=CELEX:32013R0575', 'https://publications.europa.eu/resource/celex/32013R0575', 'EU', 'r'),
-('b', 't', '32014L0065', 'http://data.europa.eu/eli/dir/2014/65/oj', 'https://example.com/?uri=CELEX:32014L0065', 'https://publications.europa.eu/resource/celex/32014L0065', 'EU', 'd'),
-('b', 't', '32014L0066', 'https://data.europa.eu/eli/dir/2014/66/oj', 'https://eur-lex.europa.eu/?uri=CELEX:1', 'https://publications.europa.eu/resource/cellar/32014L0066', 'EU', 'd'),
-('d', CAST(NULL AS VARCHAR(9)), '32014L0066', 'http://data.europa.eu/x', 'https://eur-lex.europa.eu/?uri=CELEX:32014L0066', 'https://publications.europa.eu/resource/celex/0', 'EU', 'd'))
-AS m(id, short_title, celex, eli, official_url, acquisition_url, jurisdiction, document_type)"""
+MANIFEST = """SELECT 'm' || CASE WHEN doc_id % 17 = 0 THEN 0 ELSE doc_id END AS id, CASE WHEN doc_id % 11 <> 0 THEN 't' END AS short_title, c AS celex, CASE WHEN doc_id % 7 = 0 THEN 'https' ELSE 'http' END || '://data.europa.eu/eli/reg/' || c AS eli,
+  CASE WHEN doc_id % 5 = 0 THEN 'https://example.com' ELSE 'https://eur-lex.europa.eu' END || '/?uri=CELEX:' || CASE WHEN doc_id % 19 = 0 THEN '1' ELSE c END AS official_url,
+  'https://publications.europa.eu/resource/' || CASE WHEN doc_id % 23 = 0 THEN 'cellar/' ELSE 'celex/' END || CASE WHEN doc_id % 29 = 0 THEN '0x' ELSE c END AS acquisition_url
+  FROM (SELECT doc_id, '3' || CASE WHEN doc_id % 13 = 0 THEN 0 ELSE doc_id END AS c FROM documents)"""
 
 
-@query(f"""WITH m AS (SELECT * FROM {MANIFEST}), r AS (SELECT id, unnest([CASE WHEN short_title IS NULL THEN 'missing_field' END, CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate_id' END,
+@query(f"""WITH m AS ({MANIFEST}), r AS (SELECT id, unnest([CASE WHEN short_title IS NULL THEN 'missing_field' END, CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate_id' END,
   CASE WHEN count(*) OVER (PARTITION BY celex) > 1 THEN 'duplicate_celex' END, CASE WHEN NOT regexp_matches(official_url, '^https://eur-lex\\.europa\\.eu[/?]') THEN 'official_url_host' END,
   CASE WHEN NOT starts_with(acquisition_url, 'https://publications.europa.eu/resource/celex/') THEN 'acquisition_url_host' END, CASE WHEN NOT contains(official_url, 'CELEX:' || celex) THEN 'official_url_celex' END,
   CASE WHEN NOT ends_with(acquisition_url, '/resource/celex/' || celex) THEN 'acquisition_url_celex' END, CASE WHEN NOT starts_with(eli, 'http://data.europa.eu/') THEN 'eli_host' END]) AS rule FROM m) SELECT * FROM r WHERE rule IS NOT NULL""")
 def manifest_violations(spark, sf):
-    return corpus.manifest_violations(spark.sql(f"SELECT * FROM {MANIFEST.replace('VARCHAR(9)', 'STRING')}"))
+    return corpus.manifest_violations(W.manifest(spark, sf))
 
 
 @query("SELECT 'POST' AS method, event_type AS path, CASE WHEN user_id % 10 = 0 THEN 500 ELSE 200 END::INT AS status, count(*) AS requests FROM events GROUP BY ALL")

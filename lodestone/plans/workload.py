@@ -132,3 +132,37 @@ def passages_in(passages, docs):
 def requests(spark, sf):
     e = table(spark, sf, "events")
     return e.select(F.lit("POST").alias("method"), F.col("event_type").alias("path"), F.when(F.col("user_id") % 10 == 0, 500).otherwise(200).alias("status"), (F.col("value") / 50).alias("seconds"))
+
+
+def edited_lines(spark, sf):
+    """Every line behind four words, and an edited form of it: an obligation that becomes stronger, words added at the end, capitals."""
+    k = (F.col("doc_id") + F.col("n")) % 3
+    old = F.concat(F.lit("the bank may pay "), F.col("line"))
+    new = F.when(k == 0, F.concat(F.lit("the bank must pay "), F.col("line"))).when(k == 1, F.concat(old, F.lit(" within 30 days"))).otherwise(F.upper(old))
+    side = lambda text, version: F.struct(F.lit("d").alias("document_id"), F.lit("s").alias("section_id"), F.lit("t").alias("title"), text.alias("text"), F.lit(version).alias("version"), F.lit(1).alias("page"))
+    return lines(spark, sf).select("doc_id", "n", side(old, "1").alias("previous"), side(new, "2").alias("current"))
+
+
+def retitled(spark, sf):
+    """Sections of each document with titles of their own, and a second version without common ids: a letter more, capitals, or gone."""
+    title = F.md5(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("n").cast("string")))
+    old = lines(spark, sf).select(F.col("doc_id").alias("pair_id"), F.col("n").cast("long").alias("idx"), F.concat(F.lit("o"), "n").alias("section_id"), title.alias("title"), F.col("line").alias("text"))
+    k = (F.col("pair_id") + F.col("idx")) % 3
+    new = old.filter(k < 2).withColumns({"section_id": F.concat(F.lit("n"), "idx"), "title": F.when(k == 0, F.concat("title", F.lit("z"))).otherwise(F.upper("title"))})
+    return old, new
+
+
+def manifest(spark, sf):
+    """A manifest row for each document, with faults by its number."""
+    i = F.col("doc_id")
+    celex = F.concat(F.lit("3"), F.when(i % 13 == 0, 0).otherwise(i).cast("string"))
+    return table(spark, sf, "documents").select(
+        F.concat(F.lit("m"), F.when(i % 17 == 0, 0).otherwise(i).cast("string")).alias("id"),
+        F.when(i % 11 != 0, "t").alias("short_title"),
+        celex.alias("celex"),
+        F.concat(F.when(i % 7 == 0, "https").otherwise("http"), F.lit("://data.europa.eu/eli/reg/"), celex).alias("eli"),
+        F.concat(F.when(i % 5 == 0, "https://example.com").otherwise("https://eur-lex.europa.eu"), F.lit("/?uri=CELEX:"), F.when(i % 19 == 0, "1").otherwise(celex)).alias("official_url"),
+        F.concat(F.lit("https://publications.europa.eu/resource/"), F.when(i % 23 == 0, "cellar/").otherwise("celex/"), F.when(i % 29 == 0, "0x").otherwise(celex)).alias("acquisition_url"),
+        F.lit("EU").alias("jurisdiction"),
+        F.lit("r").alias("document_type"),
+    )

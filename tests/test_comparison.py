@@ -78,6 +78,37 @@ def test_impact(spark):
         impact.impacts(changed, items, 2)
 
 
+def test_equal_citations_count_each_and_many_quotes_meet_one_source(spark):
+    import random
+
+    rng = random.Random(5)
+    text = "".join(rng.choice("abc  ") for _ in range(20_000))
+    s = spark.createDataFrame([("d:1", text, "1", 1), ("d:2", "short text", None, None)], "source_id string, text string, version string, page int")
+    quotes = [text[(at := rng.randrange(19_000)) : at + rng.randint(1, 30)] for _ in range(3000)] + ["".join(rng.choice("abc ") for _ in range(14)) for _ in range(3000)]
+    rows = [(i, "d:1", q, None, None) for i, q in enumerate(quotes)] + [(7000, "d:2", "Short", None, None)] * 3 + [(7001, "d:2", "long", None, None)] * 2
+    got = evidence.citation_support(spark.createDataFrame(rows, "claim_id int, source_id string, quote string, version string, page int"), s).collect()
+    flat = " ".join(text.split())
+    want = sorted([(i, " ".join(q.split()) != "" and " ".join(q.split()) in flat) for i, q in enumerate(quotes)] + [(7000, True)] * 3 + [(7001, False)] * 2)
+    assert sorted((r["claim_id"], r["supported"]) for r in got) == want
+
+
+@pytest.mark.parametrize("minimum", [0.2, 0.3333, 0.5, 1.0])
+def test_impacts_equal_all_pairs(spark, minimum):
+    """The prefix of rare concepts loses no pair, also where rounding lifts a score to the minimum."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: f"word{min(rng.randrange(40), rng.randrange(40))}"
+    changes = [(i, [word() for _ in range(rng.randrange(12))]) for i in range(60)]
+    items = [(i, [word() for _ in range(rng.randint(1, 12))]) for i in range(40)]
+    got = impact.impacts(
+        spark.createDataFrame([(i, " ".join(w)) for i, w in changes], "change_id int, text string"),
+        spark.createDataFrame([(i, f"Item {i}", w, False) for i, w in items], "item_id int, name string, keywords array<string>, has_source boolean"), minimum,
+    )
+    want = sorted((c, i, score) for c, w in changes for i, k in items if set(w) & set(k) and (score := round(len(set(w) & set(k)) / len(set(k)), 4)) >= minimum)
+    assert sorted((r["change_id"], r["item_id"], r["relevance_score"]) for r in got.collect()) == want
+
+
 def test_duplicates_and_shapes(spark):
     s = sections(spark, [("1", "", "a"), ("1", "", "b")], "1")
     assert diff.duplicates(s).count() == 1

@@ -69,3 +69,15 @@ def test_json_and_repository(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "docs"))
     parts = spark.createDataFrame([("1", 2, "b"), ("1", 1, "a"), ("2", 1, "z")], "document_id string, position int, content string")
     assert [r["content"] for r in corpus.look_up(docs, parts, "ext", "v1").collect()] == ["a", "b"]
+
+
+@pytest.mark.parametrize(("buckets", "at_once"), [(E.BUCKETS, E.SORTED), (3, 2), (2, 1)])
+def test_percentiles_by_selection(spark, buckets, at_once):
+    """Against sorted values: ties, one value, huge and close values, groups of one, nulls."""
+    import random
+
+    rng = random.Random(3)
+    groups = {"many": [rng.gauss(0, 9) for _ in range(300)], "ties": [float(rng.randrange(4)) for _ in range(200)], "one": [7.5], "two": [1.0, 2.0], "huge": [-1.7e308, 1.7e308, 0.0, 5e-324, 1e-300], "same": [3.25] * 50, "close": [1.0 + k * 2.0**-52 for k in range(40)]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("many", None), ("none", None)]
+    got = E.percentiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", [0.0, 0.025, 0.5, 0.975, 1.0], buckets, at_once).collect()
+    assert {r["g"]: tuple(r)[1:] for r in got} == {g: tuple(E.percentile(vs, p) for p in (0.0, 0.025, 0.5, 0.975, 1.0)) for g, vs in groups.items()}
