@@ -6,7 +6,7 @@ merged places. Each piece sees its own merges in the same order as if it were en
 first, and a merge that makes a pair of lower rank is interrupted for that pair.
 
 Defined results: null text counts as empty; an empty text has no ids and decodes to no bytes; texts of any length are
-encoded whole; repeated rows give repeated results; other columns are ignored.
+encoded whole; repeated rows give repeated results; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
