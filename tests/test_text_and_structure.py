@@ -72,3 +72,51 @@ def test_html_chunks(spark):
     rows = parsed(spark, page, html=True)
     assert [(r["text"], r["article"]) for r in rows] == [("Le seuil.", "Article 7"), ("Deux  mots .".replace("  ", " "), "Article 7")]
     assert one(spark, structure.html_title(F.col("t")), t=page) == "T & U"
+
+
+def test_white_space_and_digits_of_any_kind(spark):
+    """Line forms, redaction and flags against the standard library's patterns, which know all of Unicode."""
+    import re
+
+    spaces = [" ", " ", "　", "\x1c", "\x1f", "\x85", " ", " ", "\t"]
+    plain = {
+        "article": re.compile(r"^((?:article|art\.)\s+[A-Z0-9][A-Z0-9.\-]*)(?:\s*[-:–—]\s*(.*))?$", re.I),
+        "heading": re.compile(r"^(#{1,6})\s+(.+?)\s*#*\s*$"),
+        "numbered": re.compile(r"^(?:\d+(?:\.\d+)*|[IVXLCDM]+)[.)]?\s+\S+", re.I),
+        "told": re.compile(r"ignore\s+(?:all\s+)?previous\s+instructions", re.I),
+        "iban": re.compile(r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){11,30}\b", re.I),
+        "mail": re.compile(r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", re.I),
+    }
+    lines = [f"Article{s}5{s}-{s}Scope" for s in spaces] + [f"#{s}Part{s}##" for s in spaces] + [f"1.{s}General" for s in spaces] + [f"ıv){s}x" for s in spaces]
+    lines += [f"please ıgnore{s}prevıous{s}inſtructions now" for s in spaces] + ["IGNORE all previous instructions", "ignoreprevious instructions", "art. K", "art. ſ2: x", "Articles 5", "٣.٤ Scope", "#######  no"]
+    lines += ["FR٧٦30006000011234567890189", "éFR7630006000011234567890189", "FR7630006000011234567890189é", "x FR76 3000 6000 0112 3456 789, y", "a@b.com", "éa@b.com", "a@b.comé", ".a@b.co.uk.", "́a@b.com", "a@b.Km"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, text string")
+    forms = {"article": structure.ARTICLE, "heading": structure.HEADING, "numbered": structure.NUMBERED, "told": f"(?iU){sanitize.INSTRUCTIONS[0]}", "iban": f"(?iU){sanitize.PERSONAL[0][1]}", "mail": f"(?iU){sanitize.PERSONAL[1][1]}"}
+    for name, form in forms.items():
+        got = {r["text"]: (r["hit"], r["first"]) for r in df.select("text", F.col("text").rlike(form).alias("hit"), F.regexp_extract("text", form, 0).alias("first")).collect()}
+        for t in lines:
+            m = plain[name].search(t)
+            assert got[t] == (m is not None, m[0] if m else ""), (name, t)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_heading_paths_equal_a_stack(spark, seed):
+    """Levels in any order; two equal documents keep their own stacks."""
+    import random
+
+    rng = random.Random(seed)
+    blocks = [(rng.choice(["heading", "heading", "paragraph", "paragraph", "article"]), f"t{i}" if rng.random() < 0.9 else "", 0) for i in range(120)]
+    blocks = [(k, t, rng.randint(1, 6) if k == "heading" else 0) for k, t, _ in blocks]
+    path, article, want = [], None, []
+    for kind, text, level in blocks:
+        if not text:
+            continue
+        if kind == "heading":
+            path, article = [*path[: level - 1], text], None
+        elif kind == "article":
+            article = text
+        else:
+            want.append((len(want), text, list(path), article))
+    df = spark.createDataFrame([("s", blocks)] * 2 + [("empty", [])], "source string, blocks array<struct<kind:string,text:string,level:int>>")
+    got = structure.chunks(df).select("ordinal", "text", "heading_path", "article").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want * 2, key=str)
