@@ -13,7 +13,7 @@ from collections import Counter
 import numpy as np
 
 #: Ranges with so many pairs of positions, or fewer, are compared by position.
-SMALL = 6_000
+SMALL = 60_000
 
 
 def most_alike(a: str, b: str) -> float:
