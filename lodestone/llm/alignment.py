@@ -275,18 +275,22 @@ class Parts:
         self.numbers = np.zeros((n, 4), np.int64)
         self.numbers[local] = np.column_stack([n_a, n_b, self.groups, links])
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Linked pairs of distinct ids by group: their parts (places in local), a << 32 | b, and how often each occurs."""
-        n, sides = len(self.sizes), []
-        for side, ids in enumerate((self.a, self.b)):
-            group = np.repeat(np.arange(n), self.sizes[:, side])
-            known, often = np.unique(group << 32 | ids.astype(np.int64), return_counts=True)
-            sides.append((known >> 32, known & 0xFFFFFFFF, often))
-        (ga, a, ca), (gb, b, cb) = sides
-        per = np.bincount(gb, minlength=n)
-        other = _runs((np.cumsum(per) - per)[ga], per[ga])
-        mine = np.repeat(np.arange(len(ga)), per[ga])
-        return self.of_group[ga[mine]], a[mine] << 32 | b[other], ca[mine] * cb[other]
+    def pairs(self, some: int = 20_000) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Linked pairs of distinct ids by group, of so many coded parts at a time: the first part, how many pairs each has, a << 32 | b, how often each occurs."""
+        ends = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (self.sizes[:, 0], self.sizes[:, 1], self.groups)]
+        for at in range(0, len(self.groups), some):
+            g, z = ends[2][at], ends[2][min(at + some, len(self.groups))]
+            sides = []
+            for side, ids in enumerate((self.a, self.b)):
+                group = np.repeat(np.arange(z - g), self.sizes[g:z, side])
+                known, often = np.unique(group << 32 | ids[ends[side][g] : ends[side][z]].astype(np.int64), return_counts=True)
+                sides.append((known >> 32, known & 0xFFFFFFFF, often))
+            (ga, a, ca), (gb, b, cb) = sides
+            per = np.bincount(gb, minlength=z - g)
+            other = _runs((np.cumsum(per) - per)[ga], per[ga])
+            mine = np.repeat(np.arange(len(ga)), per[ga])
+            n = np.bincount(self.of_group[g:z][ga[mine]] - at, minlength=min(some, len(self.groups) - at))
+            yield at, n, a[mine] << 32 | b[other], ca[mine] * cb[other]
 
     def texts(self, some: int = 10_000) -> Iterator[str]:
         """Each coded part's groups, written out; numbers of so many parts at a time."""
@@ -329,13 +333,13 @@ def _chunks(weights: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 def document_counts(parts: Parts, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The block's linked pairs and in how many of its documents each stands."""
-    where, pair, _ = parts.pairs()
-    known, number = np.unique(pair, return_inverse=True)
+    made = [(n, pair) for _, n, pair, _ in parts.pairs()] or [(np.zeros(0, np.int64),) * 2]
+    known, number = np.unique(np.concatenate([pair for _, pair in made]), return_inverse=True)
     number = number.astype(np.int32)
     per = np.zeros(len(parts.good), np.int64)
-    per[parts.local] = np.bincount(where, minlength=len(parts.local))
+    per[parts.local] = np.concatenate([n for n, _ in made])
     first, whole = np.cumsum(per) - per, _sums(~parts.good[ids], sizes) == 0
-    del where, pair
+    del made
     counts, ends_at, n = np.zeros(len(known), np.int64), np.cumsum(sizes), max(1, len(parts.good))
     # whole documents, some ENTRIES of (document, pair) at a time
     for a, b in _chunks(_sums(per[ids], sizes) * whole, ENTRIES):
@@ -398,16 +402,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CH
         pair, total, best = (np.asarray(asked.column(c).combine_chunks()) for c in ("pair", "total", "best"))
         order = np.argsort(pair)
         pair, total, best = pair[order], total[order], best[order]
-        where, mine, often = parts.pairs()
-        at = np.searchsorted(pair, mine)
-        # pairs of parts that only documents without tokens hold have no count
-        there = (at < len(pair)) & (pair[np.minimum(at, len(pair) - 1)] == mine) if len(pair) else np.zeros(len(mine), bool)
-        at = np.where(there, at, 0)
-        per = np.bincount(where, minlength=len(parts.local))
         scored = np.zeros((len(parts.good), 2), np.int64)
-        if len(pair):
-            scored[parts.local] = np.column_stack([_sums(there * often * best[at], per), _sums(there * often * total[at], per)])
-        del where, mine, often, at, there
+        for first, n, mine, often in parts.pairs() if len(pair) else ():
+            # pairs of parts that only documents without tokens hold have no count
+            at = np.minimum(np.searchsorted(pair, mine), len(pair) - 1)
+            often = often * (pair[at] == mine)
+            scored[parts.local[first : first + len(n)]] = np.column_stack([_sums(often * best[at], n), _sums(often * total[at], n)])
         whole = (_sums(~parts.good[ids], sizes) == 0) & (sizes > 0)
         numbers = np.concatenate([parts.numbers, scored], 1)
         columns = [np.where(whole, _sums(numbers[ids, c], sizes), 0) for c in range(6)]
