@@ -71,9 +71,11 @@ def test_registered_queries_run(spark, name):
     if not SF.exists():
         pytest.skip("tables are not here")
     rows = __spark_entry__.queries()[name](spark, str(SF)).collect()
-    table = "pages" if name.startswith("op10") else "conversations" if name.startswith("op3") else "documents"
+    table = "pages" if name.startswith("op10") else "conversations" if name.startswith("op3") else "embeddings" if name.startswith("op11") else "documents"
     if table == "documents":
         assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    elif table == "embeddings":
+        assert sorted(r["vec_id"] for r in rows) == sorted(r["vec_id"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect())
     elif table == "pages":
         assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
     else:
