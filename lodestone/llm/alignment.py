@@ -100,7 +100,8 @@ class Tokenizers:
         # a mark begins a part only if no piece holds it behind a plain letter
         plain = re.compile(f"[{PLAIN}]")
         marks = "".join(re.escape(m) for m in MARKS if not any(y == m and plain.match(x) for x, y in inside))
-        self.parts = re.compile(rf"[ \n]?[^ \n{marks}]*[{PLAIN}](?=[{marks}])|[ \n]?[^ \n]+" if marks else r"[ \n]?[^ \n]+").findall
+        self.pattern = rf"[ \n]?[^ \n{marks}]*[{PLAIN}](?=[{marks}])|[ \n]?[^ \n]+" if marks else r"[ \n]?[^ \n]+"
+        self.parts = re.compile(self.pattern).findall
 
     def encode(self, parts: list[str]) -> tuple[list, list]:
         """Ids of each part as parts stand in a text: the second library's own leading space is the part's, or dropped."""
@@ -132,13 +133,13 @@ class Places(dict):
 CODED = "block long, doc_id long, ids binary, local int, part string"
 
 
-def coded(docs: DataFrame, load, most: int = BLOCK_CHARS) -> DataFrame:
-    """docs as a stored table of blocks: a row for each document with its parts' numbers, and a row for each part of a block."""
+def coded(docs: DataFrame, pattern: str, most: int = BLOCK_CHARS) -> DataFrame:
+    """docs, cut by a pattern of parts, as a stored table of blocks: a row for each document with its parts' numbers, and a row for each part of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        names, split = ["block", "doc_id", "ids", "local", "part"], load().parts
+        names, split = ["block", "doc_id", "ids", "local", "part"], re.compile(pattern).findall
         block, size, places = TaskContext.get().partitionId() << 32, 0, Places()
 
         def words() -> Iterator[pa.RecordBatch]:
@@ -198,6 +199,7 @@ def packed(rows: DataFrame) -> DataFrame:
     """aligned() rows with keys -> (key, key2, code): for each id the width of its numbers, how many a and b, their ids, and a bit a token, set where a group's last a or b stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("packed", lambda: None)  # the worker's tokenizers are done with
         for batch in batches:
             lists = batch.column("r")
             sizes = np.asarray(lists.value_lengths(), np.int64)
@@ -363,7 +365,7 @@ def _settled(df: DataFrame) -> DataFrame:
 def align(docs: DataFrame, a_path: str, b_path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs(doc_id, text) -> RESULT, under tokenizers file a (byte-level) and sentencepiece model b."""
     load = lambda: held(("alignment", a_path, b_path), lambda: Tokenizers(a_path, b_path))
-    stored = coded(docs, load, block_chars)
+    stored = coded(docs, Tokenizers(a_path, b_path).pattern, block_chars)
     texts = stored.filter("part is null").select("block", "doc_id", "ids")
     words = stored.filter("part is not null").select("block", "local", "part")
     # 96 bits of the part, by two hashes
