@@ -61,11 +61,11 @@ PLAIN_WORDS = CONTENT_NAMES | frozenset(
 CLOSED_BY = {"p": frozenset(("p",)), "li": frozenset(("li",)), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "option": frozenset(("option",))}
 
 
-def evidence(tag: str, attributes: str) -> tuple[int, int, bool]:
-    """What an element's tag and names say: for main text (2 by its tag, 1 by a name), against it (3 frame or talk, 2 loose, 1 in passing), and if that is readers' talk."""
+def evidence(tag: str, attributes: str) -> tuple[int, int, bool, bool]:
+    """What an element's tag and names say: for main text (2 by its tag, 1 by a name), against it (3 frame or talk, 2 loose, 1 in passing), if that is readers' talk, and if it is a header's only."""
     if tag in ("html", "body"):
-        return 0, 0, False
-    good, bad, talk = 0, 3 if tag in FRAME_TAGS else 2 if tag in ("form", "fieldset", "header") else 0, False
+        return 0, 0, False, False
+    good, bad, talk, head = 0, 3 if tag in FRAME_TAGS else 2 if tag in ("form", "fieldset", "header") else 0, False, tag not in ("form", "fieldset")
     if attributes:
         for m in NAMES.finditer(attributes):
             for name in (m[1] or m[2] or m[3] or "").split():
@@ -76,11 +76,11 @@ def evidence(tag: str, attributes: str) -> tuple[int, int, bool]:
                 elif not words & STATE_WORDS:
                     other = words - TALK_NAMES - FRAME_NAMES - LOOSE_NAMES - PLAIN_WORDS
                     weight = 1 if any(len(w) > 1 for w in other) else 2 if not words & (TALK_NAMES | FRAME_NAMES) else 3
-                    bad, talk = max(bad, weight), talk or (weight == 3 and bool(words & TALK_NAMES))
+                    bad, talk, head = max(bad, weight), talk or (weight == 3 and bool(words & TALK_NAMES)), head and against == {"header"}
     if tag in CONTENT_TAGS:
         # a page's article may be marked by what stands around it; readers' own articles and sponsors' are named so
         good, bad = (0, bad) if bad > 1 and tag == "article" else (2, 0)
-    return good, bad, talk
+    return good, bad, talk, head and bad == 2
 
 
 def tokens(html: str):
@@ -178,7 +178,7 @@ class Stack:
 MOST, NEARLY_ALL = 0.5, 0.95
 
 
-def _judged(parents: list[int], says: list[tuple[int, int, bool] | None], found: list[tuple]) -> list[tuple[int, int]]:
+def _judged(parents: list[int], says: list[tuple[int, int, bool, bool] | None], found: list[tuple]) -> list[tuple[int, int]]:
     """For each element what counts for and against main text in it, its own and what its containers say.
 
     A container that holds main or article, or most of the page's words outside links, is a frame of the page, not a sign
@@ -199,8 +199,10 @@ def _judged(parents: list[int], says: list[tuple[int, int, bool] | None], found:
     spoken = any(x and x[0] for x in says)
     out = [(0, 0)] * n
     for k in range(1, n):
-        good, bad, talk = says[k] or (0, 0, False)
+        good, bad, talk, head = says[k] or (0, 0, False, False)
         outer_good, outer_bad = out[parents[k]]
+        if head and outer_good == 2:  # an article's own
+            bad = 0
         if bad and good < 2:
             share = plain[k] / plain[0] if plain[0] else 0.0
             around = content[k] or (share >= NEARLY_ALL and heads[k] == heads[0] if talk else share >= MOST)
