@@ -163,7 +163,7 @@ def poisson_bootstrap(rows: DataFrame, group: str, key: str, value: str, samples
     times = times.otherwise(len(POISSON))
     dealt = rows.select(group, key, value, F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate")).withColumn("times", times)
     means = dealt.groupBy(group, "replicate").agg(F.try_divide(F.sum(F.col("times") * F.col(value)), F.sum("times")).alias("mean"))
-    found = percentiles(means, group, "mean", [0.025, 0.975])
+    found = percentiles(checkpointed(means), group, "mean", [0.025, 0.975])  # a row a replicate; resamples are drawn once
     return found.select(group, F.round("p0", 4).alias("lower"), F.round("p1", 4).alias("upper"))
 
 
