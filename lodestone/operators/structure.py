@@ -107,7 +107,7 @@ def html_parts(html: Column) -> Column:
 
 def html_title(html: Column) -> Column:
     titles = F.filter(html_parts(html), lambda p: p["tag"] == "title")
-    return F.element_at(F.transform(titles, lambda p: p["text"]), -1)
+    return F.try_element_at(F.transform(titles, lambda p: p["text"]), F.lit(-1))
 
 
 def html_blocks(html: Column) -> Column:

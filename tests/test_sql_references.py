@@ -32,3 +32,19 @@ def test_every_name_and_number():
     con.execute("CREATE TABLE t AS SELECT unnest($1) AS x", [texts])
     for x, got in con.execute(f"SELECT x, {catalogue._sql_decoded('x')} FROM t").fetchall():
         assert got == unescape(x), x
+
+
+NUMBER = "FR7630006000011234567890189"
+TEXTS = [f"password={NUMBER} ción", f"ó{NUMBER} x", f"{NUMBER}ó", f"x {NUMBER}, {NUMBER} é.cd@x.com a@b.com.x@y.zz", "éa@b.com a@b.comé ñ-a.b@c-d.org_ _a@b.co Ⅷa@b.com"]
+
+
+@pytest.mark.parametrize("name", ["sanitize_text", "sanitize_categories", "ingest_chunks"])
+def test_word_edges_beyond_ascii(spark, tmp_path, name):
+    spark.createDataFrame([(11 + 35 * i, t, "en", "s") for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, f"u{i}", f"<p>{t}</p>") for i, t in enumerate(TEXTS)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    for t in ("pages", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalogue.ORACLE[name]})").fetchall()
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
