@@ -48,3 +48,15 @@ def test_word_edges_beyond_ascii(spark, tmp_path, name):
     df = catalogue.QUERIES[name](spark, str(tmp_path))
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalogue.ORACLE[name]})").fetchall()
     assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
+
+
+def test_capitals_of_a_sharp_s(spark, tmp_path):
+    """In capitals a word of a sharp s and a letter has three letters, so it is a concept."""
+    spark.createDataFrame([(3, "x ßö y\nßö Öß", "de", "s"), (4, "ßö", "de", "s")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "ssö"), (2, "össß ssö")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df = catalogue.QUERIES["impact_assessments"](spark, str(tmp_path))
+    got = sorted(map(tuple, df.collect()))
+    assert got and got == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalogue.ORACLE['impact_assessments']})").fetchall())
