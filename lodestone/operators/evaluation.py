@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import accumulate
+from itertools import accumulate, islice
 from math import exp, factorial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,6 +124,20 @@ def percentiles(rows: DataFrame, group: str, value: str, shares: list[float], bu
     return ends.groupBy(F.col("g").alias(group)).agg(*[F.max(F.when(F.col("k") == k, between)).alias(f"p{k}") for k in range(len(shares))])
 
 
+def _draws(n: int, seed: int) -> Iterator[np.ndarray]:
+    """What randrange(n) of the standard generator gives, n numbers at a time: its words, shifted, without those that are too large."""
+    state = random.Random(seed).getstate()[1]
+    words = np.random.MT19937()
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+    left = np.empty(0, np.int64)
+    while True:
+        while len(left) < n:
+            more = (words.random_raw(max(n, 1024)) >> np.uint64(32 - n.bit_length())).astype(np.int64)
+            left = np.concatenate([left, more[more < n]])
+        yield left[:n]
+        left = left[n:]
+
+
 def bootstrap(values: list[float], statistic: Callable[[list], float], samples: int = 1000, confidence: float = 0.95, seed: int = 20260915) -> tuple[float, float] | None:
     """Percentile interval of the statistic over resamples drawn by the standard generator; None for under two values."""
     if samples < 1:
@@ -132,8 +147,9 @@ def bootstrap(values: list[float], statistic: Callable[[list], float], samples:
     n = len(values)
     if n < 2:
         return None
-    draw = random.Random(seed).randrange
-    found = [statistic([values[draw(n)] for _ in range(n)]) for _ in range(samples)]
+    array = np.array(values)
+    resamples = (array[at].tolist() if array.dtype.kind in "biuf" else [values[i] for i in at] for at in islice(_draws(n, seed), samples))
+    found = [statistic(v) for v in resamples]
     tail = (1 - confidence) / 2
     return round(percentile(found, tail), 4), round(percentile(found, 1 - tail), 4)
 
