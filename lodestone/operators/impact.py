@@ -1,46 +1,97 @@
-"""Impact mapping: changed text against candidates by shared concepts, through an inverted join on the concept."""
+"""Impact mapping: changed text against candidates by shared concepts, counted where the changes are read."""
 
 from __future__ import annotations
 
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from lodestone.functions.steps import written
 from lodestone.functions.text import concepts, digest
 
+#: Concepts of a block of changes and of a block of candidates, about; pairs and shared concepts that are counted at once.
+CHANGES, CANDIDATES, COUNTED = 1 << 18, 1 << 14, 1 << 22
+#: Candidates of up to so many concepts are sent to all tasks; beyond that changes are written, and blocks of both are paired.
+SENT = 1 << 20
 
-def _pairs(left: DataFrame, c: DataFrame, minimum: float) -> DataFrame:
-    """(change_id, item_id) that share `minimum` of the item's concepts, at least, or may: those that meet in the item's rarest concepts.
 
-    An item of n concepts of which m must be shared has one of any n - m + 1 in common with a change: those that stand in the
-    fewest changes. So a concept that most changes hold joins none, unless an item has few others.
-    """
-    rows = c.select("item_id", "_n", F.explode("_concepts").alias("concept"))
-    held = left.join(rows.select("concept").distinct(), "concept", "left_semi").groupBy("concept").agg(F.count("*").alias("held"))
-    order = Window.partitionBy("item_id").orderBy(F.coalesce("held", F.lit(0)), "concept")
-    # the score is rounded to four digits before it is compared
-    need = F.greatest(F.lit(1), F.ceil((F.lit(minimum) - 5e-5) * F.col("_n") - 1e-9))
-    first = rows.join(held, "concept", "left").withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= F.col("_n") - need + 1)
-    return left.join(first.select("item_id", "concept"), "concept").select("change_id", "item_id").distinct()
+def _cuts(sizes, most: int):
+    """Ranges of rows whose sizes add up to about `most`; a row is not divided."""
+    return pairwise([0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1), len(sizes)])
+
+
+def _packed(batches):
+    """Rows as rows of lists: blocks of changes, made where the changes are read."""
+    for batch in batches:
+        if batch.num_rows:
+            for i, j in _cuts(pc.list_value_length(batch.column(1)).to_numpy() + 1, CHANGES):
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), x.slice(i, j - i)) for x in batch.columns], ["change_id", "own"])
+
+
+def _shared(batches):
+    """For blocks of changes and of candidates: the pairs that share as many concepts as the candidate needs."""
+    for batch in batches:
+        for ids, own, items in zip(*batch.columns):
+            yield from _met(ids.values, own.values, items.values)
+
+
+def _met(ids, own, items):
+    item_id, name, has_source, size, need, held = items.flatten()
+    words = held.flatten().dictionary_encode()
+    order = pc.sort_indices(words.dictionary)
+    terms, rank = words.dictionary.take(order), np.argsort(order.to_numpy())
+    term = rank[words.indices.to_numpy()]
+    by_term = np.argsort(term, kind="stable")
+    holders, first = pc.list_parent_indices(held).to_numpy()[by_term], np.searchsorted(term[by_term], np.arange(len(terms) + 1))
+    place, row = pc.index_in(own.flatten(), value_set=terms).fill_null(-1).to_numpy(), pc.list_parent_indices(own).to_numpy()
+    place, row = place[place >= 0], row[place >= 0]
+    n = first[place + 1] - first[place]
+    for i, j in _cuts(np.bincount(row, n, len(ids)).astype(np.int64) + len(items), COUNTED):
+        here = slice(*np.searchsorted(row, [i, j]))
+        of, many = place[here], n[here]
+        holder = holders[np.repeat(first[of] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        cell, word = np.repeat(row[here] - i, many) * len(items) + holder, np.repeat(of, many)
+        counts = np.bincount(cell, minlength=(j - i) * len(items)).reshape(-1, len(items))
+        keep = counts >= need.to_numpy()
+        change, item = np.nonzero(keep)
+        kept = keep.ravel()[cell]
+        word = word[kept][np.lexsort((word[kept], cell[kept]))]
+        overlap = pa.ListArray.from_arrays(pa.array(np.cumsum(np.append(0, counts[keep])), pa.int32()), terms.take(pa.array(word)))
+        item = pa.array(item)
+        out = pa.RecordBatch.from_arrays([ids.take(pa.array(change + i)), *(x.take(item) for x in (item_id, name, has_source, size)), overlap], ["change_id", "item_id", "name", "has_source", "_n", "overlap"])
+        yield from (out.slice(at, 1 << 16) for at in range(0, len(out), 1 << 16))
 
 
 def impacts(changed: DataFrame, candidates: DataFrame, minimum: float = 0.2) -> DataFrame:
     """changed(change_id, text) × candidates(item_id, name, keywords, has_source) -> scored overlaps.
 
-    With a minimum of 0 candidates without overlap count too: then every pair is a result, and every pair is made.
+    Changes are packed into blocks where they are read, blocks of candidates meet them there, and a task counts the concepts
+    that its pairs share and hands on those that may reach the minimum: neither texts nor pairs are shuffled, and a concept that
+    all changes hold is no hot key. With a minimum of 0 candidates without overlap count too: then every pair is a result.
     """
     if not 0 <= minimum <= 1:
         raise ValueError("minimum must be between 0 and 1")
     words = concepts(F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " "))
-    c = candidates.withColumn("_concepts", F.when(F.size(words) > 0, words).otherwise(concepts(F.coalesce("name", F.lit("")))))
+    c = candidates.filter(F.col("item_id").isNotNull()).withColumn("_concepts", F.when(F.size(words) > 0, words).otherwise(concepts(F.coalesce("name", F.lit("")))))
     c = c.filter(F.size("_concepts") > 0).withColumn("_n", F.size("_concepts"))
-    of_change = changed.select("change_id", concepts("text").alias("_own"))
-    left = of_change.select("change_id", F.explode("_own").alias("concept"))
-    pairs = _pairs(left, c, minimum)
-    both = pairs.join(of_change, "change_id").join(c.select("item_id", "_concepts"), "item_id")
-    shared = both.select("change_id", "item_id", F.array_sort(F.array_intersect("_concepts", "_own")).alias("overlap"))  # at most a candidate's concepts
-    if minimum == 0:
-        shared = changed.select("change_id").crossJoin(candidates.select("item_id")).join(shared, ["change_id", "item_id"], "left").withColumn("overlap", F.coalesce("overlap", F.array().cast("array<string>")))
-    out = shared.join(c.select("item_id", "name", "has_source", "_n"), "item_id").withColumn("relevance_score", F.round(F.size("overlap") / F.col("_n"), 4)).filter(F.col("relevance_score") >= minimum)
+    # the score is rounded to four digits before it is compared
+    need = F.lit(0) if minimum == 0 else F.greatest(F.lit(1), F.ceil((F.lit(minimum) - 5e-5) * F.col("_n") - 1e-9))
+    c = c.select("item_id", "name", "has_source", "_n", need.cast("int").alias("_need"), "_concepts")
+    n = c.agg(F.sum("_n")).first()[0] or 0  # one row
+    dealt = F.pmod(F.xxhash64("item_id"), F.lit(-(-n // CANDIDATES) or 1))
+    of_items = c.groupBy(dealt.alias("_b")).agg(F.collect_list(F.struct(*c.columns)).alias("items")).select("items")
+    own = F.coalesce(concepts(F.col("text")), F.array().cast("array<string>"))
+    kinds = {x: df.schema[x].dataType for df, x in ((changed, "change_id"), (c, "item_id"), (c, "name"), (c, "has_source"), (c, "_n"))}
+    many = ArrayType(StringType())
+    blocks = changed.select("change_id", own.alias("own")).mapInArrow(_packed, StructType([StructField("change_id", ArrayType(kinds["change_id"])), StructField("own", ArrayType(many))]))
+    met = blocks.crossJoin(F.broadcast(of_items)) if n <= SENT else written(blocks).crossJoin(of_items)
+    shared = met.mapInArrow(_shared, StructType([*(StructField(x, kind) for x, kind in kinds.items()), StructField("overlap", many)]))
+    out = shared.withColumn("relevance_score", F.round(F.size("overlap") / F.col("_n"), 4)).filter(F.col("relevance_score") >= minimum)
     sure = F.round(F.least(F.lit(0.98), F.lit(0.5) + F.col("relevance_score") * 0.4 + F.when(F.col("has_source"), 0.08).otherwise(0.0)), 4)
     return out.select(
         "change_id",
