@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 
 from lodestone.operators import impact
+from lodestone.plans import catalogue
 
 ITEM = "item_id int, name string, keywords array<string>, has_source boolean"
 
@@ -65,3 +66,13 @@ def test_odd_rows(spark):
     got = sorted((r["change_id"], r["item_id"], r["relevance_score"], r["confidence_score"]) for r in impact.impacts(changed, items).collect())
     assert got == [("c", 1, 1.0, 0.9), ("c", 1, 1.0, 0.9), ("c", 3, 0.5, 0.78)]
     assert impact.impacts(changed, items.limit(0)).collect() == [] and impact.impacts(changed.limit(0), items).collect() == []
+
+
+@pytest.mark.parametrize("name", ["impact_relevance", "impact_rationale"])
+def test_a_query_reads_its_changes_once(spark, tmp_path, name):
+    spark.createDataFrame([(i, "capital ratio of the bank\nliquidity ratio") for i in range(20)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "capital ratio"), (2, "liquidity")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    assert len(df.collect()) == 20 * 3
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("ReadSchema: struct<doc_id:") == 1 and "hashpartitioning(change_id" not in final
